@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python task looks at in one go; one longer document is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -47,6 +48,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns behind a generator, so that no filter or projection above it computes them again."""
+    made = F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(*columns)
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def slices(lengths: np.ndarray, budget: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths add up to the budget at most (a longer row makes a range of its own)."""
     start, total = 0, 0

@@ -39,6 +39,12 @@ class WordEncoder:
         self.max_words = max_words
         self._reset()
 
+    def split(self, text: str) -> list[str]:
+        return _SPACES.split(text) if _ODD_SPACES.search(text) else text.split()
+
+    def segment(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def _reset(self) -> None:
         self.index = _Index()
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -49,7 +55,7 @@ class WordEncoder:
     def _learn(self, known: int) -> None:
         fresh, self.index.fresh = self.index.fresh, []
         for i in range(0, len(fresh), 50_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[i : i + 50_000], add_special_tokens=False)]
+            got = self.segment(fresh[i : i + 50_000])
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))
             while self.used + len(flat) > len(self.ids):
@@ -68,7 +74,7 @@ class WordEncoder:
             self._reset()
         known, get, numbers, counts = len(self.index), self.index.__getitem__, [], []
         for text in texts:
-            words = (_SPACES.split(text) if _ODD_SPACES.search(text) else text.split()) if text else ()
+            words = self.split(text) if text else ()
             before = len(numbers)
             numbers.extend(map(get, words))
             counts.append(len(numbers) - before)

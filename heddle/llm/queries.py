@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import embedding_dedup, license_scan, packing, quality, sentencepieces, setsketch, suffix_dedup, surrogates, token_output, wrappers
 from ._common import reachable
 
 #: Folder of the public tokenizer files.
@@ -18,17 +18,49 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_docs(spark, sf_dir))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogate_digest(_docs(spark, sf_dir))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(_docs(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_documents(_docs(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_docs(spark, sf_dir), k=3, percent=85)
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_docs(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_docs(spark, sf_dir))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(reachable(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op7_token_output)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_sentencepiece, op4_suffix_dedup, op5_best_fit_packing, op6_minhash_near_dedup, op7_token_output, op8_quality_rules, op9_html_extraction, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle(), "op8_quality_rules": quality.ORACLE}
