@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -42,8 +43,10 @@ class WordEncoder:
     def split(self, text: str) -> list[str]:
         return _SPACES.split(text) if _ODD_SPACES.search(text) else text.split()
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
     def _reset(self) -> None:
         self.index = _Index()
@@ -55,19 +58,17 @@ class WordEncoder:
     def _learn(self, known: int) -> None:
         fresh, self.index.fresh = self.index.fresh, []
         for i in range(0, len(fresh), 50_000):
-            got = self.segment(fresh[i : i + 50_000])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))
+            flat, sizes = self.segment(fresh[i : i + 50_000])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while known + len(got) > len(self.start):
+            while known + len(sizes) > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
                 self.size = np.concatenate([self.size, np.zeros_like(self.size)])
             self.ids[self.used : self.used + len(flat)] = flat
-            self.start[known : known + len(got)] = self.used + np.cumsum(sizes) - sizes
-            self.size[known : known + len(got)] = sizes
+            self.start[known : known + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+            self.size[known : known + len(sizes)] = sizes
             self.used += len(flat)
-            known += len(got)
+            known += len(sizes)
 
     def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.max_words:

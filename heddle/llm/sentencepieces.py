@@ -29,8 +29,10 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: A code point's random code, and the odd base of prefix hashes.
 _BASE = U64(0x9E3779B97F4A7C15)
-#: Longest word whose prefixes are matched in one array; longer ones are matched the same way by themselves.
-CHUNK_CELLS = 1 << 20
+#: So many spaces that their merges may overlap.
+_RUN = SPACE * 8
+#: Cells (words times positions) that advance together; two to the power of the kept answers on pairs.
+CHUNK_CELLS, PAIR_BITS = 1 << 18, 20
 
 
 class Model:
@@ -58,8 +60,12 @@ class Model:
         hashes = np.array([self._prefix(p[None, :])[0, -1] for p in points], U64)
         order = np.argsort(hashes)
         self.hash, self.ident = hashes[order], np.array(plain, np.int64)[order]
-        self.mark = np.zeros(1 << 20, bool)
-        self.mark[(self.hash >> U64(44)).astype(np.int64)] = True
+        lead = (self.hash >> U64(44)).astype(np.int64)
+        self.slot = np.full(1 << 20, -1, np.int64)
+        self.slot[lead] = np.arange(len(lead))
+        self.crowded = np.bincount(lead, minlength=1 << 20)[lead] > 1
+        self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_stays = np.zeros(1 << PAIR_BITS, bool)
 
     @staticmethod
     def _prefix(points: np.ndarray) -> np.ndarray:
@@ -73,7 +79,7 @@ class Model:
     def _merges(self, plain: list[int]) -> list[int]:
         """Finds the left and right part of each piece's last merge; returns the pieces that merges make."""
         whole = []
-        ids = {self.pieces[i]: i for i in plain}
+        self.ids = ids = {self.pieces[i]: i for i in plain}
         self.left, self.right = np.arange(self.size), np.arange(self.size)
         self.made: dict[tuple[int, int], int] = {}
         for i in plain:
@@ -101,27 +107,35 @@ class Model:
         return whole
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece of each substring hash, or -1; a bit table spares most of the binary searches."""
-        out = np.full(len(hashes), -1, np.int64)
-        maybe = np.flatnonzero(self.mark[(hashes >> U64(44)).astype(np.int64)])
-        asked = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.hash, asked), len(self.hash) - 1)
-        hit = self.hash[at] == asked
-        out[maybe[hit]] = self.ident[at[hit]]
+        """Piece of each substring hash, or -1; a table by leading bits spares most of the binary searches."""
+        slot = self.slot[(hashes >> U64(44)).astype(np.int64)]
+        out = np.where((slot >= 0) & (self.hash[slot] == hashes), self.ident[slot], -1)
+        maybe = np.flatnonzero((out < 0) & (slot >= 0) & self.crowded[slot])
+        if len(maybe):
+            asked = hashes[maybe]
+            at = np.minimum(np.searchsorted(self.hash, asked), len(self.hash) - 1)
+            out[maybe] = np.where(self.hash[at] == asked, self.ident[at], -1)
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether BPE of each pair's two strings leaves the border between them; answers are kept."""
-        if len(self._pairs) > 2_000_000:
-            self._pairs.clear()
-            self.made.clear()
-        pairs, back = np.unique(a * self.size + b, return_inverse=True)
-        known = np.array([self._pairs.get(p, -1) for p in pairs.tolist()], np.int8)
-        for k in np.flatnonzero(known < 0):
-            known[k] = self._pairs[int(pairs[k])] = self._border_stays(*divmod(int(pairs[k]), self.size))
-        return known[back].astype(bool)
-
-    _pairs: dict[int, int] = {}
+        """Whether BPE of each pair's two strings leaves the border between them; answers are kept in a table of
+        fixed size, in which a newer pair takes the place of an older one of the same slot."""
+        pair = a * self.size + b
+        slot = (mix64(pair) >> U64(64 - PAIR_BITS)).astype(np.int64)
+        unknown = np.flatnonzero(self.pair_key[slot] != pair)
+        if len(unknown):
+            fresh, back = np.unique(pair[unknown], return_inverse=True)
+            stays = np.array([self._border_stays(*divmod(x, self.size)) for x in fresh.tolist()])
+            if len(self.made) > 1_000_000:
+                self.made.clear()
+            out = self.pair_stays[slot]
+            out[unknown] = stays[back]
+            at = (mix64(fresh) >> U64(64 - PAIR_BITS)).astype(np.int64)
+            self.pair_key[at], self.pair_stays[at] = fresh, stays
+            # Of pairs that share a slot the last write holds; keep key and answer of the same one.
+            self.pair_stays[at] = stays[np.searchsorted(fresh, self.pair_key[at])]
+            return out
+        return self.pair_stays[slot]
 
     def _border_stays(self, a: int, b: int) -> bool:
         """Merges are undone from the last to the first on either side of the border; it falls if at some time
@@ -159,66 +173,95 @@ class Model:
             self.made[key] = int(self.find(self._prefix(points)[:, -1])[0])
         return self.made[key]
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; words of equal length go through the positions together."""
-        out: list[list[int]] = [[] for _ in words]
+    def merge(self, word: str) -> list[int]:
+        """Ids of one word by making its merges in order; for words behind a long run of spaces, in which equal
+        merges overlap so that pairs of pieces don't tell where borders stay."""
+        parts = list(word)
+        ids = self.ids
+        while len(parts) > 1:
+            joined = [(self.score[ids[a + b]], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ids]
+            if not joined:
+                break
+            k = -max(joined)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [i for p in parts for i in ([ids[p]] if p in ids else [self.byte.get(b, self.unknown) for b in p.encode("utf-8", "replace")])]
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has; words of equal length go through together."""
         sizes = np.array([len(w) for w in words], np.int64)
+        count = np.zeros(len(words), np.int64)
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, w in enumerate(words):
+            if w.startswith(_RUN):
+                # Spaces merge in pairs, fours and so on from the left: all but the last are pieces of the longest kind.
+                run = len(w) - len(w.lstrip(SPACE))
+                block = max(k for k in range(1, self.longest + 1) if SPACE * k in self.ids and k & (k - 1) == 0)
+                skip = max(0, run - 2 * block) // block
+                ids = [self.ids[SPACE * block]] * skip + self.merge(w[skip * block :])
+                sizes[i], count[i] = 0, len(ids)
+                made.append((np.full(len(ids), i), np.array(ids, np.int64)))
         for size in np.unique(sizes[sizes > 0]):
             mine = np.flatnonzero(sizes == size)
             step = max(1, CHUNK_CELLS // int(size))
             for a in range(0, len(mine), step):
                 part = mine[a : a + step]
-                points = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), "<u4").reshape(len(part), size).astype(np.int64)
-                for i, ids in zip(part, self._viterbi(points), strict=True):
-                    out[i] = ids
-        return out
-
-    def _viterbi(self, points: np.ndarray) -> list[list[int]]:
+                points = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), size).astype(np.int64)
+                owner, ids = self._viterbi(points)
+                count[part] = np.bincount(owner, minlength=len(part))
+                made.append((part[owner], ids))
+        if not made:
+            return np.zeros(0, np.uint32), count
+        owner, ids = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+        return ids[np.argsort(owner, kind="stable")].astype(np.uint32), count
+
+    def _viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word number and id of each piece, word by word and in order."""
         n, size = points.shape
         prefix = self._prefix(points)
-        power = np.full(size + 1, _BASE, U64)
+        power = np.full(self.longest + 1, _BASE, U64)
         power[0] = 1
         power = np.multiply.accumulate(power)
-        # best[:, j]: piece that ends at j; characters that are no piece are pieces of their own, numbered behind.
+        # best[:, j]: piece that ends at j, or size + code point for a character that is no piece (bytes).
         best = np.full((n, size + 1), -1, np.int64)
-        best[:, 0] = -2
+        best[:, 0] = self.size
+        rows = np.arange(n)
         for j in range(1, size + 1):
-            top = np.full(n, -np.inf)
-            for length in range(1, min(j, self.longest) + 1):
-                piece = self.find(prefix[:, j] - prefix[:, j - length] * power[length])
-                before = best[:, j - length]
-                ok = (piece >= 0) & (before != -1)
-                if length == 1:
-                    ok = before != -1
-                    piece = np.where(piece >= 0, piece, self.size)
-                if not ok.any():
-                    continue
-                at = np.flatnonzero(ok)
-                p, q = before[at], piece[at]
-                free = (p < 0) | (p >= self.size) | (q >= self.size)
-                good = free.copy()
-                if (~free).any():
-                    good[~free] = self.compatible(p[~free], q[~free])
-                at, q = at[good], q[good]
-                value = np.where(q >= self.size, -1e18, self.score[np.minimum(q, self.size - 1)])
-                better = value > top[at]
-                top[at[better]] = value[better]
-                best[at[better], j] = q[better]
-        out = []
-        for i in range(n):
-            ids, j = [], size
-            row = best[i]
-            while j:
-                p = int(row[j])
-                if p >= self.size:
-                    raw = chr(int(points[i, j - 1])).encode("utf-8", "replace")
-                    ids.extend(self.byte.get(b, self.unknown) for b in reversed(raw))
-                    j -= 1
-                else:
-                    ids.append(p)
-                    j -= int(self.length[p])
-            out.append(ids[::-1])
-        return out
+            reach = min(j, self.longest)
+            lengths = np.arange(1, reach + 1)
+            piece = self.find((prefix[:, j, None] - prefix[:, j - lengths] * power[lengths]).ravel()).reshape(n, reach)
+            piece[:, 0] = np.where(piece[:, 0] < 0, self.size + points[:, j - 1], piece[:, 0])
+            before = best[:, j - lengths]
+            value = np.full((n, reach), -np.inf)
+            r, c = np.nonzero((piece >= 0) & (before >= 0))
+            p, q = before[r, c], piece[r, c]
+            good = (p >= self.size) | (q >= self.size)
+            inner = np.flatnonzero(~good)
+            good[inner] = self.compatible(p[inner], q[inner])
+            r, c, q = r[good], c[good], q[good]
+            value[r, c] = np.where(q >= self.size, -1e18, self.score[np.minimum(q, self.size - 1)])
+            top = value.argmax(1)
+            best[:, j] = np.where(value[rows, top] > -np.inf, piece[rows, top], -1)
+        # All words step back together; a column of ids per step, the last pieces first.
+        at, steps = np.full(n, size), []
+        while at.any():
+            now = np.where(at > 0, best[rows, at], -1)
+            steps.append(now)
+            at = np.where(at > 0, at - np.where(now >= self.size, 1, self.length[np.clip(now, 0, self.size - 1)]), 0)
+        ids = np.stack(steps[::-1], axis=1)
+        owner, step = np.nonzero(ids >= 0)
+        ids = ids[owner, step]
+        odd = np.flatnonzero(ids >= self.size)
+        if len(odd):
+            kinds, back = np.unique(ids[odd], return_inverse=True)
+            raw = [[self.byte.get(b, self.unknown) for b in chr(int(k) - self.size).encode("utf-8", "replace")] for k in kinds]
+            n_raw = np.ones(len(ids), np.int64)
+            n_raw[odd] = np.array([len(x) for x in raw])[back]
+            first = np.cumsum(n_raw) - n_raw
+            owner, ids = np.repeat(owner, n_raw), np.repeat(ids, n_raw)
+            for k, x in enumerate(raw):
+                for o, b in enumerate(x):
+                    ids[first[odd[back == k]] + o] = b
+        return owner, ids
 
 
 class Codec(WordEncoder):
@@ -241,7 +284,7 @@ class Codec(WordEncoder):
             return ["\n" + w for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
         return text.replace("\n", " \n").split(" ")
 
-    def segment(self, words: list[str]) -> list[list[int]]:
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [(w[1:] if w[1:2] == SPACE else w) if w[:1] == "\n" else SPACE + w for w in words]
         return self.model.segment(whole)
 
