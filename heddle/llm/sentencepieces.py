@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import U64, mix64, slices
 from .bpe import WordEncoder
@@ -312,7 +313,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with ids (array<int>) of text; null and empty texts have none. Other columns stay as they are."""
     rest = [c for c in docs.columns if c != "ids"]
     docs = docs.select(*rest).withColumn("__text", F.col("text").cast("string"))
-    schema = docs.select(*rest).schema.add("ids", "array<int>")
+    schema = docs.select(*rest).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

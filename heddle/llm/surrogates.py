@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import staged
 
@@ -293,7 +294,7 @@ def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, with_spans: bool
     else:
         plain = plain.withColumn("__late", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
     span = "array<struct<kind:string,start:int,stop:int,surrogate:string>>"
-    schema = plain.select(*rest).schema.add("text", "string").add("spans", span)
+    schema = plain.select(*rest).schema.add("text", "string").add("spans", T.DataType.fromDDL(span))
     width = len(rest)
 
     def swap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
