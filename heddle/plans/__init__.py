@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,13 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return file
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _load() -> None:
-    pass
+    for name in ("text", "relational", "graph", "scoring", "quality", "sources"):
+        importlib.import_module(f"heddle.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
