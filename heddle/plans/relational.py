@@ -1 +1,436 @@
-"""."""
+"""Join, aggregation, window, set and filter queries; tables play roles, as the comments at each say."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle import functions as H
+from heddle.operators import describe as D
+from heddle.operators import match as M
+
+from . import register, table
+
+# Customers and suppliers as two lists of people: names from the part words, e-mail from numbers.
+PEOPLE = {
+    "customer": "c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'ann' WHEN 1 THEN 'anna' WHEN 2 THEN 'bo' WHEN 3 THEN 'carl' ELSE 'stone' END AS first, CASE c_custkey % 7 WHEN 0 THEN 'stone' WHEN 1 THEN 'stones' WHEN 2 THEN 'ann' ELSE 'mark' || c_nationkey END AS last, 'u' || c_custkey % 400 || '@' || CASE WHEN c_custkey % 2 = 0 THEN 'a.org' ELSE 'b.org' END AS email",
+    "supplier": "s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'ann' WHEN 1 THEN 'bob' WHEN 2 THEN 'stone' ELSE 'karl' END AS first, CASE s_suppkey % 6 WHEN 0 THEN 'stone' WHEN 1 THEN 'ann' ELSE 'mark' || s_nationkey END AS last, 'u' || s_suppkey * 3 || '@' || CASE WHEN s_suppkey % 3 = 0 THEN 'a.org' ELSE 'b.org' END AS email",
+}
+
+
+def people(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name).selectExpr(*[x.strip() for x in _split(PEOPLE[name])])
+
+
+def _split(text: str) -> list[str]:
+    """Parts of a select list at its top-level commas; the lists here have none inside."""
+    return text.split(", ")
+
+
+SIDES = f"l AS (SELECT {PEOPLE['customer']} FROM customer), r AS (SELECT {PEOPLE['supplier']} FROM supplier)"
+
+
+@register("join_lookup", "SELECT c_custkey, coalesce(n_name, 'none') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = c_nationkey")
+def join_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").where("n_nationkey < 20").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    return M.lookup(table(spark, sf_dir, "customer"), names, "c_nationkey", {"n_name": "none"}).select("c_custkey", "n_name")
+
+
+@register("join_lookup_first", "SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority FROM orders GROUP BY o_custkey")
+def join_lookup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey")
+    return M.first_per_key(o, ["o_custkey"], F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderpriority")
+
+
+@register("join_lookup_last", "SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority FROM orders GROUP BY o_custkey")
+def join_lookup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey")
+    return M.last_per_key(o, ["o_custkey"], F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderpriority")
+
+
+@register("join_lookup_unique", "SELECT p_brand || p_size AS key, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1")
+def join_lookup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.unique_keys(table(spark, sf_dir, "part").selectExpr("p_brand || p_size AS key", "p_partkey AS id"), "key", "id")[0]
+
+
+@register("join_required", "SELECT DISTINCT o_custkey AS k, 'missing' AS issue FROM orders WHERE o_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'duplicate' FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 <> 0")
+def join_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").selectExpr("c_custkey AS k")
+    return M.required(table(spark, sf_dir, "orders").selectExpr("o_custkey AS k"), dim.unionByName(dim.where("k % 11 = 0")), "k")
+
+
+@register("join_cascade", f"WITH {SIDES}, e AS (SELECT l.id, min(r.id) AS m FROM l JOIN r ON l.email = r.email GROUP BY l.id), n AS (SELECT l.id, CASE WHEN count(DISTINCT r.id) = 1 THEN min(r.id) END AS m FROM l JOIN r ON l.first = r.first AND l.last = r.last GROUP BY l.id) SELECT l.id, CASE WHEN e.id IS NOT NULL THEN e.m ELSE n.m END AS match, CASE WHEN e.id IS NOT NULL THEN 'email' WHEN n.id IS NOT NULL THEN CASE WHEN n.m IS NULL THEN 'name_ambiguous' ELSE 'name' END END AS reason FROM l LEFT JOIN e USING (id) LEFT JOIN n USING (id)")
+def join_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = people(spark, sf_dir, "customer"), people(spark, sf_dir, "supplier").withColumnRenamed("id", "rid")
+    by_mail = a.join(b, "email").groupBy("id").agg(F.min("rid").alias("match"))
+    by_name = a.join(b, ["first", "last"]).groupBy("id").agg(F.when(F.countDistinct("rid") == 1, F.min("rid")).alias("match"))
+    return M.cascade(a, "id", [("email", by_mail), ("name", by_name)])
+
+
+@register("join_curated_cascade", f"WITH {SIDES}, c AS (SELECT id, id % 9 AS m FROM l WHERE id % 10 = 0), e AS (SELECT l.id, min(r.id) AS m FROM l JOIN r ON l.email = r.email GROUP BY l.id) SELECT l.id, coalesce(c.m, e.m) AS match, CASE WHEN c.id IS NOT NULL THEN 'curated' WHEN e.id IS NOT NULL THEN 'email' END AS reason FROM l LEFT JOIN c USING (id) LEFT JOIN e USING (id)")
+def join_curated_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = people(spark, sf_dir, "customer"), people(spark, sf_dir, "supplier").withColumnRenamed("id", "rid")
+    curated = a.where("id % 10 = 0").selectExpr("id", "id % 9 AS match")
+    return M.cascade(a, "id", [("curated", curated), ("email", a.join(b, "email").groupBy("id").agg(F.min("rid").alias("match")))])
+
+
+PAIRS = f"""WITH {SIDES},
+x AS (SELECT l.id AS lid, r.id AS rid, l.first AS lf, l.last AS ll, r.first AS rf, r.last AS rl, l.email AS le, r.email AS re, l.first || ' ' || l.last AS lfull, r.first || ' ' || r.last AS rfull,
+  split_part(l.email, '@', 1) AS llo, split_part(r.email, '@', 1) AS rlo, split_part(l.email, '@', 2) AS ld, split_part(r.email, '@', 2) AS rd FROM l, r),
+c AS (SELECT lid, rid, list_sort(list_filter([
+  CASE WHEN le = re THEN 'exact_email' END, CASE WHEN lf = rf AND ll = rl THEN 'exact_name' END, CASE WHEN llo = rlo AND ld <> rd THEN 'email_local' END,
+  CASE WHEN ll = rl AND lf[1] = rf[1] AND lf <> rf THEN 'last_initial' END, CASE WHEN ll = rl AND lf <> rf THEN 'last_only' END,
+  CASE WHEN levenshtein(lfull, rfull) BETWEEN 1 AND 3 AND (ll = rl OR lf = rf OR lfull[1:3] = rfull[1:3]) THEN 'near_full_name' END,
+  CASE WHEN lf = rf AND levenshtein(ll, rl) BETWEEN 1 AND 2 THEN 'same_first_near_last' END, CASE WHEN lf = rl AND ll = rf THEN 'reversed_name' END,
+  CASE WHEN ld = rd AND ll = rl AND le <> re THEN 'same_domain_last' END, CASE WHEN len(ll) >= 3 AND list_contains(string_split(rfull, ' '), ll) AND ll <> rl AND ll <> rf THEN 'last_in_name' END
+  ], lambda k: k IS NOT NULL)) AS cs FROM x),
+m AS (SELECT *, len(list_filter(cs, lambda k: k IN ('email_local', 'last_initial', 'near_full_name', 'same_first_near_last'))) AS n FROM c WHERE len(cs) > 0)
+"""
+
+
+@register("join_pairwise_criteria", PAIRS + "SELECT lid, rid, array_to_string(cs, ',') AS criteria, CASE WHEN list_has_any(cs, ['exact_email', 'exact_name', 'reversed_name']) OR n >= 2 THEN 'HIGH' WHEN n = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM m")
+def join_pairwise_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = M.pair_criteria(people(spark, sf_dir, "customer"), people(spark, sf_dir, "supplier"))
+    return got.select("lid", "rid", F.array_join("criteria", ",").alias("criteria"), "confidence")
+
+
+@register("join_pairwise_checks", f"WITH {SIDES} SELECT l.id AS lid, r.id AS rid, CASE WHEN l.email = r.email THEN 'email' WHEN l.first = r.first THEN 'near_last' ELSE 'near_first' END AS check_name FROM l JOIN r ON l.email = r.email OR (l.first = r.first AND levenshtein(l.last, r.last) <= 1) OR (l.last = r.last AND levenshtein(l.first, r.first) <= 1)")
+def join_pairwise_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strictest check that a pair passes: e-mail, same first and near last name, same last and near first name."""
+    a = people(spark, sf_dir, "customer").withColumnsRenamed({"id": "lid", "first": "lf", "last": "ll", "email": "le"})
+    b = people(spark, sf_dir, "supplier").withColumnsRenamed({"id": "rid", "first": "rf", "last": "rl", "email": "re"})
+    c = F.col
+    checks = [(0, "email", c("le") == c("re")), (1, "near_last", (c("lf") == c("rf")) & (F.levenshtein("ll", "rl", 1) >= 0)), (2, "near_first", (c("ll") == c("rl")) & (F.levenshtein("lf", "rf", 1) >= 0))]
+    every = [a.join(b, on).select("lid", "rid", F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")).alias("k")) for i, n, on in checks]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("lid", "rid").agg(F.min("k")["n"].alias("check_name"))
+
+
+@register("join_fuzzy_name")
+def join_fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    probes = p.select(F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || 's' END").alias("probe"))
+    return M.fuzzy_names(probes, p.select(F.col("p_name").alias("name")), F.substring("probe", 1, 1) == F.substring("name", 1, 1))
+
+
+@register("join_fuzzy_single")
+def join_fuzzy_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    probes = p.select(F.expr("p_name || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END").alias("probe"))
+    got = M.fuzzy_names(probes, p.select(F.col("p_name").alias("name")), F.substring("probe", 1, 2) == F.substring("name", 1, 2), 0.85, 0.0)
+    return got.select("probe", F.when(F.col("confidence") == "high", "exact").otherwise(F.concat(F.lit("fuzzy("), "name", F.lit(")"))).alias("label"))
+
+
+@register("join_best_score", f"WITH {SIDES}, x AS (SELECT l.id AS lid, r.id AS rid, CASE WHEN l.email = r.email THEN 100 ELSE 0 END + CASE WHEN l.first = r.first AND l.last = r.last THEN 95 WHEN l.last = r.last AND l.first[1] = r.first[1] THEN 80 WHEN l.last = r.last THEN 0 ELSE 0 END AS score FROM l JOIN r ON l.email = r.email OR l.last = r.last), b AS (SELECT lid, arg_max(rid, (score, -rid)) AS rid, max(score) AS score FROM x WHERE score > 0 GROUP BY lid) SELECT l.id AS lid, b.rid, coalesce(b.score, 0)::INTEGER AS score FROM l LEFT JOIN b ON b.lid = l.id")
+def join_best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score from shared e-mail and name; pairs come from the e-mail block and the last-name block."""
+    a = people(spark, sf_dir, "customer").withColumnsRenamed({"id": "lid", "first": "lf", "last": "ll", "email": "le"})
+    b = people(spark, sf_dir, "supplier").withColumnsRenamed({"id": "rid", "first": "rf", "last": "rl", "email": "re"})
+    c = F.col
+    name = F.when((c("lf") == c("rf")) & (c("ll") == c("rl")), 95).when((c("ll") == c("rl")) & (F.substring("lf", 1, 1) == F.substring("rf", 1, 1)), 80).otherwise(0)
+    blocks = b.select("*", c("re").alias("v")).unionByName(b.select("*", c("rl").alias("v")))
+    asked = a.select("lid", "lf", "ll", "le", F.explode(F.array("le", "ll")).alias("w"))
+    return M.best_score(asked, blocks, c("w") == c("v"), F.when(c("le") == c("re"), 100).otherwise(0) + name, -c("rid")).distinct()
+
+
+@register("join_cluster_merge", "WITH RECURSIVE r AS (SELECT s_suppkey AS id, s_suppkey % 40 AS a, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey // 9 END AS b FROM supplier), e AS (SELECT x.id AS i, y.id AS j FROM r x JOIN r y ON x.a = y.a OR x.b = y.b), t AS (SELECT i, j FROM e UNION SELECT t.i, e.j FROM t JOIN e ON e.i = t.j) SELECT i AS id, min(j) AS cluster FROM t GROUP BY i")
+def join_cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey % 40 AS a", "CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey div 9 END AS b")
+    return M.clusters(r, "id", ["a", "b"])
+
+
+@register("join_semi_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2000-01-01')")
+def join_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = table(spark, sf_dir, "orders").where("o_orderdate >= date '2000-01-01'").selectExpr("o_custkey AS c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(late, "c_custkey", "left_anti")
+
+
+@register("join_full_outer_audit", "SELECT coalesce(d.doc_id, p.page_id) AS k, CASE WHEN p.page_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'ok' END AS state FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) d FULL JOIN (SELECT page_id FROM pages) p ON d.doc_id = p.page_id")
+def join_full_outer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.full_outer_audit(table(spark, sf_dir, "documents").where("doc_id % 3 > 0").selectExpr("doc_id AS k"), table(spark, sf_dir, "pages").selectExpr("page_id AS k"), "k")
+
+
+@register("join_dup_candidates", f"WITH {SIDES}, h AS (SELECT l.id AS aid, r.id AS bid, 'email' AS k FROM l JOIN r ON l.email = r.email UNION ALL SELECT l.id, r.id, 'name' FROM l JOIN r ON l.first || l.last = r.first || r.last) SELECT aid, bid, string_agg(k, ',' ORDER BY k) AS reasons FROM h GROUP BY aid, bid")
+def join_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = people(spark, sf_dir, "customer").select(F.col("id").alias("aid"), "email", F.concat("first", "last").alias("name"))
+    b = people(spark, sf_dir, "supplier").select(F.col("id").alias("bid"), "email", F.concat("first", "last").alias("name"))
+    return M.duplicate_candidates(a, b, ["email", "name"]).select("aid", "bid", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("join_alias_dup", f"WITH {SIDES} SELECT l.id AS lid, r.id AS rid FROM l JOIN r ON l.last = r.last AND ((l.first = 'anna' AND r.first = 'ann') OR (l.first = 'carl' AND r.first = 'karl'))")
+def join_alias_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same last name, and first names of one nickname group but not equal."""
+    a = people(spark, sf_dir, "customer").select(F.col("id").alias("lid"), F.col("first").alias("lf"), "last")
+    b = people(spark, sf_dir, "supplier").select(F.col("id").alias("rid"), F.col("first").alias("rf"), "last")
+    alike = H.nickname_equal(F.col("lf"), F.col("rf"), [["ann", "anna"], ["carl", "karl"]])
+    return a.join(b, "last").where(alike & (F.col("lf") != F.col("rf"))).select("lid", "rid")
+
+
+@register("join_override", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'FIXED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def join_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return M.override(c, c.where("c_custkey % 10 = 0").select("c_custkey", F.lit("FIXED").alias("c_mktsegment")), "c_custkey", ["c_mktsegment"])
+
+
+@register("join_referential", "SELECT o_orderkey AS src, o_custkey AS dst, CASE WHEN o_orderkey % 5 = 0 AND o_custkey % 4 = 0 THEN 'both' WHEN o_orderkey % 5 = 0 THEN 'source' ELSE 'target' END AS reason FROM orders WHERE o_orderkey % 5 = 0 OR o_custkey % 4 = 0")
+def join_referential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as edges to customers over node tables with gaps: the rejects with their reason."""
+    e = table(spark, sf_dir, "orders").selectExpr("'o' || o_orderkey AS src", "'c' || o_custkey AS dst")
+    nodes = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").selectExpr("'o' || o_orderkey AS node").unionByName(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").selectExpr("'c' || c_custkey AS node"))
+    return M.referential(e, nodes)[1].select(F.expr("cast(substr(src, 2) as bigint)").alias("src"), F.expr("cast(substr(dst, 2) as bigint)").alias("dst"), "reason")
+
+
+# Aggregations over customers, their nations and orders.
+@register("agg_count_by", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def agg_count_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@register("agg_most_common", "SELECT p_brand AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, min(p_partkey))::INTEGER AS rank FROM part GROUP BY p_brand")
+def agg_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.most_common(table(spark, sf_dir, "part"), "p_brand", "p_partkey")
+
+
+@register("agg_top_variants", "WITH p AS (SELECT p_type AS canon, p_brand AS raw, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT canon, sum(n)::BIGINT AS total FROM p GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4) SELECT canon, raw, n, total FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY n DESC, raw) AS k FROM p JOIN t USING (canon)) WHERE k <= 5")
+def agg_top_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.top_variants(table(spark, sf_dir, "part"), "p_type", "p_brand", k=4)
+
+
+@register("agg_headlines", "WITH a AS (SELECT count(*) AS u, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_totalprice > 200000) AS b FROM orders) SELECT 'final' AS statistic, u AS universe, f AS count FROM a UNION ALL SELECT 'big', u, b FROM a")
+def agg_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.headlines(table(spark, sf_dir, "orders"), {"final": F.col("o_orderstatus") == "F", "big": F.col("o_totalprice") > 200000})
+
+
+@register("agg_profile", """WITH o AS (SELECT year(o_orderdate) AS y, nullif(trim(CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderstatus END), '') AS s, o_custkey % 3 = 0 AS f FROM orders),
+a AS (SELECT min(y) AS a, max(y) AS b, floor(median(y)) AS c, round(avg(y), 1) AS d, round(100.0 * count(*) FILTER (f) / count(*), 1) AS r FROM o)
+SELECT 'year' AS section, 'least' AS label, a::DOUBLE AS value FROM a UNION ALL SELECT 'year', 'greatest', b FROM a UNION ALL SELECT 'year', 'median', c FROM a UNION ALL SELECT 'year', 'mean', d FROM a
+UNION ALL SELECT 'decade', (y // 10 * 10) || 's', count(*) FROM o GROUP BY 2 UNION ALL SELECT 's', coalesce(s, '(blank)'), count(*) FROM o GROUP BY 2 UNION ALL SELECT 'f', 'percent', r FROM a""")
+def agg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("year(o_orderdate) AS y", "CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderstatus END AS s", "o_custkey % 3 = 0 AS f")
+    return D.profile(o, "y", ["s"], "f")
+
+
+@register("agg_cohort", "WITH b(label, lo, hi) AS (VALUES ('early', 1995, 1996), ('middle', 1997, 1999), ('late', 2000, 2001), ('none', 1900, 1901)) SELECT label, count(o_orderkey) AS people, count(*) FILTER (o_custkey % 3 = 0) AS flagged, CASE WHEN count(o_orderkey) = 0 THEN 0.0 ELSE count(*) FILTER (o_custkey % 3 = 0) / count(o_orderkey) END::DOUBLE AS rate FROM b LEFT JOIN orders ON year(o_orderdate) BETWEEN lo AND hi GROUP BY label")
+def agg_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("year(o_orderdate) AS y", "o_custkey % 3 = 0 AS f")
+    return D.cohorts(o, "y", "f", [("early", 1995, 1996), ("middle", 1997, 1999), ("late", 2000, 2001), ("none", 1900, 1901)]).where("label is not null")
+
+
+@register("agg_coverage", "WITH o AS (SELECT o_orderstatus AS g, CASE WHEN o_orderkey % 4 > 0 THEN 'x' ELSE ' ' END AS a, CASE WHEN o_orderkey % 5 > 0 THEN 'x' END AS b FROM orders), u AS (SELECT g, 'a' AS field, trim(coalesce(a, '')) <> '' AS h FROM o UNION ALL SELECT g, 'b', trim(coalesce(b, '')) <> '' FROM o) SELECT field, coalesce(g, 'all') AS part, count(*) FILTER (h) AS filled, count(*) AS total FROM u GROUP BY GROUPING SETS ((field), (field, g))")
+def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderstatus AS g", "CASE WHEN o_orderkey % 4 > 0 THEN 'x' ELSE ' ' END AS a", "CASE WHEN o_orderkey % 5 > 0 THEN 'x' END AS b")
+    return D.coverage(o, ["a", "b"], "g")
+
+
+@register("agg_string_list", "WITH f AS (SELECT o_custkey AS k, o_orderpriority AS v, min(o_orderkey) FILTER (o_orderstatus = 'F') AS p, min(o_orderkey) AS o FROM orders GROUP BY 1, 2) SELECT k, coalesce(string_agg(v, '; ' ORDER BY p) FILTER (p IS NOT NULL), string_agg(v, '; ' ORDER BY o)) AS list FROM f GROUP BY k")
+def agg_string_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.string_lists(table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderpriority AS v", "o_orderkey AS o", "o_orderstatus AS t"), "k", "v", "o", "t", "F")
+
+
+@register("agg_group_roster", "SELECT coalesce(nullif(CASE WHEN s_nationkey < 3 THEN ' ' ELSE s_nationkey::VARCHAR END, ' '), '(blank)') AS \"group\", count(*) AS n, string_agg(s_name, ', ' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
+def agg_group_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.group_roster(table(spark, sf_dir, "supplier").selectExpr("CASE WHEN s_nationkey < 3 THEN ' ' ELSE s_nationkey END AS g", "s_name"), "g", "s_name")
+
+
+@register("agg_set_by_pair", "SELECT o_custkey AS src, year(o_orderdate) AS dst, array_to_string(list_filter(['P', 'O', 'F'], lambda t: list_contains(list(o_orderstatus), t)), '+') AS types FROM orders GROUP BY 1, 2")
+def agg_set_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.types_by_pair(table(spark, sf_dir, "orders").selectExpr("o_custkey AS src", "year(o_orderdate) AS dst", "o_orderstatus AS type"), ["P", "O", "F"])
+
+
+@register("agg_distinct_pairs", "SELECT count(DISTINCT (l_suppkey, l_partkey)) AS pairs, count(*) AS rows, count(DISTINCT l_suppkey) AS advisors FROM lineitem")
+def agg_distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_suppkey", "l_partkey").alias("pairs"), F.count("*").alias("rows"), F.countDistinct("l_suppkey").alias("advisors"))
+
+
+@register("agg_email_coverage", "SELECT count(*) FILTER (c_custkey % 3 = 0 OR c_custkey % 5 = 0) AS any_email, count(*) AS people FROM customer")
+def agg_email_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 3 = 0 THEN 'a' END AS a", "CASE WHEN c_custkey % 5 = 0 THEN 'b' ELSE ' ' END AS b")
+    return c.agg(F.count_if(H.coalesce_blank("a", "b").isNotNull()).alias("any_email"), F.count("*").alias("people"))
+
+
+@register("agg_impact_panel", "WITH p AS (SELECT c_mktsegment AS g, c_custkey % 3 > 0 AS m, c_custkey % 40 AS h, c_custkey % 1000 AS c, c_custkey % 100 AS r, c_custkey % 25 AS rh FROM customer) SELECT g, count(*) AS people, count(*) FILTER (m) AS matched, median(h) FILTER (m)::DOUBLE AS median_h, median(c) FILTER (m)::DOUBLE AS median_citations, 100.0 * sum(r) FILTER (m) / sum(c) FILTER (m) AS recent_percent, count(*) FILTER (m AND r > 0) AS still_cited, count(*) FILTER (m AND rh >= 10) AS productive FROM p GROUP BY ROLLUP (g)")
+def agg_impact_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").selectExpr("c_mktsegment AS g", "c_custkey % 3 > 0 AS m", "c_custkey % 40 AS h", "c_custkey % 1000 AS c", "c_custkey % 100 AS r", "c_custkey % 25 AS rh")
+    return D.impact_panel(p, "g", F.col("m"), "h", "c", "r", "rh")
+
+
+@register("agg_share_top", "WITH c AS (SELECT c_nationkey AS g, c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1, 2) SELECT g AS \"group\", arg_min(k, (-n, k)) AS category, max(n) AS n, max(n) / sum(n) AS share, count(*) AS kinds FROM c GROUP BY g")
+def agg_share_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.share_top(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@register("agg_status_rollup", "SELECT 'FAIL' AS status, count(*) FILTER (c_acctbal < 0) AS high, count(*) AS issues FROM customer WHERE c_acctbal < 100 HAVING count(*) FILTER (c_acctbal < 0) > 0 UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'PASS' END, 0, count(*) FROM customer WHERE c_acctbal < 100 HAVING count(*) FILTER (c_acctbal < 0) = 0")
+def agg_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.status_rollup(table(spark, sf_dir, "customer").where("c_acctbal < 100").selectExpr("CASE WHEN c_acctbal < 0 THEN 'high' ELSE 'low' END AS severity"))
+
+
+# Windows: line items by (order, line) hold true duplicates.
+LINE = "l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN '' ELSE 'q' END AS q, CASE WHEN l_discount = 0 THEN NULL ELSE 'd' END AS d, l_partkey, l_suppkey, l_extendedprice"
+
+
+@register("win_dedup_complete", f"WITH t AS (SELECT {LINE}, (30 * (l_quantity >= 10)::INT + 10 * (l_discount <> 0)::INT + (l_quantity >= 10)::INT + (l_discount <> 0)::INT)::INTEGER AS score FROM lineitem) SELECT l_orderkey, l_linenumber, score, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, l_partkey, l_suppkey, l_extendedprice) AS k FROM t) WHERE k = 1")
+def win_dedup_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").selectExpr(*_split(LINE))
+    return D.dedup_complete(t, ["l_orderkey", "l_linenumber"], {"q": 30, "d": 10}, ["q", "d"], ["l_partkey", "l_suppkey", "l_extendedprice"])[0].select("l_orderkey", "l_linenumber", "score", "l_partkey")
+
+
+@register("win_best_record", "SELECT l_orderkey, arg_min(l_partkey, (l_returnflag, l_linenumber, l_partkey, l_suppkey)) AS l_partkey, count(*) AS records FROM lineitem GROUP BY l_orderkey")
+def win_best_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linenumber", "l_suppkey")
+    return D.best_record(t, "l_orderkey", [F.col(c) for c in ("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey")]).select("l_orderkey", "l_partkey", "records")
+
+
+@register("win_last_record", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS records FROM orders GROUP BY o_custkey")
+def win_last_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.last_record(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "records")
+
+
+@register("win_top_papers", "SELECT o_custkey, o_orderkey, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 10")
+def win_top_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("score"))
+    return D.rank_candidates(o, "o_custkey", [F.desc("score"), F.col("o_orderkey")], 10).select("o_custkey", "o_orderkey", "rank")
+
+
+@register("win_rank_candidates", "SELECT o_custkey, o_orderkey, k::INTEGER AS rank, gap FROM (SELECT *, row_number() OVER w AS k, o_totalprice - coalesce(lead(o_totalprice) OVER w, 0) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE k <= 5")
+def win_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("score"))
+    return D.rank_candidates(o, "o_custkey", [F.desc("score"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "rank", "gap")
+
+
+@register("win_best_by_title", "WITH b AS (SELECT l_suppkey AS s, p_name AS t, max(l_quantity) AS q FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) SELECT s, t, q FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY q DESC, t) AS k FROM b WHERE q <= 49) WHERE k <= 5")
+def win_best_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best count per normalised title, those above the profile's total dropped, first five."""
+    t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    best = t.groupBy(F.col("l_suppkey").alias("s"), H.norm_text("p_name").alias("t")).agg(F.max("l_quantity").alias("q")).where("q <= 49").withColumn("score", F.col("q"))
+    return D.rank_candidates(best, "s", [F.desc("q"), F.col("t")]).select("s", "t", "q")
+
+
+@register("win_child_sequence", "SELECT s_suppkey, 'S-' || s_nationkey || '-' || lpad(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::VARCHAR, 4, '0') AS child_id FROM supplier")
+def win_child_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.child_sequence(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey"]).select("s_suppkey", "child_id")
+
+
+@register("win_best_response", "SELECT user_id, arg_max(event_id, (event_type = 'purchase', ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def win_best_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("finished"))
+    return M.last_per_key(e, ["user_id"], F.struct("finished", "ts", "event_id")).select("user_id", "event_id")
+
+
+@register("win_first_nonblank", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders WHERE o_orderkey % 3 > 0 GROUP BY o_custkey")
+def win_first_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE ' ' END AS o_orderpriority")
+    return D.first_nonblank(o, "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@register("win_dedup_prefer", "SELECT o_custkey, o_orderstatus, arg_min(o_orderkey, (o_orderkey % 2, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1, 2")
+def win_dedup_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
+    return M.first_per_key(o, ["o_custkey", "o_orderstatus"], F.struct(F.col("o_orderkey") % 2, F.col("o_orderkey")))
+
+
+# Ordering: the position that the sort gives is part of the result.
+@register("srt_blank_last", "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 = 0 THEN 999 ELSE s_nationkey END, s_name)::INTEGER AS place FROM supplier")
+def srt_blank_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_name", "CASE WHEN s_suppkey % 4 = 0 THEN ' ' ELSE string(s_nationkey) END AS g")
+    return s.select("s_suppkey", F.row_number().over(Window.orderBy(*D.blank_last(F.col("g"), F.col("s_name")))).alias("place"))
+
+
+@register("srt_category", "SELECT c_mktsegment, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_mktsegment)::INTEGER AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def srt_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    return c.select("c_mktsegment", F.row_number().over(Window.orderBy(D.by_category("c_mktsegment", ["MACHINERY", "BUILDING"]), "c_mktsegment")).alias("place"))
+
+
+@register("srt_tree_children", "WITH n AS (SELECT n_nationkey, n_name, n_regionkey, count(s_suppkey) AS c FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY c > 0 DESC, c DESC, n_name)::INTEGER AS place FROM n")
+def srt_tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
+    n = table(spark, sf_dir, "nation").join(c, "n_nationkey", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return n.select("n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy((F.col("c") > 0).desc(), F.desc("c"), "n_name")).alias("place"))
+
+
+@register("srt_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def srt_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+# Sets: waves of orders.
+@register("set_wave_pools", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995) THEN 'responded' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996) THEN 'contacted' END AS reason FROM customer")
+def set_wave_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS c_custkey", "year(o_orderdate) AS y")
+    return D.wave_pools(table(spark, sf_dir, "customer").select("c_custkey"), [("responded", o.where("y = 1995")), ("contacted", o.where("y = 1996"))], "c_custkey")
+
+
+@register("set_overlap", "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1996) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'a_only' WHEN a.k IS NULL THEN 'b_only' ELSE 'both' END AS member FROM a FULL JOIN b ON a.k = b.k")
+def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "year(o_orderdate) AS y")
+    return D.overlap(o.where("y = 1995"), o.where("y = 1996"), "k")
+
+
+@register("set_difference_report", "SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995 EXCEPT SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996")
+def set_difference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "year(o_orderdate) AS y")
+    return o.where("y = 1995").select("k").distinct().join(o.where("y = 1996"), "k", "left_anti")
+
+
+@register("set_union_tagged", "SELECT s_suppkey AS id, s_name AS name, NULL AS segment, 'supplier' AS source FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'customer' FROM customer")
+def set_union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "'supplier' AS source")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment", "'customer' AS source")
+    return s.unionByName(c, allowMissingColumns=True)
+
+
+# Filters and projections.
+REASON = "CASE WHEN o_orderstatus = 'P' AND o_custkey % 10 > 0 THEN 'preview' WHEN o_totalprice < 20000 THEN 'unfinished' WHEN o_custkey % 13 = 0 THEN 'test' END"
+
+
+@register("flt_survey_valid", f"SELECT coalesce({REASON}, 'kept') AS reason, count(*) AS n FROM orders GROUP BY 1")
+def flt_survey_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reject reasons in order, previews with a whitelist; counted per reason."""
+    return table(spark, sf_dir, "orders").select(F.coalesce(F.expr(REASON), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@register("flt_baseline_index", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1995)")
+def flt_baseline_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is protected by a valid baseline row."""
+    o = table(spark, sf_dir, "orders")
+    return o.join(o.where("o_orderstatus = 'F' and year(o_orderdate) = 1995").select("o_custkey"), "o_custkey", "left_semi").select("o_orderkey")
+
+
+@register("flt_generation", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 AND s_suppkey <> 0")
+def flt_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where("s_nationkey = 3 and s_suppkey <> 0").select("s_suppkey")
+
+
+@register("flt_status", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def flt_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS o_custkey")
+    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "P")).join(ids, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@register("flt_resume", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 0")
+def flt_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a previous result, or whose result asks for another try."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("quality is null or quality = 0").select("doc_id")
+
+
+@register("flt_visible_nodes", "WITH v AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 3 = 0 OR (s_acctbal > 0)::INT + (s_nationkey % 2)::INT >= 2) SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey IN (SELECT k FROM v) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_returnflag <> 'N'")
+def flt_visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are not hidden and whose two ends are visible: respondents, or nodes with two details or more."""
+    v = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0 or cast(s_acctbal > 0 as int) + s_nationkey % 2 >= 2").selectExpr("s_suppkey AS l_suppkey")
+    p = table(spark, sf_dir, "part").where("p_size > 10").selectExpr("p_partkey AS l_partkey")
+    return table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").join(v, "l_suppkey", "left_semi").join(p, "l_partkey", "left_semi").select("l_suppkey", "l_partkey").distinct()
+
+
+@register("flt_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'gear brand#1')")
+def flt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).contains("gear brand#1")).select("p_partkey")
+
+
+@register("prj_exclude_pii", "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS public_name FROM customer")
+def prj_exclude_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("public_name"))
