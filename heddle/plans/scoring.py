@@ -1 +1,281 @@
-"""."""
+"""Candidate scoring and enrichment queries: customers are scholars, the suppliers of their nation candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle import functions as H
+from heddle.operators import describe as D
+from heddle.operators import score as S
+
+from . import register, table
+
+GROUPS = [["ann", "anna"], ["bo", "bob"]]
+FIRST = "CASE {0} % 4 WHEN 0 THEN 'ann' WHEN 1 THEN 'bob' WHEN 2 THEN 'carl' ELSE 'anna' END"
+LAST = "CASE {0} % 3 WHEN 0 THEN 'stone' WHEN 1 THEN 'berg' ELSE 'stone' END"
+CAND = f"""
+x AS (SELECT c_custkey AS node, s_suppkey AS cand, {FIRST.format('c_custkey')} AS f, {LAST.format('c_custkey')} AS l, {FIRST.format('s_suppkey')} AS cf, {LAST.format('s_suppkey')} AS cl,
+  c_custkey % 4 AS ki, s_suppkey % 4 AS ci, 1990 + c_custkey % 30 AS y, 1960 + s_suppkey % 60 AS e FROM customer JOIN supplier ON s_nationkey = c_nationkey),
+n AS (SELECT *, CASE WHEN f = cf AND l = cl THEN 0.65 WHEN l = cl AND f IN ('ann', 'anna') AND cf IN ('ann', 'anna') THEN 0.55 WHEN l = cl AND f[1] = cf[1] THEN 0.45 ELSE 0.0 END::DOUBLE AS ns,
+  CASE WHEN ki = ci THEN 0.2 ELSE 0.0 END::DOUBLE AS ins, CASE WHEN e < y - 30 THEN -0.5 WHEN e BETWEEN y - 12 AND y + 8 THEN 0.1 WHEN e > y + 15 OR e < y - 25 THEN -0.2 ELSE 0.0 END::DOUBLE AS ts FROM x),
+t AS (SELECT *, round(greatest(0.0, least(1.0, ns + ins + ts)), 4) AS score FROM n),
+k AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second FROM t WINDOW w AS (PARTITION BY node ORDER BY score DESC, cand)),
+g AS (SELECT *, CASE WHEN (score >= 0.78 AND (second IS NULL OR score - second >= 0.1 - 1e-9)) OR (score >= 0.68 AND ns >= 0.55 AND ins >= 0.12 AND (second IS NULL OR score - second >= 0.15 - 1e-9))
+  THEN CASE WHEN l = cl THEN 'matched' ELSE 'ambiguous' END WHEN score >= 0.5 THEN 'ambiguous' ELSE 'no_match' END AS status FROM k WHERE rank = 1)
+"""
+INST = {0: "alpha institute", 1: "beta college", 2: "gamma works", 3: "delta house"}
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inst = F.create_map(*[F.lit(v) for kv in INST.items() for v in kv])
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS node", "c_nationkey AS nation", f"{FIRST.format('c_custkey')} AS f", f"{LAST.format('c_custkey')} AS l", "cast(c_custkey % 4 as int) AS ki", "cast(1990 + c_custkey % 30 as int) AS y")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS cand", "s_nationkey AS nation", f"{FIRST.format('s_suppkey')} AS cf", f"{LAST.format('s_suppkey')} AS cl", "cast(s_suppkey % 4 as int) AS ci", "array(struct(cast(1900 as int) AS year, 0 AS works), struct(cast(1960 + s_suppkey % 60 as int) AS year, 3 AS works)) AS counts")
+    x = c.join(s, "nation").withColumn("e", S.earliest_year(F.col("counts")))
+    x = x.withColumn("ns", S.name_score(F.col("f"), F.col("l"), F.array(F.concat_ws(" ", "cf", "cl")), GROUPS)["score"])
+    x = x.withColumn("ins", S.institution_score(F.array(inst[F.col("ki")]), F.array(inst[F.col("ci")]))).withColumn("ts", S.timing_score(F.col("y"), F.col("e")))
+    return x.withColumn("score", S.total_score(F.col("ns"), F.col("ins"), F.col("ts"))).select("node", "cand", "f", "l", "cf", "cl", "y", "e", "ns", "ins", "ts", "score")
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("node").orderBy(F.desc("score"), "cand")
+    return scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ranked(spark, sf_dir).where("rank = 1")
+    return r.withColumn("status", S.gate(F.col("score"), F.col("second"), F.col("ns"), F.col("ins"), F.col("l") == F.col("cl")))
+
+
+for name, col, sql in (("sc_name", "ns", "ns"), ("sc_institution", "ins", "ins"), ("sc_timing", "ts", "ts"), ("sc_total", "score", "score")):
+    register(name, f"WITH {CAND} SELECT node, cand, {sql} AS {col} FROM t")(lambda spark, sf_dir, col=col: scored(spark, sf_dir).select("node", "cand", col))
+
+
+@register("join_candidate_score", f"WITH {CAND} SELECT node, count(*) AS candidates, max(score) AS best FROM t GROUP BY node")
+def join_candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).groupBy("node").agg(F.count("*").alias("candidates"), F.max("score").alias("best"))
+
+
+@register("sc_gate", f"WITH {CAND} SELECT node, cand, status FROM g")
+def sc_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(spark, sf_dir).select("node", "cand", "status")
+
+
+@register("sc_topic", "SELECT p_partkey, p_brand AS field, p_type AS institution FROM part")
+def sc_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First topic's field and current institution of nested candidate records."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "array(struct(p_brand AS field), struct('x' AS field)) AS topics", "array(struct(p_type AS display_name)) AS known")
+    return p.select("p_partkey", F.element_at("topics", 1)["field"].alias("field"), F.element_at("known", 1)["display_name"].alias("institution"))
+
+
+FLAGS = "SELECT p_partkey, list_filter([CASE WHEN p_size = 25 THEN 'high_candidate_count' END, CASE WHEN p_size > 45 THEN 'temporal_implausibility' END, CASE WHEN p_type = 'SMALL' THEN 'field_mismatch' END, CASE WHEN p_partkey % 9 = 0 THEN 'name_mismatch_warning' END], lambda f: f IS NOT NULL) AS fl FROM part"
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_brand")
+    return p.withColumn("fl", S.flags(F.col("p_size"), F.lit(2000), F.when(F.col("p_size") > 45, 1960).otherwise(1999), F.col("p_type"), F.col("p_partkey") % 9 != 0, ["SMALL"]))
+
+
+@register("sc_flags", f"SELECT p_partkey, array_to_string(fl, ',') AS flags FROM ({FLAGS})")
+def sc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagged(spark, sf_dir).select("p_partkey", F.array_join("fl", ",").alias("flags"))
+
+
+@register("sc_public", f"SELECT p_partkey, p_partkey % 2 = 0 AND NOT list_has_any(fl, ['temporal_implausibility', 'field_mismatch', 'name_mismatch_warning']) AND NOT (p_partkey % 3 = 0 AND list_contains(fl, 'high_candidate_count')) AS public FROM ({FLAGS})")
+def sc_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("p_partkey") % 2 == 0, "matched").otherwise("ambiguous")
+    return flagged(spark, sf_dir).select("p_partkey", S.is_public(status, F.col("fl"), F.col("p_partkey") % 3 == 0).alias("public"))
+
+
+DECISION = "CASE {0} % 6 WHEN 0 THEN 'approve_match' WHEN 1 THEN 'keep_match' WHEN 2 THEN 'reject_match' WHEN 3 THEN 'needs_more_review' WHEN 4 THEN 'replace_match' END"
+
+
+@register("sc_apply_decisions", f"WITH {CAND}, d AS (SELECT c_custkey AS node, {DECISION.format('c_custkey')} AS d FROM customer) SELECT node, CASE WHEN d IN ('approve_match', 'replace_match', 'keep_match') THEN 'matched' WHEN d = 'reject_match' THEN 'rejected' WHEN d = 'needs_more_review' THEN 'ambiguous' ELSE status END AS status, CASE WHEN d IN ('approve_match', 'replace_match') THEN 7 WHEN d = 'reject_match' THEN NULL ELSE cand END AS chosen, d IS NOT NULL AS manual FROM g LEFT JOIN d USING (node)")
+def sc_apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "customer").selectExpr("c_custkey AS node", f"{DECISION.format('c_custkey')} AS decision", "cast(7 as bigint) AS proposed").where("decision is not null")
+    return S.apply_decisions(gated(spark, sf_dir).select("node", "status", F.col("cand").alias("chosen")), d)
+
+
+@register("sc_review_table", f"WITH {CAND} SELECT g.node, g.status, k.cand, k.rank::INTEGER AS rank FROM g JOIN k ON k.node = g.node AND k.rank <= 5 WHERE g.status <> 'matched'")
+def sc_review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.review_table(gated(spark, sf_dir), ranked(spark, sf_dir).select("node", "cand", "rank"))
+
+
+TRIAGE = "p_partkey, 0.5 + (p_size % 11) / 20.0 AS s, (p_partkey % 7) / 20.0 AS g, p_size AS w, p_partkey % 20 AS w2, p_partkey % 3 = 0 AS inst, p_partkey % 4 = 0 AS inst2, CASE WHEN p_partkey % 5 = 0 THEN 0.1 ELSE 0 END AS tm, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 25 ELSE 3 END AS n, 2010 + p_partkey % 18 AS y, p_partkey % 13 <> 0 AS nm, p_partkey % 8 = 0 AS fo, p_partkey % 10 = 0 AS fo2"
+TRIAGE_SQL = f"""WITH p AS (SELECT {TRIAGE} FROM part), q AS (SELECT *, w2 > 0 AND w >= 5 * w2 AND w >= 10 AS frag FROM p)
+SELECT p_partkey, CASE WHEN NOT nm THEN 'needs_more_review:name' WHEN s >= 0.95 AND inst AND g >= 0.05 THEN 'approve_match:high_confirmed' WHEN s >= 0.95 AND g < 0.05 AND frag AND inst THEN 'approve_match:tied_fragment'
+ WHEN s >= 0.95 AND g < 0.05 AND frag AND NOT inst AND w >= 10 * w2 THEN 'approve_match:tied_dominant' WHEN s >= 0.95 AND g < 0.05 AND NOT frag AND n > 1 AND fo2 AND NOT fo AND inst THEN 'approve_match:tied_other_field'
+ WHEN s >= 0.85 AND inst AND g >= 0.1 THEN 'approve_match:confirmed_gap' WHEN s >= 0.85 AND inst AND g >= 0.05 AND w >= 3 * greatest(w2, 1) THEN 'approve_match:confirmed_works' WHEN s >= 0.85 AND inst AND g >= 0.05 THEN 'needs_more_review:confirmed_close'
+ WHEN s >= 0.75 AND n = 1 AND inst THEN 'approve_match:single_institution' WHEN s >= 0.75 AND n = 1 AND tm > 0 AND w >= 3 THEN 'approve_match:single_timing' WHEN s >= 0.75 AND n = 1 THEN 'needs_more_review:single_bare'
+ WHEN s >= 0.75 AND g >= 0.15 AND inst THEN 'approve_match:gap_institution' WHEN s >= 0.75 AND g >= 0.15 AND tm > 0 THEN 'approve_match:gap_timing' WHEN n >= 25 AND g < 0.05 THEN 'needs_more_review:crowded_tie'
+ WHEN s >= 0.95 AND g >= 0.08 AND w >= 5 THEN 'approve_match:high_gap' WHEN s >= 1.0 AND (g >= 0.05 OR (w2 > 0 AND w >= 3 * w2)) THEN 'approve_match:perfect' WHEN y >= 2025 AND n <= 3 AND w <= 5 AND s >= 0.7 THEN 'needs_more_review:early_career'
+ WHEN s >= 0.85 AND inst AND w >= 10 AND (w2 = 0 OR w >= 3 * w2) THEN 'approve_match:works_dominance' WHEN s >= 0.85 AND g < 0.05 AND inst AND NOT inst2 THEN 'approve_match:tied_confirmed' WHEN n = 1 AND s >= 0.65 THEN 'needs_more_review:single_low'
+ WHEN s < 0.65 AND NOT inst AND n >= 25 THEN 'needs_more_review:low_crowded' WHEN s < 0.65 AND NOT inst THEN 'reject_match:low' ELSE 'needs_more_review:default' END AS outcome FROM q"""
+
+
+@register("sc_triage", TRIAGE_SQL)
+def sc_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").selectExpr(*TRIAGE.split(", ")).withColumn("second", F.col("s") - F.col("g"))
+    c = F.col
+    t = S.triage({"score": c("s"), "second": c("second"), "works": c("w"), "second_works": c("w2"), "inst": c("inst"), "inst_score": F.when(c("inst"), 0.2).otherwise(0.0), "second_inst": c("inst2"), "timing": c("tm"), "n": c("n"), "year": c("y"), "name_ok": c("nm"), "foreign": c("fo"), "second_foreign": c("fo2")})
+    return p.select("p_partkey", F.concat(t["decision"], F.lit(":"), t["rule"]).alias("outcome"))
+
+
+@register("sc_recommend", f"WITH {CAND} SELECT node, CASE WHEN score >= 0.95 OR (score >= 0.9 AND score - coalesce(second, 0) >= 0.08) THEN 'approve' WHEN score <= 0.35 THEN 'reject' WHEN cand % 2 = 0 AND score >= 0.85 THEN 'approve' ELSE 'defer' END AS advice FROM g")
+def sc_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gated(spark, sf_dir)
+    return g.select("node", S.recommend(F.col("score"), F.col("score") - F.coalesce("second", F.lit(0.0)), F.col("cand") % 2 == 0).alias("advice"))
+
+
+@register("sc_audit", f"SELECT p_partkey, CASE WHEN (p_partkey % 2 = 0 AND (len(fl) > 0 OR p_partkey % 1000 > 300)) OR (p_partkey % 2 = 1 AND p_partkey % 5 = 0) THEN 'flag' ELSE 'pass' END AS verdict FROM ({FLAGS})")
+def sc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = flagged(spark, sf_dir)
+    top = F.array(F.struct(F.when(F.col("p_partkey") % 5 == 0, 0.97).otherwise(0.5).alias("score"), F.lit(0.2).alias("institution")))
+    decision = F.when(F.col("p_partkey") % 2 == 0, "approve_match").otherwise("reject_match")
+    return f.select("p_partkey", S.audit(decision, F.col("fl"), F.col("p_partkey") % 1000, top).alias("verdict"))
+
+
+@register("sc_evidence", f"WITH {CAND}, o AS (SELECT node, list(cand ORDER BY rank) AS all_ FROM k GROUP BY node) SELECT node, CASE WHEN list_contains(all_, node % 50) THEN node % 50 ELSE all_[1] END AS selected, len(all_[1:3])::INTEGER AS n_top FROM o")
+def sc_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ranked(spark, sf_dir).select("node", F.col("cand").alias("candidate"), "rank", "score")
+    rows = r.select("node").distinct().select("node", F.lit("x").alias("decision"), (F.col("node") % 50).alias("proposed"), F.lit(None).cast("bigint").alias("current"))
+    return S.evidence(rows, r).select("node", "selected", F.size("top").alias("n_top"))
+
+
+@register("sc_decision_code", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'reject_match' WHEN 1 THEN CASE WHEN c_custkey % 5 = 0 THEN 'needs_more_review' WHEN c_custkey % 7 = 0 THEN 'approve_match' WHEN c_custkey % 2 = 0 THEN 'keep_match' ELSE 'replace_match' END ELSE 'needs_more_review' END AS code FROM customer")
+def sc_decision_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE c_custkey % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'accept' ELSE 'defer' END AS a", "CASE WHEN c_custkey % 7 > 0 THEN 1 END AS cur", "CASE WHEN c_custkey % 5 > 0 THEN 1 + c_custkey % 2 END AS sel")
+    return c.select("c_custkey", S.decision_code(F.col("a"), F.col("cur"), F.col("sel")).alias("code"))
+
+
+@register("sc_decision_upsert", "SELECT c_custkey AS node, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 8 > 0 THEN 'new' ELSE 'old' END AS decision FROM customer WHERE c_custkey % 3 = 0 OR (c_custkey % 4 = 0 AND c_custkey % 8 > 0)")
+def sc_decision_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return S.upsert(c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS node", "'old' AS decision"), c.where("c_custkey % 4 = 0").selectExpr("c_custkey AS node", "'new' AS decision"), "node", F.col("node") % 8 == 0)
+
+
+@register("sc_profile_level", f"WITH {CAND}, v AS (SELECT node, CASE WHEN l <> cl THEN 'none' WHEN ins > 0 THEN 'high' ELSE 'medium' END AS level FROM t) SELECT node, CASE WHEN count(*) FILTER (level = 'high') > 1 OR (count(*) FILTER (level = 'high') = 0 AND count(*) FILTER (level = 'medium') > 1) THEN 'ambiguous' WHEN count(*) FILTER (level <> 'none') > 0 THEN 'found' ELSE 'not_found' END AS status FROM v GROUP BY node")
+def sc_profile_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir)
+    return S.profile_status(s.select("node", S.profile_level(F.col("l") == F.col("cl"), F.lit(False), F.when(F.col("ins") > 0, 0.8).otherwise(0.1), F.lit(1.0))["level"].alias("level")))
+
+
+@register("sc_first_acceptable", f"WITH {CAND} SELECT node, arg_min(cand, rank) AS candidate FROM k WHERE l = cl AND NOT (e % 10 = 0) GROUP BY node")
+def sc_first_acceptable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ranked(spark, sf_dir).select("node", F.col("cand").alias("candidate"), F.col("rank").alias("position"), "l", "cl", "e")
+    odd = S.suspicious(F.when(F.col("e") % 10 == 0, "cardiology").otherwise("history"), F.lit(5), F.lit(1), F.col("l"), F.lit(False), ["cardio", "onco"], ["stone"])
+    return S.first_acceptable(r, (F.col("l") == F.col("cl")) & ~odd)
+
+
+# Enrichment: customers with patches and second sources derived from key classes.
+PATCH = "CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey WHEN c_custkey % 3 = 1 THEN ' ' END"
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN c_name END AS email", "c_mktsegment AS employer")
+
+
+def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where("c_custkey % 4 < 3").selectExpr("c_custkey", f"{PATCH} AS email", "cast(null as string) AS employer", "CASE WHEN c_custkey % 5 = 0 THEN array('employer') ELSE array() END AS clear_fields")
+
+
+@register("en_backfill", f"SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 AND c_custkey % 3 = 0 THEN 'p' || c_custkey WHEN c_custkey % 2 = 0 THEN c_name END AS email, CASE WHEN c_custkey % 4 < 3 AND c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS employer FROM customer")
+def en_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.backfill(base(spark, sf_dir), patch(spark, sf_dir), "c_custkey", ["email", "employer"])[0]
+
+
+@register("en_backfill_log", "SELECT c_custkey, 'email' AS \"column\", CASE WHEN c_custkey % 2 = 0 THEN 'overwrite' ELSE 'backfill' END AS action FROM customer WHERE c_custkey % 4 < 3 AND c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'employer', 'clear' FROM customer WHERE c_custkey % 4 < 3 AND c_custkey % 5 = 0")
+def en_backfill_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.backfill(base(spark, sf_dir), patch(spark, sf_dir), "c_custkey", ["email", "employer"])[1]
+
+
+@register("en_backfill_guards", "SELECT c_custkey, 'duplicate' AS issue FROM customer WHERE c_custkey % 4 < 3 AND c_custkey % 50 = 0 UNION ALL SELECT c_custkey + 1000000, 'unknown_key' FROM customer WHERE c_custkey % 40 = 0")
+def en_backfill_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = patch(spark, sf_dir)
+    lost = p.where("c_custkey % 40 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000)
+    return S.patch_guards(base(spark, sf_dir), p.unionByName(p.where("c_custkey % 50 = 0")).unionByName(lost), "c_custkey", ["email", "employer"])
+
+
+@register("en_email_recovery", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, CASE WHEN c_custkey % 6 = 1 THEN 'by id' END, CASE WHEN c_custkey % 6 = 3 THEN 'by name' END) AS email FROM customer")
+def en_email_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank e-mail filled by (name, id), then by a name that is unique."""
+    c = table(spark, sf_dir, "customer")
+    by_id = c.where("c_custkey % 6 = 1").selectExpr("c_custkey", "'by id' AS e1")
+    by_name = c.where("c_custkey % 6 = 3").groupBy("c_name").agg(F.count("*").alias("n")).where("n = 1").select("c_name", F.lit("by name").alias("e2"))
+    rows = base(spark, sf_dir).join(c.select("c_custkey", "c_name"), "c_custkey").join(by_id, "c_custkey", "left").join(by_name, "c_name", "left")
+    return rows.select("c_custkey", F.coalesce("email", "e1", "e2").alias("email"))
+
+
+@register("en_recanon", "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'Small parts' WHEN 'ECONOMY' THEN 'Economy' ELSE p_type END AS canon FROM part")
+def en_recanon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary of the raw value, else of the canonical value, else the value as it is."""
+    names = {"small": "Small parts", "economy": "Economy"}
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'raw' END AS raw", "p_type AS canon")
+    return p.select("p_partkey", F.coalesce(H.lookup(H.canon_key("raw"), names), H.lookup(H.canon_key("canon"), names), F.col("canon")).alias("canon"))
+
+
+@register("en_master", "WITH a AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, '; ' ORDER BY o_orderstatus) AS advisors FROM orders GROUP BY 1) SELECT c_custkey, coalesce(advisors, '') AS advisors, n_name AS affiliation, o_custkey IS NOT NULL AS responded FROM customer LEFT JOIN a ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
+def en_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per person; every side is one row per key before it is joined."""
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "; ").alias("advisors"))
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name AS affiliation")
+    rows = table(spark, sf_dir, "customer").join(a, "c_custkey", "left").join(n, "c_nationkey", "left")
+    return rows.select("c_custkey", F.coalesce("advisors", F.lit("")).alias("advisors"), "affiliation", F.col("advisors").isNotNull().alias("responded"))
+
+
+@register("en_merge_lists", "SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 2 = 0 THEN ['a', 'b', 'c'] ELSE ['a', 'b', 'd'] END, ';') AS emails FROM customer")
+def en_merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("d"), F.lit("a")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_distinct(F.concat(F.array(F.lit("a"), F.lit("b")), other)), ";").alias("emails"))
+
+
+@register("en_manifest", "SELECT p_partkey, p_name AS full_name, 2 AS n_queries FROM part")
+def en_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("full_name", H.coalesce_blank(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit(" ")), "p_name"))
+    return p.select("p_partkey", "full_name", F.size(H.query_list("full_name", "p_brand")).alias("n_queries"))
+
+
+@register("en_panel_merge", "SELECT d.doc_id, CASE WHEN l.quality = 1 OR l.toxic = 0 THEN l.quality END AS x_quality, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 1 OR l.toxic = 0 THEN 'merged' ELSE 'skipped' END AS x_status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def en_panel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "labels").withColumn("validation", F.expr("CASE WHEN quality = 1 THEN 'pass' WHEN toxic = 0 THEN 'warn' ELSE 'fail' END"))
+    return S.merge_panel(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("x_old")), e, "doc_id", ["quality"], "x_")
+
+
+@register("en_best_of", "SELECT d.doc_id, coalesce(l.quality, p.page_id % 5, -1)::BIGINT AS best FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN pages p ON p.page_id = d.doc_id")
+def en_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").selectExpr("page_id AS doc_id", "page_id % 5 AS second")
+    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").join(p, "doc_id", "left")
+    return d.select("doc_id", F.coalesce(F.col("quality").cast("long"), F.col("second"), F.lit(-1)).alias("best"))
+
+
+@register("en_doc_merge", "SELECT c_custkey, '{\"id\":' || c_custkey || ',\"profile\":{\"segment\":\"' || c_mktsegment || '\"}}' AS doc FROM customer")
+def en_doc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested payload of a second source added to each entity's document."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_custkey").alias("id"), F.struct(F.lit("none").alias("segment")).alias("profile")).alias("doc"), "c_mktsegment")
+    return c.select("c_custkey", F.to_json(F.col("doc").withField("profile.segment", F.col("c_mktsegment"))).alias("doc"))
+
+
+@register("en_patch_set", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 5 = 1 AND c_custkey % 2 = 0 THEN 7 ELSE c_custkey % 100 END::BIGINT AS cites, c_custkey % 5 = 0 AS false_positive FROM customer")
+def en_patch_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected ids get zeroed metrics and a mark; replaced ids the new values where their status is ok."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey % 100 AS cites")
+    a = table(spark, sf_dir, "customer").where("c_custkey % 5 < 2").selectExpr("c_custkey", "CASE WHEN c_custkey % 5 = 0 THEN 'reject' ELSE 'replace' END AS action", "c_custkey % 2 = 0 AS ok")
+    j = c.join(a, "c_custkey", "left")
+    return j.select("c_custkey", F.when(F.col("action") == "reject", F.lit(0).cast("long")).when((F.col("action") == "replace") & F.col("ok"), F.lit(7).cast("long")).otherwise(F.col("cites")).alias("cites"), F.coalesce(F.col("action") == "reject", F.lit(False)).alias("false_positive"))
+
+
+@register("en_record_from_works", "WITH w AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, l_quantity AS c FROM lineitem), d AS (SELECT k, id, max(c) AS c FROM w GROUP BY 1, 2) SELECT k, count(*) AS works_count, arg_max(id, (c, -id)) AS best FROM d GROUP BY k")
+def en_record_from_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS k", "l_orderkey * 10 + l_linenumber AS id", "l_quantity AS c").groupBy("k", "id").agg(F.max("c").alias("c"))
+    return w.groupBy("k").agg(F.count("*").alias("works_count"), F.max_by("id", F.struct("c", -F.col("id"))).alias("best"))
+
+
+@register("en_recovery_capture", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'captured' ELSE 'open' END AS status, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'add' END AS action FROM customer")
+def en_recovery_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings matched to nodes by e-mail, then by name where unique; captured ones need no action."""
+    c = table(spark, sf_dir, "customer")
+    found = c.where("c_custkey % 6 = 0").selectExpr("c_custkey", "c_custkey AS m").unionByName(c.where("c_custkey % 6 = 3").groupBy("c_name").agg(F.min("c_custkey").alias("m"), F.count("*").alias("n")).where("n = 1").selectExpr("m AS c_custkey", "m"))
+    j = c.select("c_custkey").join(found, "c_custkey", "left")
+    return j.select("c_custkey", F.when(F.col("m").isNotNull(), "captured").otherwise("open").alias("status"), F.when(F.col("m").isNull(), "add").alias("action"))
