@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path below spark.checkpoint.dir, or below a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/heddle-loop-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/heddle-{name}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back."""
+    path = shared_path(df.sparkSession, f"loop-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_empty(df: DataFrame) -> bool:

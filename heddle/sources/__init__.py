@@ -1,0 +1,116 @@
+"""Scans, snapshots and sinks of the lineage tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Header CSV as text columns, byte-order mark tolerated; required columns are asserted."""
+    out = spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    out = out.toDF(*[c.lstrip("﻿") for c in out.columns])
+    gone = [c for c in columns or [] if c not in out.columns]
+    if gone:
+        raise ValueError(f"missing columns: {gone}")
+    return out
+
+
+def read_survey(spark: SparkSession, path: str, id_column: str, pattern: str = "R\\_%", columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Multi-line export without its metadata rows, which are those whose id is not like the pattern. One
+    multi-line file is one task, so the rows are dealt out after the scan where partitions are given."""
+    out = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    gone = [c for c in [id_column, *(columns or [])] if c not in out.columns]
+    if gone:
+        raise ValueError(f"missing columns: {gone}")
+    out = out.where(F.col(id_column).like(pattern))
+    return out.repartition(partitions) if partitions else out
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, policy: str = "strict") -> DataFrame:
+    """JSON lines under a schema. strict: a bad line fails the read; report: it is kept in _bad; skip: it is dropped."""
+    mode = {"strict": "FAILFAST", "report": "PERMISSIVE", "skip": "DROPMALFORMED"}[policy]
+    reader = spark.read.option("mode", mode)
+    if policy == "report":
+        return reader.option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)
+    return reader.schema(schema).json(path)
+
+
+def read_ordered(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """JSON lines of several paths (each once) with src_index, the place of the path in the list."""
+    distinct = list(dict.fromkeys(paths))
+    out = read_jsonl(spark, distinct, schema, "skip").withColumn("__file", F.col("_metadata.file_path"))
+    index = F.lit(None).cast("int")
+    for i, p in reversed(list(enumerate(distinct))):
+        index = F.when(F.col("__file").contains(p.split("://")[-1].rstrip("*").rstrip("/")), i).otherwise(index)
+    return out.withColumn("src_index", index).drop("__file")
+
+
+def as_of(table: DataFrame, date: str, requested: str, exact: bool = False) -> DataFrame:
+    """Rows of the latest snapshot not after the requested date; with exact, of that date only. The date is found
+    by an aggregate that Spark pushes down as a scalar subquery, so only the chosen partition is read."""
+    day = F.lit(requested).cast("date")
+    if exact:
+        return table.where(F.col(date) == day)
+    last = table.where(F.col(date) <= day).agg(F.max(date).alias("__last"))
+    return table.join(F.broadcast(last), F.col(date) == F.col("__last")).drop("__last")
+
+
+def token_date(token: Column) -> Column:
+    """Date of a MMddyy token; text order is not date order."""
+    return F.to_date(token, "MMddyy")
+
+
+def latest_snapshot(table: DataFrame, token: str) -> DataFrame:
+    return table.agg(F.max(token_date(F.col(token))).alias("latest"))
+
+
+def common_snapshot(tables: list[DataFrame], date: str) -> DataFrame:
+    """Latest date that every table has."""
+    days = tables[0].select(date).distinct()
+    for t in tables[1:]:
+        days = days.intersect(t.select(date).distinct())
+    return days.agg(F.max(date).alias("latest"))
+
+
+def snapshot_lock(tables: dict[str, DataFrame], date: str) -> DataFrame:
+    """(source, latest, state): conflict where a table's latest date is not that of the newest table."""
+    each = None
+    for name, t in tables.items():
+        one = t.agg(F.max(date).alias("latest")).select(F.lit(name).alias("source"), "latest")
+        each = one if each is None else each.unionByName(one)
+    newest = each.agg(F.max("latest").alias("newest"))
+    return each.crossJoin(F.broadcast(newest)).select("source", "latest", F.when(F.col("latest") == F.col("newest"), "ok").otherwise("conflict").alias("state"))
+
+
+def write_table(df: DataFrame, path: str, columns: list[str], fill: str = "") -> None:
+    """Fixed columns in order, missing ones and blanks filled; refuses to overwrite."""
+    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(c) if c in df.columns else F.lit(fill).alias(c) for c in columns])
+    out.write.mode("errorifexists").parquet(path)
+
+
+def entity_documents(rows: DataFrame, key: str, children: DataFrame, order: str, public: Column) -> DataFrame:
+    """(key, doc): a JSON document per entity with its children in order; redacted where not public."""
+    rest = [c for c in children.columns if c != key]
+    kids = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("items"))
+    both = rows.join(kids, key, "left")
+    return both.select(key, F.to_json(F.struct(*[F.when(public, F.col(c)).alias(c) if c != key else F.col(c) for c in rows.columns], F.when(public, F.col("items")).alias("items"))).alias("doc"))
+
+
+def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """rows with batch number: consecutive in order, size rows each. Positions come from per-range counts, so no
+    task sorts all rows: ranges are ordered, and each row's place is its range's offset plus its place in it."""
+    ranged = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    placed = ranged.join(F.broadcast(offsets), "__part").withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    return placed.withColumn("batch", F.floor((F.col("__before") + F.col("__k") - 1) / size)).drop("__part", "__before", "__k")
+
+
+def write_validated(df: DataFrame, staging: str, target: str, rules: DataFrame) -> bool:
+    """Writes to staging, and to the target (which must not exist) only if the rules give no high issue."""
+    df.write.mode("overwrite").parquet(staging)
+    if rules.where("severity = 'high'").limit(1).count():
+        return False
+    df.sparkSession.read.parquet(staging).write.mode("errorifexists").parquet(target)
+    return True

@@ -1,0 +1,20 @@
+"""Newly arriving exports as a stream: new ids once each, matched by the batch operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+
+def new_responses(stream: DataFrame, id_column: str, time_column: str, lateness: str = "7 days") -> DataFrame:
+    """Rows of a stream whose id was not seen within the lateness; state is bounded by the watermark, and later
+    arrivals go through the batch path."""
+    return stream.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark([id_column])
+
+
+def response_delta(spark: SparkSession, folder: str, schema: str, id_column: str, time_column: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Runs through the files that lie in the folder, gives each micro-batch of new rows to handle, and ends."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(folder)
+    return new_responses(stream, id_column, time_column).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
