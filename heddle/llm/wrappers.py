@@ -253,13 +253,15 @@ def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN
             for host, page, ref in zip(f["host"], f["html"], f["refs"], strict=True):
                 root, blocks = parse(page)
                 names = aligner.names(root, tuple(ref) if ref is not None else ())
-                for name, text in {(names[node.number], text) for node, text, _ in blocks if not node.chrome}:
-                    out.append((host, _hash(name), _hash(text)))
-            yield pd.DataFrame(out, columns=["host", "node", "text"])
-
-    seen = with_refs.mapInPandas(measure, "host string, node long, text long")
-    counts = seen.groupBy("host", "node", "text").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
+                whole = _hash(page)
+                for name, text in {(names[node.number], text) for node, text, inside in blocks if not node.chrome and not inside}:
+                    out.append((host, _hash(name), _hash(text), whole))
+            yield pd.DataFrame(out, columns=["host", "node", "text", "page"])
+
+    # Pages count once per content: the copies of one page would else turn its text into template.
+    seen = with_refs.mapInPandas(measure, "host string, node long, text long, page long")
+    counts = seen.groupBy("host", "node", "text").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages)
+    totals = rows.groupBy("host").agg(F.countDistinct(F.xxhash64("html")).alias("pages"))
     fixed = counts.join(totals, "host").where(F.col("n") > share * F.col("pages"))
     # At most 1 / share texts of a node pass, so a host's template has a bounded number of entries per node.
     fixed = staged(fixed.groupBy("host").agg(F.collect_set(F.struct("node", "text")).alias("fixed")), "fixed")
@@ -276,7 +278,7 @@ def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN
                 template = templates[host]
                 root, blocks = parse(page)
                 names = aligner.names(root, tuple(ref) if ref is not None else ()) if template else {}
-                good = [(t, a) for node, t, a in blocks if not node.chrome and not (template and (_hash(names[node.number]), _hash(t)) in template)]
+                good = [(t, a) for node, t, a in blocks if not node.chrome and (a or not template or (_hash(names[node.number]), _hash(t)) not in template)]
                 if any(a for _, a in good):
                     good = [(t, a) for t, a in good if a]
                 texts.append("\n\n".join(t for t, _ in good))
