@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path below spark.checkpoint.dir, or below a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if "dir" not in _own:
+            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _own["dir"]
     return f"{base.rstrip('/')}/heddle-{name}"
 
 

@@ -105,7 +105,6 @@ def g_primary_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.primary_parents(edges(spark, sf_dir), nodes(spark, sf_dir), "ROOT")
 
 
-PRIMARY = "pp AS (SELECT dst AS node, min(src) AS parent FROM (SELECT dst, arg_min(src, (p.label, src)) OVER (PARTITION BY dst) AS src FROM e JOIN v p ON p.node = src) GROUP BY dst)"
 PRIMARY = "pp AS (SELECT dst AS node, arg_min(src, (p.label, src)) AS parent FROM e JOIN v p ON p.node = src GROUP BY dst)"
 
 
@@ -188,7 +187,7 @@ def g_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.exclusions(G.discrepancies(people(spark, sf_dir)), focal, {"manual_review": "under review"})
 
 
-@register("g_gen_initial", f"SELECT 'P' || p_partkey AS node, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 END AS generation FROM part")
+@register("g_gen_initial", "SELECT 'P' || p_partkey AS node, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 END AS generation FROM part")
 def g_gen_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy before topology: a committee alone counts as the first generation, mixed evidence goes to review."""
     t = table(spark, sf_dir, "part").selectExpr("'P' || p_partkey AS node", f"{PEOPLE['choice']} AS choice").withColumn("r", H.relation_class("choice"))
@@ -200,3 +199,32 @@ def set_union_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS src", "o_orderkey % 50 AS dst", "o_orderstatus AS type", "o_orderdate")
     early, late = o.where("o_orderdate < date '1998-01-01'"), o.where("o_orderdate >= date '1998-01-01'")
     return G.union_edges(early.withColumn("confidence", F.lit("high")), late.withColumn("confidence", F.lit("medium")))
+
+
+BUILD = """
+l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
+c AS (SELECT p, min('R-' || s) AS src FROM l GROUP BY p),
+f AS (SELECT p, src, 'S-' || src || '-' || lpad((row_number() OVER (PARTITION BY src ORDER BY 'u' || p || '@d.org'))::VARCHAR, 4, '0') AS node FROM c WHERE NOT (p % 20 = 0 AND p // 20 IN (SELECT s_suppkey FROM supplier))),
+i AS (SELECT c.p, coalesce(f.node, 'R-' || c.p // 20) AS dst FROM c LEFT JOIN f ON f.p = c.p)"""
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from heddle.operators.build import build
+
+    s = table(spark, sf_dir, "supplier").selectExpr("'R-' || s_suppkey AS node", "s_name AS name", "'r' || s_suppkey || '@d.org' AS email")
+    listed = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS known"), F.expr("l_partkey % 20 = 0 and l_partkey div 20 = known"), "left")
+    listed = listed.selectExpr("'R-' || l_suppkey AS src", "'child ' || l_partkey AS name", "CASE WHEN known IS NOT NULL THEN 'R' || known || '@D.org;' ELSE 'u' || l_partkey || '@d.org' END AS email")
+    curated = table(spark, sf_dir, "nation").selectExpr("'M-' || n_nationkey AS node", "n_name AS name", "CASE WHEN n_nationkey < 3 THEN 'r' || n_nationkey || '@d.org' END AS email")
+    resolved = table(spark, sf_dir, "supplier").where("s_suppkey > 0").selectExpr("'R-0' AS src", "'R-' || s_suppkey AS dst")
+    links = table(spark, sf_dir, "nation").selectExpr("'R-0' AS src", "'M-' || n_nationkey AS dst")
+    return build(s, listed, curated, resolved, links)
+
+
+@register("g_build", "WITH" + BUILD + " SELECT 'R-0' AS src, 'R-' || s_suppkey AS dst, 'advisor' AS type FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT DISTINCT 'R-' || l.s, i.dst, 'listing' FROM l JOIN i ON i.p = l.p UNION ALL SELECT 'R-0', CASE WHEN n_nationkey < 3 THEN 'R-' || n_nationkey ELSE 'M-' || n_nationkey END, 'manual' FROM nation")
+def g_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir)[1].select("src", "dst", "type")
+
+
+@register("g_build_nodes", "WITH" + BUILD + " SELECT 'R-' || s_suppkey AS node, 'respondent' AS source FROM supplier UNION ALL SELECT node, 'listing' FROM f UNION ALL SELECT 'M-' || n_nationkey, 'curated' FROM nation WHERE n_nationkey >= 3")
+def g_build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir)[0].select("node", "source")
