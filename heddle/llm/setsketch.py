@@ -8,9 +8,11 @@ and two sets agree in a register with a probability near their Jaccard similarit
 2. Registers are cut into bands; representatives that share a band are candidates. In a band's bucket each
    member is first paired with one centre; pairs of which the joint likelihood of the registers rules out the
    threshold are dropped, and the others are verified on full shingle sets.
-3. Where members of a bucket still stand in different components, all pairs across components are tried that
-   have a member outside the bucket's largest component. So a bucket of m copies costs m pairs and not m * m,
-   and yet no pair of a bucket is left out but those that are in one component already.
+3. Where members of a bucket still stand in different components, those outside the bucket's largest component
+   are held against all its members, block by block: a task gets two blocks of bounded size with their texts,
+   counts all intersections exactly with a product of incidence matrices, and returns one link for each two
+   components that it finds linked. So no pairs are emitted, no task takes a whole bucket, and no pair of a
+   bucket is left out but those that are in one component already.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ BASE_B, RATE_A, Q = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose likeliest similarity is this far below the threshold are not verified (over 6 standard errors).
 MARGIN = 0.22
 
+#: Documents in a block of the exact comparison, and shingles that go into one matrix product.
+BLOCK, SLAB = 256, 1 << 14
+
 _ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -158,6 +163,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(compare, "u long, v long")
 
 
+def _across_blocks(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components within buckets; mixed has bucket, doc_id, label and the bucket's main label.
+
+    A bucket's q documents outside its main component and all its m documents are dealt by a hash into blocks of
+    about BLOCK; each of the first meets each of the second, so a document is sent q / BLOCK or m / BLOCK times.
+    """
+    size = mixed.groupBy("bucket").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).cast("int").alias("a"), F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
+    rows = mixed.join(size, "bucket").withColumn("h", F.xxhash64("doc_id"))
+    mine = rows.where("label <> main").select("bucket", "doc_id", "label", F.lit(0).alias("side"), F.pmod("h", F.col("a")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"))
+    all_ = rows.select("bucket", "doc_id", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), F.pmod("h", F.col("b")).cast("int").alias("j"))
+    dealt = mine.unionByName(all_).join(texts, "doc_id").select("bucket", "i", "j", "side", "doc_id", "label", "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, at = shingle_sets(*text_buffers(pa.array(pdf["text"], pa.string())), k)
+        n = np.diff(at)
+        side, ids, label = pdf["side"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
+        owner = np.repeat(np.arange(len(n)), n)
+        kinds, code = np.unique(sets, return_inverse=True)
+        both = np.ones(len(kinds), bool)
+        for s in (0, 1):
+            here = np.zeros(len(kinds), bool)
+            here[code[side[owner] == s]] = True
+            both &= here
+        new = np.cumsum(both) - 1
+        owner, code = owner[both[code]], new[code[both[code]]]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.zeros(len(n), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        inter = np.zeros((len(left), len(right)))
+        for low in range(0, int(both.sum()), SLAB):
+            part = (code >= low) & (code < low + SLAB)
+            o, c = owner[part], code[part] - low
+            x, y = (np.zeros((len(m), min(SLAB, int(both.sum()) - low)), np.float32) for m in (left, right))
+            for m, s in ((x, 0), (y, 1)):
+                of = side[o] == s
+                m[place[o[of]], c[of]] = 1
+            inter += x @ y.T
+        union = n[left][:, None] + n[right][None, :] - inter
+        r, c = np.nonzero((100 * inter >= percent * union) & (label[left][:, None] != label[right][None, :]))
+        r, c = left[r], right[c]
+        if not len(r):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        _, first = np.unique(np.stack([np.minimum(label[r], label[c]), np.maximum(label[r], label[c])]), axis=1, return_index=True)
+        r, c = r[first], c[first]
+        return pd.DataFrame({"u": np.maximum(ids[r], ids[c]), "v": np.minimum(ids[r], ids[c])})
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text, ...).
 
@@ -182,7 +236,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     likely = staged(_likely(pairs, lean, least), "likely")
     edges, labels = None, None
     for _ in range(star_rounds):
-        open_pairs = likely if labels is None else _across(likely, labels)
+        open_pairs = likely if labels is None else staged(_across(likely, labels), "across")
+        if labels is not None and not open_pairs.limit(1).count():
+            break
         best = open_pairs.groupBy("u").agg(F.max_by(F.struct("v", "likely"), "likely").alias("x")).select("u", "x.v")
         found = staged(_verified(best, texts, k, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
@@ -192,10 +248,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     placed = members.join(labels, members["doc_id"] == labels["id"], "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("label"))
     largest = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     mixed = staged(placed.join(largest.select("bucket", "main"), "bucket"), "mixed")
-    minor = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("d"), F.col("label").alias("l"))
-    rest = minor.join(mixed, "bucket").where("l <> label and (label = main or d > doc_id)").select(F.greatest("d", "doc_id").alias("u"), F.least("d", "doc_id").alias("v")).distinct()
-    edges = edges.unionByName(staged(_verified(_likely(rest, lean, least), texts, k, percent), "links"))
-    labels = components(edges)
+    if mixed.limit(1).count():
+        edges = edges.unionByName(staged(_across_blocks(mixed, texts, k, percent), "links"))
+        labels = components(edges)
 
     by_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest_a", "digest_b", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component"))
     out = made.join(by_class, (made["digest_a"] == by_class["digest_a"]) & (made["digest_b"] == by_class["digest_b"]) & (made["n_shingles"] == by_class["n"]) & made["doc_id"].isNotNull(), "left")
