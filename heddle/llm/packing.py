@@ -55,7 +55,6 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     free: list[list[int]] = [[] for _ in range(caps[-1] + 1)]
     mask, used = 0, []
-    room: list[int] = []
     for i in order.tolist():
         n = int(lengths[i])
         fitting = mask >> n
@@ -69,7 +68,6 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
             gap = min((c for c in caps if c >= n), key=lambda c: ((c + overhead) / max(1, min(c, left)), c))
             b = len(used)
             used.append(0)
-            room.append(gap)
         bins[i], offsets[i] = b, used[b]
         used[b] += n
         left -= n

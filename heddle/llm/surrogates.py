@@ -17,7 +17,6 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +69,7 @@ PATTERN = re.compile(
 #: A cheap native test that every text with an entity passes: a digit or @, a title, or a given name.
 _PREFILTER = r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/=-]{8}|\b(" + _TITLE + "|" + _FIRST + r")\b"
 
-_HONORIFIC = {"phone": re.compile(r"\+\d{1,3}")}
+_COUNTRY_CODE = re.compile(r"\+\d{1,3}")
 
 
 class _Stream:
@@ -118,7 +117,7 @@ def _cased(model: str, text: str) -> str:
 
 
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one normalised entity (see canonical), in its canonical form."""
+    """The replacement of one normalised entity, in its canonical form."""
     draw = _Stream(key, kind, entity, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
@@ -171,7 +170,7 @@ def _grown(pool: list[str], attempt: int, draw: _Stream) -> str:
 
 
 def _phone_prefix(entity: str) -> int:
-    m = _HONORIFIC["phone"].match(entity)
+    m = _COUNTRY_CODE.match(entity)
     return m.end() if m else 0
 
 
@@ -331,6 +330,6 @@ def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, with_spans: bool
 
 
 def surrogate_digest(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """doc_id, n_entities, kinds (sorted, distinct), surrogates (in order) and the MD5 of the new text, per row."""
+    """doc_id, n_entities, kinds (sorted, distinct), surrogates (in order) and the new text, per row."""
     out = replace_entities(docs.select("doc_id", "text"), key, with_spans=True)
-    return out.select("doc_id", F.size("spans").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["kind"]))), ",").alias("kinds"), F.transform("spans", lambda s: s["surrogate"]).alias("surrogates"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["kind"]))), ",").alias("kinds"), F.transform("spans", lambda s: s["surrogate"]).alias("surrogates"), "text")
