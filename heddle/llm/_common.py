@@ -29,12 +29,16 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from spark.checkpoint.dir; a temporary one where unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if "dir" not in _own:
+            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _own["dir"]
     return base.rstrip("/")
 
 
