@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import U64, mix64, prefix_hashes, slices, span_hashes, staged, text_buffers
@@ -169,17 +169,31 @@ def _span_rows(keyed: DataFrame, length: int) -> DataFrame:
             for i, j in slices(np.asarray(pc.binary_length(batch.column(1))), 1 << 19):
                 text, lo, hi, anchor, kh, sh = spans(*text_buffers(batch.column(1).slice(i, j - i)), length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[i + text]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(kh.astype(U64).view(np.int64)), pa.array(sh.astype(U64).view(np.int64))],
-                    ["key", "lo", "hi", "anchor", "kh", "sh"],
+                    [pa.array(keys[i + text]), pa.array(lo << 20 | hi - lo << 10 | anchor - lo), pa.array(kh.astype(U64).view(np.int64)), pa.array(sh.astype(U64).view(np.int64))],
+                    ["key", "place", "kh", "sh"],
                 )
 
-    return keyed.select("__key", "__text").mapInArrow(emit, "key long, lo int, hi int, anchor int, kh long, sh long")
+    return keyed.select("__key", "__text").mapInArrow(emit, "key long, place long, kh long, sh long")
+
+
+def _lo(place: str = "place") -> Column:
+    """First window of a span; last window and anchor stand in the lower bits as offsets from it, so that a span
+    takes four numbers in shuffles."""
+    return F.shiftright(place, 20).cast("int")
+
+
+def _hi(place: str = "place") -> Column:
+    return _lo(place) + F.shiftright(place, 10).bitwiseAND(1023).cast("int")
+
+
+def _anchor(place: str = "place") -> Column:
+    return _lo(place) + F.col(place).bitwiseAND(1023).cast("int")
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted spans; those of hot anchors in blocks of offsets."""
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "anchor", "kh", "sh", "hot")).alias("spans"))
-    both = keyed.select(F.col("__key").alias("key"), "__text").dropDuplicates(["key"]).join(per_text, "key").select("__text", "spans")
+    both = keyed.select(F.col("__key").alias("key"), "__text").join(per_text, "key").select("__text", "spans")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,17 +279,20 @@ def _sorted_contexts(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """__key and ranges (array of byte ranges start, stop) of the documents that have repeated strings."""
+    if not GRAM < length <= 500:
+        raise ValueError("length must be over the anchor's and up to 500")
     keyed = _text_rows(docs)
     rows = staged(_span_rows(keyed, length), "spans")
-    twice = rows.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1").select("kh")
+    # Written, so that Spark can split a frequent anchor's rows in the join.
+    twice = staged(rows.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1").select("kh"), "twice")
     shared = staged(rows.join(twice, "kh"), "shared")
-    kinds = shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "anchor")).alias("x"))
+    kinds = shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("x"))
     kinds = staged(kinds.select("kh", "sh", "n", "x.*"), "kinds")
     mixed = kinds.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = kinds.join(mixed, "kh").select("key", "lo", "hi", "anchor", "kh", "sh", (F.col("m") > HOT_SPANS).alias("hot"))
+    wanted = kinds.join(mixed, "kh").select("key", _lo().alias("lo"), _hi().alias("hi"), _anchor().alias("anchor"), "kh", "sh", (F.col("m") > HOT_SPANS).alias("hot"))
     partial = _sorted_contexts(_contexts(keyed, wanted, length), length)
     partial = partial.join(kinds.where("n = 1").select("kh", "sh", "key"), ["kh", "sh"]).select("key", F.col("a").alias("start"), (F.col("b") + length).alias("stop"))
-    whole = shared.join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"]).select("key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    whole = shared.join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"]).select("key", _lo().alias("start"), (_hi() + length).alias("stop"))
     return whole.unionByName(partial).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
