@@ -66,8 +66,9 @@ PATTERN = re.compile(
         )
     )
 )
-#: A cheap native test that every text with an entity passes: a digit or @, a title, or a given name.
-_PREFILTER = r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/=-]{8}|\b(" + _TITLE + "|" + _FIRST + r")\b"
+#: A cheap native test that every text with an entity passes: a digit or @, a value behind = or :, a title, or a
+#: given name. The look-ahead rejects most positions before the names are tried.
+_PREFILTER = r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/=-]{8}|(?=[A-Z\u0370-\u04FF])(?:" + _TITLE + "|" + _FIRST + r")\b"
 
 _COUNTRY_CODE = re.compile(r"\+\d{1,3}")
 
