@@ -4,10 +4,9 @@ Base rules look at a document by itself. The cross-document rule hashes each doc
 counts per host (the source column) in how many distinct documents a line stands, removes the lines above the
 limit, and rejects documents of which too little is left.
 
-Documents whose least and greatest line hashes are the same count once in that count (a two-value MinHash of the
-set of lines): the copies of one document share all their lines, and would else make each other boilerplate,
-although near-duplicate removal keeps one of them later. A line that a host puts on its pages stands in
-documents that have nothing else in common, and is counted for each.
+Documents with the same set of lines, told by a digest of all its line hashes, count once in that count: the
+copies of one document would else make each other boilerplate, although near-duplicate removal keeps one of them
+later. Documents that differ in a line are counted each, however many they share.
 """
 
 from __future__ import annotations
@@ -75,10 +74,11 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = M
     rows = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"), F.col(host).cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     split = F.filter(F.transform(F.split("__text", "\n"), _normal), lambda x: x != "")
     rows = once(rows.select("__key", "host", "__text"), lines=F.transform(split, lambda x: F.struct(F.unhex(F.md5(x.cast("binary"))).alias("line"), F.size(F.split(x, " ")).alias("words"))))
-    rows = rows.select("__key", "host", "lines", F.array_min("lines")["line"].alias("first"), F.array_max("lines")["line"].alias("last"))
-    each = rows.select("__key", "host", "first", "last", F.explode("lines").alias("x")).select("__key", "host", "first", "last", "x.line", "x.words")
-    each = staged(each.groupBy("__key", "host", "line").agg(F.sum("words").alias("words"), F.min("first").alias("first"), F.max("last").alias("last")), "lines")
-    distinct = each.groupBy("host", "line", "first", "last").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents"))
+    sets = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.hex(x["line"]))))
+    rows = once(rows.select("__key", "host", "lines"), whole=F.unhex(F.md5(F.array_join(sets, "").cast("binary"))))
+    each = rows.select("__key", "host", "whole", F.explode("lines").alias("x")).select("__key", "host", "whole", "x.line", "x.words")
+    each = staged(each.groupBy("__key", "host", "line").agg(F.sum("words").alias("words"), F.min("whole").alias("whole")), "lines")
+    distinct = each.groupBy("host", "line", "whole").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents"))
     over = distinct.where(F.col("documents") > max_documents).select(F.col("host").alias("h"), F.col("line").alias("l"))
     return each.join(over, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).select("__key", "line", "words")
 

@@ -188,6 +188,23 @@ def test_quality_base_and_lines(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_counts_documents_that_share_most_lines(spark):
+    rnd = random.Random(11)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    common = [prose(12) for _ in range(12)]
+    texts = ["\n".join([*common, prose(15), prose(15)]) for _ in range(40)]
+    # Copies of one document, in any order of lines, count once.
+    copy = [prose(30) for _ in range(3)]
+    texts += ["\n".join(rnd.sample(copy, 3)) for _ in range(45)]
+    docs = docs_of(spark, texts, "source int")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=30).collect()}
+    assert [(got[i]["n_left_words"], got[i]["kept"]) for i in range(40)] == [(30, False)] * 40
+    assert [(got[i]["n_left_words"], got[i]["kept"]) for i in range(40, 85)] == [(90, True)] * 45
+    assert sorted(r["doc_id"] for r in quality.apply_quality(docs, max_documents=30).collect()) == list(range(40, 85))
+    # The limit is on distinct documents: 40 are not more than 40.
+    assert all(r["kept"] for r in quality.quality_rules(docs, max_documents=40).collect())
+
+
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><a href='/x'>menu {0}</a></nav><div class='ad'>buy {0}</div><article><h1>Head {0}</h1><p><b>Bold {0}.<br><p>Fish &amp;   chips\n{0} &eacute;</p><ul><li>one<li>two</ul></article><div id='comments'><p>nice {0}</p></div><footer>&copy; host</footer></body></html>"
 PLAIN = "<html><body><div class='top'>Welcome to the host</div><div class='text'><p>Story {0}</p><p>More {0}</p></div><div class='end'>All of this is ours</div></body></html>"
 
