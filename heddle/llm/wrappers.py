@@ -2,9 +2,11 @@
 
 The pages of a host are made by few templates. Some pages of each host (the reference trees) stand for these;
 every page's DOM tree is aligned with the nearest of them by simple tree matching, in which runs of like
-siblings count as one node. For each aligned node Spark counts over all pages of the host how often each text
-stands there: a node that mostly has one text is template, a node whose text varies is a slot for content.
-Slots within menus, footers, adverts, forms and the like, by element or class name, are not content either.
+siblings count as one node, and matching nodes of the reference trees have one name. For each aligned node Spark
+counts on how many of the pages that hold it each text stands there: a text that most of them share is template,
+in an article too, and a node whose text varies is a slot for content, wherever it stands. Names of elements and
+classes decide only what counts leave open: slots within menus, footers, adverts, forms and the like are not
+content, and at nodes of too few pages for a count, text outside an article gives way to the article's.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from ._common import staged
 
 #: Reference trees per host; a text at a node of so many pages, and of such a share of them, is template.
 REFERENCES, MIN_PAGES, TEMPLATE_SHARE = 3, 5, 0.5
+#: Within an article or main element, so many times the pages are needed.
+ARTICLE_EVIDENCE = 2
+#: Stands for the hash of a text where a node is counted by itself.
+ANY = 0
 
 #: Element names of HTML by their part in a page.
 RAW = frozenset("script style noscript template svg math textarea iframe object canvas title".split())
@@ -31,6 +37,10 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 CHROME = frozenset("nav header footer aside form button select input menu dialog head fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Elements and class names that hold content, whatever other words stand in their class.
+CONTENT = frozenset("html body main article".split())
+STATES = frozenset("has with without no is".split())
+HEADED = frozenset("article post entry story content".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 LISTS = frozenset("ul ol dl table body article section div main".split())
 
@@ -55,7 +65,16 @@ def _chrome(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in CHROME_ROLES:
         return True
-    return any(w in CHROME_WORDS for k in ("class", "id") if k in attrs for w in _SPLIT.split(attrs[k].lower()))
+    return tag not in CONTENT and any(_chrome_word(x, inside_article) for k in ("class", "id") if k in attrs for x in attrs[k].lower().split())
+
+
+def _chrome_word(token: str, inside_article: bool) -> bool:
+    """Whether a class or id names chrome: has-sidebar tells a state, and article-header is an article's own header."""
+    words = _SPLIT.split(token)
+    if words[0] in STATES:
+        return False
+    own = inside_article or words[0] in HEADED
+    return any(w in CHROME_WORDS and not (own and w == "header") for w in words)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
@@ -192,32 +211,51 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return int(best[m, n]) + 1, pairs
 
 
+def _complete(order: list[Node], names: dict[int, str]) -> None:
+    """Nodes without a name get that of their parent and their own label."""
+    for node in order:
+        if node.number not in names:
+            names[node.number] = (names[node.parent.number] if node.parent else "") + "/" + node.label
+
+
 class Aligner:
     """Node names by alignment with a host's reference trees; keeps alignments of outlines met before."""
 
     def __init__(self):
         self.known: dict[tuple, dict[str, str]] = {}
-        self.trees: dict[tuple[str, ...], list[Node]] = {}
+        self.trees: dict[tuple[str, ...], list[tuple[Node, dict[int, str]]]] = {}
+
+    @staticmethod
+    def _shared(references: tuple[str, ...]) -> list[tuple[Node, dict[int, str]]]:
+        """Reference trees and the names of their nodes: a node that matches one of an earlier tree has its name."""
+        out: list[tuple[Node, dict[int, str]]] = []
+        for page in references:
+            tree, names = parse(page)[0], {}
+            order = _number(tree)
+            for earlier, theirs in out:
+                used = set(names.values())
+                for a, b in match(tree, earlier)[1]:
+                    if a.number not in names and theirs[b.number] not in used:
+                        names[a.number] = theirs[b.number]
+            _complete(order, names)
+            out.append((tree, names))
+        return out
 
     def names(self, root: Node, references: tuple[str, ...]) -> dict[int, str]:
-        """Name of each node: tree and number of its partner, or its own path where it has none."""
+        """Name of each node: that of its partner, or its path below the last node that has one."""
         if references not in self.trees:
             if len(self.trees) > 2000:
                 self.trees.clear()
-            self.trees[references] = [parse(x)[0] for x in references]
-            for tree in self.trees[references]:
-                _number(tree)
+            self.trees[references] = self._shared(references)
         order = _number(root)
         key = (references, _outline(root))
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            scored = [(match(root, tree), k) for k, tree in enumerate(self.trees[references])]
+            scored = [(match(root, tree), k) for k, (tree, _) in enumerate(self.trees[references])]
             (_, pairs), k = max(scored, key=lambda s: (s[0][0], -s[1]), default=((0, []), 0))
-            names = {a.number: f"{k}:{b.number}" for a, b in pairs}
-            for node in order:
-                if node.number not in names:
-                    names[node.number] = (names[node.parent.number] if node.parent else "") + "/" + node.label
+            names = {a.number: self.trees[references][k][1][b.number] for a, b in pairs}
+            _complete(order, names)
             self.known[key] = names
         return self.known[key]
 
@@ -235,9 +273,10 @@ def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN
     """page_id, url, text and n_chars for every row of pages (page_id, url, html).
 
     Null and empty html give the empty text. Blocks are joined by a blank line in page order, with character
-    references decoded and white space inside a block made one space. Where a page has an article or main
-    element, its text is what counts; else every slot outside menus and the like. Rows that repeat give their
-    rows each. An empty table stays empty; other columns are ignored.
+    references decoded and white space inside a block made one space. The text is that of every slot
+    outside menus and the like; text at nodes that fewer than min_pages pages hold is left out where it stands
+    outside an article or main element and the page has text in one. Rows that repeat give their rows each. An
+    empty table stays empty; other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
     # A bounded number of pages per host, one from each class of a hash: aggregated before the shuffle.
@@ -254,17 +293,19 @@ def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN
                 root, blocks = parse(page)
                 names = aligner.names(root, tuple(ref) if ref is not None else ())
                 whole = _hash(page)
-                for name, text in {(names[node.number], text) for node, text, inside in blocks if not node.chrome and not inside}:
-                    out.append((host, _hash(name), _hash(text), whole))
+                here = {(_hash(names[node.number]), _hash(text)) for node, text, _ in blocks if not node.chrome}
+                # A row for each node by itself, which counts the pages that hold it.
+                out += [(host, node, text, whole) for node, text in here | {(node, ANY) for node, _ in here}]
             yield pd.DataFrame(out, columns=["host", "node", "text", "page"])
 
     # Pages count once per content: the copies of one page would else turn its text into template.
     seen = with_refs.mapInPandas(measure, "host string, node long, text long, page long")
-    counts = seen.groupBy("host", "node", "text").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages)
-    totals = rows.groupBy("host").agg(F.countDistinct(F.xxhash64("html")).alias("pages"))
-    fixed = counts.join(totals, "host").where(F.col("n") > share * F.col("pages"))
-    # At most 1 / share texts of a node pass, so a host's template has a bounded number of entries per node.
-    fixed = staged(fixed.groupBy("host").agg(F.collect_set(F.struct("node", "text")).alias("fixed")), "fixed")
+    counts = staged(seen.groupBy("host", "node", "text").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages), "counts")
+    totals = counts.where(F.col("text") == ANY).select("host", "node", F.col("n").alias("pages"))
+    fixed = counts.join(totals, ["host", "node"]).where((F.col("text") == ANY) | (F.col("n") > share * F.col("pages")))
+    # One entry for a node that has enough pages, and one for each text that is template there.
+    firm = (F.col("n") >= ARTICLE_EVIDENCE * min_pages).alias("firm")
+    fixed = staged(fixed.groupBy("host").agg(F.collect_set(F.struct("node", "text", firm)).alias("fixed")), "fixed")
 
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner, templates = Aligner(), {}
@@ -274,14 +315,21 @@ def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN
                 if host not in templates:
                     if len(templates) > 1000:
                         templates.clear()
-                    templates[host] = {(x["node"], x["text"]) for x in const} if const is not None else set()
+                    templates[host] = {(x["node"], x["text"]): x["firm"] for x in const} if const is not None else {}
                 template = templates[host]
                 root, blocks = parse(page)
                 names = aligner.names(root, tuple(ref) if ref is not None else ()) if template else {}
-                good = [(t, a) for node, t, a in blocks if not node.chrome and (a or not template or (_hash(names[node.number]), _hash(t)) not in template)]
-                if any(a for _, a in good):
-                    good = [(t, a) for t, a in good if a]
-                texts.append("\n\n".join(t for t, _ in good))
+                good = []
+                for node, t, a in blocks:
+                    if not node.chrome:
+                        at = _hash(names[node.number]) if template else None
+                        fixed_text = template.get((at, _hash(t)))
+                        # Template by count; in an article only where there are pages enough for that.
+                        if fixed_text is None or (a and not fixed_text):
+                            good.append((t, a, (at, ANY) in template))
+                if any(a for _, a, _ in good):
+                    good = [x for x in good if x[1] or x[2]]
+                texts.append("\n\n".join(x[0] for x in good))
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": texts})
 
     final = with_refs.join(fixed, "host", "left").select("page_id", "url", "html", "host", "refs", "fixed")

@@ -219,6 +219,32 @@ def test_html(spark):
     assert got[50]["text"] == got[51]["text"] == "" and got[52]["text"] == "bare < text <\n\nand italic"
 
 
+def test_html_counts_decide_before_tags(spark):
+    page = "<html><body class='page has-sidebar'><div class='lead'><p>Lead {0}</p></div><article><div class='article-header'><h1>Head {0}</h1></div><p>Story {0}</p>{1}<p>Share this text with a friend</p></article><div class='rest'><p>Rest {0}</p><p>All rights are ours</p></div></body></html>"
+    rows = [(i, f"http://c.org/{i}", page.format(i, f"<ul><li>point {i}</li></ul>" * (i % 2))) for i in range(24)]
+    # A section with few pages: its constant text is on all of the pages that hold the node, not on most of the host.
+    side = "<html><body><section><p>Side {0}</p><h6>Part of our series</h6></section></body></html>"
+    rows += [(100 + i, f"http://c.org/s{i}", side.format(i)) for i in range(6)]
+    # A host with one page: counts say nothing there, so its article is what counts.
+    rows.append((200, "http://d.org/", page.format(1, "")))
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Lead 4\n\nHead 4\n\nStory 4\n\nRest 4"
+    assert got[5] == "Lead 5\n\nHead 5\n\nStory 5\n\npoint 5\n\nRest 5"
+    assert got[103] == "Side 3"
+    assert got[200] == "Head 1\n\nStory 1\n\nShare this text with a friend"
+
+
+def test_html_reference_trees_share_names():
+    a, b = "<body><div class='x'><p>1</p></div></body>", "<body><div class='y'><p>1</p></div><div class='x'><p>2</p></div></body>"
+    aligner = wrappers.Aligner()
+    both = []
+    for page in (a, b):
+        root, blocks = wrappers.parse(page)
+        names = aligner.names(root, (a, b))
+        both.append(names[blocks[-1][0].number])
+    assert both[0] == both[1]
+
+
 def test_vectors_against_brute_force(spark):
     rnd = np.random.default_rng(3)
     base = rnd.standard_normal((12, 16))
