@@ -7,8 +7,9 @@ and parts that carry meaning do too (a phone's country code, the reserved range
 was valid). Names are replaced by names of the same gender and script, in the same case.
 
 Distinctness: distinct entities whose surrogates collide with each other's, or with an entity that occurs in the
-corpus, are found by an aggregation over the distinct entities, and get a further attempt under another tweak,
-until none collide. Only entities that needed more than one attempt are joined to the documents.
+corpus (names compared without case and gender), are found by an aggregation over the distinct entities, and get
+a further attempt under another tweak, until none collide. From attempt WIDER on the format gives way where it
+leaves too few values. Only entities that needed more than one attempt are joined to the documents.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from ._common import staged
 #: Key under which surrogates are drawn when none is given; production runs pass their own.
 DEFAULT_KEY = b"heddle surrogate key"
 ROUNDS = 12
+#: The attempt from which small classes are widened, and how many times ROUNDS may pass before assign() raises.
+WIDER, PATIENCE = 4, 8
 
 #: Common given names by script and gender, and family names by script.
 GIVEN = {
@@ -126,13 +129,19 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         # Reserved domains stay as they are below the top two labels, others go to a reserved one.
         tail = labels[-2:] if labels[-2] == "example" else ["example", labels[-1] if labels[-1] in ("com", "net", "org") else "com"]
         head = ["".join(_like(c, draw) for c in x) for x in labels[:-2]] or (["".join(_like(c, draw) for c in labels[0])] if labels[-2] != "example" else [])
-        return "".join(_like(c, draw) for c in local) + "@" + ".".join([*head, *tail])
+        more = "".join(_like("a", draw) for _ in range(max(0, attempt - WIDER + 1)))
+        return "".join(_like(c, draw) for c in local) + more + "@" + ".".join([*head, *tail])
     if kind == "ipv4":
         parts = [int(x) for x in entity.split(".")]
         # Private and reserved first bytes stay, so that the address stays of its kind and has as many digits.
         keep = 2 if parts[:2] in ([192, 168],) else 1 if parts[0] in (0, 10, 127) or parts[0] >= 224 else 0
         out = []
+        if attempt >= 2 * WIDER and keep == 2:
+            parts, keep = [10, *parts[1:]], 1
         for i, p in enumerate(parts):
+            if attempt >= WIDER and i >= keep:
+                out.append(draw.below(256) if i else 11 + draw.below(116))
+                continue
             low, high = (0, 9) if p < 10 else (10, 99) if p < 100 else (100, 255 if i else 223)
             out.append(p if i < keep else low + draw.below(high - low + 1))
         return ".".join(map(str, out))
@@ -161,6 +170,8 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         return _grown(FAMILY[_script(entity)], attempt, draw)
     if kind == "hex":
         return "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
+    if attempt >= WIDER and kind == "secret":
+        return "".join(_like("a" if c in "_-+/=" else c, draw) for c in entity)
     hexadecimal = re.fullmatch(r"[0-9a-f]+", entity)
     return "".join("0123456789abcdef"[draw.below(16)] if hexadecimal else _like(c, draw) for c in entity)
 
@@ -237,35 +248,43 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select(_text().alias("t")).where(F.col("t").rlike(_PREFILTER)).mapInArrow(scan, "kind string, entity string")
 
 
+def _form(kind: str, canonical: str) -> str:
+    """What a reader can tell of an entity or a surrogate: names without gender and case."""
+    return canonical.rpartition(":")[2].lower() if kind in ("given", "family") else canonical
+
+
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
-    """kind, entity, attempt and the surrogate that the attempt gives."""
+    """kind, entity, attempt, the surrogate that the attempt gives, and the forms of both."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [surrogate(k, e, key, a) for k, e, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "entity", "attempt", "surrogate"])
+            kinds, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            forms = [pa.array([_form(k, x) for k, x in zip(kinds, col, strict=True)], pa.string()) for col in (own, made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string()), *forms], ["kind", "entity", "attempt", "surrogate", "own", "form"])
 
-    return rows.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string")
+    return rows.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string, own string, form string")
 
 
 def assign(distinct: DataFrame, key: bytes = DEFAULT_KEY, rounds: int = ROUNDS) -> DataFrame:
     """kind, entity, attempt, surrogate for distinct (kind, entity): no two entities of a kind share a surrogate,
     and none is itself an entity of the corpus. Who came first keeps a contested surrogate (smaller attempt, then
-    smaller entity); the others draw again. Given names are a closed set, so there a surrogate may be shared once
-    the attempts are used up."""
-    taken = distinct.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
+    smaller entity); the others draw again until no clash is left. Where a class has no values left in PATIENCE
+    times so many rounds, this raises instead of sharing surrogates or leaving entities as they are."""
     now = staged(_drawn(distinct.withColumn("attempt", F.lit(0)), key), "drawn")
-    for r in range(rounds):
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("x"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("fk"), F.col("surrogate").alias("fs"), F.col("x.entity").alias("winner"))
-        marked = now.join(first, (F.col("kind") == F.col("fk")) & (F.col("surrogate") == F.col("fs")), "left")
-        marked = marked.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("e")), "left")
+    taken = now.select(F.col("kind").alias("k"), F.col("own").alias("e")).distinct()
+    columns = ["kind", "entity", "attempt", "surrogate", "own", "form"]
+    for _ in range(PATIENCE * rounds):
+        first = now.groupBy("kind", "form").agg(F.min(F.struct("attempt", "entity")).alias("x"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("fk"), F.col("form").alias("fs"), F.col("x.entity").alias("winner"))
+        marked = now.join(first, (F.col("kind") == F.col("fk")) & (F.col("form") == F.col("fs")), "left")
+        marked = marked.join(taken, (F.col("kind") == F.col("k")) & (F.col("form") == F.col("e")), "left")
         clash = (F.col("winner").isNotNull() & (F.col("winner") != F.col("entity"))) | F.col("e").isNotNull()
-        marked = staged(marked.select("kind", "entity", "attempt", "surrogate", F.coalesce(clash, F.lit(False)).alias("clash")), "marked")
+        marked = staged(marked.select(*columns, F.coalesce(clash, F.lit(False)).alias("clash")), "marked")
         if not marked.where("clash").limit(1).count():
-            return marked.drop("clash")
+            return marked.select("kind", "entity", "attempt", "surrogate")
         again = _drawn(marked.where("clash").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key)
         now = staged(marked.where("not clash").drop("clash").unionByName(again), "drawn")
-    return now
+    raise ValueError(f"surrogates still collide after {PATIENCE * rounds} rounds: {[tuple(r) for r in marked.where('clash').groupBy('kind').count().collect()]}")
 
 
 def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, with_spans: bool = False) -> DataFrame:

@@ -157,6 +157,26 @@ def test_surrogates_stay_distinct(spark):
     assert not {r["surrogate"] for r in got} & {r["entity"] for r in got}
 
 
+def test_surrogates_are_never_entities(spark):
+    given = [f"{g}:{n.lower()}" for (_, g), names in surrogates.GIVEN.items() for n in names]
+    rows = [("given", x) for x in given] + [("family", n.lower()) for names in surrogates.FAMILY.values() for n in names]
+    # A class whose every address occurs, and a secret that has no letter or digit to draw.
+    rows += [("ipv4", f"192.168.{a}.{b}") for a in range(10) for b in range(10)] + [("secret", "========"), ("email", "a@b.example.com")]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, entity string")).collect()
+    plain = lambda x: x.rpartition(":")[2].lower()
+    made = {(r["kind"], plain(r["surrogate"])) for r in got}
+    assert len(got) == len(made) == len(rows)
+    assert not made & {(k, plain(e)) for k, e in rows}
+    assert all(r["surrogate"].startswith("192.168.") for r in got if r["kind"] == "ipv4")
+
+
+def test_surrogates_raise_where_a_class_is_exhausted(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "PATIENCE", 1)
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, key, attempt=0: entity)
+    with pytest.raises(ValueError):
+        surrogates.assign(spark.createDataFrame([("ssn", "123-45-6789")], "kind string, entity string"), rounds=2)
+
+
 def base_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
