@@ -1,25 +1,30 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host are made by few templates. Some pages of each host (the reference trees) stand for these;
-every page's DOM tree is aligned with the nearest of them by simple tree matching, in which runs of like
-siblings count as one node, and matching nodes of the reference trees have one name. For each aligned node Spark
-counts on how many of the pages that hold it each text stands there: a text that most of them share is template,
-in an article too, and a node whose text varies is a slot for content, wherever it stands. Names of elements and
-classes decide only what counts leave open: slots within menus, footers, adverts, forms and the like are not
-content, and at nodes of too few pages for a count, text outside an article gives way to the article's.
+The pages of a host are made by few templates. The commonest outlines of each host (the reference trees) stand for
+these; every other outline is aligned with the nearest of them by simple tree matching, in which runs of like siblings
+count as one node, and matching nodes have one name. For each aligned node Spark counts on how many of the pages that
+hold it each text stands there: a text that most of them share is template, in an article too, and a node whose text
+varies is a slot for content, wherever it stands. Names of elements and classes decide only what counts leave open:
+slots within menus, footers, adverts, forms and the like are not content, and at nodes of too few pages for a count,
+text outside an article gives way to the article's.
+
+What is shuffled are outlines (once per host and shape), hashes of texts, and at the end the texts of slots with the
+places in each page that are template. Trees are walked without recursion, so pages may be nested as deep as they like.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import staged
 
@@ -44,19 +49,19 @@ HEADED = frozenset("article post entry story content".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 LISTS = frozenset("ul ol dl table body article section div main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
 class Node:
-    """An element of the tree whose runs of like children are one node."""
+    """An element of the tree whose like children are one node; all chrome of a page is one node without children."""
 
     __slots__ = ("label", "children", "chrome", "parent", "number")
 
     def __init__(self, label: str, chrome: bool, parent: Node | None):
         self.label, self.chrome, self.parent = label, chrome, parent
-        self.children: list[Node] = []
+        self.children: dict[str, Node] = {}
         self.number = -1
 
 
@@ -77,21 +82,34 @@ def _chrome_word(token: str, inside_article: bool) -> bool:
     return any(w in CHROME_WORDS and not (own and w == "header") for w in words)
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
-    """Tree of a page, and its blocks in order: node, text, whether it stands within an article or main element."""
-    root = Node("#", False, None)
-    stack: list[tuple[str, Node, bool]] = [("#", root, False)]
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
+    """Nodes of a page level by level, and its blocks of text in order: node, text, whether it stands within an article
+    or main element. Chrome makes no blocks."""
+    root, chrome_node = Node("#", False, None), Node("#chrome", True, None)
+    # Tag, node, whether within an article, and the node of the nearest block element.
+    stack: list[tuple[str, Node, bool, Node]] = [("#", root, False, root)]
+    opened: Counter[str] = Counter()
     blocks: list[tuple[Node, str, bool]] = []
     held: list[str] = []
     pos, n = 0, len(page)
 
     def flush() -> None:
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            top = stack[-1]
+            text = "" if top[1].chrome else " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE)
-                blocks.append((stack[-1][1] if stack[-1][1].chrome else stack[at][1], text, stack[-1][2]))
+                blocks.append((top[3], text, top[2]))
+
+    def push(tag: str, node: Node, inside: bool, block: Node) -> None:
+        stack.append((tag, node, inside, block))
+        opened[tag] += 1
+
+    def close(i: int) -> None:
+        """Closes the elements from place i on."""
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+        del stack[i:]
 
     while pos < n:
         m = _TOKEN.search(page, pos)
@@ -110,39 +128,36 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
                 pos = end.end() if end else n
             continue
-        if tag in INLINE and not m[3]:
-            if tag == "br":
-                held.append(" ")
-            if tag in VOID:
-                continue
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            else:
-                stack.append((tag, stack[-1][1], stack[-1][2]))
-            continue
         if m[1]:
-            if tag not in INLINE:
+            inline = tag in INLINE
+            if not inline:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                    if inline and stack[i][0] not in INLINE and stack[i][0] != tag:
+                        i = 0
+                        break
+                if i:
+                    if inline and any(x[1] is not stack[i - 1][1] for x in stack[i:]):
+                        flush()
+                    if inline and all(x[0] in INLINE for x in stack[i:]) and i < len(stack) - 1:
+                        # Only the named one of misnested inline elements ends.
+                        opened[tag] -= 1
+                        del stack[i]
+                    else:
+                        close(i)
             continue
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
         if tag == "br":
             held.append(" ")
-        parent, inside = stack[-1][1], stack[-1][2]
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
+        _, parent, inside, block = stack[-1]
         if tag in INLINE:
-            chrome = parent.chrome or (bool(attrs) and _chrome(tag, attrs, inside))
             if tag in VOID:
                 continue
-            if chrome == parent.chrome:
-                stack.append((tag, parent, inside))
+            if parent.chrome or not (attrs and _chrome(tag, attrs, inside)):
+                push(tag, parent, inside, block)
                 continue
         flush()
         if tag in VOID:
@@ -150,114 +165,140 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
         if tag in CLOSES:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in LISTS:
                     break
-        elif tag not in INLINE:
+        elif tag not in INLINE and opened["p"]:
             # A block ends an open paragraph.
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
-        parent, inside = stack[-1][1], stack[-1][2]
-        label = tag + "".join("." + w for w in sorted(set(attrs.get("class", "").lower().split())))
-        chrome = parent.chrome or _chrome(tag, attrs, inside)
-        node = next((c for c in parent.children if c.label == label and c.chrome == chrome), None)
-        if node is None:
-            node = Node(label, chrome, parent)
-            parent.children.append(node)
+        _, parent, inside, block = stack[-1]
+        if parent.chrome or _chrome(tag, attrs, inside):
+            node = chrome_node
+        else:
+            label = tag + "".join("." + w for w in sorted(set(attrs.get("class", "").lower().split())))
+            node = parent.children.get(label)
+            if node is None:
+                node = parent.children[label] = Node(label, False, parent)
         if not m[0].endswith("/>"):
-            stack.append((tag, node, inside or tag in ("article", "main") or attrs.get("role") == "main"))
+            push(tag, node, inside or tag in ("article", "main") or attrs.get("role") == "main", block if tag in INLINE else node)
     flush()
-    return root, blocks
-
-
-def _outline(node: Node) -> str:
-    return node.label + ("(" + ",".join(_outline(c) for c in node.children) + ")" if node.children else "")
-
-
-def _number(root: Node) -> list[Node]:
-    """All nodes, level by level; each gets its place in that order as its number."""
     order = [root]
     for node in order:
-        order.extend(node.children)
+        order.extend(node.children.values())
     for i, node in enumerate(order):
         node.number = i
-    return order
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest number of node pairs that keeps labels, ancestry and order."""
-    if a.label != b.label:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    sub = [[match(x, y) for y in b.children] for x in a.children]
-    best = np.zeros((m + 1, n + 1), np.int64)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + sub[i - 1][j - 1][0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            pairs += sub[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-    return int(best[m, n]) + 1, pairs
+    return order, blocks
+
+
+def outline(order: list[Node]) -> str:
+    """A line for each node: its parent's number and its label. Neither holds white space."""
+    return "\n".join(f"{node.parent.number if node.parent else -1} {node.label}" for node in order)
+
+
+class Tree:
+    """A tree read from an outline."""
+
+    def __init__(self, text: str):
+        rows = [line.split(" ", 1) for line in text.split("\n")]
+        self.parent = [int(r[0]) for r in rows]
+        self.label = [r[1] for r in rows]
+        self.children: list[dict[str, int]] = [{} for _ in rows]
+        for i, p in enumerate(self.parent):
+            if p >= 0:
+                self.children[p][self.label[i]] = i
+
+
+def _heaviest_rising(places: list[int], weights: list[int]) -> list[int]:
+    """Indices of a subsequence of rising places with the greatest sum of weights (a tree of prefix maxima)."""
+    rank = {p: i + 1 for i, p in enumerate(sorted(places))}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(places) + 1)
+    before = [-1] * len(places)
+    for k, (p, w) in enumerate(zip(places, weights, strict=True)):
+        top, i = (0, -1), rank[p] - 1
+        while i > 0:
+            top = max(top, best[i])
+            i -= i & -i
+        before[k], mine, i = top[1], (top[0] + w, k), rank[p]
+        while i <= len(places):
+            best[i] = max(best[i], mine)
+            i += i & -i
+    k = max(best)[1]
+    out = []
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """Simple tree matching: the largest set of node pairs that keeps labels, ancestry and order.
+
+    Siblings differ in their labels, so a node has one possible partner below each pair of parents.
+    """
+    pairs, below = [(0, 0)], []
+    for x, y in pairs:
+        mine = [(c, b.children[y][label]) for label, c in a.children[x].items() if label in b.children[y]]
+        below.append(range(len(pairs), len(pairs) + len(mine)))
+        pairs.extend(mine)
+    size, chosen = [1] * len(pairs), [[] for _ in pairs]
+    for k in range(len(pairs) - 1, -1, -1):
+        if below[k]:
+            places = list(below[k])
+            chosen[k] = [places[i] for i in _heaviest_rising([pairs[j][1] for j in places], [size[j] for j in places])]
+            size[k] += sum(size[j] for j in chosen[k])
+    out = [0]
+    for k in out:
+        out.extend(chosen[k])
+    return [pairs[k] for k in out]
 
 
-def _complete(order: list[Node], names: dict[int, str]) -> None:
-    """Nodes without a name get that of their parent and their own label."""
-    for node in order:
-        if node.number not in names:
-            names[node.number] = (names[node.parent.number] if node.parent else "") + "/" + node.label
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class Aligner:
-    """Node names by alignment with a host's reference trees; keeps alignments of outlines met before."""
+    """Names (hashes) of the nodes of outlines by alignment with a host's reference trees."""
 
     def __init__(self):
-        self.known: dict[tuple, dict[str, str]] = {}
-        self.trees: dict[tuple[str, ...], list[tuple[Node, dict[int, str]]]] = {}
+        self.trees: dict[tuple[str, tuple[str, ...]], list[tuple[Tree, list[int]]]] = {}
 
     @staticmethod
-    def _shared(references: tuple[str, ...]) -> list[tuple[Node, dict[int, str]]]:
+    def _complete(tree: Tree, names: dict[int, int], host: str) -> list[int]:
+        """Nodes without a name get one made of their parent's and their own label."""
+        out: list[int] = []
+        for i, p in enumerate(tree.parent):
+            out.append(names[i] if i in names else _hash(f"{out[p] if p >= 0 else host}/{tree.label[i]}"))
+        return out
+
+    def _shared(self, host: str, references: tuple[str, ...]) -> list[tuple[Tree, list[int]]]:
         """Reference trees and the names of their nodes: a node that matches one of an earlier tree has its name."""
-        out: list[tuple[Node, dict[int, str]]] = []
-        for page in references:
-            tree, names = parse(page)[0], {}
-            order = _number(tree)
+        out: list[tuple[Tree, list[int]]] = []
+        for text in references:
+            tree, names = Tree(text), {}
             for earlier, theirs in out:
                 used = set(names.values())
-                for a, b in match(tree, earlier)[1]:
-                    if a.number not in names and theirs[b.number] not in used:
-                        names[a.number] = theirs[b.number]
-            _complete(order, names)
-            out.append((tree, names))
+                for a, b in match(tree, earlier):
+                    if a not in names and theirs[b] not in used:
+                        names[a] = theirs[b]
+            out.append((tree, self._complete(tree, names, host)))
         return out
 
-    def names(self, root: Node, references: tuple[str, ...]) -> dict[int, str]:
-        """Name of each node: that of its partner, or its path below the last node that has one."""
-        if references not in self.trees:
-            if len(self.trees) > 2000:
+    def names(self, host: str, text: str, references: tuple[str, ...]) -> list[int]:
+        """Name of each node: that of its partner, or one made of the last node's above it that has one."""
+        if (host, references) not in self.trees:
+            if len(self.trees) > 200:
                 self.trees.clear()
-            self.trees[references] = self._shared(references)
-        order = _number(root)
-        key = (references, _outline(root))
-        if key not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            scored = [(match(root, tree), k) for k, (tree, _) in enumerate(self.trees[references])]
-            (_, pairs), k = max(scored, key=lambda s: (s[0][0], -s[1]), default=((0, []), 0))
-            names = {a.number: self.trees[references][k][1][b.number] for a, b in pairs}
-            _complete(order, names)
-            self.known[key] = names
-        return self.known[key]
+            self.trees[host, references] = self._shared(host, references)
+        tree = Tree(text)
+        scored = [(match(tree, ref), names) for ref, names in self.trees[host, references]]
+        pairs, theirs = max(scored, key=lambda s: len(s[0]), default=([], []))
+        return self._complete(tree, {a: theirs[b] for a, b in pairs}, host)
 
 
 def _host(url):
@@ -265,8 +306,26 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+def _parsed(rows: DataFrame, columns: list[str], schema: str, made) -> DataFrame:
+    """rows(..., host, html) with each page parsed: the given columns, and what made(page, order, blocks) returns."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.column(len(columns)).to_pylist()
+            for a in range(0, len(pages), 200):
+                out = list(zip(*(made(page, *parse(page)) for page in pages[a : a + 200]), strict=True))
+                if out:
+                    cols = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, 200) for i in range(len(columns))), *cols], names)
+
+    fields = T.StructType.fromDDL(schema)
+    kinds, names = [to_arrow_type(f.dataType) for f in fields], [*columns, *fields.names]
+    whole = T.StructType([*rows.select(*columns).schema.fields, *fields.fields])
+    return rows.select(*columns, "html").mapInArrow(run, whole)
+
+
+def _whole(page: str) -> bytes:
+    return xxhash.xxh3_128_digest(page.encode("utf-8", "surrogatepass"))
 
 
 def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
@@ -275,63 +334,58 @@ def extract(pages: DataFrame, references: int = REFERENCES, min_pages: int = MIN
     Null and empty html give the empty text. Blocks are joined by a blank line in page order, with character
     references decoded and white space inside a block made one space. The text is that of every slot
     outside menus and the like; text at nodes that fewer than min_pages pages hold is left out where it stands
-    outside an article or main element and the page has text in one. Rows that repeat give their rows each. An
-    empty table stays empty; other columns are ignored.
+    outside an article or main element and the page has text in one. Pages without a host share one. Very long and
+    deep pages are taken whole. Copies of a page of a host count once and rows that repeat give their rows each. An
+    empty table stays empty; other columns, whatever their names, are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
-    # A bounded number of pages per host, one from each class of a hash: aggregated before the shuffle.
-    order = F.xxhash64("url", "html")
-    refs = rows.where("html <> ''").groupBy("host", F.pmod(order, F.lit(references)).alias("k")).agg(F.min(F.struct(order.alias("o"), "html")).alias("x"))
-    refs = staged(refs.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("x.html").alias("html")))), lambda x: x["html"]).alias("refs")), "refs")
-    with_refs = rows.join(refs, "host", "left")
 
-    def measure(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def described(page: str, order: list[Node], blocks: list[tuple[Node, str, bool]]) -> tuple:
+        text = outline(order)
+        return _whole(page), _hash(text), text, [b[0].number for b in blocks], [_hash(b[1]) for b in blocks], [b[2] for b in blocks]
+
+    keys = staged(_parsed(rows, ["host"], "whole binary, shape long, outline string, nodes array<int>, texts array<long>, inside array<boolean>", described), "outlines")
+    shapes = staged(keys.groupBy("host", "shape").agg(F.min("outline").alias("outline"), F.count("*").alias("n")), "shapes")
+    # A bounded number of outlines per host, the commonest of each class of a hash: aggregated before the shuffle.
+    refs = shapes.groupBy("host", F.pmod("shape", F.lit(references)).alias("k")).agg(F.max_by("outline", F.struct("n", "shape")).alias("outline"))
+    refs = refs.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "outline"))), lambda x: x["outline"]).alias("refs"))
+
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner()
-        for f in frames:
-            out = []
-            for host, page, ref in zip(f["host"], f["html"], f["refs"], strict=True):
-                root, blocks = parse(page)
-                names = aligner.names(root, tuple(ref) if ref is not None else ())
-                whole = _hash(page)
-                here = {(_hash(names[node.number]), _hash(text)) for node, text, _ in blocks if not node.chrome}
-                # A row for each node by itself, which counts the pages that hold it.
-                out += [(host, node, text, whole) for node, text in here | {(node, ANY) for node, _ in here}]
-            yield pd.DataFrame(out, columns=["host", "node", "text", "page"])
+        for batch in batches:
+            hosts, texts, known = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            names = [aligner.names(h, t, tuple(r)) for h, t, r in zip(hosts, texts, known, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.int64()))], ["host", "shape", "names"])
+
+    aligned = staged(shapes.join(refs, "host").select("host", "shape", "outline", "refs").mapInArrow(align, "host string, shape long, names array<long>"), "aligned")
 
     # Pages count once per content: the copies of one page would else turn its text into template.
-    seen = with_refs.mapInPandas(measure, "host string, node long, text long, page long")
-    counts = staged(seen.groupBy("host", "node", "text").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages), "counts")
-    totals = counts.where(F.col("text") == ANY).select("host", "node", F.col("n").alias("pages"))
-    fixed = counts.join(totals, ["host", "node"]).where((F.col("text") == ANY) | (F.col("n") > share * F.col("pages")))
-    # One entry for a node that has enough pages, and one for each text that is template there.
+    once = keys.select("host", "whole", "shape", "nodes", "texts", "inside").dropDuplicates(["host", "whole"]).join(aligned, ["host", "shape"])
+    blocks = F.transform("nodes", lambda n, i: F.struct(F.get("names", n).alias("slot"), F.get("texts", i).alias("text"), F.get("inside", i).alias("inside"), i.alias("at")))
+    named = staged(once.select("host", "whole", blocks.alias("blocks")), "named")
+    # A row for each node by itself too, which counts the pages that hold it.
+    pairs = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.array(F.struct(b["slot"].alias("slot"), b["text"].alias("text")), F.struct(b["slot"].alias("slot"), F.lit(ANY).cast("long").alias("text"))))))
+    counts = staged(named.select(F.explode(pairs).alias("x")).groupBy("x.slot", "x.text").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages), "counts")
+    totals = staged(counts.where(F.col("text") == ANY).select("slot", F.col("n").alias("pages")), "totals")
     firm = (F.col("n") >= ARTICLE_EVIDENCE * min_pages).alias("firm")
-    fixed = staged(fixed.groupBy("host").agg(F.collect_set(F.struct("node", "text", firm)).alias("fixed")), "fixed")
-
-    def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner, templates = Aligner(), {}
-        for f in frames:
-            texts = []
-            for host, page, ref, const in zip(f["host"], f["html"], f["refs"], f["fixed"], strict=True):
-                if host not in templates:
-                    if len(templates) > 1000:
-                        templates.clear()
-                    templates[host] = {(x["node"], x["text"]): x["firm"] for x in const} if const is not None else {}
-                template = templates[host]
-                root, blocks = parse(page)
-                names = aligner.names(root, tuple(ref) if ref is not None else ()) if template else {}
-                good = []
-                for node, t, a in blocks:
-                    if not node.chrome:
-                        at = _hash(names[node.number]) if template else None
-                        fixed_text = template.get((at, _hash(t)))
-                        # Template by count; in an article only where there are pages enough for that.
-                        if fixed_text is None or (a and not fixed_text):
-                            good.append((t, a, (at, ANY) in template))
-                if any(a for _, a, _ in good):
-                    good = [x for x in good if x[1] or x[2]]
-                texts.append("\n\n".join(x[0] for x in good))
-            yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": texts})
-
-    final = with_refs.join(fixed, "host", "left").select("page_id", "url", "html", "host", "refs", "fixed")
-    schema = final.select("page_id", "url").schema.add("text", "string")
-    return final.mapInPandas(cut, schema).withColumn("n_chars", F.length("text").cast("long"))
+    fixed = staged(counts.where(F.col("text") != ANY).join(totals, "slot").where(F.col("n") > share * F.col("pages")).select("slot", "text", firm), "fixed")
+
+    # Places of a page that are template (in an article only where there are pages enough for that), and places
+    # outside its article at nodes with enough pages.
+    each = named.select("host", "whole", F.explode("blocks").alias("b")).select("host", "whole", "b.*")
+    gone = each.join(fixed, ["slot", "text"]).where("not inside or firm").select("host", "whole", "at", F.lit(True).alias("gone"))
+    firm_places = named.where(F.exists("blocks", lambda b: b["inside"])).select("host", "whole", F.explode(F.filter("blocks", lambda b: ~b["inside"])).alias("b"))
+    known = firm_places.select("host", "whole", "b.slot", "b.at").join(totals.select("slot"), "slot").select("host", "whole", "at", F.lit(False).alias("gone"))
+    marks = gone.unionByName(known).groupBy("host", "whole").agg(F.collect_set(F.when(F.col("gone"), F.col("at"))).alias("gone"), F.collect_set(F.when(~F.col("gone"), F.col("at"))).alias("known"))
+    marks = staged(marks, "marks")
+
+    def shown(page: str, order: list[Node], blocks: list[tuple[Node, str, bool]]) -> tuple:
+        return _whole(page), [b[1] for b in blocks], [b[2] for b in blocks]
+
+    texts = _parsed(rows, ["page_id", "url", "host"], "whole binary, texts array<string>, inside array<boolean>", shown)
+    none = F.array().cast("array<int>")
+    final = texts.join(marks, ["host", "whole"], "left").withColumn("gone", F.coalesce("gone", none)).withColumn("known", F.coalesce("known", none))
+    left = F.filter(F.transform("texts", lambda t, i: F.struct(t.alias("text"), F.get("inside", i).alias("inside"), i.alias("at"))), lambda x: ~F.array_contains("gone", x["at"]))
+    final = final.withColumn("left", left)
+    kept = F.filter("left", lambda x: x["inside"] | F.array_contains("known", x["at"]) | ~F.exists("left", lambda y: y["inside"]))
+    return final.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
