@@ -285,6 +285,14 @@ class Codec(WordEncoder):
             return ["\n" + w for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
         return text.replace("\n", " \n").split(" ")
 
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        get, numbers, counts = self.index.__getitem__, [], []
+        for text in texts:
+            before = len(numbers)
+            numbers.extend(map(get, self.split(text) if text else ()))
+            counts.append(len(numbers) - before)
+        return np.array(numbers, np.int64), np.array(counts, np.int64)
+
     def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [(w[1:] if w[1:2] == SPACE else w) if w[:1] == "\n" else SPACE + w for w in words]
         return self.model.segment(whole)

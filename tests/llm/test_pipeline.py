@@ -1,11 +1,9 @@
 """The corpus pipeline against a brute-force version of its stages."""
 
-import os
 import random
 
-import pytest
 from test_near_duplicates import brute as near_brute
-from test_text_operators import TOKENIZERS, WORD_BPE, base_of
+from test_text_operators import WORD_BPE, base_of
 
 import corpus_pipeline
 from heddle.llm import packing, surrogates
@@ -42,7 +40,6 @@ def cut_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no tokenizer files here")
 def test_pipeline_against_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
