@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import embedding_dedup, license_scan, packing, quality, sentencepieces, setsketch, suffix_dedup, surrogates, token_output, wrappers
 from ._common import reachable
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("HEDDLE_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; operators take such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.round_trip(_docs(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepieces.round_trip(_docs(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_documents(_docs(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.best_fit_documents(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_output(_docs(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return token_output.token_output(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

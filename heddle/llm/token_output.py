@@ -24,6 +24,8 @@ from .bpe import encoder
 
 #: Ids in a frame; a longer document has a frame of its own.
 FRAME_IDS = 1 << 18
+#: Text that goes into one file, and that is encoded in one go, in bytes.
+FILE_BYTES, TEXT_BYTES = 32 << 20, 4 << 20
 DOC_TABLE_MAGIC, SEEK_TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _DOC = np.dtype([("doc_id", "<i8"), ("present", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u8")])
 
@@ -122,11 +124,14 @@ def _filesystem(uri: str):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int | None = None) -> DataFrame:
     """Encode text and write one file per range of doc_id below folder (a URI that all executors reach).
 
-    Returns the manifest: part, path, n_docs, n_ids. Null text is empty; null doc_id comes first; rows of one
-    doc_id stand in order of text. A task that is run again writes the same bytes under the same name.
+    Returns the manifest: part, path, n_docs, n_ids. There is a file for about FILE_BYTES of text where files is not
+    given. Null text is empty; null doc_id comes first; rows of one doc_id stand in order of text. A very long text
+    makes a frame by itself. A task that is run again writes the same bytes under the same name. Other columns,
+    whatever their names, are ignored.
     """
-    spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 64)).first()[0]
+        files = max(1, -(-(size or 0) // FILE_BYTES))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,11 +147,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 writer = FrameWriter(out)
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-            for a, b in slices(lengths):
-                ids, at = enc.encode(texts.slice(a, b - a).to_pylist())
+            for a, b in slices(lengths, TEXT_BYTES):
+                ids, at = enc.encode(texts.slice(a, b - a))
+                ids = np.insert(ids, at[1:], np.uint32(end_id))
+                at = (at + np.arange(len(at))).tolist()
                 for i in range(b - a):
-                    writer.add(doc_ids[a + i], np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)))
-                    n_ids += int(at[i + 1] - at[i]) + 1
+                    writer.add(doc_ids[a + i], ids[at[i] : at[i + 1]])
+                n_ids += len(ids)
             n_docs += batch.num_rows
         if out is not None:
             writer.close()
