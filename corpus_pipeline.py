@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm import packing, quality, setsketch, suffix_dedup, surrogates
 from heddle.llm._common import reachable, staged
-from heddle.llm.queries import TOKENIZERS
+from heddle.llm.queries import tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are packed into sequences of 1024 to 8192 tokens."""
     reachable(spark)
-    return packing.best_fit_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.best_fit_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
