@@ -38,6 +38,11 @@ def _s(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space to single spaces, trimmed."""
     return F.trim(F.regexp_replace(c, r"[ \t-\r]+", " "))
@@ -141,7 +146,9 @@ def without_year(c: Column | str) -> Column:
     """The text without that first year."""
     t = _s(c)
     year = F.regexp_extract(t, YEAR, 1)
-    return F.when(year != "", F.concat(F.substring(t, F.lit(1), F.instr(t, year) - 1), F.substring(t, F.instr(t, year) + 4, F.length(t)))).otherwise(t)
+    # What stands before the year as a word of its own: the same digits may be part of another word before it.
+    before = F.length(F.regexp_extract(t, rf"(?s)^(.*?){YEAR}", 1))
+    return F.when(year != "", F.concat(F.substring(t, F.lit(1), before), F.substring(t, before + 5, F.length(t)))).otherwise(t)
 
 
 #: Labels of status that stand in name fields.
@@ -254,17 +261,34 @@ def name_queries(c: Column | str) -> Column:
     return ordered_distinct(F.concat(base, folded, nick, F.array(lean), ends), lambda x: F.lower(x))
 
 
+#: What announces another name in parentheses, in order of precedence; what ends such a name; and words
+#: that show that a short parenthetical is none.
+NAME_MARKERS = ("but was ", "formerly ", "previously ", "nee ", "née ", "was ")
+NAME_ENDS = ("while", "when", "at", "during", "from", "in")
+NAME_STOPWORDS = ("and", "at", "but", "during", "for", "from", "formerly", "i", "in", "my", "nee", "née", "of", "the", "to", "was", "while", "with")
+
+
 def alt_names(c: Column | str, nicknames: list[tuple[str, str]], limit: int = 4) -> Column:
-    """Other names: what follows formerly, née, nee or was; short parentheticals; and nicknames of the first name
-    both ways, crossed with up to limit family names."""
+    """Other names: what a marker in parentheses announces, up to a word that ends it; parentheticals of two words or
+    fewer without a stop word; and nicknames of the first name both ways, crossed with up to limit family names."""
     t = squeeze(_s(c))
     bare = squeeze(F.regexp_replace(t, r"\([^)]*\)", " "))
-    marked = F.regexp_extract_all(t, F.lit(r"(?i)\b(?:formerly|n[ée]e|was)\s+([^,;)]+)"), 1)
-    short = F.filter(F.regexp_extract_all(t, F.lit(r"\(([^)]*)\)"), 1), lambda x: (F.size(F.split(F.trim(x), " ")) <= 2) & (F.trim(x) != ""))
+
+    def announced(chunk: Column) -> Column:
+        low = F.lower(chunk)
+        after = F.when(F.lit(False), F.lit(""))
+        for marker in NAME_MARKERS:
+            after = after.when(low.contains(marker), F.substring(chunk, F.instr(low, marker) + len(marker), F.length(chunk)))
+        named = F.regexp_replace(after, rf"(?is)\b(?:{'|'.join(NAME_ENDS)})\b.*", "")
+        words = F.split(squeeze(chunk), " ")
+        short = (F.size(words) <= 2) & ~F.exists(words, lambda w: F.lower(w).isin(*NAME_STOPWORDS))
+        return F.trim(F.translate(squeeze(F.coalesce(named, F.when(short, chunk), F.lit(""))), ",;.", ""))
+
+    found = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"\(([^)]*)\)"), 1), announced), lambda x: x != "")
     first, last = F.lower(F.substring_index(bare, " ", 1)), F.substring_index(bare, " ", -1)
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in nicknames])
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in nicknames or [("", "")]])
     other = F.transform(F.filter(table, lambda p: (p["a"] == first) | (p["b"] == first)), lambda p: F.initcap(F.when(p["a"] == first, p["b"]).otherwise(p["a"])))
-    lasts = F.slice(F.array_distinct(F.concat(F.array(last), F.transform(F.concat(marked, short), lambda x: F.substring_index(F.trim(x), " ", -1)))), 1, limit)
+    lasts = F.slice(F.array_distinct(F.concat(F.array(last), F.transform(found, lambda x: F.substring_index(x, " ", -1)))), 1, limit)
     firsts = F.slice(F.array_distinct(F.concat(F.array(F.substring_index(bare, " ", 1)), other)), 1, limit)
     return F.flatten(F.transform(firsts, lambda f: F.transform(lasts, lambda x: F.concat(f, F.lit(" "), x))))
 
@@ -296,12 +320,24 @@ def token_containment(a: Column, b: Column, share: float = 0.5) -> Column:
     return F.coalesce(F.size(F.filter(long, lambda w: _s(b).contains(w))) / F.nullif(F.size(long), F.lit(0)) >= share, F.lit(False))
 
 
+def affil_form(c: Column | str) -> Column:
+    """Struct of a normalised institution and its distinct tokens: what affil_similarity compares. Worth computing
+    once per institution, before institutions are paired."""
+    return let(norm_affil(c), lambda t: F.struct(t.alias("text"), F.array_distinct(tokens(t)).alias("words")))
+
+
+def affil_similarity(x: Column, y: Column) -> Column:
+    """Similarity of two affil_form structs: 1 equal, .75 one holds the other (eight characters or more), .60 overlap
+    of .8, .40 overlap of .6, else 0."""
+    a, b = x["text"], y["text"]
+    holds = (F.length(a) >= 8) & (F.length(b) >= 8) & (a.contains(b) | b.contains(a))
+    over = F.coalesce(F.size(F.array_intersect(x["words"], y["words"])) / F.nullif(F.least(F.size(x["words"]), F.size(y["words"])), F.lit(0)), F.lit(0.0))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(holds, 0.75).when(over >= 0.8, 0.6).when(over >= 0.6, 0.4).otherwise(0.0)
+
+
 def inst_similarity(a: Column, b: Column) -> Column:
-    """1 equal, .75 one holds the other (eight characters or more), .60 overlap of .8, .40 overlap of .6, else 0."""
-    x, y = norm_affil(a), norm_affil(b)
-    holds = (F.length(x) >= 8) & (F.length(y) >= 8) & (x.contains(y) | y.contains(x))
-    over = token_overlap(x, y)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(holds, 0.75).when(over >= 0.8, 0.6).when(over >= 0.6, 0.4).otherwise(0.0)
+    """affil_similarity of two names as they are."""
+    return let(F.struct(affil_form(a).alias("a"), affil_form(b).alias("b")), lambda p: affil_similarity(p["a"], p["b"]))
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -315,6 +351,11 @@ def country(c: Column | str, aliases: dict[str, str]) -> Column:
     return F.coalesce(lookup(F.lower(t), aliases), t)
 
 
+def is_us(c: Column | str, aliases: dict[str, str], values: tuple[str, ...] = ("United States",)) -> Column:
+    """Whether a country, white space collapsed and aliases resolved, is one of the given names of the US."""
+    return country(c, aliases).isin(*values)
+
+
 def us_state(state: Column | str, nation: Column, names: dict[str, str], us: str = "United States") -> Column:
     """Two-letter state of rows of the US: an abbreviation as it is, a full name by table; null where unknown or
     where the row is of another country (quality rules report these)."""
@@ -336,21 +377,28 @@ def nickname_equal(a: Column, b: Column, groups: list[list[str]]) -> Column:
     return F.coalesce((a == b) | (nickname_group(a, groups) == nickname_group(b, groups)), F.lit(False))
 
 
-def same_person(f1: Column, l1: Column, f2: Column, l2: Column, groups: list[list[str]], first_ratio: Column, last_ratio: Column) -> Column:
-    """First reason of a ladder why two normalised names are one person's, or null; ratios come from ro_ratio."""
-    initial = (F.substring(f1, 1, 1) == F.substring(f2, 1, 1)) & (f1 != "")
+def ends(c: Column) -> tuple[Column, Column]:
+    """First and last token of a normalised name."""
+    return F.substring_index(c, " ", 1), F.substring_index(c, " ", -1)
+
+
+def same_person(a: Column, b: Column, groups: list[list[str]], first_ratio: Column, last_ratio: Column) -> Column:
+    """First reason of a ladder why two normalised full names are one person's, or null. The ratios are ro_ratio of
+    their first and of their last tokens; names with fuzzy last tokens need a ratio of .90."""
+    (f1, l1), (f2, l2) = ends(a), ends(b)
+    one_letter = ((F.length(f1) == 1) | (F.length(f2) == 1)) & (F.substring(f1, 1, 1) == F.substring(f2, 1, 1))
     prefix = (F.least(F.length(f1), F.length(f2)) >= 4) & (f1.startswith(f2) | f2.startswith(f1))
-    short = (F.length(f1) == 1) | (F.length(f2) == 1)
-    return (
-        F.when((f1 == f2) & (l1 == l2), "exact")
-        .when((l1 == l2) & (F.substring_index(f1, " ", 1) == F.substring_index(f2, " ", 1)), "first_last")
+    near = last_ratio >= 0.9
+    return F.when((a != "") & (b != ""), (
+        F.when(a == b, "exact")
+        .when((l1 == l2) & (f1 == f2), "first_last")
         .when((l1 == l2) & nickname_equal(f1, f2, groups), "nickname")
-        .when((l1 == l2) & initial & short, "initial")
+        .when((l1 == l2) & one_letter, "initial")
         .when((l1 == l2) & prefix, "prefix")
-        .when((f1 == f2) & (last_ratio >= 0.9), "fuzzy_last")
-        .when((l1 == l2) & (first_ratio >= 0.85), "fuzzy_first")
-        .when((l1 == l2) & initial, "initial_last")
-    )
+        .when(near & (f1 == f2), "fuzzy_last")
+        .when(near & (first_ratio >= 0.85), "fuzzy_full")
+        .when(near & one_letter, "initial_fuzzy_last")
+    ))
 
 
 def names_compatible(a: Column, b: Column) -> Column:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below spark.checkpoint.dir, or below a temporary folder where that is unset."""
+    """A path below spark.checkpoint.dir; below a temporary folder where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
         base = _own["dir"]
@@ -30,3 +34,9 @@ def staged(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns behind a generator, so that no filter or projection above it computes them again."""
+    made = F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(*columns)
+    return df.select(*[c for c in df.columns if c not in columns], made)

@@ -5,11 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle import functions as H
+
+from ._loop import once, staged
+
+
+def positions(rows: DataFrame, place: str, *order: Column) -> DataFrame:
+    """rows with their place (from 1) in a total order, without a task that sorts all of them: rows are dealt into
+    ordered ranges, which are written once, and a row's place is its range's offset plus its place in it."""
+    ranged = staged(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # One row per range: as many as there are shuffle partitions.
+    offsets = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(offsets, "__part").withColumn(place, (F.col("__before") + inside).cast("int")).drop("__part", "__before")
+
+
+def coauthors(works: DataFrame, selves: DataFrame) -> DataFrame:
+    """(id, author_key, display) from works (id, at, authors: text) without the names of selves (id, name).
+
+    Names are parted by "and", semicolons and ampersands; "Last, First" is turned round. The key is first::last token;
+    of its spellings that with the most tokens, then the longest, then the earliest, then the greatest is shown; names of one token go, and so do
+    names whose tokens begin those of another of the same id.
+    """
+    parts = F.split(F.regexp_replace(F.replace(F.col("authors"), F.lit(" and "), F.lit("&")), ";", "&"), "&")
+    rows = works.select("id", "at", F.posexplode(parts).alias("nth", "raw"))
+    rows = once(rows, pieces=F.filter(F.transform(F.split(F.regexp_replace("raw", r"^[ ,.]+|[ ,.]+$", ""), ","), lambda x: H.squeeze(x)), lambda x: x != ""))
+    turned = F.concat_ws(" ", F.concat(F.slice("pieces", F.lit(2), F.size("pieces")), F.slice("pieces", 1, 1)))
+    named = once(once(rows.where(F.size("pieces") > 0), display=turned), norm=H.norm_person("display")).select("id", "at", "nth", "display", "norm")
+    named = named.where(F.size(H.tokens(F.col("norm"))) >= 2)
+    own = selves.select(F.col("id"), H.norm_person("name").alias("norm")).distinct()
+    named = named.join(own, ["id", "norm"], "left_anti")
+    key = F.concat_ws("::", *H.ends(F.col("norm")))
+    rank = F.struct(F.size(F.split("norm", " ")), F.length("display"), -F.col("at"), -F.col("nth"), F.col("display"))
+    best = named.groupBy("id", key.alias("author_key")).agg(F.max_by(F.struct("display", "norm"), rank).alias("x")).select("id", "author_key", "x.display", "x.norm")
+    words = F.split("norm", " ")
+    starts = best.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("norm")).distinct()
+    return best.join(starts, ["id", "norm"], "left_anti").select("id", "author_key", "display")
+
 
 def most_common(rows: DataFrame, column: str, ordinal: str) -> DataFrame:
     """(value, count, rank) by count, then by where the value stands first; blanks are left out."""
     counts = rows.where(F.trim(column) != "").groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"), F.min(ordinal).alias("first"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "first"))).select("value", "count", "rank")
+    return positions(counts, "rank", F.desc("count"), F.col("first")).select("value", "count", "rank")
 
 
 def top_variants(rows: DataFrame, canon: str, raw: str, k: int = 20, m: int = 5) -> DataFrame:

@@ -57,55 +57,110 @@ HIGH = ("exact_email", "exact_name", "reversed_name")
 MEDIUM = ("email_local", "last_initial", "near_full_name", "same_first_near_last")
 
 
+def _pieces(text: Column, edits: int, shifts: int) -> Column:
+    """Keys such that two texts within so many edits share one: a text is cut into edits + 1 pieces, of which one at
+    least is left whole and shifted by edits at most. With shifts 0 a key for each piece of the text itself; else
+    keys for the pieces that texts of any near length would have at any near place."""
+    n = F.length(text)
+    gaps = F.sequence(F.lit(-shifts), F.lit(shifts))
+
+    def cut(size: Column) -> Column:
+        def piece(i: Column) -> Column:
+            start, stop = F.floor(i * size / (edits + 1)).cast("int"), F.floor((i + 1) * size / (edits + 1)).cast("int")
+            return F.transform(gaps, lambda g: F.when((start + g >= 0) & (stop + g <= n), F.concat_ws(":", size.cast("string"), i.cast("string"), F.substring(text, start + g + 1, stop - start))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), piece))
+
+    every = F.flatten(F.transform(gaps, lambda d: F.when(n + d >= 0, cut(n + d)).otherwise(F.array().cast("array<string>"))))
+    return F.filter(F.array_distinct(every), lambda k: k.isNotNull())
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of a size."""
+    n = F.length(text)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
 def pair_criteria(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, criteria, confidence) of pairs of people (id, first, last, email) that meet a criterion.
 
-    Each criterion is an equality join on its block: e-mail, local part, first name, last name, reversed name.
-    Near full names are sought among names that share first or last name, or the first three letters of the full
-    name, and substrings of names by the tokens of the full name; so no criterion compares all with all.
+    Both sides emit keys once: e-mail, local part, last name, reversed name, pieces of the full name (full names
+    within three edits share one, and so do equal first names with last names within two), and the first three
+    letters of a last name against all of the other's full name (a last name that stands in it begins somewhere in
+    it). One join of the keys finds every pair, on which all criteria are evaluated; no pair that meets one is lost.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
         e = H.norm_email("email")
         out = df.select(F.col("id").alias(f"{p}id"), H.norm_person("first").alias(f"{p}f"), H.norm_person("last").alias(f"{p}l"), F.nullif(e, F.lit("")).alias(f"{p}e"))
         return out.withColumns({f"{p}local": F.substring_index(f"{p}e", "@", 1), f"{p}dom": F.substring_index(f"{p}e", "@", -1), f"{p}full": F.concat_ws(" ", f"{p}f", f"{p}l")})
 
+    def keyed(df: DataFrame, p: str, shifts: int) -> DataFrame:
+        f, last, full = F.col(f"{p}f"), F.col(f"{p}l"), F.col(f"{p}full")
+        own, other = ("l", "r") if p == "l" else ("r", "l")
+        start = F.when(F.length(last) >= 3, F.array(F.substring(last, 1, 3))).otherwise(F.array().cast("array<string>"))
+        ordered = F.concat_ws("|", f, last) if p == "l" else F.concat_ws("|", last, f)
+        kinds = {
+            "email": F.array(F.col(f"{p}e")), "local": F.array(F.nullif(F.col(f"{p}local"), F.lit(""))), "last": F.array(F.nullif(last, F.lit(""))),
+            "reversed": F.array(F.when((f != "") & (last != ""), ordered)), "near": _pieces(full, 3, shifts), f"{own}last": start, f"{other}last": _grams(full, 3),
+        }
+        marked = lambda kind: lambda x: F.concat(F.lit(f"{kind}="), x)
+        keys = F.flatten(F.array(*[F.transform(k, marked(kind)) for kind, k in kinds.items()]))
+        return df.withColumn("key", F.explode(F.filter(keys, lambda k: k.isNotNull())))
+
     a, b = side(left, "l"), side(right, "r")
     c = F.col
     near = F.levenshtein("lfull", "rfull", 3)
-    blocks = {
+    tests = {
         "exact_email": c("le") == c("re"),
         "exact_name": (c("lf") == c("rf")) & (c("ll") == c("rl")) & (c("lf") != "") & (c("ll") != ""),
         "email_local": (c("llocal") == c("rlocal")) & (c("ldom") != c("rdom")),
         "last_initial": (c("ll") == c("rl")) & (c("ll") != "") & (F.substring("lf", 1, 1) == F.substring("rf", 1, 1)) & (c("lf") != c("rf")),
         "last_only": (c("ll") == c("rl")) & (c("ll") != "") & (c("lf") != c("rf")),
-        "near_full_name": (F.substring("lfull", 1, 3) == F.substring("rfull", 1, 3)) & near.between(1, 3),
+        "near_full_name": near.between(1, 3),
         "same_first_near_last": (c("lf") == c("rf")) & (c("lf") != "") & F.levenshtein("ll", "rl", 2).between(1, 2),
         "reversed_name": (c("lf") == c("rl")) & (c("ll") == c("rf")) & (c("lf") != "") & (c("ll") != ""),
         "same_domain_last": (c("ldom") == c("rdom")) & (c("ll") == c("rl")) & (c("ll") != "") & (c("le") != c("re")),
+        "left_last_in_right": (F.length("ll") >= 3) & c("rfull").contains(c("ll")) & (c("ll") != c("rl")) & (c("ll") != c("rf")),
+        "right_last_in_left": (F.length("rl") >= 3) & c("lfull").contains(c("rl")) & (c("rl") != c("ll")) & (c("rl") != c("lf")),
     }
-    every = None
-    for name, on in blocks.items():
-        hit = a.join(b, on).select("lid", "rid", F.lit(name).alias("criterion"))
-        every = hit if every is None else every.unionByName(hit)
-    # Near names with another start: the last name agrees, or the first name does.
-    for on in (c("ll") == c("rl"), (c("lf") == c("rf")) & (c("ll") != c("rl"))):
-        every = every.unionByName(a.join(b, on & (c("lfull") != c("rfull")) & near.between(1, 3)).select("lid", "rid", F.lit("near_full_name").alias("criterion")))
-    words = b.select("rid", "rl", "rf", F.explode(F.split("rfull", " ")).alias("w"))
-    every = every.unionByName(a.join(words, (c("ll") == c("w")) & (F.length("ll") >= 3) & (c("ll") != c("rl")) & (c("ll") != c("rf"))).select("lid", "rid", F.lit("last_in_name").alias("criterion")))
-    grouped = every.groupBy("lid", "rid").agg(F.array_sort(F.collect_set("criterion")).alias("criteria"))
+    criteria = F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
+    met = keyed(a, "l", 0).join(keyed(b, "r", 3), "key").select("lid", "rid", criteria.alias("criteria")).where(F.size("criteria") > 0)
+    grouped = met.groupBy("lid", "rid").agg(F.array_sort(F.first("criteria")).alias("criteria"))
     medium = F.size(F.array_intersect("criteria", F.array(*[F.lit(x) for x in MEDIUM])))
     high = F.arrays_overlap("criteria", F.array(*[F.lit(x) for x in HIGH])) | (medium >= 2)
     return grouped.withColumn("confidence", F.when(high, "HIGH").when(medium == 1, "MEDIUM").otherwise("LOW"))
 
 
-def fuzzy_names(probes: DataFrame, names: DataFrame, block: Column, cutoff: float = 0.75, gap: float = 0.05) -> DataFrame:
+def near_pairs(probes: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct (probe, name) that may reach a ro_ratio of cutoff (.75 or more), none that reaches it left out.
+
+    With M matched of T characters in both, at most T - 2M gaps part the matched blocks; at a ratio of .75 or more
+    they have a pair of neighbouring characters in common, or both texts have five characters or fewer: pairs are
+    joined on those pairs of characters, and on single ones among short texts. Lengths, and the characters that both
+    hold whatever their order, bound the ratio from above.
+    """
+    if cutoff < 0.75:
+        raise ValueError("a cutoff below .75 needs other keys")
+
+    def keyed(df: DataFrame, col: str) -> DataFrame:
+        letters = F.when(F.length(col) <= 5, _grams(F.col(col), 1)).otherwise(F.array().cast("array<string>"))
+        counts = F.transform(F.array_distinct(F.split(F.col(col), "")), lambda x: F.struct(x.alias("c"), (F.length(col) - F.length(F.replace(F.col(col), x, F.lit("")))).alias("n")))
+        return df.select(col).distinct().withColumn(f"{col}_chars", F.map_from_entries(F.filter(counts, lambda x: x["c"] != ""))).withColumn("key", F.explode(F.concat(_grams(F.col(col), 2), letters)))
+
+    both = keyed(probes, "probe").join(keyed(names, "name"), "key")
+    total = F.length("probe") + F.length("name")
+    both = both.where(F.least(F.length("probe"), F.length("name")) * 2 >= cutoff * total)
+    common = F.aggregate(F.map_keys("probe_chars"), F.lit(0), lambda s, k: s + F.least(F.col("probe_chars")[k], F.coalesce(F.try_element_at("name_chars", k), F.lit(0))))
+    return both.where(2 * common >= cutoff * total).select("probe", "name").distinct()
+
+
+def fuzzy_names(probes: DataFrame, names: DataFrame, cutoff: float = 0.75, gap: float = 0.05) -> DataFrame:
     """probe, name, ratio, confidence (high: exact, medium: fuzzy, ambiguous: the best two are within gap) of the
-    best name for each probe. block is a predicate over probe and name that holds an equality. Candidates are
-    rated as (name, probe) against the cutoff; the gap is between ratings as (probe, name)."""
-    near = F.least(F.length("probe"), F.length("name")) * 2 >= cutoff * (F.length("probe") + F.length("name"))
-    pairs = probes.select("probe").distinct().join(names.select("name").distinct(), block & near)
+    best name for each probe, the greatest name of equally good ones. Candidates are rated as (name, probe) against
+    the cutoff; the gap is between ratings as (probe, name)."""
+    pairs = near_pairs(probes, names, cutoff)
     rated = pairs.withColumn("ratio", H.ro_ratio("name", "probe")).where(F.col("ratio") >= cutoff).withColumn("back", H.ro_ratio("probe", "name"))
-    w = Window.partitionBy("probe").orderBy(F.desc("ratio"), "name")
+    w = Window.partitionBy("probe").orderBy(F.desc("ratio"), F.desc("name"))
     top = rated.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("back").over(w)).where("k = 1")
     state = F.when(F.col("probe") == F.col("name"), "high").when(F.coalesce(F.col("back") - F.col("next") < gap, F.lit(False)), "ambiguous").otherwise("medium")
     return top.select("probe", "name", "ratio", state.alias("confidence"))

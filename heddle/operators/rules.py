@@ -89,3 +89,21 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 def orphans(edges: DataFrame, people: DataFrame) -> DataFrame:
     """(id, issue): advisors that are nobody's record."""
     return edges.select(F.col("src").alias("id")).distinct().join(people.select("id"), "id", "left_anti").withColumn("issue", F.lit("orphan_advisor"))
+
+
+def capture_audit(advisors: DataFrame, audit: DataFrame, listed: DataFrame) -> DataFrame:
+    """(advisor, origin, rows, captured, dropped): an audit of advisors (advisor) made fit for the graph.
+
+    Rows of audit (advisor, child, status, at) count where the advisor is known and, if captured, the child is among
+    those listed (advisor, child); of the rows of a pair that with the status captured counts, then the latest. An
+    advisor without a row left gets made rows, one per listed child, or one where none is. dropped tells how many
+    rows of the advisor didn't count."""
+    known = audit.join(advisors, "advisor", "left_semi").join(listed.select("advisor", "child", F.lit(True).alias("__listed")), ["advisor", "child"], "left")
+    fit = (F.col("status") != "captured") | F.col("__listed")
+    rank = F.struct((F.col("status") == "captured").alias("c"), "at")
+    best = known.where(F.coalesce(fit, F.lit(False))).groupBy("advisor", "child").agg(F.max_by("status", rank).alias("status"))
+    hand = best.groupBy("advisor").agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "captured").alias("captured")).withColumn("origin", F.lit("audited"))
+    bare = advisors.join(hand, "advisor", "left_anti").join(listed, "advisor", "left")
+    made = bare.groupBy("advisor").agg(F.greatest(F.count("child"), F.lit(1)).alias("rows"), F.count("child").alias("captured")).withColumn("origin", F.lit("synthesised"))
+    total = known.groupBy("advisor").agg(F.count("*").alias("n"))
+    return hand.unionByName(made).join(total, "advisor", "left").select("advisor", "origin", "rows", "captured", (F.coalesce("n", F.lit(0)) - F.when(F.col("origin") == "audited", F.col("rows")).otherwise(0)).alias("dropped"))

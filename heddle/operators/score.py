@@ -29,13 +29,40 @@ def name_score(first: Column, last: Column, names: Column, groups: list[list[str
     return made.otherwise(F.struct(F.lit(0.0).alias("score"), F.lit("none").alias("kind")))
 
 
+def institution_forms(names: Column) -> Column:
+    """What institution_score compares, of an array of names: compute it on either side before the join."""
+    return F.transform(names, lambda n: H.affil_form(n))
+
+
 def institution_score(known: Column, candidate: Column) -> Column:
-    """From the best similarity of each known institution: exact ones .20 and .10 for each further up to .30; else
-    .18 for .75 or more, .12 for .40 or more, 0 below."""
-    best = F.transform(known, lambda k: F.coalesce(F.array_max(F.transform(candidate, lambda c: H.inst_similarity(k, c))), F.lit(0.0)))
-    exact = F.size(F.filter(best, lambda b: b >= 1.0))
-    top = F.coalesce(F.array_max(best), F.lit(0.0))
-    return F.when(exact > 0, F.least(F.lit(0.30), 0.20 + 0.10 * (exact - 1))).when(top >= 0.75, 0.18).when(top >= 0.40, 0.12).otherwise(0.0)
+    """From the best similarity of each known institution (both sides as institution_forms): exact ones .20 and .10
+    for each further up to .30; else .18 for .75 or more, .12 for .40 or more, 0 below."""
+    best = F.transform(known, lambda k: F.coalesce(F.array_max(F.transform(candidate, lambda c: H.affil_similarity(k, c))), F.lit(0.0)))
+
+    def score(b: Column) -> Column:
+        exact, top = F.size(F.filter(b, lambda x: x >= 1.0)), F.coalesce(F.array_max(b), F.lit(0.0))
+        return F.when(exact > 0, F.least(F.lit(0.30), 0.20 + 0.10 * (exact - 1))).when(top >= 0.75, 0.18).when(top >= 0.40, 0.12).otherwise(0.0)
+
+    return H.let(best, score)
+
+
+def primary_topic(topics: Column) -> Column:
+    """Struct topic, subfield, field, domain of the first of an array of topics (display_name, and subfield, field and
+    domain with a display_name each); blanks where there is none."""
+    first = F.get(topics, F.lit(0))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(blank(first["display_name"]).alias("topic"), *[blank(first[k]["display_name"]).alias(k) for k in ("subfield", "field", "domain")])
+
+
+def institution_names(known: Column, affiliations: Column) -> Column:
+    """Display names of last known institutions, then of affiliations, the first of those that normalise alike."""
+    every = F.concat(F.coalesce(F.transform(known, lambda k: k["display_name"]), F.array().cast("array<string>")), F.coalesce(F.transform(affiliations, lambda a: a["institution"]["display_name"]), F.array().cast("array<string>")))
+    return H.ordered_distinct(F.filter(every, lambda n: F.coalesce(n, F.lit("")) != ""), lambda n: H.norm_affil(n))
+
+
+def current_institution(known: Column, affiliations: Column) -> Column:
+    """Name of the first last known institution, else the first of institution_names; blank where there is none."""
+    return F.when(F.size(known) > 0, F.coalesce(F.get(known, F.lit(0))["display_name"], F.lit(""))).otherwise(F.coalesce(F.get(institution_names(known, affiliations), F.lit(0)), F.lit("")))
 
 
 def timing_score(degree: Column, earliest: Column) -> Column:

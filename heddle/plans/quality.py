@@ -64,12 +64,22 @@ def dq_pair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.union(R.missing(pair.select("pair"), audit, "pair", "unaudited"), R.duplicates(audit, "pair"), R.missing(audit, pair, "pair", "not_captured"))
 
 
-@register("dq_capture_audit", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'synthesised' ELSE 'audited' END AS origin FROM supplier")
+@register("dq_capture_audit", """
+WITH adv AS (SELECT s_suppkey AS a FROM supplier WHERE s_suppkey % 9 > 0),
+lst AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS c FROM lineitem WHERE l_suppkey % 5 > 0),
+aud AS (SELECT l_suppkey AS a, l_partkey + CASE WHEN l_linenumber = 2 THEN 1000000 ELSE 0 END AS c, CASE WHEN l_linenumber % 3 = 0 THEN 'absent' ELSE 'captured' END AS st, l_orderkey AS o FROM lineitem WHERE l_suppkey % 4 > 0),
+kn AS (SELECT aud.*, lst.a IS NOT NULL AS ok FROM aud JOIN adv USING (a) LEFT JOIN lst ON lst.a = aud.a AND lst.c = aud.c),
+b AS (SELECT a, c, bool_or(st = 'captured') AS cap FROM kn WHERE st <> 'captured' OR ok GROUP BY a, c),
+h AS (SELECT a, 'audited' AS origin, count(*) AS n, count(*) FILTER (cap) AS k FROM b GROUP BY a),
+m AS (SELECT adv.a, 'synthesised' AS origin, greatest(count(lst.c), 1) AS n, count(lst.c) AS k FROM adv LEFT JOIN lst USING (a) WHERE adv.a NOT IN (SELECT a FROM h) GROUP BY adv.a)
+SELECT u.a AS advisor, u.origin, u.n AS rows, u.k AS captured, coalesce((SELECT count(*) FROM kn WHERE kn.a = u.a), 0) - CASE WHEN u.origin = 'audited' THEN u.n ELSE 0 END AS dropped FROM (SELECT * FROM h UNION ALL SELECT * FROM m) u""")
 def dq_capture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per advisor: the hand-made audit row, or a made one where none covers the advisor."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey")
-    hand = s.where("s_suppkey % 4 > 0").withColumn("origin", F.lit("audited"))
-    return hand.unionByName(s.join(hand, "s_suppkey", "left_anti").withColumn("origin", F.lit("synthesised")))
+    """Suppliers as advisors, the parts they ship as children, line items as rows of a hand-made audit with gaps."""
+    line = table(spark, sf_dir, "lineitem")
+    advisors = table(spark, sf_dir, "supplier").where("s_suppkey % 9 > 0").selectExpr("s_suppkey AS advisor")
+    listed = line.where("l_suppkey % 5 > 0").selectExpr("l_suppkey AS advisor", "l_partkey AS child").distinct()
+    audit = line.where("l_suppkey % 4 > 0").selectExpr("l_suppkey AS advisor", "l_partkey + CASE WHEN l_linenumber = 2 THEN 1000000 ELSE 0 END AS child", "CASE WHEN l_linenumber % 3 = 0 THEN 'absent' ELSE 'captured' END AS status", "l_orderkey AS at")
+    return R.capture_audit(advisors, audit, listed)
 
 
 @register("dq_gap_queue", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'recovered' WHEN s_acctbal > 5000 THEN 'high' WHEN s_acctbal > 0 THEN 'medium' ELSE 'low' END AS priority FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")

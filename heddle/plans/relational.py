@@ -80,9 +80,9 @@ x AS (SELECT l.id AS lid, r.id AS rid, l.first AS lf, l.last AS ll, r.first AS r
 c AS (SELECT lid, rid, list_sort(list_filter([
   CASE WHEN le = re THEN 'exact_email' END, CASE WHEN lf = rf AND ll = rl THEN 'exact_name' END, CASE WHEN llo = rlo AND ld <> rd THEN 'email_local' END,
   CASE WHEN ll = rl AND lf[1] = rf[1] AND lf <> rf THEN 'last_initial' END, CASE WHEN ll = rl AND lf <> rf THEN 'last_only' END,
-  CASE WHEN levenshtein(lfull, rfull) BETWEEN 1 AND 3 AND (ll = rl OR lf = rf OR lfull[1:3] = rfull[1:3]) THEN 'near_full_name' END,
+  CASE WHEN levenshtein(lfull, rfull) BETWEEN 1 AND 3 THEN 'near_full_name' END,
   CASE WHEN lf = rf AND levenshtein(ll, rl) BETWEEN 1 AND 2 THEN 'same_first_near_last' END, CASE WHEN lf = rl AND ll = rf THEN 'reversed_name' END,
-  CASE WHEN ld = rd AND ll = rl AND le <> re THEN 'same_domain_last' END, CASE WHEN len(ll) >= 3 AND list_contains(string_split(rfull, ' '), ll) AND ll <> rl AND ll <> rf THEN 'last_in_name' END
+  CASE WHEN ld = rd AND ll = rl AND le <> re THEN 'same_domain_last' END, CASE WHEN len(ll) >= 3 AND contains(rfull, ll) AND ll <> rl AND ll <> rf THEN 'left_last_in_right' END, CASE WHEN len(rl) >= 3 AND contains(lfull, rl) AND rl <> ll AND rl <> lf THEN 'right_last_in_left' END
   ], lambda k: k IS NOT NULL)) AS cs FROM x),
 m AS (SELECT *, len(list_filter(cs, lambda k: k IN ('email_local', 'last_initial', 'near_full_name', 'same_first_near_last'))) AS n FROM c WHERE len(cs) > 0)
 """
@@ -109,14 +109,14 @@ def join_pairwise_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     probes = p.select(F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || 's' END").alias("probe"))
-    return M.fuzzy_names(probes, p.select(F.col("p_name").alias("name")), F.substring("probe", 1, 1) == F.substring("name", 1, 1))
+    return M.fuzzy_names(probes, p.select(F.col("p_name").alias("name")))
 
 
 @register("join_fuzzy_single")
 def join_fuzzy_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     probes = p.select(F.expr("p_name || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END").alias("probe"))
-    got = M.fuzzy_names(probes, p.select(F.col("p_name").alias("name")), F.substring("probe", 1, 2) == F.substring("name", 1, 2), 0.85, 0.0)
+    got = M.fuzzy_names(probes, p.select(F.col("p_name").alias("name")), 0.8, 0.0)
     return got.select("probe", F.when(F.col("confidence") == "high", "exact").otherwise(F.concat(F.lit("fuzzy("), "name", F.lit(")"))).alias("label"))
 
 
@@ -228,7 +228,7 @@ def agg_string_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg_group_roster", "SELECT coalesce(nullif(CASE WHEN s_nationkey < 3 THEN ' ' ELSE s_nationkey::VARCHAR END, ' '), '(blank)') AS \"group\", count(*) AS n, string_agg(s_name, ', ' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
 def agg_group_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.group_roster(table(spark, sf_dir, "supplier").selectExpr("CASE WHEN s_nationkey < 3 THEN ' ' ELSE s_nationkey END AS g", "s_name"), "g", "s_name")
+    return D.group_roster(table(spark, sf_dir, "supplier").selectExpr("CASE WHEN s_nationkey < 3 THEN ' ' ELSE cast(s_nationkey as string) END AS g", "s_name"), "g", "s_name")
 
 
 @register("agg_set_by_pair", "SELECT o_custkey AS src, year(o_orderdate) AS dst, array_to_string(list_filter(['P', 'O', 'F'], lambda t: list_contains(list(o_orderstatus), t)), '+') AS types FROM orders GROUP BY 1, 2")
@@ -330,10 +330,8 @@ def win_dedup_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ordering: the position that the sort gives is part of the result.
 @register("srt_blank_last", "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 = 0 THEN 999 ELSE s_nationkey END, s_name)::INTEGER AS place FROM supplier")
 def srt_blank_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_name", "CASE WHEN s_suppkey % 4 = 0 THEN ' ' ELSE string(s_nationkey) END AS g")
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(*D.blank_last(F.col("g"), F.col("s_name")))).alias("place"))
+    return D.positions(s, "place", *D.blank_last(F.col("g"), F.col("s_name"))).select("s_suppkey", "place")
 
 
 @register("srt_category", "SELECT c_mktsegment, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_mktsegment)::INTEGER AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)")

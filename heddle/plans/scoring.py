@@ -29,11 +29,11 @@ INST = {0: "alpha institute", 1: "beta college", 2: "gamma works", 3: "delta hou
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst = F.create_map(*[F.lit(v) for kv in INST.items() for v in kv])
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS node", "c_nationkey AS nation", f"{FIRST.format('c_custkey')} AS f", f"{LAST.format('c_custkey')} AS l", "cast(c_custkey % 4 as int) AS ki", "cast(1990 + c_custkey % 30 as int) AS y")
-    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS cand", "s_nationkey AS nation", f"{FIRST.format('s_suppkey')} AS cf", f"{LAST.format('s_suppkey')} AS cl", "cast(s_suppkey % 4 as int) AS ci", "array(struct(cast(1900 as int) AS year, 0 AS works), struct(cast(1960 + s_suppkey % 60 as int) AS year, 3 AS works)) AS counts")
-    x = c.join(s, "nation").withColumn("e", S.earliest_year(F.col("counts")))
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS node", "c_nationkey AS nation", f"{FIRST.format('c_custkey')} AS f", f"{LAST.format('c_custkey')} AS l", "cast(c_custkey % 4 as int) AS ki", "cast(1990 + c_custkey % 30 as int) AS y").withColumn("known", S.institution_forms(F.array(inst[F.col("ki")])))
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS cand", "s_nationkey AS nation", f"{FIRST.format('s_suppkey')} AS cf", f"{LAST.format('s_suppkey')} AS cl", "cast(s_suppkey % 4 as int) AS ci", "array(struct(cast(1900 as int) AS year, 0 AS works), struct(cast(1960 + s_suppkey % 60 as int) AS year, 3 AS works)) AS counts").withColumn("candidate", S.institution_forms(F.array(inst[F.col("ci")]))).withColumn("e", S.earliest_year(F.col("counts")))
+    x = c.join(s, "nation")
     x = x.withColumn("ns", S.name_score(F.col("f"), F.col("l"), F.array(F.concat_ws(" ", "cf", "cl")), GROUPS)["score"])
-    x = x.withColumn("ins", S.institution_score(F.array(inst[F.col("ki")]), F.array(inst[F.col("ci")]))).withColumn("ts", S.timing_score(F.col("y"), F.col("e")))
+    x = x.withColumn("ins", S.institution_score(F.col("known"), F.col("candidate"))).withColumn("ts", S.timing_score(F.col("y"), F.col("e")))
     return x.withColumn("score", S.total_score(F.col("ns"), F.col("ins"), F.col("ts"))).select("node", "cand", "f", "l", "cf", "cl", "y", "e", "ns", "ins", "ts", "score")
 
 
@@ -63,11 +63,16 @@ def sc_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir).select("node", "cand", "status")
 
 
-@register("sc_topic", "SELECT p_partkey, p_brand AS field, p_type AS institution FROM part")
+@register("sc_topic", "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS topic, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS field, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN 'Department of ' || p_type ELSE '' END AS institution, CASE WHEN p_partkey % 3 = 2 THEN 0 WHEN p_partkey % 3 = 0 THEN 2 ELSE 2 END::INTEGER AS institutions FROM part")
 def sc_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First topic's field and current institution of nested candidate records."""
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "array(struct(p_brand AS field), struct('x' AS field)) AS topics", "array(struct(p_type AS display_name)) AS known")
-    return p.select("p_partkey", F.element_at("topics", 1)["field"].alias("field"), F.element_at("known", 1)["display_name"].alias("institution"))
+    """Topic, field and current institution of nested candidate records, and how many institutions they name."""
+    known = "CASE WHEN p_partkey % 3 = 0 THEN array(named_struct('display_name', p_type)) ELSE cast(array() as array<struct<display_name:string>>) END"
+    far = "CASE WHEN p_partkey % 3 < 2 THEN array(named_struct('institution', named_struct('display_name', 'Department of ' || p_type)), named_struct('institution', named_struct('display_name', upper(p_type))), named_struct('institution', named_struct('display_name', p_name))) END"
+    name = "named_struct('display_name', {0})"
+    topics = f"CASE WHEN p_partkey % 7 > 0 THEN array(named_struct('display_name', p_name, 'subfield', {name.format('p_type')}, 'field', {name.format('p_brand')}, 'domain', {name.format('cast(null as string)')})) END"
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{known} AS known", f"{far} AS far", f"{topics} AS topics")
+    topic = S.primary_topic(F.col("topics"))
+    return p.select("p_partkey", topic["topic"].alias("topic"), topic["field"].alias("field"), S.current_institution(F.col("known"), F.col("far")).alias("institution"), F.size(S.institution_names(F.col("known"), F.col("far"))).alias("institutions"))
 
 
 FLAGS = "SELECT p_partkey, list_filter([CASE WHEN p_size = 25 THEN 'high_candidate_count' END, CASE WHEN p_size > 45 THEN 'temporal_implausibility' END, CASE WHEN p_type = 'SMALL' THEN 'field_mismatch' END, CASE WHEN p_partkey % 9 = 0 THEN 'name_mismatch_warning' END], lambda f: f IS NOT NULL) AS fl FROM part"

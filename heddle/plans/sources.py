@@ -127,8 +127,6 @@ def st_response_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.where("event_id % 3 = 0").write.mode("append").parquet(folder)
     baseline = e.where("event_id % 7 = 0").select("event_id")
 
-    def handle(batch: DataFrame, number: int) -> None:
-        batch.join(baseline, "event_id", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    response_delta(spark, folder, "event_id bigint, ts timestamp, event_type string", "event_id", "ts", handle, f"{out}-state").awaitTermination()
+    keep = lambda rows: rows.join(baseline, "event_id", "left_anti")
+    response_delta(spark, folder, "event_id bigint, ts timestamp, event_type string", "event_id", keep, out, f"{out}-state", files=2).awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))

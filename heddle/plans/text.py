@@ -40,8 +40,8 @@ column("fn_without_emails", *DOC, "rest", lambda: H.without_emails("text"), r"CA
 column("fn_fix_email", "customer", "c_custkey", "fixed", lambda: H.fix_email(F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'see jo' || c_custkey || ' mail.org now' WHEN c_custkey % 3 = 1 THEN c_custkey || ' mail.org' ELSE 'a@b.org' END")), "CASE WHEN c_custkey % 3 = 0 THEN 'see jo' || c_custkey || '@mail.org now' WHEN c_custkey % 3 = 1 THEN c_custkey || ' mail.org' ELSE 'a@b.org' END")
 NAMED_YEAR = "cast(o_custkey as string) || ' x, ' || cast(year(o_orderdate) as string) || ' and 2001'"
 column("fn_extract_year", "orders", "o_orderkey", "year", lambda: H.extract_year(F.expr(NAMED_YEAR)), r"try_cast(regexp_extract(" + NAMED_YEAR.replace("as string", "as varchar") + r", '\b(19[5-9][0-9]|20[0-3][0-9])\b', 1) AS INTEGER)")
-column("fn_without_year", "orders", "o_orderkey", "rest", lambda: H.without_year(F.expr("'k, ' || cast(year(o_orderdate) as string) || ' on 2001'")), "'k,  on 2001'")
-column("fn_clean_name", *PART, "clean", lambda: H.clean_name(F.expr("', ' || p_name || ' (' || p_brand || ')  on hold. '")), "p_name")
+column("fn_without_year", "orders", "o_orderkey", "rest", lambda: H.without_year(F.expr("'k' || o_orderkey || ', ' || cast(year(o_orderdate) as string) || ' on 2001'")), "'k' || o_orderkey || ',  on 2001'")
+column("fn_clean_name", *PART, "clean", lambda: H.clean_name(F.expr("', ' || CASE WHEN p_partkey % 2 = 0 THEN p_name || ' (' || p_brand || ')' ELSE upper(p_name) END || '  on hold. '")), "CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END")
 column("fn_looks_like_name", *PART, "named", lambda: H.looks_like_name(F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END")), "p_partkey % 2 = 0")
 column("fn_name_from_email", *PART, "name", lambda: H.name_from_email(F.expr("replace(p_name, ' ', '.') || CASE WHEN p_partkey % 2 = 0 THEN '.7' ELSE 'x9' END || '@d.org'")), "CASE WHEN p_partkey % 2 = 0 THEN upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2) ELSE '' END")
 column("fn_email_parts", "customer", "c_custkey", "domain", lambda: H.email_parts(F.expr("c_name || '@' || c_mktsegment || '.org;'"))["domain"], "lower(c_mktsegment) || '.org'")
@@ -50,14 +50,16 @@ column("fn_name_splits", *PART, "splits", lambda: F.transform(H.name_splits(F.ex
 column("fn_tokenize_names", *PART, "names", lambda: H.tokenize_names(F.expr("split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) || '; ' || p_name || ' and Ann Lee, Bo' || chr(10) || p_type")), "[p_name, p_name, 'Ann Lee', 'Bo', p_type]")
 column("fn_name_variants", *PART, "variants", lambda: H.name_variants(F.expr("split_part(p_name, ' ', 1) || ' (' || p_type || ') ' || split_part(p_name, ' ', 2)")), "[split_part(p_name, ' ', 1) || ' (' || p_type || ') ' || split_part(p_name, ' ', 2), p_name] || CASE WHEN lower(p_type) = split_part(p_name, ' ', 1) THEN [] ELSE [p_type || ' ' || split_part(p_name, ' ', 2)] END")
 column("fn_name_queries", *PART, "forms", lambda: H.name_queries(F.expr("split_part(p_name, ' ', 1) || ' van der ' || split_part(p_name, ' ', 2)")), "[split_part(p_name, ' ', 1) || ' van der ' || split_part(p_name, ' ', 2), split_part(p_name, ' ', 1) || ' der ' || split_part(p_name, ' ', 2), p_name]")
-column("fn_alt_names", *PART, "names", lambda: H.alt_names(F.expr("p_name || ' (formerly Ada Stone)'"), [("small", "mini")]), "CASE WHEN split_part(p_name, ' ', 1) = 'small' THEN ['small ' || split_part(p_name, ' ', 2), 'small Stone', 'Mini ' || split_part(p_name, ' ', 2), 'Mini Stone'] ELSE [p_name, split_part(p_name, ' ', 1) || ' Stone'] END")
+ALT = "p_name || CASE p_partkey % 6 WHEN 0 THEN ' (formerly Ada Stone)' WHEN 1 THEN ' (but was Ada Stone while in Rome)' WHEN 2 THEN ' (Bo Stone)' WHEN 3 THEN ' (of Stone)' WHEN 4 THEN ' formerly Stone' ELSE ' (now one of the staff)' END"
+column("fn_alt_names", *PART, "names", lambda: H.alt_names(F.expr(ALT), [("small", "mini")]), "list_transform(flatten(list_transform(CASE WHEN split_part(p_name, ' ', 1) = 'small' THEN ['small', 'Mini'] ELSE [split_part(p_name, ' ', 1)] END, lambda f: list_transform(CASE WHEN p_partkey % 6 < 3 THEN [split_part(p_name, ' ', 2), 'Stone'] WHEN p_partkey % 6 = 4 THEN ['Stone'] ELSE [split_part(p_name, ' ', 2)] END, lambda l: f || ' ' || l))), lambda x: x)")
 column("fn_query_list", *PART, "queries", lambda: H.query_list("p_name", "p_brand"), "[p_name, p_name || ' ' || p_brand]")
 column("fn_ordered_distinct", *PART, "kept", lambda: H.ordered_distinct(F.array(F.upper("p_name"), F.col("p_name"), F.col("p_type"), F.lower("p_type"), F.lit("")), lambda x: F.lower(x)), "[upper(p_name), p_type]")
 column("fn_norm_affil", *PART, "affil", lambda: H.norm_affil(F.expr("'Department of ' || p_name || ', School of ' || p_type")), "p_name || ' ' || lower(p_type)")
-column("fn_token_overlap", *PART, "overlap", lambda: H.token_overlap(F.col("p_name"), F.expr("split_part(p_name, ' ', 2) || ' a b'")), "0.5::DOUBLE")
+column("fn_token_overlap", *PART, "overlap", lambda: H.token_overlap(F.col("p_name"), F.expr("split_part(p_name, ' ', 2) || CASE p_partkey % 4 WHEN 0 THEN ' a b' WHEN 1 THEN ' ' || p_name WHEN 2 THEN '' ELSE 'x' END")), "CASE p_partkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE")
 column("fn_token_containment", *PART, "held", lambda: H.token_containment(F.col("p_name"), F.lit("a large old gizmo plate")), "len(list_filter(string_split(p_name, ' '), lambda w: len(w) > 3)) > 0 AND 2 * len(list_filter(string_split(p_name, ' '), lambda w: len(w) > 3 AND contains('a large old gizmo plate', w))) >= len(list_filter(string_split(p_name, ' '), lambda w: len(w) > 3))")
 column("fn_inst_similarity", *PART, "similarity", lambda: H.inst_similarity(F.col("p_name"), F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'the ' || p_name || ' works' WHEN 2 THEN split_part(p_name, ' ', 1) ELSE 'none of it' END")), "CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN len(p_name) >= 8 THEN 0.75 ELSE 0.6 END WHEN 2 THEN 0.6 ELSE 0.0 END::DOUBLE")
 column("fn_country", "nation", "n_nationkey", "country", lambda: H.country(F.expr("' ' || n_name || '  '"), {"nation_1": "One", "nation_2": "Two"}), "CASE n_name WHEN 'NATION_1' THEN 'One' WHEN 'NATION_2' THEN 'Two' ELSE n_name END")
+column("fn_is_us", "supplier", "s_suppkey", "us", lambda: H.is_us(F.expr("CASE s_suppkey % 4 WHEN 0 THEN ' usa' WHEN 1 THEN 'United   States ' WHEN 2 THEN 'Nation ' || s_nationkey END"), {"usa": "United States"}), "s_suppkey % 4 < 2")
 column("fn_us_state", "supplier", "s_suppkey", "state", lambda: H.us_state(F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'ny' WHEN 1 THEN 'New  York' WHEN 2 THEN 'Nowhere' ELSE 'CA' END"), F.expr("CASE WHEN s_nationkey < 12 THEN 'United States' ELSE 'Elsewhere' END"), {"new york": "NY", "california": "CA"}), "CASE WHEN s_nationkey < 12 THEN CASE s_suppkey % 4 WHEN 0 THEN 'NY' WHEN 1 THEN 'NY' WHEN 2 THEN NULL ELSE 'CA' END END")
 column("fn_levenshtein", *PART, "distance", lambda: F.levenshtein(F.col("p_name"), F.lit("small gear"), 3), "CASE WHEN levenshtein(p_name, 'small gear') > 3 THEN -1 ELSE levenshtein(p_name, 'small gear') END::INTEGER")
 column("fn_names_compatible", *PART, "compatible", lambda: H.names_compatible(F.col("p_name"), F.expr("CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 1 THEN left(p_name, 1) || 'x ' || split_part(p_name, ' ', 2) ELSE 'zz ' || split_part(p_name, ' ', 2) END")), "p_partkey % 3 < 2")
@@ -89,31 +91,43 @@ def fn_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fn_ro_ratio")
 def fn_ro_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of distinct part names that share a first letter of the noun and lengths near enough for .6."""
+    """Similarity of the pairs of distinct part names that reach .75."""
+    from heddle.operators.match import near_pairs
+
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a")), names.select(F.col("p_name").alias("b"))
-    near = F.least(F.length("a"), F.length("b")) * 2 >= 0.6 * (F.length("a") + F.length("b"))
-    block = F.substring(F.substring_index("a", " ", -1), 1, 1) == F.substring(F.substring_index("b", " ", -1), 1, 1)
-    return a.join(b, block & near).select("a", "b", H.ro_ratio("a", "b").alias("ratio"))
+    pairs = near_pairs(names.select(F.col("p_name").alias("probe")), names.select(F.col("p_name").alias("name")), 0.75)
+    return pairs.select(F.col("probe").alias("a"), F.col("name").alias("b"), H.ro_ratio("probe", "name").alias("ratio")).where("ratio >= 0.75")
+
+
+#: Names as people write them, made of the words of a part and of its place in the table.
+SPELLED = "CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, 1) || ' ' || split_part(p_name, ' ', 2) WHEN 2 THEN p_name || 's' WHEN 3 THEN split_part(p_name, ' ', 1) || ' van ' || split_part(p_name, ' ', 2) WHEN 4 THEN left(p_name, 4) || ' ' || split_part(p_name, ' ', 2) WHEN 5 THEN split_part(p_name, ' ', 1) || 'e ' || split_part(p_name, ' ', 2) || 'gear' ELSE left(p_name, 1) || ' ' || split_part(p_name, ' ', 2) || 'gearx' END"
 
 
 @register("fn_same_person")
 def fn_same_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reason ladder over distinct part names blocked by family name or given name."""
-    n = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("f"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("l")).distinct()
-    a, b = n.select(F.col("f").alias("f1"), F.col("l").alias("l1")), n.select(F.col("f").alias("f2"), F.col("l").alias("l2"))
-    pairs = a.join(b, F.col("l1") == F.col("l2")).unionByName(a.join(b, (F.col("f1") == F.col("f2")) & (F.col("l1") != F.col("l2"))))
-    rated = pairs.withColumn("rf", H.ro_ratio("f1", "f2")).withColumn("rl", H.ro_ratio("l1", "l2"))
-    return rated.select("f1", "l1", "f2", "l2", H.same_person(F.col("f1"), F.col("l1"), F.col("f2"), F.col("l2"), GROUPS, F.col("rf"), F.col("rl")).alias("reason"))
+    """Reason ladder over all pairs of distinct spellings whose last tokens are equal or near; others have none."""
+    from heddle.operators.match import near_pairs
+
+    n = table(spark, sf_dir, "part").select(H.norm_person(F.expr(SPELLED)).alias("name")).distinct().withColumn("last", H.ends(F.col("name"))[1])
+    lasts = n.select("last").distinct()
+    near = near_pairs(lasts.select(F.col("last").alias("probe")), lasts.select(F.col("last").alias("name")), 0.9).withColumn("rl", H.ro_ratio("probe", "name")).where("rl >= 0.9")
+    a, b = n.select(F.col("name").alias("a"), F.col("last").alias("probe")), n.select(F.col("name").alias("b"), F.col("last").alias("name"))
+    pairs = near.join(a, "probe").join(b, "name").select("a", "b", "rl").withColumn("rf", H.ro_ratio(H.ends(F.col("a"))[0], H.ends(F.col("b"))[0]))
+    return pairs.select("a", "b", H.same_person(F.col("a"), F.col("b"), GROUPS, F.col("rf"), F.col("rl")).alias("reason")).where("reason is not null")
 
 
 @register("fn_coauthors", """
-WITH t AS (SELECT l_orderkey AS k, p_name AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
-d AS (SELECT DISTINCT k, n FROM t)
-SELECT k AS l_orderkey, split_part(n, ' ', 1) || '::' || split_part(n, ' ', 2) AS author_key, n AS display FROM d""")
+WITH t AS (SELECT l_orderkey AS id, l_linenumber AS ord, p_name AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
+own AS (SELECT id, arg_min(n, (ord, n)) AS n FROM t GROUP BY id),
+d AS (SELECT t.id, t.n FROM t ANTI JOIN own ON own.id = t.id AND own.n = t.n UNION SELECT id, n || ' senior' FROM t WHERE ord = 3),
+k AS (SELECT id, split_part(n, ' ', 1) || '::' || split_part(n, ' ', -1) AS author_key, arg_max(n, (len(string_split(n, ' ')), len(n), n)) AS display FROM d GROUP BY 1, 2)
+SELECT id, author_key, display FROM k WHERE NOT EXISTS (SELECT 1 FROM k x WHERE x.id = k.id AND starts_with(x.display, k.display || ' '))""")
 def fn_coauthors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Author text of each order (its parts as "Last, First") taken apart again: one row per key, longest display."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    text = items.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.expr("split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1)")), "; ").alias("authors"))
-    names = text.select("l_orderkey", F.explode(H.tokenize_names("authors")).alias("display")).withColumn("author_key", F.expr("split_part(display, ' ', 1) || '::' || split_part(display, ' ', -1)"))
-    return names.groupBy("l_orderkey", "author_key").agg(F.max_by("display", F.struct(F.size(F.split("display", " ")), F.length("display"))).alias("display"))
+    """Author text of each order (its parts as "Last, First", the third also with a suffix) taken apart again, without the first part."""
+    from heddle.operators.describe import coauthors
+
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey AS id", "l_linenumber", "p_name")
+    text = "split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) || CASE WHEN l_linenumber = 3 THEN ' and ' || p_name || ' senior.' ELSE '; Solo' END"
+    works = items.select("id", F.col("l_linenumber").alias("at"), F.expr(text).alias("authors"))
+    own = items.groupBy("id").agg(F.min_by("p_name", F.struct("l_linenumber", "p_name")).alias("name"))
+    return coauthors(works, own)

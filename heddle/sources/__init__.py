@@ -98,13 +98,10 @@ def entity_documents(rows: DataFrame, key: str, children: DataFrame, order: str,
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """rows with batch number: consecutive in order, size rows each. Positions come from per-range counts, so no
-    task sorts all rows: ranges are ordered, and each row's place is its range's offset plus its place in it."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    placed = ranged.join(F.broadcast(offsets), "__part").withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    return placed.withColumn("batch", F.floor((F.col("__before") + F.col("__k") - 1) / size)).drop("__part", "__before", "__k")
+    """rows with batch number: consecutive in order, size rows each; no task sorts all rows."""
+    from heddle.operators.describe import positions
+
+    return positions(rows, "__at", F.col(order)).withColumn("batch", F.floor((F.col("__at") - 1) / size)).drop("__at")
 
 
 def write_validated(df: DataFrame, staging: str, target: str, rules: DataFrame) -> bool:

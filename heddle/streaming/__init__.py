@@ -1,4 +1,4 @@
-"""Newly arriving exports as a stream: new ids once each, matched by the batch operator."""
+"""Newly arriving exports as a stream: new ids once each, handed to batch operators."""
 
 from __future__ import annotations
 
@@ -9,12 +9,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def new_responses(stream: DataFrame, id_column: str, time_column: str, lateness: str = "7 days") -> DataFrame:
-    """Rows of a stream whose id was not seen within the lateness; state is bounded by the watermark, and later
-    arrivals go through the batch path."""
+    """Rows of a stream whose id was not seen within the lateness; state is bounded by the watermark. Rows that come
+    later than that are dropped: for those, and for exports in any order, take response_delta."""
     return stream.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark([id_column])
 
 
-def response_delta(spark: SparkSession, folder: str, schema: str, id_column: str, time_column: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs through the files that lie in the folder, gives each micro-batch of new rows to handle, and ends."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(folder)
-    return new_responses(stream, id_column, time_column).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def response_delta(spark: SparkSession, folder: str, schema: str, id_column: str, keep: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files: int = 100) -> StreamingQuery:
+    """Runs through the files that lie in the folder and writes each id's row once below out, then ends.
+
+    A micro-batch takes so many files; its rows are held against the ids that earlier batches wrote, so neither the
+    order of arrival nor the number of files changes which ids come out, however late they are. keep is applied to
+    the rows of a batch (for instance an anti-join with a baseline). A batch that is run again writes its folder anew.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        new = keep(batch.dropDuplicates([id_column]))
+        if number:
+            seen = batch.sparkSession.read.schema(f"{schema}, batch int").parquet(out).where(f"batch < {number}").select(id_column)
+            new = new.join(seen, id_column, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,6 +46,5 @@ def test_matches_oracle(spark, duck, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
-def test_runs_without_oracle(spark, name):
-    assert plans.queries()[name](spark, DATA).count() >= 0
+def test_queries_without_oracle_are_held_against_python():
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"fn_ro_ratio", "fn_same_person", "join_fuzzy_name", "join_fuzzy_single"}  # tests/test_brute_force.py
