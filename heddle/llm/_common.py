@@ -7,6 +7,7 @@ Nothing in the rest of the library imports this subpackage.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,9 +34,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from spark.checkpoint.dir; a temporary one where unset (tests)."""
+    """Folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset and Spark
+    runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
         base = _own["dir"]

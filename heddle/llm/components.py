@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Edges of each partition without those between ends that its earlier edges connect: no more than it has ends."""
+
+    def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while parent.setdefault(top, top) != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            keep = []
+            for i, (u, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return edges.mapInArrow(thin, "u long, v long")
+
+
 #: Distinct edges up to which one partition holds them all, so that rounds need no exchange; more are dealt out.
 ONE_PARTITION = 200_000
 
@@ -33,7 +62,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     two numbers a round. The number of rounds grows with the logarithm of the longest path.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now = staged(now, "edges")
+    now = staged(_forest(now), "edges")
     small = now.count() <= ONE_PARTITION
     seen = None
     for _ in range(rounds):

@@ -3,25 +3,35 @@
 In each pass vectors get a key of several concatenated random hashes (the largest coordinate, with its sign,
 after a random projection), are ordered lexicographically by it over the whole cluster, and compared with a
 bounded number of neighbours in that order; pairs whose cosine reaches the threshold are united across passes.
+
+How many passes a table needs depends on its size and on how dense it is, so it is measured: passes run in rounds with
+hashes of their own, and of two independent samples of the links the share that both have tells how many neither has
+found (as a census does by capture and recapture). Rounds go on until that estimate of the recall reaches its target.
+The number of hashes in a key grows with the logarithm of the number of vectors.
+
 Every link lies within a component, so exact counts of links need comparisons within components only; these are
 taken block by block as matrix products that give a count per vector, and no pair is emitted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import staged
 from .components import components
 
-#: Passes, hashes in a key, neighbours compared to either side, vectors in a block.
-PASSES, HASHES, REACH, BLOCK = 20, 4, 12, 2048
+#: Passes in a round, least hashes in a key, neighbours compared to either side, vectors in a block.
+PASSES, HASHES, REACH, BLOCK = 8, 4, 12, 512
+#: Estimated share of all links that passes must have found.
+RECALL = 0.985
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -30,23 +40,32 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec (bytes of its doubles; null where it can link with nothing)."""
+    """vec_id and vec (bytes of its doubles, the largest component made 1 in size; null where it can link with
+    nothing). Scaled like this, squares neither overflow nor vanish, and vectors of one direction stay links."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                v = np.array([np.nan if y is None else y for y in x or ()], "<f8")
-                with np.errstate(over="ignore"):
-                    size = float(np.sqrt((v * v).sum())) if len(v) else 0.0
-                out.append(v.tobytes() if np.isfinite(size) and size > 0 else None)
+            col = batch.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
+            flat = col.flatten()
+            values = np.where(np.asarray(flat.is_valid()), flat.fill_null(0.0).to_numpy(zero_copy_only=False), np.nan).astype("<f8")
+            ends = np.cumsum(sizes)
+            out: list[bytes | None] = [None] * len(sizes)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    top = np.maximum.reduceat(np.abs(values), (ends - sizes)[some])
+                    good = np.isfinite(top) & (top > 0)
+                    scaled = values / np.repeat(np.where(good, top, 1.0), sizes[some])
+                for i in some[good].tolist():
+                    out[i] = scaled[ends[i] - sizes[i] : ends[i]].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "vec_id long, vec binary")
 
 
-def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """One row per vector and pass: lane (dimension and pass), key, rep, vec."""
+def _keyed(classes: DataFrame, first: int, passes: int, hashes: int, seed: int) -> DataFrame:
+    """One row per vector and pass (from number first on): lane (dimension and pass), key, rep, vec."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[tuple[int, int, int], np.ndarray] = {}
@@ -62,16 +81,16 @@ def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
                     some = [raw[i] for i in part]
                     x = _unit(some)
                     d = x.shape[1]
-                    for t in range(passes):
-                        key = np.zeros((len(part), HASHES), ">u4")
-                        for h in range(HASHES):
+                    for t in range(first, first + passes):
+                        key = np.zeros((len(part), hashes), ">u4")
+                        for h in range(hashes):
                             if (d, t, h) not in drawn:
                                 drawn[d, t, h] = np.random.default_rng((seed, d, t, h)).standard_normal((d, min(d, 128)))
                             y = x @ drawn[d, t, h]
                             top = np.abs(y).argmax(1)
                             key[:, h] = 2 * top + (y[np.arange(len(y)), top] > 0)
                         keys = [k.tobytes() for k in key]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d * 1000 + t), pa.int64()), pa.array(keys, pa.binary()), pa.array(reps[part]), pa.array(some, pa.binary())], ["lane", "key", "rep", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d * 1_000_000 + t), pa.int64()), pa.array(keys, pa.binary()), pa.array(reps[part]), pa.array(some, pa.binary())], ["lane", "key", "rep", "vec"])
 
     return classes.select("rep", "vec").mapInArrow(emit, "lane long, key binary, rep long, vec binary")
 
@@ -141,17 +160,43 @@ def _links(keyed: DataFrame, threshold: float, reach: int, parts: int) -> DataFr
     return made.where("border is null").select("u", "v").unionByName(borders).distinct()
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, reach: int = REACH, seed: int = 7) -> DataFrame:
+def found_links(classes: DataFrame, threshold: float, passes: int, reach: int, seed: int, recall: float) -> DataFrame:
+    """Pairs (u, v) of classes (rep, vec) that reach the threshold, an estimated share of recall of all of them."""
+    spark = classes.sparkSession
+    n, width = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    spread = 2 * min((width or 8) // 8, 128)
+    hashes = max(HASHES, math.ceil(math.log(max(n, 2), max(spread, 2))) + 1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    so_far, first = None, 0
+    while True:
+        fresh = staged(_links(_keyed(classes, first, passes, hashes, seed), threshold, reach, parts), "round")
+        first += passes
+        if so_far is None:
+            so_far = fresh
+            if n <= reach:
+                return so_far
+            continue
+        a, b = so_far.count(), fresh.count()
+        both = so_far.join(fresh, ["u", "v"]).count()
+        so_far = staged(so_far.unionByName(fresh).distinct(), "links")
+        if not a + b or (a and b and 1 - (1 - both / b) * (1 - both / a) >= recall):
+            return so_far
+
+
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, reach: int = REACH, seed: int = 7, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-    different dimension don't link. Equal vectors fall into one class before anything is compared. An empty
-    table stays empty. vec_id is a key; other columns are ignored.
+    different dimension don't link. Equal vectors fall into one class before anything is compared. Rows that repeat
+    a vec_id are vectors of their own, each counted, and a component's id is the least vec_id in it. A null vec_id
+    links like any other and never names a component, unless all its ids are null. An empty table stays empty; other
+    columns, whatever their names, are ignored.
     """
-    spark = vectors.sparkSession
     packed = staged(_classes(vectors), "vectors")
-    classes = staged(packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    edges = _links(_keyed(classes, passes, seed), threshold, reach, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    classes = packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # Numbered once, as the table is written; vec_id may repeat.
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    edges = found_links(classes.select("rep", "vec"), threshold, passes, reach, seed, recall)
     labels = components(edges)
 
     # Exact links within each component, in blocks of vectors against blocks of vectors.
@@ -173,8 +218,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "n": []}, dtype="int64")
 
     counts = one.groupBy("component_id", "i", "j").applyInPandas(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    by_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("vec", "weight", "rep", F.coalesce("component_id", "rep").alias("component"))
-    by_class = by_class.join(counts, "rep", "left").select(F.col("vec").alias("v"), "component", (F.coalesce("n", "weight") - 1).alias("links"))
+    named = classes.join(labels, classes["rep"] == labels["id"], "left").select("vec", "weight", "rep", "least", F.coalesce("component_id", "rep").alias("component"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = named.join(names, "component").join(counts, "rep", "left").select(F.col("vec").alias("v"), "component_id", (F.coalesce("n", "weight") - 1).alias("links"))
     out = packed.join(by_class, packed["vec"] == by_class["v"], "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

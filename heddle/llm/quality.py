@@ -44,24 +44,33 @@ def _repeat_words(grams: Column) -> Column:
     return let(let(ranked, repeated), covered)
 
 
+def _key(text: Column) -> Column:
+    """128 bits that stand for a document's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), text).cast("binary")))
+
+
+#: The measures of the base rules; frames hold them behind two underscores, so that no column of docs is lost.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def base_rules(docs: DataFrame) -> DataFrame:
-    """docs with __text, __key and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """docs with __text, __key, the MEASURES behind two underscores, and __failed."""
     out = once(docs, __text=F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = once(out, __key=F.xxhash64(F.col("doc_id"), F.col("__text")), __words=_words(F.col("__text")))
+    out = once(out, __key=_key(F.col("__text")), __words=_words(F.col("__text")))
     word = lambda i: F.get("__words", i)
     starts = F.when(F.size("__words") >= 3, F.sequence(F.lit(0), F.size("__words") - 3)).otherwise(F.array().cast("array<int>"))
     lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\n\x0b\f\r", "     "))) > 0)
-    out = once(out, n_words=F.size("__words").cast("long"), __grams=F.transform(starts, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))), __lines=lines).drop("__words")
+    out = once(out, __n_words=F.size("__words").cast("long"), __grams=F.transform(starts, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))), __lines=lines).drop("__words")
     some = F.size(F.array_distinct("__grams")) < F.size("__grams")
     out = once(
         out,
-        word_chars=(F.length("__text") - F.regexp_count("__text", F.lit(_SPACE))).cast("long"),
-        n_symbols=F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long"),
-        n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        n_repeat_words=F.when(some, _repeat_words(F.col("__grams"))).otherwise(F.lit(0).cast("long")),
+        __word_chars=(F.length("__text") - F.regexp_count("__text", F.lit(_SPACE))).cast("long"),
+        __n_symbols=F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long"),
+        __n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        __n_repeat_words=F.when(some, _repeat_words(F.col("__grams"))).otherwise(F.lit(0).cast("long")),
     ).drop("__grams", "__lines")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
+    return out.withColumn("__failed", failed)
 
 
 def _normal(line: Column) -> Column:
@@ -71,7 +80,7 @@ def _normal(line: Column) -> Column:
 def frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """__key, line (hash of the normalised line) and words (of the line in that document, all occurrences) of
     the lines that stand in more than max_documents distinct documents of their host."""
-    rows = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"), F.col(host).cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).withColumn("__key", _key(F.col("__text")))
     split = F.filter(F.transform(F.split("__text", "\n"), _normal), lambda x: x != "")
     rows = once(rows.select("__key", "host", "__text"), lines=F.transform(split, lambda x: F.struct(F.unhex(F.md5(x.cast("binary"))).alias("line"), F.size(F.split(x, " ")).alias("words"))))
     sets = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.hex(x["line"]))))
@@ -84,13 +93,14 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = M
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """doc_id, the base measures, n_left_words, base_failed and kept for every row of docs.
+    """doc_id, the base measures, n_left_words, base_failed and kept for every row of docs (doc_id, text, host).
 
     kept is false where base_failed, or where lines above the limit are removed and the words left are fewer
     than min_left_percent of all. Null text has no words and fails; a null host is a host of its own. Rows of
-    the same doc_id and text count as one document. An empty table stays empty. Other columns are ignored.
+    the same doc_id and text count as one document. Very long texts are measured whole. An empty table stays empty.
+    Other columns, whatever their names, are ignored.
     """
-    measured = base_rules(docs).select("doc_id", "__key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    measured = base_rules(docs.select("doc_id", "text")).select("doc_id", "__key", *[F.col(f"__{m}").alias(m) for m in MEASURES], F.col("__failed").alias("base_failed"))
     removed = frequent_lines(docs, host, max_documents).groupBy("__key").agg(F.sum("words").alias("gone"))
     out = measured.join(removed, "__key", "left").withColumn("n_left_words", F.greatest(F.lit(0), F.col("n_words") - F.coalesce("gone", F.lit(0))))
     depleted = F.col("gone").isNotNull() & (100 * F.col("n_left_words") < min_left_percent * F.col("n_words"))
@@ -100,12 +110,13 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MA
 def apply_quality(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """docs without the rejected documents, and without the lines above the limit in those that stay.
 
-    Columns are those of docs; n_chars, where there is one, is counted again.
+    Columns are those of docs, also where a name is that of a measure; n_chars, where there is one, is counted again.
+    Nulls, short texts, repeated rows and an empty table are treated as in quality_rules.
     """
     lines = frequent_lines(docs, host, max_documents).groupBy("__key").agg(F.sum("words").alias("__gone"), F.collect_set("line").alias("__over"))
-    out = base_rules(docs).where("not base_failed").join(lines, "__key", "left")
-    left = F.col("n_words") - F.coalesce("__gone", F.lit(0))
-    out = out.where(F.col("__gone").isNull() | (100 * left >= min_left_percent * F.col("n_words")))
+    out = base_rules(docs).where("not __failed").join(lines, "__key", "left")
+    left = F.col("__n_words") - F.coalesce("__gone", F.lit(0))
+    out = out.where(F.col("__gone").isNull() | (100 * left >= min_left_percent * F.col("__n_words")))
     keep = F.filter(F.split("__text", "\n"), lambda x: ~F.array_contains("__over", F.unhex(F.md5(_normal(x).cast("binary")))))
     text = F.when(F.col("__over").isNull(), F.col("__text")).otherwise(F.array_join(keep, "\n"))
     out = out.withColumn("__new", text)
@@ -123,8 +134,8 @@ ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d),
 l2 AS (SELECT doc_id, source, raw, trim(regexp_replace(lower(raw), '[ \t-\r]+', ' ', 'g')) AS line FROM ln WHERE regexp_matches(raw, '[^ \t-\r]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM l2 GROUP BY doc_id),
 l3 AS (SELECT doc_id, source, md5(line) AS line, sum(len(string_split(line, ' '))) AS words FROM l2 GROUP BY ALL),
-sig AS (SELECT doc_id, min(line) AS a, max(line) AS b FROM l3 GROUP BY doc_id),
-over_limit AS (SELECT source, line FROM l3 JOIN sig USING (doc_id) GROUP BY source, line HAVING count(DISTINCT (a, b)) > 100),
+sig AS (SELECT doc_id, md5(string_agg(line, '' ORDER BY line)) AS whole FROM l3 GROUP BY doc_id),
+over_limit AS (SELECT source, line FROM l3 JOIN sig USING (doc_id) GROUP BY source, line HAVING count(DISTINCT whole) > 100),
 gone AS (SELECT doc_id, sum(words) AS n FROM l3 JOIN over_limit USING (source, line) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

@@ -9,10 +9,14 @@ and two sets agree in a register with a probability near their Jaccard similarit
    member is first paired with one centre; pairs of which the joint likelihood of the registers rules out the
    threshold are dropped, and the others are verified on full shingle sets.
 3. Where members of a bucket still stand in different components, those outside the bucket's largest component
-   are held against all its members, block by block: a task gets two blocks of bounded size with their texts,
-   counts all intersections exactly with a product of incidence matrices, and returns one link for each two
-   components that it finds linked. So no pairs are emitted, no task takes a whole bucket, and no pair of a
-   bucket is left out but those that are in one component already.
+   are held against all its members, block by block. A task gets two blocks of bounded size with their registers and
+   tells which documents have a partner that is of another component, of a size that may do, not ruled out by the
+   likelihood, and shares no earlier band (each pair has one bucket to itself). Blocks of the documents that have one
+   go on with their texts: a task counts all their intersections exactly with a product of incidence matrices, and
+   returns one link for each two components that it finds linked. So no pairs are emitted, no task takes a whole
+   bucket, and no pair of a bucket is left out but those that are in one component already.
+
+Documents are known inside by the number of their class, so ids may repeat.
 """
 
 from __future__ import annotations
@@ -80,8 +84,14 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
     return _GRID[np.argmax(fit, axis=1)]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th (hash of the text)."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set (null for none) and its registers (little-endian uint16)."""
+    """doc_id, th (hash of the text), n_shingles, two digests of the set (0 for none), registers (little-endian uint16)."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,12 +105,20 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 width = regs.shape[1] * 2
                 raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(regs.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)), pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), raw],
-                    ["doc_id", "n_shingles", "digest_a", "digest_b", "registers"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)), pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)), raw],
+                    ["doc_id", "th", "n_shingles", "digest_a", "digest_b", "registers"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, digest_a long, digest_b long, registers binary")
+    return _rows(docs).mapInArrow(sketch, "doc_id long, th long, n_shingles long, digest_a long, digest_b long, registers binary")
+
+
+def _buckets(registers: list[bytes]) -> np.ndarray:
+    """(n, BANDS) buckets: hashes of a band's registers and its number."""
+    regs = np.frombuffer(b"".join(registers), "<u2").reshape(len(registers), -1).astype(U64)
+    h = np.tile(mix64(np.arange(1, BANDS + 1, dtype=U64)), (len(regs), 1))
+    for r in range(ROWS):
+        h = mix64(h * U64(0x9E3779B97F4A7C15) + regs[:, r::ROWS])
+    return h
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -110,10 +128,7 @@ def _bands(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = np.stack([np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]).astype(U64)
-            h = np.tile(mix64(np.arange(1, BANDS + 1, dtype=U64)), (len(regs), 1))
-            for r in range(ROWS):
-                h = mix64(h * U64(0x9E3779B97F4A7C15) + regs[:, r::ROWS])
+            h = _buckets(batch.column(1).to_pylist())
             ids = np.repeat(np.asarray(batch.column(0)), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(ids)], ["bucket", "doc_id"])
 
@@ -163,17 +178,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(compare, "u long, v long")
 
 
-def _across_blocks(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) between components within buckets; mixed has bucket, doc_id, label and the bucket's main label.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, doc_id, label, main) by pairs of blocks: bucket, i, j, side, doc_id, label.
 
     A bucket's q documents outside its main component and all its m documents are dealt by a hash into blocks of
     about BLOCK; each of the first meets each of the second, so a document is sent q / BLOCK or m / BLOCK times.
     """
-    size = mixed.groupBy("bucket").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).cast("int").alias("a"), F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
-    rows = mixed.join(size, "bucket").withColumn("h", F.xxhash64("doc_id"))
+    size = rows.groupBy("bucket").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).cast("int").alias("a"), F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
+    rows = rows.join(size.where("a > 0"), "bucket").withColumn("h", F.xxhash64("doc_id"))
     mine = rows.where("label <> main").select("bucket", "doc_id", "label", F.lit(0).alias("side"), F.pmod("h", F.col("a")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"))
     all_ = rows.select("bucket", "doc_id", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), F.pmod("h", F.col("b")).cast("int").alias("j"))
-    dealt = mine.unionByName(all_).join(texts, "doc_id").select("bucket", "i", "j", "side", "doc_id", "label", "text")
+    return mine.unionByName(all_)
+
+
+def _plausible(mixed: DataFrame, lean: DataFrame, least: float) -> DataFrame:
+    """(bucket, doc_id) of the documents of mixed that may have a link in their bucket, by registers and sizes alone."""
+    dealt = _dealt(mixed).join(lean, "doc_id").select("bucket", "i", "j", "side", "doc_id", "label", "n_shingles", "registers")
+    share = int((least + MARGIN) * 100 + 0.5)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        side, ids, label, size = (pdf[c].to_numpy() for c in ("side", "doc_id", "label", "n_shingles"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        low, high = np.minimum(size[left][:, None], size[right]), np.maximum(size[left][:, None], size[right])
+        r, c = np.nonzero((label[left][:, None] != label[right]) & (low * 100 >= high * share))
+        bands = _buckets(pdf["registers"].tolist())
+        regs = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(len(pdf), -1)
+        here = np.full(1, pdf["bucket"].iloc[0]).view(U64)[0]
+        kept = np.zeros(len(pdf), bool)
+        for k in range(0, len(r), 1 << 13):
+            a, b = left[r[k : k + (1 << 13)]], right[c[k : k + (1 << 13)]]
+            alike = bands[a] == bands[b]
+            own = bands[a, alike.argmax(1)] == here
+            a, b = a[own], b[own]
+            likely = likely_similarity(regs[a], regs[b], size[a].astype(float), size[b].astype(float)) >= least
+            kept[a[likely]] = kept[b[likely]] = True
+        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy()[kept], "doc_id": ids[kept]}).drop_duplicates()
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "bucket long, doc_id long").distinct()
+
+
+def _across_blocks(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components within buckets; mixed has bucket, doc_id, label and the bucket's main label."""
+    dealt = _dealt(mixed).join(texts, "doc_id").select("bucket", "i", "j", "side", "doc_id", "label", "text")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets, at = shingle_sets(*text_buffers(pa.array(pdf["text"], pa.string())), k)
@@ -212,24 +258,25 @@ def _across_blocks(mixed: DataFrame, texts: DataFrame, k: int, percent: int) ->
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text, ...).
-
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct k-word shingles, or the whole
-    sequence as one where there are fewer words. Null, empty and wordless texts have the empty set and link
-    with nothing. Ids that repeat are one document per row; a null doc_id links with nothing and is kept.
-    An empty table gives an empty result. Other columns are ignored.
-    """
+def _linked(docs: DataFrame, k: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches (doc_id, th, n_shingles, digests), and classes of equal sets: digests, n_shingles, doc_id and th of
+    one document of the class, the least doc_id of the class's component, and first: whether the class holds it."""
     least = percent / 100 - MARGIN
     made = staged(sketches(docs, k), "sketch")
     named = made.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(named.groupBy("digest_a", "digest_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "class")
-    reps = staged(named.join(classes.select(F.col("rep").alias("doc_id"), "digest_a", "digest_b", "n_shingles"), ["doc_id", "digest_a", "digest_b", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "digest_a", "digest_b"]).select("doc_id", "n_shingles", "registers"), "reps")
+    digest = ["digest_a", "digest_b", "n_shingles"]
+    # Classes are numbered once, as their table is written.
+    classes = named.groupBy(*digest).agg(F.min(F.struct("doc_id", "th")).alias("one")).select(*digest, F.col("one.doc_id").alias("least"), "one.th").withColumn("rep", F.monotonically_increasing_id())
+    classes = staged(classes, "class")
+    numbers = classes.select(F.col("least").alias("doc_id"), "th", *digest, "rep")
+    reps = named.join(numbers, ["doc_id", "th", *digest]).select(F.col("rep").alias("doc_id"), "n_shingles", "registers").dropDuplicates(["doc_id"])
+    reps = staged(reps, "reps")
     bands = _bands(reps)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("centre")).where("m > 1")
     members = staged(bands.join(shared.select("bucket", "centre"), "bucket"), "bands")
     wanted = members.select("doc_id").distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    asked = numbers.join(wanted.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "th", "rep")
+    texts = staged(_rows(docs).join(asked, ["doc_id", "th"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     lean = staged(reps.join(wanted, "doc_id", "left_semi"), "lean")
 
     pairs = members.where("doc_id <> centre").select(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).distinct()
@@ -249,15 +296,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     largest = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     mixed = staged(placed.join(largest.select("bucket", "main"), "bucket"), "mixed")
     if mixed.limit(1).count():
+        mixed = staged(mixed.join(_plausible(mixed, lean, least), ["bucket", "doc_id"], "left_semi"), "plausible")
         edges = edges.unionByName(staged(_across_blocks(mixed, texts, k, percent), "links"))
         labels = components(edges)
 
-    by_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest_a", "digest_b", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component"))
-    out = made.join(by_class, (made["digest_a"] == by_class["digest_a"]) & (made["digest_b"] == by_class["digest_b"]) & (made["n_shingles"] == by_class["n"]) & made["doc_id"].isNotNull(), "left")
+    placed = classes.join(labels, classes["rep"] == labels["id"], "left").select(*digest, F.col("least").alias("doc_id"), "th", "rep", F.coalesce("component_id", "rep").alias("label"))
+    firsts = placed.groupBy("label").agg(F.min(F.struct("doc_id", "rep")).alias("x")).select("label", F.col("x.doc_id").alias("component"), F.col("x.rep").alias("first"))
+    return made, placed.join(firsts, "label").select(*digest, "doc_id", "th", "component", (F.col("rep") == F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text, ...).
+
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct k-word shingles, or the whole
+    sequence as one where there are fewer words. Null, empty and wordless texts have the empty set and link
+    with nothing. Ids that repeat are documents of their own, whatever the order of rows; a null doc_id links with
+    nothing and is kept. Very long texts are read whole. An empty table gives an empty result. Other columns,
+    whatever their names, are ignored.
+    """
+    made, classes = _linked(docs, k, percent, star_rounds)
+    digest = ["digest_a", "digest_b", "n_shingles"]
+    by_class = classes.select(*[F.col(c).alias(f"c_{c}") for c in digest], "component")
+    out = made.join(by_class, (made["digest_a"] == F.col("c_digest_a")) & (made["digest_b"] == F.col("c_digest_b")) & (made["n_shingles"] == F.col("c_n_shingles")) & made["doc_id"].isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one of least doc_id (of rows that repeat in id and
+    text, any). Rows without words or with a null doc_id stay. Columns are those of docs, whatever their names."""
+    made, classes = _linked(docs, k, percent, star_rounds)
+    kept = classes.where("first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(True).alias("__first"))
+    linked = made.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "th").agg(F.count("*").alias("__copies")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__copies")
+    marks = staged(linked.join(kept, ["__id", "__th"], "left").where("__first is null or __copies > 1"), "marks")
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.col("text").cast("string"))}).join(marks, ["__id", "__th"], "left")
+    once = rows.where("__copies is null").select(*docs.columns)
+    again = rows.where("__first and __copies > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    return once.unionByName(again)
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends stand in different components."""
     a = labels.select(F.col("id").alias("u"), F.col("component_id").alias("cu"))

@@ -69,9 +69,10 @@ PATTERN = re.compile(
         )
     )
 )
-#: A cheap native test that every text with an entity passes: a digit or @, a value behind = or :, a title, or a
-#: given name. The look-ahead rejects most positions before the names are tried.
-_PREFILTER = r"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_+/=-]{8}|(?=[A-Z\u0370-\u04FF])(?:" + _TITLE + "|" + _FIRST + r")\b"
+#: A native test that every text with an entity passes: a digit of any script or @, a word that announces a secret, or
+#: a title or given name with the space that follows it. Word borders are left out, which Java and Python see in
+#: different places; the look-ahead rejects most positions before the names are tried.
+_PREFILTER = r"[\p{Nd}@]|(?iu:token|secret|passw|api[_-]?key|access[_-]?key)|(?=[A-Z\u0370-\u04FF])(?:(?:" + _TITLE + r")\.? |(?:" + _FIRST + ") )"
 
 _COUNTRY_CODE = re.compile(r"\+\d{1,3}")
 
@@ -167,7 +168,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         pool = GIVEN[script, gender] if gender else GIVEN[script, "f"] + GIVEN[script, "m"]
         return gender + ":" + _grown(pool, attempt, draw)
     if kind == "family":
-        return _grown(FAMILY[_script(entity)], attempt, draw)
+        return _grown(_family_pool(entity), attempt, draw)
     if kind == "hex":
         return "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
     if attempt >= WIDER and kind == "secret":
@@ -176,6 +177,20 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return "".join("0123456789abcdef"[draw.below(16)] if hexadecimal else _like(c, draw) for c in entity)
 
 
+#: Endings of women's family names in Russian, and of names in Greek that only men have.
+WOMEN, MEN = ("ова", "ева", "ёва", "ина", "ына", "ая"), "ς"
+
+
+def _family_pool(entity: str) -> list[str]:
+    """Family names of the entity's script, in the form for its gender where the script tells one."""
+    script = _script(entity)
+    if script == "cyrillic" and entity.endswith(WOMEN):
+        return [n + "а" for n in FAMILY[script]]
+    if script == "greek":
+        return [n for n in FAMILY[script] if entity.endswith(MEN) or not n.endswith(MEN)]
+    return FAMILY[script]
+
+
 def _grown(pool: list[str], attempt: int, draw: _Stream) -> str:
     """A name of the pool; from the second attempt on a double name, then longer ones, so that there are enough."""
     return "-".join(pool[draw.below(len(pool))] for _ in range(1 + (attempt + 1) // 2))
@@ -237,15 +252,17 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """kind and entity (canonical form) of every occurrence in docs."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """__key, kind and entity (canonical form) of the distinct entities of each text, from rows (__text, __key)."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x for t in batch.column(0).to_pylist() for x in found(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.string())], ["kind", "entity"])
+            texts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(k, *x) for t, k in zip(texts, keys, strict=True) for x in sorted({y[2:] for y in found(t)})]
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["__key", "kind", "entity"])
 
-    return docs.select(_text().alias("t")).where(F.col("t").rlike(_PREFILTER)).mapInArrow(scan, "kind string, entity string")
+    return texts.select("__text", "__key").where(F.col("__text").rlike(_PREFILTER)).mapInArrow(scan, "__key long, kind string, entity string")
 
 
 def _form(kind: str, canonical: str) -> str:
@@ -289,31 +306,26 @@ def assign(distinct: DataFrame, key: bytes = DEFAULT_KEY, rounds: int = ROUNDS)
 
 def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, with_spans: bool = False) -> DataFrame:
     """docs with text in which every entity is replaced; with_spans adds spans (kind, start, stop, surrogate,
-    positions in code points of the new text). Other columns stay, but n_chars is counted again.
+    positions in code points of the new text), in place of a column of that name. Other columns stay, but n_chars is
+    counted again.
 
-    Null text becomes empty, empty text and text without entities stay as they are, and rows that repeat are
-    replaced alike. An empty table stays empty.
+    Null text becomes empty, empty text and text without entities stay as they are, very long texts are read whole,
+    and rows that repeat are replaced alike. An empty table stays empty.
     """
-    mapping = assign(entities(docs).distinct(), key)
-    late = mapping.where("attempt > 0").select("kind", "entity", "attempt")
-    rest = [c for c in docs.columns if c not in ("text", "spans")]
+    rest = [c for c in docs.columns if c != "text"]
     plain = docs.select(*rest, _text().alias("__text")).withColumn("__key", F.xxhash64("__text"))
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, x[2], x[3]) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in found(t)]
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["__key", "kind", "entity"])
-
+    # Texts are read for entities once; what is found serves the draws and the documents' late attempts.
+    known = staged(occurrences(plain), "entities")
+    mapping = assign(known.select("kind", "entity").distinct(), key)
+    late = mapping.where("attempt > 0").select("kind", "entity", "attempt")
     # Attempts beyond the first, gathered by text: documents without such entities meet an empty side.
-    where = plain.where(F.col("__text").rlike(_PREFILTER)).select("__text", "__key").mapInArrow(keyed, "__key long, kind string, entity string")
-    tweaks = staged(where.join(late, ["kind", "entity"]).distinct().groupBy("__key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("__late")), "tweaks")
+    tweaks = staged(known.join(late, ["kind", "entity"]).distinct().groupBy("__key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("__late")), "tweaks")
     if tweaks.limit(1).count():
         plain = plain.join(tweaks, "__key", "left")
     else:
         plain = plain.withColumn("__late", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
     span = "array<struct<kind:string,start:int,stop:int,surrogate:string>>"
-    schema = plain.select(*rest).schema.add("text", "string").add("spans", T.DataType.fromDDL(span))
+    schema = plain.select(*rest).schema.add("text", "string").add("__spans", T.DataType.fromDDL(span))
     width = len(rest)
 
     def swap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,16 +349,17 @@ def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, with_spans: bool
                 texts.append("".join([*out, text[pos:]]))
                 spans.append(mine)
             kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("surrogate", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string()), pa.array(spans, kinds)], [*rest, "text", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string()), pa.array(spans, kinds)], [*rest, "text", "__spans"])
 
     # Texts without an entity skip Python.
     some = F.col("__text").rlike(_PREFILTER)
     swapped = plain.where(some).select(*rest, "__text", "__late").mapInArrow(swap, schema)
-    same = plain.where(~some).select(*rest, F.col("__text").alias("text"), F.array().cast(span).alias("spans"))
+    same = plain.where(~some).select(*rest, F.col("__text").alias("text"), F.array().cast(span).alias("__spans"))
     out = swapped.unionByName(same)
     cols = [*docs.columns] if "text" in docs.columns else [*docs.columns, "text"]
     fresh = {"n_chars": F.length("text").cast("long").alias("n_chars")}
-    return out.select(*[fresh.get(c, F.col(c)) for c in cols if c != "spans"], *(["spans"] if with_spans else []))
+    spans = [F.col("__spans").alias("spans")] if with_spans else []
+    return out.select(*[fresh.get(c, F.col(c)) for c in cols if not (with_spans and c == "spans")], *spans)
 
 
 def surrogate_digest(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
