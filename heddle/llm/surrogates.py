@@ -166,9 +166,9 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         gender, _, name = entity.partition(":")
         script = _script(name)
         pool = GIVEN[script, gender] if gender else GIVEN[script, "f"] + GIVEN[script, "m"]
-        return gender + ":" + _grown(pool, attempt, draw)
+        return gender + ":" + _grown(pool, name, attempt, draw)
     if kind == "family":
-        return _grown(_family_pool(entity), attempt, draw)
+        return _grown(_family_pool(entity), entity, attempt, draw)
     if kind == "hex":
         return "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
     if attempt >= WIDER and kind == "secret":
@@ -191,9 +191,10 @@ def _family_pool(entity: str) -> list[str]:
     return FAMILY[script]
 
 
-def _grown(pool: list[str], attempt: int, draw: _Stream) -> str:
-    """A name of the pool; from the second attempt on a double name, then longer ones, so that there are enough."""
-    return "-".join(pool[draw.below(len(pool))] for _ in range(1 + (attempt + 1) // 2))
+def _grown(pool: list[str], own: str, attempt: int, draw: _Stream) -> str:
+    """A name of the pool, which is never one's own, nor has it as a part; from the second attempt on a double name, then longer ones, so that there are enough."""
+    others = [n for n in pool if n.lower() not in own.lower().split("-")] or pool
+    return "-".join(others[draw.below(len(others))] for _ in range(1 + (attempt + 1) // 2))
 
 
 def _phone_prefix(entity: str) -> int:
