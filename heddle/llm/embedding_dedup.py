@@ -4,10 +4,10 @@ In each pass vectors get a key of several concatenated random hashes (the larges
 after a random projection), are ordered lexicographically by it over the whole cluster, and compared with a
 bounded number of neighbours in that order; pairs whose cosine reaches the threshold are united across passes.
 
-How many passes a table needs depends on its size and on how dense it is, so it is measured: passes run in rounds with
-hashes of their own, and of two independent samples of the links the share that both have tells how many neither has
-found (as a census does by capture and recapture). Rounds go on until that estimate of the recall reaches its target.
-The number of hashes in a key grows with the logarithm of the number of vectors.
+How many passes a table needs follows from its size: n vectors in random directions are told apart, down to a window,
+by log(n / window) / log(values of a hash) hashes; a pair at the threshold agrees in all of these with a probability
+that is estimated by drawing such pairs, and so many passes are taken that one of them finds it. Tables that are denser
+than random directions have more neighbours in a window; half as many passes again are taken for that.
 
 Every link lies within a component, so exact counts of links need comparisons within components only; these are
 taken block by block as matrix products that give a count per vector, and no pair is emitted.
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from ._common import staged
 from .components import components
 
-#: Passes in a round, least hashes in a key, neighbours compared to either side, vectors in a block.
-PASSES, HASHES, REACH, BLOCK = 8, 4, 12, 512
-#: Estimated share of all links that passes must have found.
-RECALL = 0.985
+#: Least passes, least hashes in a key, neighbours compared to either side, vectors in a block.
+PASSES, HASHES, REACH, BLOCK = 20, 4, 12, 512
+#: Probability with which a pair at the threshold should be found, and passes taken over those that this needs.
+RECALL, SURPLUS = 0.98, 1.5
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -64,8 +64,8 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "vec_id long, vec binary")
 
 
-def _keyed(classes: DataFrame, first: int, passes: int, hashes: int, seed: int) -> DataFrame:
-    """One row per vector and pass (from number first on): lane (dimension and pass), key, rep, vec."""
+def _keyed(classes: DataFrame, passes: int, hashes: int, seed: int) -> DataFrame:
+    """One row per vector and pass: lane (dimension and pass), key, rep, vec."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[tuple[int, int, int], np.ndarray] = {}
@@ -81,7 +81,7 @@ def _keyed(classes: DataFrame, first: int, passes: int, hashes: int, seed: int)
                     some = [raw[i] for i in part]
                     x = _unit(some)
                     d = x.shape[1]
-                    for t in range(first, first + passes):
+                    for t in range(passes):
                         key = np.zeros((len(part), hashes), ">u4")
                         for h in range(hashes):
                             if (d, t, h) not in drawn:
@@ -160,27 +160,27 @@ def _links(keyed: DataFrame, threshold: float, reach: int, parts: int) -> DataFr
     return made.where("border is null").select("u", "v").unionByName(borders).distinct()
 
 
-def found_links(classes: DataFrame, threshold: float, passes: int, reach: int, seed: int, recall: float) -> DataFrame:
-    """Pairs (u, v) of classes (rep, vec) that reach the threshold, an estimated share of recall of all of them."""
-    spark = classes.sparkSession
-    n, width = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
-    spread = 2 * min((width or 8) // 8, 128)
-    hashes = max(HASHES, math.ceil(math.log(max(n, 2), max(spread, 2))) + 1)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    so_far, first = None, 0
-    while True:
-        fresh = staged(_links(_keyed(classes, first, passes, hashes, seed), threshold, reach, parts), "round")
-        first += passes
-        if so_far is None:
-            so_far = fresh
-            if n <= reach:
-                return so_far
-            continue
-        a, b = so_far.count(), fresh.count()
-        both = so_far.join(fresh, ["u", "v"]).count()
-        so_far = staged(so_far.unionByName(fresh).distinct(), "links")
-        if not a + b or (a and b and 1 - (1 - both / b) * (1 - both / a) >= recall):
-            return so_far
+def agreement(threshold: float, width: int, draws: int = 4000) -> float:
+    """Probability that a hash of two vectors at the threshold is the same, from seeded draws of such pairs."""
+    rnd = np.random.default_rng(11)
+    same, batch = 0, 200
+    for _ in range(draws // batch):
+        a, b = rnd.standard_normal((2, batch, width))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+        y, z = (x @ rnd.standard_normal((width, min(width, 128))) for x in (a, b))
+        i, j = np.abs(y).argmax(1), np.abs(z).argmax(1)
+        same += int(((i == j) & (np.sign(y[np.arange(batch), i]) == np.sign(z[np.arange(batch), j]))).sum())
+    return max(same, 1) / draws
+
+
+def passes_for(n: int, width: int, threshold: float, reach: int, recall: float = RECALL, least: int = PASSES) -> tuple[int, int]:
+    """Passes, and hashes in a key, for n vectors of a dimension."""
+    values = max(2, 2 * min(width, 128))
+    needed = max(1.0, math.log(max(n / reach, 1.0)) / math.log(values))
+    alike = min(agreement(threshold, width) ** needed, 1 - 1e-9)
+    return max(least, math.ceil(SURPLUS * math.log(1 - recall) / math.log(1 - alike))), max(HASHES, math.ceil(needed) + 2)
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, reach: int = REACH, seed: int = 7, recall: float = RECALL) -> DataFrame:
@@ -196,7 +196,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int
     classes = packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     # Numbered once, as the table is written; vec_id may repeat.
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    edges = found_links(classes.select("rep", "vec"), threshold, passes, reach, seed, recall)
+    n, width = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    passes, hashes = passes_for(n, (width or 8) // 8, threshold, reach, recall, passes)
+    edges = _links(_keyed(classes.select("rep", "vec"), passes, hashes, seed), threshold, reach, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     labels = components(edges)
 
     # Exact links within each component, in blocks of vectors against blocks of vectors.
