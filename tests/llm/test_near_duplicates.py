@@ -65,6 +65,21 @@ def test_empty_table_and_null_ids(spark):
     assert setsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_lose_no_link(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, b = " ".join(words), " ".join(x[::-1] for x in words)
+    rows = [(1, a), (2, b), (2, a + " x"), (3, b + " y"), (4, "z " * 200_000)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(*r, 1, "t") for r in order], "doc_id long, text string, th int, rep string")
+        got = sorted((r["doc_id"], r["component_id"]) for r in setsketch.near_duplicates(docs, k=3, percent=85).collect())
+        assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
+        kept = setsketch.drop_near_duplicates(docs, k=3, percent=85)
+        assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"] == b) for r in kept.collect()) == [(1, False), (2, True), (4, False)]
+    twice = spark.createDataFrame([(1, a), (1, a), (5, None), (5, None), (None, a)], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in setsketch.drop_near_duplicates(twice).collect()) == ["1", "5", "5", "None"]
+    assert setsketch.drop_near_duplicates(twice.limit(0)).count() == 0
+
+
 def test_likelihood_follows_similarity():
     rnd = np.random.default_rng(1)
     for overlap in (0, 300, 500, 850):

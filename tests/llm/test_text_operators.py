@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heddle.llm import bpe, embedding_dedup, license_scan, packing, quality, sentencepieces, surrogates, token_output, wrappers
 
@@ -208,6 +209,47 @@ def test_surrogates_raise_where_a_class_is_exhausted(spark, monkeypatch):
         surrogates.assign(spark.createDataFrame([("ssn", "123-45-6789")], "kind string, entity string"), rounds=2)
 
 
+def test_prefilter_keeps_every_text_with_an_entity(spark):
+    rnd = random.Random(12)
+    bits = ["phone ٠١٢-٣٤٥-٦٧٨٩", "token =\u00a0abcdefghij", "ſecret: abcdefgh12", "PASSWD='xxxxxxxx1'", "Frau Weber", "Dr. Who", "Señora Ruiz", "Анна Иванова", "Γιώργος Παπαδόπουλος", "xAnna Berg", "a@b.org", "10.1.2.3", "Don ", "abc", "Mary had", "api_Key: 12345678"]
+    texts = bits + [" ".join(rnd.choice(bits) for _ in range(rnd.randint(1, 3))) for _ in range(100)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t").withColumn("seen", F.col("t").rlike(surrogates._PREFILTER)).collect()
+    assert all(r["seen"] for r in rows if surrogates.found(r["t"]))
+    assert not any(r["seen"] for r in rows if r["t"] == "abc")
+
+
+def test_surrogates_against_brute_force(spark):
+    given = sorted(n for names in surrogates.GIVEN.values() for n in names)
+    rnd = random.Random(13)
+    texts = [f"{rnd.choice(given)} {rnd.choice(['Weber', 'Berg', 'Иванов', 'Иванова', 'Γεωργίου'])} wrote to u{i % 7}.x@mail.org from 192.168.0.{i % 10} on 555-0{i:03d}" for i in range(60)] + [None, "", "nothing"] + ["x " * 50_000 + "Frau Weber"]
+    key = b"k"
+    names = {(e[2], e[3]) for t in texts for e in surrogates.found(t or "")}
+    taken, chosen, attempts = {(k, surrogates._form(k, e)) for k, e in names}, {}, {e: 0 for e in names}
+    while True:
+        made = {e: surrogates.surrogate(*e, key, attempts[e]) for e in names}
+        by_form = {}
+        for e in sorted(names):
+            by_form.setdefault((e[0], surrogates._form(e[0], made[e])), []).append(e)
+        again = [e for form, es in by_form.items() for e in es if form in taken or e != min(es, key=lambda x: (attempts[x], x[1]))]
+        if not again:
+            chosen = made
+            break
+        for e in again:
+            attempts[e] += 1
+    want = []
+    for t in texts:
+        t = t or ""
+        for start, stop, kind, entity in reversed(surrogates.found(t)):
+            t = t[:start] + surrogates.dressed(kind, t[start:stop], chosen[kind, entity]) + t[stop:]
+        want.append(t)
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(docs_of(spark, texts, "spans int"), key).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want and got[0]["spans"] == 1
+    assert not any(f"{a} " in got[i]["text"][:12] for i, t in enumerate(texts[:60]) for a in [t.split(" ")[0]])
+    assert any("Weber" not in x for x in want) and surrogates.surrogate("family", "иванова", key).endswith("а")
+    digest = {r["doc_id"]: r["text"] for r in surrogates.surrogate_digest(docs_of(spark, texts), key).collect()}
+    assert digest == {i: w for i, w in enumerate(want)}
+
+
 def base_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -239,6 +281,15 @@ def test_quality_base_and_lines(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_leaves_columns_of_the_same_name(spark):
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(50)) for i in range(2000))
+    docs = spark.createDataFrame([(1, long, "s", 80, "keep", True), (1, long, "s", 80, "keep", True), (None, None, None, 1, None, None)], "doc_id long, text string, source string, n_words int, base_failed string, kept boolean")
+    got = quality.apply_quality(docs).collect()
+    assert [(r["doc_id"], r["text"], r["n_words"], r["base_failed"], r["kept"]) for r in got] == [(1, long, 80, "keep", True)] * 2
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in quality.quality_rules(docs).collect()) == [("1", 100000), ("1", 100000), ("None", 0)]
+    assert quality.apply_quality(docs.limit(0)).count() == 0
+
+
 def test_quality_counts_documents_that_share_most_lines(spark):
     rnd = random.Random(11)
     prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -404,3 +455,28 @@ def test_vectors_against_brute_force(spark):
     assert [got[i]["component_id"] for i in range(len(rows))] == label.tolist()
     assert all((got[i]["n_links"], got[i]["kept"]) == (0, True) for i in (900, 901, 902))
     assert embedding_dedup.embedding_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_vectors_scale_and_repeated_ids(spark):
+    data = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1.1e-200]), (3, [0.0, 5.0]), (4, [0.0, 7.0]), (None, [0.0, 5.1]), (5, [float("inf"), 1.0])]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (3, 2, 3), (4, 2, 3), (5, 0, 5), (None, 2, 3)]
+
+
+def test_passes_grow_with_the_table():
+    few, many = embedding_dedup.passes_for(50_000, 64, 0.9, 12), embedding_dedup.passes_for(10**8, 64, 0.9, 12)
+    assert few[0] >= 20 and many[0] > 2 * few[0] and many[1] > few[1]
+
+
+@pytest.mark.parametrize("n", [400, 4000])
+def test_recall_of_planted_links(spark, n):
+    rnd = np.random.default_rng(n)
+    x = rnd.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = rnd.standard_normal((n // 4, 64))
+    near -= (near * x[: n // 4]).sum(1, keepdims=True) * x[: n // 4]
+    x = np.concatenate([x, 0.91 * x[: n // 4] + np.sqrt(1 - 0.91**2) * near / np.linalg.norm(near, axis=1, keepdims=True)])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in embedding_dedup.embedding_duplicates(frame).collect())
+    link = x @ x.T >= 0.9
+    assert found / (link.sum() - len(x)) >= 0.95
