@@ -24,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
     reachable(spark)
-    marks = setsketch.near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id"))
-    return docs.join(marks, "doc_id", "left_anti").select(*docs.columns)
+    return setsketch.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
