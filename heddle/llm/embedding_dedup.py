@@ -169,7 +169,8 @@ def agreement(threshold: float, width: int, draws: int = 4000) -> float:
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b -= (a * b).sum(1, keepdims=True) * a
         b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        y, z = (x @ rnd.standard_normal((width, min(width, 128))) for x in (a, b))
+        projection = rnd.standard_normal((width, min(width, 128)))
+        y, z = a @ projection, b @ projection
         i, j = np.abs(y).argmax(1), np.abs(z).argmax(1)
         same += int(((i == j) & (np.sign(y[np.arange(batch), i]) == np.sign(z[np.arange(batch), j]))).sum())
     return max(same, 1) / draws
