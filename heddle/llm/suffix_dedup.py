@@ -13,13 +13,16 @@ Sorting every suffix of a corpus is needless: most of them share no long string
    `length` bytes are compared byte by byte before they count.
 3. The covered bytes of each document are cut out.
 
-An anchor that very many different spans share is dealt to many tasks by offset and by the bytes that all
-windows of a block have in common, so no task takes a whole group of copies.
+The spans of an anchor that very many different spans share (the edges of a passage that stands in very many
+documents) are too many for one sort. They are cut into blocks of windows; blocks whose common bytes stand nowhere
+else drop out, and the windows of the others are counted by a 128-bit digest of their bytes. Counts are combined
+before the shuffle and what is joined is written, so Spark can split it: no task takes a whole group of copies.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import U64, mix64, prefix_hashes, slices, span_hashes, staged, text_buffers
 
 LENGTH, GRAM = 200, 40
-#: Spans of one anchor beyond which they are dealt by blocks of so many offsets.
+#: Spans of one anchor beyond which windows are counted in blocks of so many offsets rather than sorted.
 HOT_SPANS, BLOCK = 5_000, 16
 #: Context bytes that one suffix sort takes; at these its arrays need some 400 MB.
 SORT_BYTES = 2 << 20
@@ -191,7 +194,8 @@ def _anchor(place: str = "place") -> Column:
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted spans; those of hot anchors in blocks of offsets."""
+    """Bytes of the wanted spans; those of hot anchors in blocks of offsets, with a hash (core) of the bytes that all
+    windows of the block share, of the anchor and of the offset."""
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "anchor", "kh", "sh", "hot")).alias("spans"))
     both = keyed.select(F.col("__key").alias("key"), "__text").join(per_text, "key").select("__text", "spans")
 
@@ -204,13 +208,13 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for s in found:
                     lo, hi, anchor = s["lo"], s["hi"], s["anchor"]
                     if not s["hot"]:
-                        out.append((s["kh"], s["sh"], 0, 0, lo, raw[lo : hi + length]))
+                        out.append((s["kh"], s["sh"], None, lo, raw[lo : hi + length]))
                     else:
                         for block in range((anchor - hi) // BLOCK, (anchor - lo) // BLOCK + 1):
                             a, b = max(lo, anchor - block * BLOCK - BLOCK + 1), min(hi, anchor - block * BLOCK)
-                            core = raw[anchor - block * BLOCK : anchor - block * BLOCK - BLOCK + 1 + length]
-                            salt = int.from_bytes(hashlib.blake2b(core, digest_size=6).digest(), "big")
-                            out.append((s["kh"], s["sh"], block + 1, salt, a, raw[a : b + length]))
+                            shared = raw[anchor - block * BLOCK : anchor - block * BLOCK - BLOCK + 1 + length]
+                            core = hashlib.blake2b(shared, digest_size=8, key=struct.pack("<qq", s["kh"], block)).digest()
+                            out.append((s["kh"], s["sh"], int.from_bytes(core, "little", signed=True), a, raw[a : b + length]))
                     held += hi - lo + length
                 if held > SORT_BYTES:
                     yield pack(out)
@@ -220,41 +224,61 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "sh", "block", "salt", "at", "context"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kh", "sh", "core", "at", "context"])
 
-    return both.mapInArrow(emit, "kh long, sh long, block int, salt long, at int, context binary")
+    return both.mapInArrow(emit, "kh long, sh long, core long, at int, context binary")
+
+
+def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """kh, sh and runs (of one window each) of the windows that equal another's, for blocks of hot anchors."""
+    cores = contexts.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    met = contexts.join(staged(cores, "cores"), "core", "left_semi").select("kh", "sh", "at", "context")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            n = np.array([len(x) - length + 1 for x in raw], np.int64)
+            owner = np.repeat(np.arange(len(raw)), n)
+            window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            digests = [hashlib.blake2b(raw[i][w : w + length], digest_size=16).digest() for i, w in zip(owner.tolist(), window.tolist(), strict=True)]
+            at = np.asarray(batch.column(2))[owner] + window
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(digests, pa.binary())], ["kh", "sh", "a", "digest"])
+
+    windows = staged(met.mapInArrow(cut, "kh long, sh long, a int, digest binary"), "windows")
+    again = windows.groupBy("digest").agg(F.count("*").alias("m")).where("m > 1").select("digest")
+    return windows.join(staged(again, "again"), "digest", "left_semi").select("kh", "sh", "a", F.col("a").alias("b"))
 
 
 def _sorted_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """kh, sh and runs (first, last window) of the windows that equal another's."""
-    dealt = contexts.repartition("kh", "block", "salt").sortWithinPartitions("kh", "block", "salt")
+    """kh, sh and runs (first, last window) of the windows that equal another's; an anchor has HOT_SPANS contexts at most."""
+    dealt = contexts.select("kh", "sh", "at", "context").repartition("kh").sortWithinPartitions("kh")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             held.append(batch)
-            size += batch.column(5).nbytes
+            size += batch.column(3).nbytes
             if size < SORT_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
-            mark = [np.asarray(rows.column(c)) for c in (0, 2, 3)]
-            change = np.flatnonzero((mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1]) | (mark[2][1:] != mark[2][:-1])) + 1
+            mark = np.asarray(rows.column(0))
+            change = np.flatnonzero(mark[1:] != mark[:-1]) + 1
             if len(change):
                 yield from solve(rows.slice(0, int(change[-1])))
                 held = rows.slice(int(change[-1])).to_batches()
-                size = sum(b.column(5).nbytes for b in held)
+                size = sum(b.column(3).nbytes for b in held)
         if held:
             yield from solve(pa.Table.from_batches(held))
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        raw = rows.column(5).combine_chunks()
+        raw = rows.column(3).combine_chunks()
         if isinstance(raw, pa.ChunkedArray):
             raw = raw.chunk(0)
-        mark = [np.asarray(rows.column(c)) for c in (0, 2, 3)]
+        mark = np.asarray(rows.column(0))
         new = np.ones(len(raw), bool)
-        new[1:] = (mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1]) | (mark[2][1:] != mark[2][:-1])
+        new[1:] = mark[1:] != mark[:-1]
         group_at = np.append(np.flatnonzero(new), len(raw))
         sizes = np.asarray(pc.binary_length(raw))
         # Whole groups, as many as fit; a group that is larger goes alone.
@@ -271,7 +295,7 @@ def _sorted_contexts(contexts: DataFrame, length: int) -> DataFrame:
             f, t = np.flatnonzero(head), np.flatnonzero(tail)
             if len(f):
                 take = pa.array(a + owner[f])
-                at = np.asarray(rows.column(4))[a + owner[f]]
+                at = np.asarray(rows.column(2))[a + owner[f]]
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(take).combine_chunks(), rows.column(1).take(take).combine_chunks(), pa.array((at + window[f]).astype(np.int32)), pa.array((at + window[t]).astype(np.int32))], ["kh", "sh", "a", "b"])
 
     return dealt.mapInArrow(emit, "kh long, sh long, a int, b int")
@@ -288,9 +312,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = staged(rows.join(twice, "kh"), "shared")
     kinds = shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("x"))
     kinds = staged(kinds.select("kh", "sh", "n", "x.*"), "kinds")
-    mixed = kinds.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1")
+    mixed = staged(kinds.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
     wanted = kinds.join(mixed, "kh").select("key", _lo().alias("lo"), _hi().alias("hi"), _anchor().alias("anchor"), "kh", "sh", (F.col("m") > HOT_SPANS).alias("hot"))
-    partial = _sorted_contexts(_contexts(keyed, wanted, length), length)
+    contexts = _contexts(keyed, wanted, length)
+    if mixed.where(F.col("m") > HOT_SPANS).limit(1).count():
+        contexts = staged(contexts, "contexts")
+        partial = _sorted_contexts(contexts.where("core is null"), length).unionByName(_counted_windows(contexts.where("core is not null"), length))
+    else:
+        partial = _sorted_contexts(contexts, length)
     partial = partial.join(kinds.where("n = 1").select("kh", "sh", "key"), ["kh", "sh"]).select("key", F.col("a").alias("start"), (F.col("b") + length).alias("stop"))
     whole = shared.join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"]).select("key", _lo().alias("start"), (_hi() + length).alias("stop"))
     return whole.unionByName(partial).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
