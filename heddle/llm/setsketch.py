@@ -10,9 +10,9 @@ and two sets agree in a register with a probability near their Jaccard similarit
    threshold are dropped, and the others are verified on full shingle sets.
 3. Where members of a bucket still stand in different components, those outside the bucket's largest component
    are held against all its members, block by block: a task gets two blocks of bounded size with their texts,
-   counts all intersections exactly with a product of incidence matrices, and returns one link for each two
-   components that it finds linked. So no pairs are emitted, no task takes a whole bucket, and no pair of a
-   bucket is left out but those that are in one component already.
+   counts all intersections exactly with a product of incidence matrices, and returns a spanning forest of the
+   components that it finds linked: fewer links than it has documents. So no pairs are emitted, no task takes a
+   whole bucket, and no pair of a bucket is left out but those that are in one component already.
 
 Documents are known inside by the number of their class, so ids may repeat.
 """
@@ -189,6 +189,25 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return mine.unionByName(all_)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in a and b (ends of links, by component) of links that connect the same components and hold no cycle."""
+    kinds, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = code[: len(a)], code[len(a) :]
+    link = np.full((len(kinds), len(kinds)), -1, np.int64)
+    link[a, b] = link[b, a] = np.arange(len(a))
+    seen, out = np.zeros(len(kinds), bool), []
+    for root in range(len(kinds)):
+        queue = [] if seen[root] else [root]
+        seen[root] = True
+        while queue:
+            here = queue.pop()
+            new = np.flatnonzero((link[here] >= 0) & ~seen)
+            seen[new] = True
+            out.append(link[here, new])
+            queue += new.tolist()
+    return np.concatenate(out)
+
+
 def _across_blocks(mixed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u, v) between components within buckets; mixed has bucket, doc_id, label and the bucket's main label."""
     dealt = _dealt(mixed).join(texts, "doc_id").select("bucket", "i", "j", "side", "doc_id", "label", "text")
@@ -223,8 +242,8 @@ def _across_blocks(mixed: DataFrame, texts: DataFrame, k: int, percent: int) ->
         r, c = left[r], right[c]
         if not len(r):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        _, first = np.unique(np.stack([np.minimum(label[r], label[c]), np.maximum(label[r], label[c])]), axis=1, return_index=True)
-        r, c = r[first], c[first]
+        tree = _forest(label[r], label[c])
+        r, c = r[tree], c[tree]
         return pd.DataFrame({"u": np.maximum(ids[r], ids[c]), "v": np.minimum(ids[r], ids[c])})
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
@@ -254,11 +273,14 @@ def _linked(docs: DataFrame, k: int, percent: int, star_rounds: int) -> tuple[Da
     pairs = members.where("doc_id <> centre").select(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).distinct()
     likely = staged(_likely(pairs, lean, least), "likely")
     edges, labels = None, None
+    open_pairs = likely
     for _ in range(star_rounds):
-        open_pairs = likely if labels is None else staged(_across(likely, labels), "across")
-        if labels is not None and not open_pairs.limit(1).count():
-            break
-        best = open_pairs.groupBy("u").agg(F.max_by(F.struct("v", "likely"), "likely").alias("x")).select("u", "x.v")
+        if labels is not None:
+            # A pair that was verified is in one component now or no link; either way the next likeliest has its turn.
+            open_pairs = staged(_across(open_pairs.join(best, ["u", "v"], "left_anti"), labels), "across")
+            if not open_pairs.limit(1).count():
+                break
+        best = staged(open_pairs.groupBy("u").agg(F.max_by(F.struct("v", "likely"), F.struct("likely", "v")).alias("x")).select("u", "x.v"), "best")
         found = staged(_verified(best, texts, k, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
