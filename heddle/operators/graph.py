@@ -6,10 +6,13 @@ sees only whether anything changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._loop import is_empty, staged
+from .describe import positions
 
 
 def union_edges(*sources: DataFrame) -> DataFrame:
@@ -98,19 +101,24 @@ def generations(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFra
 
 def descendants(edges: DataFrame, focal: DataFrame, blocked: bool = True) -> DataFrame:
     """(focal, node) pairs: what each focal node reaches, itself left out; blocked: neither counting nor passing
-    through other focal nodes. Levels go on from new pairs only, and edges into focal nodes are left out first."""
+    through other focal nodes. Levels go on from new pairs only, and edges into focal nodes are left out first.
+    Tables of equally many levels are merged, so a pair is written again only log2(depth) times."""
     pairs = edges.select("src", "dst").distinct()
     if blocked:
         pairs = pairs.join(focal.select(F.col("focal").alias("dst")), "dst", "left_anti")
     pairs = staged(pairs)
     frontier = staged(focal.select("focal", F.col("focal").alias("node")).join(pairs, F.col("node") == F.col("src")).select("focal", F.col("dst").alias("node")).distinct())
-    seen = frontier
+    levels = [(1, frontier)]
     while True:
+        seen = reduce(DataFrame.unionByName, [rows for _, rows in levels])
         step = frontier.join(pairs, frontier["node"] == pairs["src"]).select("focal", F.col("dst").alias("node")).where("focal <> node").distinct()
         frontier = staged(step.join(seen, ["focal", "node"], "left_anti"))
         if is_empty(frontier):
             return seen
-        seen = staged(seen.unionByName(frontier))
+        levels.append((1, frontier))
+        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
+            (depth, newer), (_, older) = levels.pop(), levels.pop()
+            levels.append((2 * depth, staged(older.unionByName(newer))))
 
 
 def descendant_counts(focal: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -124,8 +132,8 @@ def descendant_summary(pairs: DataFrame) -> DataFrame:
 
 
 def rank_subtrees(counts: DataFrame, tie: Column | None = None) -> DataFrame:
-    """counts with rank: 1..n by descendants, then tie (the focal id). The ranked table has a row per focal node."""
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("descendants"), tie if tie is not None else F.col("focal"))))
+    """counts with rank: 1..n by descendants, then tie (the focal id)."""
+    return positions(counts, "rank", F.desc("descendants"), tie if tie is not None else F.col("focal"))
 
 
 def primary_parents(edges: DataFrame, nodes: DataFrame, root: str) -> DataFrame:

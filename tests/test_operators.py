@@ -47,6 +47,16 @@ def test_blocked_descendants(spark):
     assert graph.descendants(edges, focal.limit(0)).count() == 0
 
 
+def test_descendants_of_a_deep_chain_with_short_cuts(spark):
+    pairs = [(str(i), str(i + 1)) for i in range(11)] + [("0", "5"), ("3", "9")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    focal = spark.createDataFrame([("0",), ("4",), ("8",)], "focal string")
+    got = sorted((r["focal"], r["node"]) for r in graph.descendants(edges, focal, blocked=False).collect())
+    assert got == sorted((f, str(n)) for f in ("0", "4", "8") for n in range(int(f) + 1, 12))
+    ranked = graph.rank_subtrees(graph.descendant_counts(focal, graph.descendants(edges, focal, blocked=False)))
+    assert sorted((r["rank"], r["focal"], r["descendants"]) for r in ranked.collect()) == [(1, "0", 11), (2, "4", 7), (3, "8", 3)]
+
+
 def test_ancestor_path_of_a_parent_loop_ends(spark):
     primary = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "node string, parent string")
     assert {r["node"]: r["path"] for r in graph.ancestor_paths(primary).collect()}["c"] == ["b", "a"]
