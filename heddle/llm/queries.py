@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, license_scan, packing, quality, sentencepieces, setsketch, suffix_dedup, surrogates, token_output, wrappers
+from . import centroids, embedding_dedup, hard_negatives, license_scan, packing, quality, sentencepieces, setsketch, suffix_dedup, surrogates, token_output, warc, wrappers
 from ._common import reachable
 
 
@@ -61,9 +62,25 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_duplicates(reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through monolithic archives, the normaliser and reads by offset; nulls, ties and repeats as in warc_round_trip."""
+    return warc.warc_round_trip(reachable(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows whose id is divisible by 50; nulls, ties and repeats as in hard_negatives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters in three rounds; nulls, ties and repeats as in centroid_clusters."""
+    return centroids.centroid_clusters(reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_sentencepiece, op4_suffix_dedup, op5_best_fit_packing, op6_minhash_near_dedup, op7_token_output, op8_quality_rules, op9_html_extraction, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_sentencepiece, op4_suffix_dedup, op5_best_fit_packing, op6_minhash_near_dedup, op7_token_output, op8_quality_rules, op9_html_extraction, op10_embedding_near_dedup, op11_warc_normaliser, op12_four_russians_negatives, op13_simplex_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op8_quality_rules": quality.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op8_quality_rules": quality.ORACLE, "op11_warc_normaliser": warc.ORACLE, "op12_four_russians_negatives": hard_negatives.ORACLE, "op13_simplex_clusters": centroids.oracle()}
