@@ -168,7 +168,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     stands in every record, as pages have none.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    again = revisits(rows, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
+    # Written first, so that Spark knows its size and shuffles payloads only where there are too many revisits to send round.
+    again = staged(revisits(rows, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first"), "revisits")
     html = F.coalesce(F.col("html"), F.lit(""))
     told = rows.select("page_id", "url", html.cast("binary").alias("html"), _digest(html).alias("digest"))
     told = told.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
