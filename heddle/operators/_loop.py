@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +34,27 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, **tests: Column) -> tuple[DataFrame, dict[str, int]]:
+    """staged(df), and how many rows it has (rows) and how many of them pass each test, observed while they are written."""
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(k) for k, t in tests.items()])
+    return staged(marked), seen.get
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df written once in buckets of key, so that joins on it leave these rows where they are. The table's name is given up at the end; its
+    files, below the shared folder, stay for tasks that run again."""
+    spark = df.sparkSession
+    name = f"heddle_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", shared_path(spark, f"bucketed-{name}")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._loop import is_empty, staged
+from ._loop import bucketed, counted, is_empty, staged
 from .describe import positions
 
 
@@ -25,35 +25,99 @@ def union_edges(*sources: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst", "type").agg(F.min(F.struct("priority", "confidence")).alias("x")).select("src", "dst", "type", "x.confidence")
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without incoming or without outgoing edges are taken off again and again."""
-    now = staged(edges.select("src", "dst").where("src <> dst").distinct())
-    size = now.count()
+def _tops(parents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, top): the root that each node's chain of parents (node, parent; one per node) leads to; and the nodes that lie on
+    rings, null where there are none. Nodes that lead to a ring have no top.
+
+    Pointers are doubled, so rounds grow with the logarithm of the longest chain. Chains that still go on end in
+    rings as soon as two rounds in a row leave the same nodes at their ends: those are the rings' nodes.
+    """
+    state, n = counted(parents.join(parents.select(F.col("node").alias("parent"), F.lit(True).alias("open")), "parent", "left").select("node", F.col("parent").alias("top"), F.coalesce("open", F.lit(False)).alias("open")), open=F.col("open"))
+    done, going, ends = [state.where("not open").select("node", "top")], state.where("open"), None
+    while n["open"]:
+        tops = going.select("top").distinct()
+        last, ends = ends, tops.count()
+        if ends == last:
+            return reduce(DataFrame.unionByName, done), staged(tops.select(F.col("top").alias("node")))
+        known = reduce(DataFrame.unionByName, [*[d.withColumn("open", F.lit(False)) for d in done], going]).select(F.col("node").alias("top"), F.col("top").alias("next"), "open")
+        moved, n = counted(going.select("node", "top").join(known, "top").select("node", F.col("next").alias("top"), "open"), open=F.col("open"))
+        done.append(moved.where("not open").select("node", "top"))
+        going = moved.where("open")
+    return reduce(DataFrame.unionByName, done), None
+
+
+def _ring_names(parents: DataFrame) -> DataFrame:
+    """(node, ring): the least node of the ring that each node lies on. parents holds rings alone."""
+    now = staged(parents.select("node", F.col("parent").alias("top"), F.col("node").alias("ring")))
+    while True:
+        far = now.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("ring").alias("other"))
+        fresh, n = counted(now.join(far, "top").select("node", F.col("next").alias("top"), F.least("ring", "other").alias("ring"), (F.col("other") < F.col("ring")).alias("moved")), moved=F.col("moved"))
+        now = fresh.select("node", "top", "ring")
+        # Windows of equal power-of-two length that agree along their jumps cover the ring between them.
+        if not n["moved"]:
+            return now.select("node", "ring")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those from nodes that none leads to, and those to nodes that none leaves."""
+    return edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def _shrunk(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Edges with the same strong components after dead ends are cut and chains contracted, again and again; what each contraction took out (node,
+    head, tail: of one component with both ends, if those are of one); and (node, component) of rings that were contracted whole.
+
+    A chain is a run of nodes with one edge in and one out. Its ends are found by pointer doubling, so a path of any
+    length goes in logarithmically many rounds, and trees in logarithmically many contractions.
+    """
+    taken, rings = [], None
+    now, n = counted(edges.select("src", "dst").where("src <> dst").distinct())
+    size = n["rows"]
     while size:
-        now = staged(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        left = now.count()
-        if left == size:
+        now, n = counted(_trimmed(now))
+        if not n["rows"]:
             break
-        size = left
-    return now
+        ins, outs = now.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.min("src").alias("before")), now.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.min("dst").alias("after"))
+        chain, runs = counted(ins.join(outs, "node").where("i = 1 and o = 1").select("node", "before", "after"))
+        if runs["rows"]:
+            tails, on_rings = _tops(chain.select("node", F.col("after").alias("parent")))
+            if on_rings is not None:
+                named = _ring_names(chain.join(on_rings, "node", "left_semi").select("node", F.col("after").alias("parent"))).withColumnRenamed("ring", "component")
+                rings = named if rings is None else rings.unionByName(named)
+                heads, _ = _tops(chain.join(on_rings, "node", "left_anti").select("node", F.col("before").alias("parent")))
+            else:
+                heads, _ = _tops(chain.select("node", F.col("before").alias("parent")))
+            members = staged(heads.withColumnRenamed("top", "head").join(tails.withColumnRenamed("top", "tail"), "node"))
+            taken.append(members)
+            inner = chain.select("node")
+            kept = now.join(inner.withColumnRenamed("node", "src"), "src", "left_anti").join(inner.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            now, n = counted(kept.unionByName(members.where("head <> tail").select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct())
+        if n["rows"] == size:
+            break
+        size = n["rows"]
+    return now, taken, rings
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes that lie on cycles of two nodes or more.
 
-    By colours: in each pass every node takes the greatest id that reaches it; the nodes that a colour's own node
-    is reached from, within the colour, are its component. Found ones are taken off and the rest starts again.
+    Dead ends are cut and chains contracted first. What is left goes by colours: in each pass every node takes the greatest id
+    that reaches it; the nodes that a colour's own node is reached from, within the colour, are its component. Found
+    ones are taken off and the rest starts again. Nodes of contracted chains follow last.
     """
-    found: DataFrame | None = None
-    left = _core(edges)
+    kinds = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    left, taken, rings = _shrunk(edges)
+    parts = [kinds] if rings is None else [rings]
+    layers = [taken]
     while not is_empty(left):
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colour = staged(nodes.withColumn("colour", F.col("node")))
+        moved = colour
         while True:
-            offered = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("n")).agg(F.max("colour").alias("offer"))
-            fresh = staged(colour.join(offered, colour["node"] == offered["n"], "left").select("node", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), (F.coalesce("offer", "colour") > F.col("colour")).alias("moved")))
-            colour = fresh.select("node", "colour")
-            if is_empty(fresh.where("moved")):
+            offered = left.join(moved, left["src"] == moved["node"]).groupBy(F.col("dst").alias("n")).agg(F.max("colour").alias("offer"))
+            fresh, n = counted(colour.join(offered, colour["node"] == offered["n"], "left").select("node", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), (F.coalesce("offer", "colour") > F.col("colour")).alias("moved")), moved=F.col("moved"))
+            colour, moved = fresh.select("node", "colour"), fresh.where("moved").select("node", "colour")
+            if not n["moved"]:
                 break
         inner = left.join(colour.withColumnsRenamed({"node": "src", "colour": "cs"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "cd"}), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour"))
         inner = staged(inner)
@@ -61,18 +125,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
         frontier = reached
         while True:
             step = frontier.join(inner, (inner["dst"] == frontier["node"]) & (inner["colour"] == frontier["colour"])).select(inner["src"].alias("node"), inner["colour"]).distinct()
-            frontier = staged(step.join(reached, ["node", "colour"], "left_anti"))
-            if is_empty(frontier):
+            frontier, n = counted(step.join(reached, ["node", "colour"], "left_anti"))
+            if not n["rows"]:
                 break
             reached = staged(reached.unionByName(frontier))
         sized = reached.groupBy("colour").agg(F.count("*").alias("n"))
-        good = reached.join(sized.where("n > 1"), "colour").select("node", F.col("colour").alias("component"))
-        found = good if found is None else found.unionByName(good)
+        parts.append(reached.join(sized.where("n > 1"), "colour").select("node", F.col("colour").alias("component")))
         done = reached.select("node")
-        left = _core(left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    if found is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    return staged(found)
+        left, taken, rings = _shrunk(left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        layers.append(taken)
+        if rings is not None:
+            parts.append(rings)
+    found = staged(reduce(DataFrame.unionByName, parts))
+    for members in (m for layer in reversed(layers) for m in reversed(layer)):
+        # A chain from a node back to itself is a component with it, whether or not that node lies on another cycle.
+        both = members.join(found.withColumnsRenamed({"node": "head", "component": "ch"}), "head", "left").join(found.withColumnsRenamed({"node": "tail", "component": "ct"}), "tail", "left")
+        both = both.withColumn("component", F.when(F.col("head") == F.col("tail"), F.coalesce("ch", "head")).when(F.col("ch") == F.col("ct"), F.col("ch"))).where("component is not null")
+        both = staged(both.select("node", "head", "component", (F.col("ch").isNull() & (F.col("head") == F.col("tail"))).alias("fresh")))
+        found = staged(found.unionByName(both.select("node", "component")).unionByName(both.where("fresh").select(F.col("head").alias("node"), "component").distinct()))
+    return found
 
 
 def remove_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,26 +170,59 @@ def generations(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFra
     raise RuntimeError("generations did not settle; remove cycles first")
 
 
+def _bits_down(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, bool]:
+    """(node, word, bits): of which seeds (node, word, bits) each node holds a bit or is reached from, and whether edges were left over because of cycles.
+    edges are distinct and lie in buckets of src.
+
+    Nodes go in topological order: one is ready when all edges into it have brought the bits of their other ends, so each edge
+    is used once, whatever the number of paths. Rounds, of which there is one per layer of the graph, shuffle bits and counts alone.
+    Word -1 counts arrivals.
+    """
+    need, n = counted(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")))
+    expected = n["rows"]
+    starts = edges.select(F.col("src").alias("node")).distinct().select("node", F.lit(-1).alias("word"), F.lit(0).cast("long").alias("bits")).unionByName(seeds)
+    ready = staged(starts.join(need, "node", "left_anti"))
+    waiting, passed = None, [ready]
+    while expected:
+        sent = edges.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("came"))
+        if waiting is not None:
+            sent = sent.unionByName(waiting).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.sum("came").alias("came"))
+        waiting = staged(sent)
+        full = waiting.where("word = -1").join(need, "node").where("came = need").select("node")
+        ready, n = counted(waiting.select("node", "word", "bits").unionByName(seeds).join(full, "node", "left_semi").groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), nodes=F.col("word") == -1)
+        if not n["nodes"]:
+            break
+        expected -= n["nodes"]
+        passed.append(ready)
+        waiting = waiting.join(full, "node", "left_anti")
+    return reduce(DataFrame.unionByName, passed).where("word >= 0"), expected > 0
+
+
 def descendants(edges: DataFrame, focal: DataFrame, blocked: bool = True) -> DataFrame:
     """(focal, node) pairs: what each focal node reaches, itself left out; blocked: neither counting nor passing
-    through other focal nodes. Levels go on from new pairs only, and edges into focal nodes are left out first.
-    Tables of equally many levels are merged, so a pair is written again only log2(depth) times."""
-    pairs = edges.select("src", "dst").distinct()
+    through other focal nodes.
+
+    Focal nodes are numbered, and each node takes the bits of all that reach it, 64 in a row, from the nodes above it; pairs are
+    only made of the final bits. Cycles are contracted to their strong components where there are any.
+    """
+    pairs = edges.select("src", "dst").where("src <> dst").distinct()
+    numbered = positions(focal.select("focal").where("focal is not null").distinct(), "n", F.col("focal"))
     if blocked:
-        pairs = pairs.join(focal.select(F.col("focal").alias("dst")), "dst", "left_anti")
-    pairs = staged(pairs)
-    frontier = staged(focal.select("focal", F.col("focal").alias("node")).join(pairs, F.col("node") == F.col("src")).select("focal", F.col("dst").alias("node")).distinct())
-    levels = [(1, frontier)]
-    while True:
-        seen = reduce(DataFrame.unionByName, [rows for _, rows in levels])
-        step = frontier.join(pairs, frontier["node"] == pairs["src"]).select("focal", F.col("dst").alias("node")).where("focal <> node").distinct()
-        frontier = staged(step.join(seen, ["focal", "node"], "left_anti"))
-        if is_empty(frontier):
-            return seen
-        levels.append((1, frontier))
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
-            (depth, newer), (_, older) = levels.pop(), levels.pop()
-            levels.append((2 * depth, staged(older.unionByName(newer))))
+        pairs = pairs.join(numbered.select(F.col("focal").alias("dst")), "dst", "left_anti").select("src", "dst")
+    seeds = numbered.select(F.col("focal").alias("node"), F.expr("n div 64").cast("int").alias("word"), F.expr("shiftleft(1L, n % 64)").alias("bits"))
+    with bucketed(pairs, "src") as dealt:
+        bits, cyclic = _bits_down(dealt, seeds)
+        if cyclic:
+            of = strong_components(dealt)
+            rows = dealt.join(of.withColumnsRenamed({"node": "src", "component": "cs"}), "src", "left").join(of.withColumnsRenamed({"node": "dst", "component": "cd"}), "dst", "left")
+            whole = rows.select(F.coalesce("cs", "src").alias("src"), F.coalesce("cd", "dst").alias("dst")).where("src <> dst").distinct()
+            placed = seeds.join(of, "node", "left").select(F.coalesce("component", "node").alias("node"), "word", "bits").groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+            with bucketed(whole, "src") as acyclic:
+                bits, _ = _bits_down(acyclic, staged(placed))
+            bits = bits.join(of.select(F.col("component").alias("node"), F.col("node").alias("member")), "node", "left").select(F.coalesce("member", "node").alias("node"), "word", "bits")
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    found = bits.select("node", F.explode(F.transform(set_bits, lambda i: F.col("word") * 64 + i)).alias("n")).join(numbered, "n")
+    return found.where("focal <> node").select("focal", "node")
 
 
 def descendant_counts(focal: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -154,23 +258,64 @@ def secondary_parents(edges: DataFrame, primary: DataFrame, nodes: DataFrame) ->
     return rest.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("others"))
 
 
-def ancestor_paths(primary: DataFrame, limit: int = 100) -> DataFrame:
-    """(node, path): ancestors by primary parents, root first, the node left out. A parent chain that bites its
-    own tail ends where it would repeat."""
-    steps = staged(primary.select("node", F.col("parent").alias("top"), F.array("parent").alias("path"), F.lit(True).alias("open")))
-    up = primary.select(F.col("node").alias("top"), F.col("parent").alias("above"))
-    for _ in range(limit):
-        moved = steps.join(up, "top", "left")
-        more = F.col("open") & F.col("above").isNotNull() & ~F.array_contains("path", F.col("above")) & (F.col("above") != F.col("node"))
-        steps = staged(moved.select("node", F.when(more, F.col("above")).otherwise(F.col("top")).alias("top"), F.when(more, F.concat(F.array("above"), "path")).otherwise(F.col("path")).alias("path"), F.coalesce(more, F.lit(False)).alias("open")))
-        if is_empty(steps.where("open")):
-            break
-    return steps.select("node", "path")
+def _forest(primary: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, parent) rows off rings, and those on them (null where there are none). Nodes that are their own parent count as roots."""
+    parents = staged(primary.select("node", "parent").where("node <> parent"))
+    _, rings = _tops(parents)
+    if rings is None:
+        return parents, None
+    return staged(parents.join(rings, "node", "left_anti")), staged(parents.join(rings, "node", "left_semi"))
 
 
-def tree_counts(paths: DataFrame) -> DataFrame:
-    """(node, descendants) in the primary tree: how often a node is on another's path."""
-    return paths.select(F.explode("path").alias("node")).groupBy("node").agg(F.count("*").alias("descendants"))
+def ancestor_paths(primary: DataFrame) -> DataFrame:
+    """(node, path): ancestors by primary parents (node, parent; one per node), root first, the node left out. A parent chain that bites its
+    own tail ends where it would repeat; a node that is its own parent is a root and has no row.
+
+    Paths double in each round, so a chain takes rounds by the logarithm of its length; the result holds every path in full.
+    """
+    parents, rings = _forest(primary)
+    state = staged(parents.join(parents.select(F.col("node").alias("parent"), F.lit(True).alias("open")), "parent", "left").select("node", F.col("parent").alias("top"), F.array("parent").alias("path"), F.coalesce("open", F.lit(False)).alias("open")))
+    done, going = [state.where("not open").drop("open")], state.where("open")
+    while not is_empty(going):
+        known = reduce(DataFrame.unionByName, [*[d.withColumn("open", F.lit(False)) for d in done], going]).select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("path").alias("above"), "open")
+        moved = staged(going.drop("open").join(known, "top").select("node", F.col("next").alias("top"), F.concat("above", "path").alias("path"), "open"))
+        done.append(moved.where("not open").drop("open"))
+        going = moved.where("open")
+    paths = reduce(DataFrame.unionByName, done)
+    if rings is None:
+        return paths.select("node", "path")
+    # Round its ring a node meets all others of it, nearest last; a path that enters the ring goes on with those of its first node there.
+    now = staged(rings.select("node", F.col("parent").alias("top"), F.array("parent").alias("path")))
+    closed = []
+    while not is_empty(now):
+        back = F.array_position(F.reverse("path"), F.col("node")).cast("int")
+        whole = now.where(back > 0).select("node", F.reverse(F.slice(F.reverse("path"), F.lit(1), back - 1)).alias("path"))
+        closed.append(whole)
+        above = now.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("path").alias("above"))
+        now = staged(now.where(back == 0).join(above, "top").select("node", F.col("next").alias("top"), F.concat("above", "path").alias("path")))
+    ring_paths = staged(reduce(DataFrame.unionByName, closed))
+    entered = paths.join(ring_paths.select(F.col("node").alias("top"), F.col("path").alias("round")), "top", "left")
+    return entered.select("node", F.when(F.col("round").isNotNull(), F.concat("round", "path")).otherwise(F.col("path")).alias("path")).unionByName(ring_paths)
+
+
+def tree_counts(primary: DataFrame) -> DataFrame:
+    """(node, descendants) by primary parents (node, parent; one per node), of nodes that have any; on a ring all nodes have each other and what hangs below them.
+
+    Sums double: with the descendants less than d steps below known, a node adds those of the nodes exactly d steps below it.
+    Each round is an aggregation and a join, and rounds grow with the logarithm of the depth.
+    """
+    parents, rings = _forest(primary)
+    roots = parents.select(F.col("parent").alias("node")).distinct().join(parents.select("node"), "node", "left_anti")
+    now = staged(parents.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n")).unionByName(roots.select("node", F.lit(None).cast(parents.schema["parent"].dataType).alias("up"), F.lit(1).cast("long").alias("n"))))
+    while not is_empty(now.where("up is not null")):
+        below = now.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"))
+        far = now.where("up is not null").select(F.col("node").alias("up"), F.col("up").alias("next"))
+        now = staged(now.join(below, "node", "left").join(far, "up", "left").select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    if rings is not None:
+        named = _ring_names(rings).join(now.select("node", "n"), "node", "left").select("node", "ring", F.coalesce("n", F.lit(1)).alias("n"))
+        sums = named.groupBy("ring").agg(F.sum("n").alias("n"))
+        now = now.select("node", "n").join(named.select("node"), "node", "left_anti").unionByName(named.select("node", "ring").join(sums, "ring").select("node", "n"))
+    return now.where("n > 1").select("node", (F.col("n") - 1).alias("descendants"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle import functions as H
 
-from ._loop import is_empty, staged
+from ._loop import counted, is_empty, staged
+from .skew import salted
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, default: dict[str, object] | None = None) -> DataFrame:
@@ -57,22 +60,80 @@ HIGH = ("exact_email", "exact_name", "reversed_name")
 MEDIUM = ("email_local", "last_initial", "near_full_name", "same_first_near_last")
 
 
-def _pieces(text: Column, edits: int, shifts: int) -> Column:
-    """Keys such that two texts within so many edits share one: a text is cut into edits + 1 pieces, of which one at
-    least is left whole and shifted by edits at most. With shifts 0 a key for each piece of the text itself; else
-    keys for the pieces that texts of any near length would have at any near place."""
-    n = F.length(text)
-    gaps = F.sequence(F.lit(-shifts), F.lit(shifts))
+def _cut(size: Column, piece: Column, edits: int) -> Column:
+    """Where a piece of a text of a size begins, counted from 0."""
+    return F.floor(piece * size / (edits + 1)).cast("int")
+
+
+def _windows(size: Column, other: Column, piece: Column, edits: int) -> tuple[Column, Column, Column, Column]:
+    """Start and length of a piece of a text of a size, and the first and last place at which a text of size other need be searched for it.
+
+    Within so many edits one of edits + 1 pieces is whole. It may be taken as one that has no more edits before it than there
+    are pieces before it, and no more after it than there are pieces after it; its shift from either end is bounded so.
+    """
+    start, stop = _cut(size, piece, edits), _cut(size, piece + 1, edits)
+    n, gap = stop - start, other - size
+    first = F.greatest(F.lit(0), start - piece, start + gap - (edits - piece))
+    last = F.least(other - n, start + piece, start + gap + (edits - piece))
+    return start, n, first, last
+
+
+def _range(first: Column, last: Column) -> Column:
+    """first, first + 1, ... last; empty where last is smaller."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _whole_piece(a: Column, b: Column, piece: Column, edits: int) -> Column:
+    """Whether the piece of a stands in b at a place where it need be searched."""
+    start, n, first, last = _windows(F.length(a), F.length(b), piece, edits)
+    return F.exists(_range(first, last), lambda at: F.substring(b, at + 1, n) == F.substring(a, start + 1, n))
+
+
+def edit_pairs(left: DataFrame, right: DataFrame, edits: int) -> DataFrame:
+    """(a, b): texts of left (column a) and right (column b), both distinct, that are within so many edits of each other.
+
+    A text of left gives a key for each of its edits + 1 pieces, with its length; one of right a key for each substring that
+    may be such a piece of a text of a length near its own (44 for three edits). A pair may meet in several pieces and counts in the first one
+    alone, so each is verified once. Keys that many texts share are split.
+    """
+    pieces = F.array(*[F.lit(i) for i in range(edits + 1)])
 
-    def cut(size: Column) -> Column:
-        def piece(i: Column) -> Column:
-            start, stop = F.floor(i * size / (edits + 1)).cast("int"), F.floor((i + 1) * size / (edits + 1)).cast("int")
-            return F.transform(gaps, lambda g: F.when((start + g >= 0) & (stop + g <= n), F.concat_ws(":", size.cast("string"), i.cast("string"), F.substring(text, start + g + 1, stop - start))))
+    def own(text: Column) -> Column:
+        start = lambda i: _cut(F.length(text), i, edits)
+        return F.transform(pieces, lambda i: F.struct(i.alias("piece"), F.length(text).alias("size"), F.substring(text, start(i) + 1, start(i + 1) - start(i)).alias("part")))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), piece))
+    def others(text: Column) -> Column:
+        n = F.length(text)
 
-    every = F.flatten(F.transform(gaps, lambda d: F.when(n + d >= 0, cut(n + d)).otherwise(F.array().cast("array<string>"))))
-    return F.filter(F.array_distinct(every), lambda k: k.isNotNull())
+        def at(size: Column, i: Column) -> Column:
+            _, length, first, last = _windows(size, n, i, edits)
+            return F.transform(_range(first, last), lambda p: F.struct(i.alias("piece"), size.alias("size"), F.substring(text, p + 1, length).alias("part")))
+
+        sizes = _range(F.greatest(F.lit(0), n - edits), n + edits)
+        return F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(pieces, lambda i: at(size, i))))))
+
+    keys = ["piece", "size", "part"]
+    a, n = counted(left.select("a").where("a is not null").distinct().select("a", F.inline(own(F.col("a")))))
+    b, m = counted(right.select("b").where("b is not null").distinct().select("b", F.inline(others(F.col("b")))))
+    a, b, on = salted(a, b, keys, ["a"], n["rows"], ["b"], m["rows"])
+    first = ~F.exists(pieces, lambda i: (i < F.col("piece")) & _whole_piece(F.col("a"), F.col("b"), i, edits))
+    return a.join(b, on).where(first).select("a", "b").where(F.levenshtein("a", "b", edits) >= 0)
+
+
+def substring_pairs(parts: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
+    """(part, text): which parts, of size characters or more, stand in which texts, both distinct.
+
+    A part is looked up by the one of its substrings of that size that the fewest texts have; a part with a substring that no
+    text has stands in none. Substrings that many texts share are split.
+    """
+    grams = lambda c: F.explode(_grams(F.col(c), size)).alias("gram")
+    of_text, n = counted(texts.select("text").distinct().select("text", grams("text")))
+    counts = of_text.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = parts.select("part").distinct().where(F.length("part") >= size).select("part", grams("part"))
+    rare = asked.join(counts, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown"))
+    rare, m = counted(rare.where("unknown = 0").select("part", "gram"))
+    rare, of_text, on = salted(rare, of_text, ["gram"], ["part"], m["rows"], ["text"], n["rows"])
+    return rare.join(of_text, on).where(F.col("text").contains(F.col("part"))).select("part", "text")
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -84,74 +145,128 @@ def _grams(text: Column, size: int) -> Column:
 def pair_criteria(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, criteria, confidence) of pairs of people (id, first, last, email) that meet a criterion.
 
-    Both sides emit keys once: e-mail, local part, last name, reversed name, pieces of the full name (full names
-    within three edits share one, and so do equal first names with last names within two), and the first three
-    letters of a last name against all of the other's full name (a last name that stands in it begins somewhere in
-    it). One join of the keys finds every pair, on which all criteria are evaluated; no pair that meets one is lost.
+    Criteria on names are settled once for each pair of different names: names within three edits (edit_pairs), with equal or
+    swapped parts, or with one's last name in the other's full name (substring_pairs). People are joined to the pairs of names that meet
+    one; pairs whose e-mail or local part is equal and whose names meet none come from a join on that. So no pair arises
+    twice, and none that meets a criterion is lost. Names that many people have are split. ids are unique on each side.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
         e = H.norm_email("email")
         out = df.select(F.col("id").alias(f"{p}id"), H.norm_person("first").alias(f"{p}f"), H.norm_person("last").alias(f"{p}l"), F.nullif(e, F.lit("")).alias(f"{p}e"))
-        return out.withColumns({f"{p}local": F.substring_index(f"{p}e", "@", 1), f"{p}dom": F.substring_index(f"{p}e", "@", -1), f"{p}full": F.concat_ws(" ", f"{p}f", f"{p}l")})
-
-    def keyed(df: DataFrame, p: str, shifts: int) -> DataFrame:
-        f, last, full = F.col(f"{p}f"), F.col(f"{p}l"), F.col(f"{p}full")
-        own, other = ("l", "r") if p == "l" else ("r", "l")
-        start = F.when(F.length(last) >= 3, F.array(F.substring(last, 1, 3))).otherwise(F.array().cast("array<string>"))
-        ordered = F.concat_ws("|", f, last) if p == "l" else F.concat_ws("|", last, f)
-        kinds = {
-            "email": F.array(F.col(f"{p}e")), "local": F.array(F.nullif(F.col(f"{p}local"), F.lit(""))), "last": F.array(F.nullif(last, F.lit(""))),
-            "reversed": F.array(F.when((f != "") & (last != ""), ordered)), "near": _pieces(full, 3, shifts), f"{own}last": start, f"{other}last": _grams(full, 3),
-        }
-        marked = lambda kind: lambda x: F.concat(F.lit(f"{kind}="), x)
-        keys = F.flatten(F.array(*[F.transform(k, marked(kind)) for kind, k in kinds.items()]))
-        return df.withColumn("key", F.explode(F.filter(keys, lambda k: k.isNotNull())))
-
-    a, b = side(left, "l"), side(right, "r")
+        return counted(out.withColumns({f"{p}local": F.substring_index(f"{p}e", "@", 1), f"{p}dom": F.substring_index(f"{p}e", "@", -1), f"{p}full": F.concat_ws(" ", f"{p}f", f"{p}l")}))
+
+    (a, people_a), (b, people_b) = side(left, "l"), side(right, "r")
     c = F.col
-    near = F.levenshtein("lfull", "rfull", 3)
-    tests = {
-        "exact_email": c("le") == c("re"),
+    by_name = {
         "exact_name": (c("lf") == c("rf")) & (c("ll") == c("rl")) & (c("lf") != "") & (c("ll") != ""),
-        "email_local": (c("llocal") == c("rlocal")) & (c("ldom") != c("rdom")),
         "last_initial": (c("ll") == c("rl")) & (c("ll") != "") & (F.substring("lf", 1, 1) == F.substring("rf", 1, 1)) & (c("lf") != c("rf")),
         "last_only": (c("ll") == c("rl")) & (c("ll") != "") & (c("lf") != c("rf")),
-        "near_full_name": near.between(1, 3),
+        "near_full_name": F.levenshtein("lfull", "rfull", 3).between(1, 3),
         "same_first_near_last": (c("lf") == c("rf")) & (c("lf") != "") & F.levenshtein("ll", "rl", 2).between(1, 2),
         "reversed_name": (c("lf") == c("rl")) & (c("ll") == c("rf")) & (c("lf") != "") & (c("ll") != ""),
-        "same_domain_last": (c("ldom") == c("rdom")) & (c("ll") == c("rl")) & (c("ll") != "") & (c("le") != c("re")),
         "left_last_in_right": (F.length("ll") >= 3) & c("rfull").contains(c("ll")) & (c("ll") != c("rl")) & (c("ll") != c("rf")),
         "right_last_in_left": (F.length("rl") >= 3) & c("lfull").contains(c("rl")) & (c("rl") != c("ll")) & (c("rl") != c("lf")),
     }
-    criteria = F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
-    met = keyed(a, "l", 0).join(keyed(b, "r", 3), "key").select("lid", "rid", criteria.alias("criteria")).where(F.size("criteria") > 0)
-    grouped = met.groupBy("lid", "rid").agg(F.array_sort(F.first("criteria")).alias("criteria"))
-    medium = F.size(F.array_intersect("criteria", F.array(*[F.lit(x) for x in MEDIUM])))
-    high = F.arrays_overlap("criteria", F.array(*[F.lit(x) for x in HIGH])) | (medium >= 2)
-    return grouped.withColumn("confidence", F.when(high, "HIGH").when(medium == 1, "MEDIUM").otherwise("LOW"))
+    by_email = {
+        "exact_email": c("le") == c("re"),
+        "email_local": (c("llocal") == c("rlocal")) & (c("llocal") != "") & (c("ldom") != c("rdom")),
+        "same_domain_last": (c("ldom") == c("rdom")) & (c("ll") == c("rl")) & (c("ll") != "") & (c("le") != c("re")),
+    }
+    met = lambda tests: F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
+
+    x, y = (staged(t.select(f"{p}f", f"{p}l", f"{p}full").distinct()) for t, p in ((a, "l"), (b, "r")))
+    one, other = ["lf", "ll", "lfull"], ["rf", "rl", "rfull"]
+    near = edit_pairs(x.select(c("lfull").alias("a")), y.select(c("rfull").alias("b")), 3)
+    found = [
+        x.join(near, x["lfull"] == near["a"]).join(y, c("b") == y["rfull"]),
+        x.where("ll <> ''").join(y, c("ll") == c("rl")),
+        x.where("lf <> '' and ll <> ''").join(y, (c("lf") == c("rl")) & (c("ll") == c("rf"))),
+        x.join(substring_pairs(x.select(c("ll").alias("part")), y.select(c("rfull").alias("text"))), c("ll") == c("part")).join(y, c("text") == c("rfull")),
+        x.join(substring_pairs(y.select(c("rl").alias("part")), x.select(c("lfull").alias("text"))), c("lfull") == c("text")).join(y, c("part") == c("rl")),
+    ]
+    names = reduce(DataFrame.unionByName, [f.select(*one, *other) for f in found]).distinct()
+    names, m = counted(names.withColumn("named", met(by_name)).where(F.size("named") > 0).select("lf", "ll", "rf", "rl", "named"))
+
+    # Names' pairs are distinct, so dealing people alone splits every hot name. What a name's criteria give is known per pair of names.
+    among = lambda kinds: F.size(F.array_intersect("named", F.array(*[F.lit(k) for k in kinds])))
+    rated = names.select("lf", "ll", "rf", "rl", F.array_sort("named").alias("named"), (among(HIGH) > 0).alias("high"), among(MEDIUM).alias("medium"))
+    some, pairs, on = salted(a, rated, ["lf", "ll"], ["lid"], people_a["rows"], ["rf", "rl"], m["rows"])
+    pairs = pairs.join(some, on).drop(*on[2:])
+    some, pairs, on = salted(b, pairs, ["rf", "rl"], ["rid"], people_b["rows"])
+    named = pairs.join(some, on)
+    key = lambda p: F.coalesce(F.nullif(c(f"{p}local"), F.lit("")), c(f"{p}e")).alias("key")
+    p, q, on = salted(a.select("*", key("l")), b.select("*", key("r")), ["key"], ["lid"], people_a["rows"], ["rid"], people_b["rows"])
+    mailed = p.join(q, on).where(F.size(met(by_name)) == 0).withColumns({"named": F.array().cast("array<string>"), "high": F.lit(False), "medium": F.lit(0)})
+    cols = ["lid", "rid", "named", "high", "medium", "le", "re", "llocal", "rlocal", "ldom", "rdom", "ll", "rl"]
+    out = named.select(*cols).unionByName(mailed.where(by_email["exact_email"] | by_email["email_local"] | by_email["same_domain_last"]).select(*cols))
+    yes = lambda k: F.coalesce(by_email[k], F.lit(False))
+    medium = c("medium") + yes("email_local").cast("int")
+    confidence = F.when(c("high") | yes("exact_email") | (medium >= 2), "HIGH").when(medium == 1, "MEDIUM").otherwise("LOW")
+    criteria = F.when(yes("exact_email") | yes("email_local") | yes("same_domain_last"), F.array_sort(F.concat("named", met(by_email)))).otherwise(c("named"))
+    return out.select("lid", "rid", criteria.alias("criteria"), confidence.alias("confidence"))
+
+
+def _numbered(grams: Column) -> Column:
+    """Texts that tell repeated members of an array apart: the first of each stays, later ones get their number."""
+    places = F.sequence(F.lit(1), F.size(grams))
+    nth = lambda i: F.size(F.filter(F.slice(grams, F.lit(1), i), lambda g: g == F.element_at(grams, i)))
+    return F.when(F.size(grams) > 0, F.transform(places, lambda i: F.concat(F.element_at(grams, i), F.when(nth(i) > 1, F.concat(F.lit("#"), nth(i).cast("string"))).otherwise(F.lit(""))))).otherwise(grams)
 
 
 def near_pairs(probes: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     """Distinct (probe, name) that may reach a ro_ratio of cutoff (.75 or more), none that reaches it left out.
 
-    With M matched of T characters in both, at most T - 2M gaps part the matched blocks; at a ratio of .75 or more
-    they have a pair of neighbouring characters in common, or both texts have five characters or fewer: pairs are
-    joined on those pairs of characters, and on single ones among short texts. Lengths, and the characters that both
-    hold whatever their order, bound the ratio from above.
+    At a ratio c, M = c T / 2 of the T characters in both texts are matched, and T - 2M are not, each of which may part two matched blocks;
+    so M - (T - 2M) - 1 pairs of neighbouring characters at least are in both, counted as often as they occur. Where that is
+    none (eight characters and fewer in both), M single characters are.
+    Texts become sets of such members, rare ones first; two sets with so many in common share one among the first few of each, so
+    only those are joined (prefix filter). A pair counts where its first common member meets, if what is left behind
+    that can still give enough (position filter), if lengths allow the ratio, and if the characters that both
+    hold, whatever their order, do. Members that many texts share are split.
     """
     if cutoff < 0.75:
         raise ValueError("a cutoff below .75 needs other keys")
-
-    def keyed(df: DataFrame, col: str) -> DataFrame:
-        letters = F.when(F.length(col) <= 5, _grams(F.col(col), 1)).otherwise(F.array().cast("array<string>"))
-        counts = F.transform(F.array_distinct(F.split(F.col(col), "")), lambda x: F.struct(x.alias("c"), (F.length(col) - F.length(F.replace(F.col(col), x, F.lit("")))).alias("n")))
-        return df.select(col).distinct().withColumn(f"{col}_chars", F.map_from_entries(F.filter(counts, lambda x: x["c"] != ""))).withColumn("key", F.explode(F.concat(_grams(F.col(col), 2), letters)))
-
-    both = keyed(probes, "probe").join(keyed(names, "name"), "key")
+    slack = 1e-9
+
+    def shared(total: Column, kind: Column) -> Column:
+        """Least number of common members of texts with so many characters."""
+        pairs = F.ceil((1.5 * cutoff - 1) * total - 1 - slack)
+        return F.greatest(F.lit(1), F.when(kind == "pair", pairs).otherwise(F.ceil(cutoff * total / 2 - slack))).cast("int")
+
+    def members(df: DataFrame, col: str, side: str) -> DataFrame:
+        n = F.length(col)
+        text = df.select(F.col(col).alias("text")).where(F.col("text") != "").distinct()
+        size = F.length("text")
+        gram = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring("text", i, k))).otherwise(F.array().cast("array<string>"))
+        # Texts of six characters and more meet none in singles: with .75, both have eight at most between them and a third as many again.
+        kinds = F.array(F.struct(F.lit("pair").alias("kind"), _numbered(gram(2)).alias("grams")), F.struct(F.lit("single").alias("kind"), F.when(size <= 5, _numbered(gram(1))).otherwise(F.array().cast("array<string>")).alias("grams")))
+        return text.select(F.lit(side).alias("side"), "text", F.inline(kinds))
+
+    both = members(probes, "probe", "p").unionByName(members(names, "name", "n"))
+    each, m = counted(both.select("side", "text", "kind", F.explode("grams").alias("gram")))
+    counts = staged(each.groupBy("kind", "gram").agg(F.count("*").alias("n")))
+    some, table, on = salted(each, counts, ["kind", "gram"], ["text"], m["rows"])
+    ranked = some.join(table, on).groupBy("side", "text", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "gram")))["gram"].alias("grams"))
+    # The least total that a partner of this text can bring to reach the cutoff.
+    prefix = F.size("grams") - shared(F.ceil(F.length("text") * 2 / (2 - cutoff) - slack), F.col("kind")) + 1
+    ranked = staged(ranked.withColumn("prefix", F.slice("grams", F.lit(1), F.greatest(prefix, F.lit(0)))).withColumn("size", F.size("grams")).drop("grams"))
+
+    def side(letter: str, col: str) -> DataFrame:
+        rows = ranked.where(F.col("side") == letter)
+        return rows.select("kind", F.col("text").alias(col), F.col("size").alias(f"{col}_size"), F.col("prefix").alias(f"{col}_prefix"), F.posexplode("prefix").alias(f"{col}_at", "gram"))
+
+    (p, n_probes), (n, n_names) = counted(side("p", "probe")), counted(side("n", "name"))
+    p, n, on = salted(p, n, ["kind", "gram"], ["probe"], n_probes["rows"], ["name"], n_names["rows"])
     total = F.length("probe") + F.length("name")
-    both = both.where(F.least(F.length("probe"), F.length("name")) * 2 >= cutoff * total)
-    common = F.aggregate(F.map_keys("probe_chars"), F.lit(0), lambda s, k: s + F.least(F.col("probe_chars")[k], F.coalesce(F.try_element_at("name_chars", k), F.lit(0))))
-    return both.where(2 * common >= cutoff * total).select("probe", "name").distinct()
+    lengths = F.least(F.length("probe"), F.length("name")) * 2 >= cutoff * total - slack
+    enough = F.least(F.col("probe_size") - F.col("probe_at"), F.col("name_size") - F.col("name_at")) >= shared(total, F.col("kind"))
+    earlier = F.arrays_overlap(F.slice("probe_prefix", F.lit(1), F.col("probe_at")), F.slice("name_prefix", F.lit(1), F.col("name_at")))
+    met = p.join(n, on).where(lengths & enough & ~earlier).select("probe", "name", "kind")
+    counted = lambda text, x: F.length(text) - F.length(F.replace(text, x, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.filter(F.split("probe", ""), lambda x: x != "")), F.lit(0), lambda s, x: s + F.least(counted(F.col("probe"), x), counted(F.col("name"), x)))
+    met = met.where(2 * common >= cutoff * total - slack)
+    # Short texts may meet as pairs and as singles.
+    return met.where("kind = 'pair'").select("probe", "name").unionByName(met.where("kind = 'single'").select("probe", "name")).distinct()
 
 
 def fuzzy_names(probes: DataFrame, names: DataFrame, cutoff: float = 0.75, gap: float = 0.05) -> DataFrame:

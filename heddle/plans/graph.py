@@ -126,7 +126,7 @@ def g_ancestor_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g_tree_counts", PATHS + "SELECT top AS node, count(*) AS descendants FROM w GROUP BY top")
 def g_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = edges(spark, sf_dir), nodes(spark, sf_dir)
-    return G.tree_counts(G.ancestor_paths(G.primary_parents(e, v, "ROOT")))
+    return G.tree_counts(G.primary_parents(e, v, "ROOT"))
 
 
 @register("g_neighbours", "WITH" + EDGES + ", " + NODES + ", u AS (SELECT dst AS node, string_agg(DISTINCT label, '|' ORDER BY label) AS a FROM e JOIN v ON v.node = src GROUP BY dst), w AS (SELECT src AS node, string_agg(DISTINCT label, '|' ORDER BY label) AS s FROM e JOIN v ON v.node = dst GROUP BY src) SELECT node, coalesce(a, '') AS advisors, coalesce(s, '') AS students FROM v LEFT JOIN u USING (node) LEFT JOIN w USING (node)")
