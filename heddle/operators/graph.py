@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._loop import bucketed, counted, is_empty, staged
-from .describe import positions
+from .describe import numbered_within, positions
 
 
 def union_edges(*sources: DataFrame) -> DataFrame:
@@ -318,14 +318,18 @@ def tree_counts(primary: DataFrame) -> DataFrame:
     return now.where("n > 1").select("node", (F.col("n") - 1).alias("descendants"))
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, advisors, students): sorted distinct labels of the nodes around each node."""
+def neighbours(edges: DataFrame, nodes: DataFrame, size: int = 10_000) -> DataFrame:
+    """(node, chunk, advisors, students): sorted distinct labels of the nodes around each node. A node with more than size on a side has several rows, chunks from 0
+    with so many labels of a side each; no list is longer."""
     pairs = edges.select("src", "dst").distinct()
     label = nodes.select("node", "label")
-    ups = pairs.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("label")).alias("advisors"))
-    downs = pairs.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("label")).alias("students"))
+    ups = pairs.join(label.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.lit("advisors").alias("side"), "label")
+    downs = pairs.join(label.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.lit("students").alias("side"), "label")
+    placed = numbered_within(ups.unionByName(downs).distinct(), ["node", "side"], ["label"], "__at").withColumn("chunk", F.floor((F.col("__at") - 1) / size))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("label")))).alias(side)
+    lists = placed.groupBy("node", "chunk").agg(of("advisors"), of("students"))
     none = F.array().cast("array<string>")
-    return nodes.select("node").join(ups, "node", "left").join(downs, "node", "left").select("node", F.coalesce("advisors", none).alias("advisors"), F.coalesce("students", none).alias("students"))
+    return nodes.select("node").join(lists, "node", "left").select("node", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"), F.coalesce("advisors", none).alias("advisors"), F.coalesce("students", none).alias("students"))
 
 
 def child_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:

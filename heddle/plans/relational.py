@@ -226,9 +226,10 @@ def agg_string_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.string_lists(table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderpriority AS v", "o_orderkey AS o", "o_orderstatus AS t"), "k", "v", "o", "t", "F")
 
 
-@register("agg_group_roster", "SELECT coalesce(nullif(CASE WHEN s_nationkey < 3 THEN ' ' ELSE s_nationkey::VARCHAR END, ' '), '(blank)') AS \"group\", count(*) AS n, string_agg(s_name, ', ' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
+@register("agg_group_roster", "WITH r AS (SELECT coalesce(nullif(CASE WHEN s_nationkey < 3 THEN ' ' ELSE s_nationkey::VARCHAR END, ' '), '(blank)') AS g, s_name FROM supplier), c AS (SELECT g, s_name, count(*) OVER (PARTITION BY g) AS n, (row_number() OVER (PARTITION BY g ORDER BY s_name) - 1) // 4 AS chunk FROM r) SELECT g AS \"group\", chunk, n, string_agg(s_name, ', ' ORDER BY s_name) AS names FROM c GROUP BY g, chunk, n")
 def agg_group_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.group_roster(table(spark, sf_dir, "supplier").selectExpr("CASE WHEN s_nationkey < 3 THEN ' ' ELSE cast(s_nationkey as string) END AS g", "s_name"), "g", "s_name")
+    """Chunks of four names, so that groups have several."""
+    return D.group_roster(table(spark, sf_dir, "supplier").selectExpr("CASE WHEN s_nationkey < 3 THEN ' ' ELSE cast(s_nationkey as string) END AS g", "s_name"), "g", "s_name", 4)
 
 
 @register("agg_set_by_pair", "SELECT o_custkey AS src, year(o_orderdate) AS dst, array_to_string(list_filter(['P', 'O', 'F'], lambda t: list_contains(list(o_orderstatus), t)), '+') AS types FROM orders GROUP BY 1, 2")
@@ -363,6 +364,25 @@ def set_wave_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.wave_pools(table(spark, sf_dir, "customer").select("c_custkey"), [("responded", o.where("y = 1995")), ("contacted", o.where("y = 1996"))], "c_custkey")
 
 
+@register("set_wave_contacts", """WITH RECURSIVE p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN [] WHEN c_custkey % 3 = 0 THEN ['u' || c_custkey % 700, 'v' || c_custkey % 90] ELSE ['u' || c_custkey % 700] END AS emails, CASE WHEN c_custkey % 5 > 0 THEN 'n' || c_custkey % 1100 END AS name FROM customer),
+a AS (SELECT 'u' || o_custkey % 700 AS email, 'n' || o_custkey % 1100 AS name FROM orders WHERE o_orderkey % 97 = 0), b AS (SELECT 'v' || o_custkey % 90 AS email, NULL AS name FROM orders WHERE o_orderkey % 1009 = 0),
+r AS (SELECT id, emails, name, CASE WHEN len(emails) = 0 THEN 'no_email' WHEN list_has_any(emails, (SELECT list(email) FROM a)) OR name IN (SELECT name FROM a) OR 'n' || (substr(name, 2)::INTEGER + 1) IN (SELECT name FROM a WHERE name IS NOT NULL) AND substr(name, 2)::INTEGER % 50 = 0 THEN 'responded' WHEN list_has_any(emails, (SELECT list(email) FROM b)) THEN 'contacted' END AS reason FROM p),
+o AS (SELECT row_number() OVER (ORDER BY id) AS i, id, emails, name FROM r WHERE reason IS NULL),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::VARCHAR AS email, []::VARCHAR[] AS seen, []::VARCHAR[] AS names
+  UNION ALL SELECT x.i, x.id, x.pick, CASE WHEN x.pick IS NULL THEN x.seen ELSE list_concat(x.seen, x.emails) END, CASE WHEN x.pick IS NULL OR x.name IS NULL THEN x.names ELSE list_append(x.names, x.name) END
+  FROM (SELECT o.i, o.id, o.emails, o.name, g.seen, g.names, CASE WHEN o.name IS NULL OR NOT list_contains(g.names, o.name) THEN list_filter(o.emails, lambda e: NOT list_contains(g.seen, e))[1] END AS pick FROM g JOIN o ON o.i = g.i + 1) x)
+SELECT r.id AS c_custkey, coalesce(r.reason, CASE WHEN g.email IS NULL THEN 'duplicate' END) AS reason, CASE WHEN g.email IS NOT NULL THEN g.email || '@x.org' END AS email FROM r LEFT JOIN g ON g.id = r.id""")
+def set_wave_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to write to: neither among those who answered (by address, name or alias) nor written to before, each address and name once, in order."""
+    at = lambda e: f"{e} || '@x.org'"
+    pool = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"CASE WHEN c_custkey % 13 = 0 THEN array('none') WHEN c_custkey % 3 = 0 THEN array({at("'u' || c_custkey % 700")}, {at("'v' || c_custkey % 90")}) ELSE array({at("'u' || c_custkey % 700")}) END AS emails", "CASE WHEN c_custkey % 5 > 0 THEN 'n' || c_custkey % 1100 END AS name")
+    o = table(spark, sf_dir, "orders")
+    answered = o.where("o_orderkey % 97 = 0").selectExpr(f"{at("'u' || o_custkey % 700")} AS email", "'n' || o_custkey % 1100 AS name")
+    contacted = o.where("o_orderkey % 1009 = 0").selectExpr(f"{at("'v' || o_custkey % 90")} AS email", "cast(null as string) AS name")
+    aliases = pool.where("name is not null and substring(name, 2) % 50 = 0").selectExpr("name", "'n' || (cast(substring(name, 2) as int) + 1) AS alias")
+    return D.wave_contacts(pool, "c_custkey", "emails", "name", answered, contacted, aliases)
+
+
 @register("set_overlap", "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1996) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'a_only' WHEN a.k IS NULL THEN 'b_only' ELSE 'both' END AS member FROM a FULL JOIN b ON a.k = b.k")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "year(o_orderdate) AS y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle import functions as H
@@ -43,11 +43,16 @@ def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_jsonl(spark, written(lines, "text"), "event_id bigint, props struct<k: int>", "skip").select("event_id", F.col("props.k").alias("k"))
 
 
-@register("src_glob", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS src_index FROM customer")
+@register("src_glob", "SELECT c_custkey, CASE c_custkey % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 1 END AS src_index, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS place FROM customer")
 def src_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders whose names hold one another, one with a space, and a glob that takes up two; the row's place in its folder comes from the order in the files."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    a, b = written(c.where("c_custkey % 2 = 0"), "json"), written(c.where("c_custkey % 2 = 1"), "json")
-    return S.read_ordered(spark, [a, b, a], "c_custkey bigint")
+    base = shared_path(spark, f"glob-{uuid.uuid4().hex}")
+    for k, name in enumerate(("x1", "x", "sp ace", "1")):
+        c.where(f"c_custkey % 4 = {k}").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").write.json(f"{base}/{name}")
+    rows = S.read_ordered(spark, [f"{base}/sp ace", f"{base}/x*", f"{base}/1", f"{base}/x1"], "c_custkey bigint")
+    place = F.row_number().over(Window.partitionBy(F.regexp_extract("src_order.file", "/([^/]+)/[^/]+$", 1)).orderBy("src_order"))
+    return rows.select("c_custkey", "src_index", place.alias("place"))
 
 
 @register("src_asof_snapshot", "SELECT event_id FROM events WHERE ts::DATE = (SELECT max(ts::DATE) FROM events WHERE ts::DATE <= DATE '2024-01-15')")
@@ -79,24 +84,30 @@ def sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@register("sink_json_doc", "SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ',\"n_name\":\"' || n_name || '\"' || coalesce(',\"items\":[' || string_agg('{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}', ',' ORDER BY s_suppkey) || ']', '') ELSE '' END || '}' AS doc FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+@register("sink_json_doc", "SELECT n_nationkey, 0::BIGINT AS chunk, '{\"n_nationkey\":' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ',\"n_name\":\"' || n_name || '\"' || coalesce(',\"items\":[' || string_agg('{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}', ',' ORDER BY s_suppkey) || ']', '') ELSE '' END || '}' AS doc FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
 def sink_json_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     kids = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS n_nationkey", "s_suppkey", "s_name")
     return S.entity_documents(n, "n_nationkey", kids, "s_suppkey", F.col("n_nationkey") % 2 == 0)
 
 
-@register("sink_batches", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders")
+@register("sink_batches", "WITH b AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 + 1 AS n FROM orders) SELECT o_orderkey, 'Orders_Batch_' || lpad(n::VARCHAR, greatest(2, len((SELECT max(n) FROM b)::VARCHAR))::INTEGER, '0') || '_010124.jsonl' AS file FROM b")
 def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.batches(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
+    """Batch files of 500 orders, written and read back."""
+    folder = shared_path(spark, f"batches-{uuid.uuid4().hex}")
+    S.write_batches(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500, folder, "Orders", "010124")
+    return spark.read.schema("o_orderkey bigint, file string").json(folder)
 
 
 @register("sink_validated", "SELECT count(*) AS rows FROM customer")
 def sink_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     target = shared_path(spark, f"target-{uuid.uuid4().hex}")
-    S.write_validated(c, shared_path(spark, f"staging-{uuid.uuid4().hex}"), target, c.where("c_custkey is null").selectExpr("'high' AS severity"))
-    return spark.read.parquet(target).agg(F.count("*").alias("rows"))
+    rule = lambda rows: rows.where("c_custkey is null").selectExpr("'high' AS severity")
+    S.write_validated(c, target, rule)
+    # Has a row without a key, so what is published stays.
+    S.write_validated(c.selectExpr("nullif(c_custkey, 1) AS c_custkey"), target, rule)
+    return S.published(spark, target).agg(F.count("*").alias("rows"))
 
 
 @register("json_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type")
