@@ -4,10 +4,14 @@ The surrogate of an entity is a function of a secret key, its type and its norma
 has the same surrogate in every document (coreference), with no table to look up. Format is kept character class
 by character class: digits become digits, letters become letters of the same case and script, separators stay,
 and parts that carry meaning do too (a phone's country code, the reserved range of an address, a check digit that
-was valid). Names are replaced by names of the same gender and script, in the same case.
+was valid). Names are replaced by names of the same script, and given names of the same gender, in the same case.
+A person's name is known by its parts: the given name, and each part of the family name (of Smith-Jones both, of
+O'Neil the second, of de la Cruz the last), so forms and coreference stay part by part. Once a name is found in a
+document, all its mentions there are replaced: alone, in capitals, within hyphenated names, earlier or later. Gender is
+no part of who somebody is; what titles tell of a given name is summed up over the corpus.
 
 Distinctness: distinct entities whose surrogates collide with each other's, or with an entity that occurs in the
-corpus (names compared without case and gender), are found by an aggregation over the distinct entities, and get
+corpus (names compared without case), are found by an aggregation over the distinct entities, and get
 a further attempt under another tweak, until none collide. From attempt WIDER on the format gives way where it
 leaves too few values. Only entities that needed more than one attempt are joined to the documents.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,10 +53,19 @@ FAMILY = {
 #: Titles that go before a name, by the gender that they tell.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "Dr": "", "Prof": ""}
 
-_CAP = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
-_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
+#: Small words that belong to family names and stay as they are.
+PARTICLES = "de da do dos das del della der den di du la le los las van von zu zum zur ter ten af av bin ibn al el y e".split()
+
+_UPPER, _LETTER = r"[^\W\d_a-zà-öø-ÿа-яё]", r"[^\W\d_]"
+_CAP = rf"{_UPPER}{_LETTER}+"
+#: A word of a name with its apostrophes and hyphens; the s of a possessive is none of it.
+_WORD = rf"{_UPPER}(?:['’](?!s\b){_LETTER}|{_LETTER})+(?:-{_LETTER}(?:['’](?!s\b){_LETTER}|{_LETTER})*)*"
+_LAST = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )*{_WORD}"
+_PART = re.compile(rf"{_LETTER}{{2,}}")
+_GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
+_NAMES = [n for names in GIVEN.values() for n in names]
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
-_FIRST = "|".join(sorted(_GENDER, key=len, reverse=True))
+_FIRST = "|".join(sorted(_NAMES, key=len, reverse=True))
 
 #: What is found, in order of precedence at one position.
 PATTERN = re.compile(
@@ -65,7 +79,7 @@ PATTERN = re.compile(
             r"(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-])?\d{3,4}(?![\w]))",
             r"(?P<hex>(?<![\w])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![\w]))",
-            rf"(?P<name>\b(?:(?P<title>{_TITLE})\.? (?P<t_first>{_CAP})(?: (?P<t_last>{_CAP}))?|(?P<first>{_FIRST}) (?P<last>{_CAP})))",
+            rf"(?P<name>\b(?:(?P<title>{_TITLE})\.? (?:(?P<t_first>{_CAP}) (?P<t_last>{_LAST})|(?P<t_only>{_LAST}))|(?P<first>{_FIRST}) (?P<last>{_LAST})))",
         )
     )
 )
@@ -121,8 +135,8 @@ def _cased(model: str, text: str) -> str:
     return text.upper() if model.isupper() and len(model) > 1 else text
 
 
-def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one normalised entity, in its canonical form."""
+def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0, gender: str = "") -> str:
+    """The replacement of one normalised entity, in its canonical form. gender is for given names that are not listed."""
     draw = _Stream(key, kind, entity, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
@@ -163,12 +177,9 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ssn":
         return "9" + "".join(_like(c, draw) for c in entity[1:])
     if kind == "given":
-        gender, _, name = entity.partition(":")
-        script = _script(name)
-        pool = GIVEN[script, gender] if gender else GIVEN[script, "f"] + GIVEN[script, "m"]
-        return gender + ":" + _grown(pool, name, attempt, draw)
+        return _given(entity, _GENDER.get(entity, gender), attempt, draw)
     if kind == "family":
-        return _grown(_family_pool(entity), entity, attempt, draw)
+        return _family(entity, attempt, draw)
     if kind == "hex":
         return "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
     if attempt >= WIDER and kind == "secret":
@@ -181,20 +192,48 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
 WOMEN, MEN = ("ова", "ева", "ёва", "ина", "ына", "ая"), "ς"
 
 
-def _family_pool(entity: str) -> list[str]:
-    """Family names of the entity's script, in the form for its gender where the script tells one."""
+#: Sounds that names are built of by script: beginnings, vowels, and what closes a syllable; endings of family names (for any gender, for women, for
+#: men) and of given names (for women, for men).
+SOUNDS = {
+    "latin": ("B Br C Cl D Dr F Fl G Gr H J K Kr L M N P R S St T Tr V W".split(), "a e i o u".split(), "l n r s t m nd rt ll ck v z".split()),
+    "cyrillic": ("Б В Г Д З К Л М Н П Р С Т Ф Х".split(), "а е и о у".split(), "л н р с т м в к".split()),
+    "greek": ("Β Γ Δ Κ Λ Μ Ν Π Ρ Σ Τ Φ Χ".split(), "α ε ι ο".split(), "λ ν ρ σ τ μ δ κ".split()),
+}
+FAMILY_ENDS = {"latin": "er mann son sen ini elli etti ez ano ard ier ow ski ak berg feld dal by ton ley wood worth ham stein holm lund quist ner".split(), "cyrillic": "ов ев ин".split(), "greek": "ίου άκη έα".split()}
+GREEK_MEN = "όπουλος ίδης άκης".split()
+GIVEN_ENDS = {("latin", "f"): "a ia ina elle ette ita anne".split(), ("latin", "m"): "o us an ert ik as en ardo".split(), ("cyrillic", "f"): "а ия ина".split(), ("cyrillic", "m"): "ей ан ир ислав".split(), ("greek", "f"): "α ία η".split(), ("greek", "m"): "ος ης ας".split()}
+
+
+def _built(script: str, ends: list[str], attempt: int, draw: _Stream) -> str:
+    """A name of one part: a syllable and an ending (tens of thousands in Latin script), from the third attempt on with syllables between, so
+    that there are enough at any size."""
+    starts, vowels, closes = SOUNDS[script]
+    pick = lambda values: values[draw.below(len(values))]
+    out = pick(starts) + pick(vowels) + pick(closes)
+    for _ in range((attempt - 1) // 2):
+        out += pick(vowels) + pick(closes)
+    return out + pick(ends)
+
+
+def _given(entity: str, gender: str, attempt: int, draw: _Stream) -> str:
+    """A given name of the gender, or of either where none is known: a common one first, then built ones."""
     script = _script(entity)
-    if script == "cyrillic" and entity.endswith(WOMEN):
-        return [n + "а" for n in FAMILY[script]]
-    if script == "greek":
-        return [n for n in FAMILY[script] if entity.endswith(MEN) or not n.endswith(MEN)]
-    return FAMILY[script]
+    genders = [gender] if gender else ["f", "m"]
+    if not attempt:
+        pool = [n for g in genders for n in GIVEN[script, g] if n.lower() != entity]
+        return pool[draw.below(len(pool))]
+    return _built(script, [e for g in genders for e in GIVEN_ENDS[script, g]], attempt, draw)
 
 
-def _grown(pool: list[str], own: str, attempt: int, draw: _Stream) -> str:
-    """A name of the pool, which is never one's own, nor has it as a part; from the second attempt on a double name, then longer ones, so that there are enough."""
-    others = [n for n in pool if n.lower() not in own.lower().split("-")] or pool
-    return "-".join(others[draw.below(len(others))] for _ in range(1 + (attempt + 1) // 2))
+def _family(entity: str, attempt: int, draw: _Stream) -> str:
+    """A family name, in the form for the entity's gender where the script tells one: a common one first, then built ones."""
+    script = _script(entity)
+    woman = script == "cyrillic" and entity.endswith(WOMEN)
+    man = script == "greek" and entity.endswith(MEN)
+    pool = [n for n in FAMILY[script] if n.lower() != entity and (script != "greek" or n.endswith(MEN) == man)]
+    if pool and not attempt:
+        return pool[draw.below(len(pool))] + ("а" if woman else "")
+    return _built(script, GREEK_MEN if man else FAMILY_ENDS[script], attempt, draw) + ("а" if woman else "")
 
 
 def _phone_prefix(entity: str) -> int:
@@ -202,9 +241,42 @@ def _phone_prefix(entity: str) -> int:
     return m.end() if m else 0
 
 
-def found(text: str) -> list[tuple[int, int, str, str]]:
-    """start, stop, kind and canonical form of the entities of a text, in order and without overlaps."""
+def _parts(text: str, start: int, stop: int) -> list[tuple[int, int, str, str]]:
+    """The parts of a family name at a place; particles and single letters are none."""
+    return [(p.start(), p.end(), "family", p[0].lower()) for p in _PART.finditer(text, start, stop) if p[0] not in PARTICLES]
+
+
+def _mentions(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the names among spans: words that are a name's part as it was written, with a capital or in capitals; in small letters a given
+    name before a family name."""
+    names = {e: k for k in ("given", "family") for _, _, kind, e in spans if kind == k}
+    taken = [(a, b) for a, b, _, _ in spans]
+    inside = lambda i: (at := bisect(taken, (i, len(text) + 1))) and taken[at - 1][1] > i
+    wordlike = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
     out = []
+
+    def places(form: str) -> Iterator[int]:
+        i = text.find(form)
+        while i >= 0:
+            if not (wordlike(i - 1) or wordlike(i + len(form)) or inside(i)):
+                yield i
+            i = text.find(form, i + len(form))
+
+    for entity, kind in names.items():
+        for form in {entity.capitalize(), entity.upper(), *(text[a:b] for a, b, _, e in spans if e == entity)}:
+            out += [(i, i + len(form), kind, entity) for i in places(form)]
+    small = [(i, i + len(e), k, e) for e, k in names.items() for i in places(e)]
+    after = {a: x for x in small if x[2] == "family" for a in [x[0]]}
+    for x in small:
+        if x[2] == "given" and text[x[1] : x[1] + 1] == " " and x[1] + 1 in after:
+            out += [x, after[x[1] + 1]]
+    return sorted(set(out))
+
+
+def found(text: str, genders: dict[str, str] | None = None) -> list[tuple[int, int, str, str]]:
+    """start, stop, kind and canonical form of the entities of a text, in order and without overlaps. What titles tell of given names is put into genders."""
+    out = []
+    named = False
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if m["email"]:
@@ -212,13 +284,16 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         elif m["secret"]:
             out.append((m.start("secret_value"), m.end("secret_value"), "secret", m["secret_value"]))
         elif m["name"]:
+            named = True
+            if m["t_only"]:
+                out += _parts(text, m.start("t_only"), m.end("t_only"))
+                continue
             first, last = ("t_first", "t_last") if m["title"] else ("first", "last")
-            gender = (TITLES[m["title"]] if m["title"] else "") or _GENDER.get(m[first], "")
-            if m["title"] and not m[last]:
-                out.append((m.start(first), m.end(first), "family", m[first].lower()))
-            else:
-                out.append((m.start(first), m.end(first), "given", f"{gender}:{m[first].lower()}"))
-                out.append((m.start(last), m.end(last), "family", m[last].lower()))
+            entity = m[first].lower()
+            out.append((m.start(first), m.end(first), "given", entity))
+            out += _parts(text, m.start(last), m.end(last))
+            if genders is not None and m["title"] and TITLES[m["title"]]:
+                genders[entity] = TITLES[m["title"]]
         elif m["card"]:
             out.append((m.start(), m.end(), "card", re.sub(r"\D", "", m[0])))
         elif m["iban"]:
@@ -230,13 +305,13 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         else:
             kind = next(k for k in ("ipv4", "ssn", "hex") if m[k])
             out.append((m.start(), m.end(), kind, m[0]))
-    return out
+    return sorted(out + _mentions(text, out)) if named else out
 
 
 def dressed(kind: str, original: str, canonical: str) -> str:
     """A surrogate in canonical form, in the format of the original."""
     if kind in ("given", "family"):
-        return _cased(original, canonical.partition(":")[2] if kind == "given" else canonical)
+        return canonical.lower() if original.islower() else _cased(original, canonical)
     if kind == "phone":
         start = _phone_prefix(original)
         digits = iter(canonical.partition(" ")[2] if start else canonical)
@@ -254,44 +329,49 @@ def _text() -> Column:
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """__key, kind and entity (canonical form) of the distinct entities of each text, from rows (__text, __key)."""
+    """__key, kind, entity (canonical form) and gender (what titles in the text tell of a given name) of the distinct entities of each text, from rows
+    (__text, __key)."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(k, *x) for t, k in zip(texts, keys, strict=True) for x in sorted({y[2:] for y in found(t)})]
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["__key", "kind", "entity"])
+            rows = []
+            for text, k in zip(texts, keys, strict=True):
+                genders: dict[str, str] = {}
+                rows += [(k, kind, e, genders.get(e, "") if kind == "given" else "") for kind, e in sorted({y[2:] for y in found(text, genders)})]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["__key", "kind", "entity", "gender"])
 
-    return texts.select("__text", "__key").where(F.col("__text").rlike(_PREFILTER)).mapInArrow(scan, "__key long, kind string, entity string")
+    return texts.select("__text", "__key").where(F.col("__text").rlike(_PREFILTER)).mapInArrow(scan, "__key long, kind string, entity string, gender string")
 
 
 def _form(kind: str, canonical: str) -> str:
-    """What a reader can tell of an entity or a surrogate: names without gender and case."""
-    return canonical.rpartition(":")[2].lower() if kind in ("given", "family") else canonical
+    """What a reader can tell of an entity or a surrogate: names without case."""
+    return canonical.lower() if kind in ("given", "family") else canonical
 
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
-    """kind, entity, attempt, the surrogate that the attempt gives, and the forms of both."""
+    """kind, entity, gender, attempt, the surrogate that the attempt gives, and the forms of both."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [surrogate(k, e, key, a) for k, e, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            made = [surrogate(k, e, key, a, g) for k, e, g, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             kinds, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             forms = [pa.array([_form(k, x) for k, x in zip(kinds, col, strict=True)], pa.string()) for col in (own, made)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string()), *forms], ["kind", "entity", "attempt", "surrogate", "own", "form"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string()), *forms], ["kind", "entity", "gender", "attempt", "surrogate", "own", "form"])
 
-    return rows.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string, own string, form string")
+    return rows.select("kind", "entity", "gender", "attempt").mapInArrow(draw, "kind string, entity string, gender string, attempt int, surrogate string, own string, form string")
 
 
 def assign(distinct: DataFrame, key: bytes = DEFAULT_KEY, rounds: int = ROUNDS) -> DataFrame:
-    """kind, entity, attempt, surrogate for distinct (kind, entity): no two entities of a kind share a surrogate,
+    """kind, entity, gender, attempt, surrogate for distinct (kind, entity), with gender or without: no two entities of a kind share a surrogate,
     and none is itself an entity of the corpus. Who came first keeps a contested surrogate (smaller attempt, then
     smaller entity); the others draw again until no clash is left. Where a class has no values left in PATIENCE
     times so many rounds, this raises instead of sharing surrogates or leaving entities as they are."""
-    now = staged(_drawn(distinct.withColumn("attempt", F.lit(0)), key), "drawn")
+    told = distinct if "gender" in distinct.columns else distinct.withColumn("gender", F.lit(""))
+    now = staged(_drawn(told.withColumn("attempt", F.lit(0)), key), "drawn")
     taken = now.select(F.col("kind").alias("k"), F.col("own").alias("e")).distinct()
-    columns = ["kind", "entity", "attempt", "surrogate", "own", "form"]
+    columns = ["kind", "entity", "gender", "attempt", "surrogate", "own", "form"]
     for _ in range(PATIENCE * rounds):
         first = now.groupBy("kind", "form").agg(F.min(F.struct("attempt", "entity")).alias("x"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("fk"), F.col("form").alias("fs"), F.col("x.entity").alias("winner"))
         marked = now.join(first, (F.col("kind") == F.col("fk")) & (F.col("form") == F.col("fs")), "left")
@@ -299,8 +379,8 @@ def assign(distinct: DataFrame, key: bytes = DEFAULT_KEY, rounds: int = ROUNDS)
         clash = (F.col("winner").isNotNull() & (F.col("winner") != F.col("entity"))) | F.col("e").isNotNull()
         marked = staged(marked.select(*columns, F.coalesce(clash, F.lit(False)).alias("clash")), "marked")
         if not marked.where("clash").limit(1).count():
-            return marked.select("kind", "entity", "attempt", "surrogate")
-        again = _drawn(marked.where("clash").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key)
+            return marked.select("kind", "entity", "gender", "attempt", "surrogate")
+        again = _drawn(marked.where("clash").select("kind", "entity", "gender", (F.col("attempt") + 1).alias("attempt")), key)
         now = staged(marked.where("not clash").drop("clash").unionByName(again), "drawn")
     raise ValueError(f"surrogates still collide after {PATIENCE * rounds} rounds: {[tuple(r) for r in marked.where('clash').groupBy('kind').count().collect()]}")
 
@@ -317,31 +397,34 @@ def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, with_spans: bool
     plain = docs.select(*rest, _text().alias("__text")).withColumn("__key", F.xxhash64("__text"))
     # Texts are read for entities once; what is found serves the draws and the documents' late attempts.
     known = staged(occurrences(plain), "entities")
-    mapping = assign(known.select("kind", "entity").distinct(), key)
-    late = mapping.where("attempt > 0").select("kind", "entity", "attempt")
-    # Attempts beyond the first, gathered by text: documents without such entities meet an empty side.
-    tweaks = staged(known.join(late, ["kind", "entity"]).distinct().groupBy("__key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("__late")), "tweaks")
+    of = lambda g: F.count_if(F.col("gender") == g)
+    told = known.groupBy("kind", "entity").agg(F.when(of("f") + of("m") == 0, "").when(of("m") > of("f"), "m").otherwise("f").alias("gender"))
+    mapping = assign(told, key)
+    late = mapping.where("attempt > 0 or gender <> ''").select("kind", "entity", "attempt", "gender")
+    known = known.select("__key", "kind", "entity")
+    # Attempts beyond the first and genders that titles tell, gathered by text: documents without such entities meet an empty side.
+    tweaks = staged(known.join(late, ["kind", "entity"]).distinct().groupBy("__key").agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias("__late")), "tweaks")
     if tweaks.limit(1).count():
         plain = plain.join(tweaks, "__key", "left")
     else:
-        plain = plain.withColumn("__late", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
+        plain = plain.withColumn("__late", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,gender:string>>"))
     span = "array<struct<kind:string,start:int,stop:int,surrogate:string>>"
     schema = plain.select(*rest).schema.add("text", "string").add("__spans", T.DataType.fromDDL(span))
     width = len(rest)
 
     def swap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[str, str, int], str] = {}
+        kept: dict[tuple[str, str, int, str], str] = {}
         for batch in batches:
             texts, spans = [], []
             for text, tweak in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
-                attempts = {(x["kind"], x["entity"]): x["attempt"] for x in tweak or ()}
+                told = {(x["kind"], x["entity"]): (x["attempt"], x["gender"]) for x in tweak or ()}
                 out, mine, pos, size = [], [], 0, 0
                 for start, stop, kind, entity in found(text):
-                    at = (kind, entity, attempts.get((kind, entity), 0))
+                    at = (kind, entity, *told.get((kind, entity), (0, "")))
                     if at not in kept:
                         if len(kept) > 100_000:
                             kept.clear()
-                        kept[at] = surrogate(kind, entity, key, at[2])
+                        kept[at] = surrogate(kind, entity, key, *at[2:])
                     new = dressed(kind, text[start:stop], kept[at])
                     out += [text[pos:start], new]
                     size += start - pos + len(new)

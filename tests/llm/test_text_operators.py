@@ -190,21 +190,55 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_surrogates_are_never_entities(spark):
-    given = [f"{g}:{n.lower()}" for (_, g), names in surrogates.GIVEN.items() for n in names]
+    given = [n.lower() for names in surrogates.GIVEN.values() for n in names]
     rows = [("given", x) for x in given] + [("family", n.lower()) for names in surrogates.FAMILY.values() for n in names]
     # A class whose every address occurs, and a secret that has no letter or digit to draw.
     rows += [("ipv4", f"192.168.{a}.{b}") for a in range(10) for b in range(10)] + [("secret", "========"), ("email", "a@b.example.com")]
     got = surrogates.assign(spark.createDataFrame(rows, "kind string, entity string")).collect()
-    plain = lambda x: x.rpartition(":")[2].lower()
+    plain = str.lower
     made = {(r["kind"], plain(r["surrogate"])) for r in got}
     assert len(got) == len(made) == len(rows)
     assert not made & {(k, plain(e)) for k, e in rows}
     assert all(r["surrogate"].startswith("192.168.") for r in got if r["kind"] == "ipv4")
 
 
+def test_every_mention_of_a_person_is_replaced(spark):
+    texts = [
+        "Anna Weber met us. Then Weber spoke; ANNA WEBER signed, and Anna's friend saw Weber-Stiftung and webern.", "Yesterday Mr O'Neil came with Mrs. de la Cruz. O'Neil left, Cruz stayed, DE LA CRUZ too.",
+        "Anna Smith-Jones wrote. Later Jones and SMITH-JONES answered; anna smith did not.", "Dr. Andrea Costa and Mr. Andrea Costa", "Prof. Andrea Costa again", "No Weber here, but Costa Rica.", "Weber said: Frau Weber is in.",
+    ]
+    got = [r["text"] for r in surrogates.replace_entities(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    for text, names in zip(got, (["anna", "weber"], ["neil", "cruz"], ["anna", "smith", "jones"], ["andrea", "costa"], ["andrea", "costa"], [], ["weber"]), strict=True):
+        assert not [n for n in names if re.search(rf"(?i)\b{n}\b", text)], text
+    words = lambda i: re.findall(r"[^\W\d_]+", got[i])
+    one = words(0)
+    first, last = one[0], one[1]
+    assert got[0] == f"{first} {last} met us. Then {last} spoke; {first.upper()} {last.upper()} signed, and {first}'s friend saw {last}-Stiftung and webern."
+    neil, cruz = words(1)[3], words(1)[9]
+    assert got[1] == f"Yesterday Mr O'{neil} came with Mrs. de la {cruz}. O'{neil} left, {cruz} stayed, DE LA {cruz.upper()} too."
+    smith, jones = words(2)[1:3]
+    assert got[2] == f"{first} {smith}-{jones} wrote. Later {jones} and {smith.upper()}-{jones.upper()} answered; {first.lower()} {smith.lower()} did not."
+    andrea, costa = words(3)[1:3]
+    assert got[3] == f"Dr. {andrea} {costa} and Mr. {andrea} {costa}" and got[4] == f"Prof. {andrea} {costa} again" and andrea in surrogates.GIVEN["latin", "m"]
+    assert got[5] == texts[5] and got[6] == f"{last} said: Frau {last} is in."
+
+
+def test_names_of_one_part_suffice_for_many(spark):
+    many = spark.range(5000).select(F.lit("family").alias("kind"), F.concat(F.lit("realname"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("entity"))
+    got = [r["surrogate"] for r in surrogates.assign(many).collect()]
+    assert len(set(got)) == 5000 and all(x.isalpha() and x.istitle() for x in got)
+
+
+def test_surrogates_of_no_and_repeated_rows(spark):
+    docs = docs_of(spark, ["Frau Weber, Weber", None, "Frau Weber, Weber"] + ["pad " * 60_000 + "Herr Berg. " + "BERG " * 3])
+    assert surrogates.replace_entities(docs.limit(0)).count() == 0
+    got = [r["text"] for r in surrogates.surrogate_digest(docs.unionByName(docs)).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == got[4] and "Weber" not in got[0] and got[2] == "" and not re.search("(?i)berg", got[6])
+
+
 def test_surrogates_raise_where_a_class_is_exhausted(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "PATIENCE", 1)
-    monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, key, attempt=0: entity)
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, key, attempt=0, gender="": entity)
     with pytest.raises(ValueError):
         surrogates.assign(spark.createDataFrame([("ssn", "123-45-6789")], "kind string, entity string"), rounds=2)
 
