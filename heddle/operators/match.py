@@ -234,11 +234,10 @@ def near_pairs(probes: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
         return F.greatest(F.lit(1), F.when(kind == "pair", pairs).otherwise(F.ceil(cutoff * total / 2 - slack))).cast("int")
 
     def members(df: DataFrame, col: str, side: str) -> DataFrame:
-        n = F.length(col)
         text = df.select(F.col(col).alias("text")).where(F.col("text") != "").distinct()
         size = F.length("text")
         gram = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring("text", i, k))).otherwise(F.array().cast("array<string>"))
-        # Texts of six characters and more meet none in singles: with .75, both have eight at most between them and a third as many again.
+        # Where pairs say nothing both have eight characters at most between them, and then five at most each.
         kinds = F.array(F.struct(F.lit("pair").alias("kind"), _numbered(gram(2)).alias("grams")), F.struct(F.lit("single").alias("kind"), F.when(size <= 5, _numbered(gram(1))).otherwise(F.array().cast("array<string>")).alias("grams")))
         return text.select(F.lit(side).alias("side"), "text", F.inline(kinds))
 
@@ -262,8 +261,8 @@ def near_pairs(probes: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     enough = F.least(F.col("probe_size") - F.col("probe_at"), F.col("name_size") - F.col("name_at")) >= shared(total, F.col("kind"))
     earlier = F.arrays_overlap(F.slice("probe_prefix", F.lit(1), F.col("probe_at")), F.slice("name_prefix", F.lit(1), F.col("name_at")))
     met = p.join(n, on).where(lengths & enough & ~earlier).select("probe", "name", "kind")
-    counted = lambda text, x: F.length(text) - F.length(F.replace(text, x, F.lit("")))
-    common = F.aggregate(F.array_distinct(F.filter(F.split("probe", ""), lambda x: x != "")), F.lit(0), lambda s, x: s + F.least(counted(F.col("probe"), x), counted(F.col("name"), x)))
+    times = lambda text, x: F.length(text) - F.length(F.replace(text, x, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.filter(F.split("probe", ""), lambda x: x != "")), F.lit(0), lambda s, x: s + F.least(times(F.col("probe"), x), times(F.col("name"), x)))
     met = met.where(2 * common >= cutoff * total - slack)
     # Short texts may meet as pairs and as singles.
     return met.where("kind = 'pair'").select("probe", "name").unionByName(met.where("kind = 'single'").select("probe", "name")).distinct()

@@ -220,15 +220,21 @@ def backfill(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) ->
     return both.select(*[value(c).alias(c) if c in columns else F.col(c) for c in base.columns]), log
 
 
-def patch_guards(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, issue): keys patched twice, unknown keys, unknown columns to clear, columns set and cleared at once."""
+def patch_guards(base: DataFrame, patch: DataFrame, key: str, columns: list[str], sources: dict[str, list[str]] | None = None, states: tuple[str, str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(key, issue): keys patched twice, unknown keys, unknown columns to clear, columns set and cleared at once; values that need a source and have none (sources: a
+    column and the patch's columns of which one must be filled); and states of rows whose country is not the US (states: the patch's columns of state and
+    country; aliases of countries are resolved)."""
     twice = patch.groupBy(key).count().where("count > 1").select(key, F.lit("duplicate").alias("issue"))
     lost = patch.select(key).join(base.select(key), key, "left_anti").select(key, F.lit("unknown_key").alias("issue"))
     known = F.array(*[F.lit(c) for c in columns])
-    odd = patch.where(F.size(F.array_except("clear_fields", known)) > 0).select(key, F.lit("unknown_column").alias("issue"))
     filled = F.filter(F.array(*[F.when(H.coalesce_blank(c).isNotNull(), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
-    both = patch.where(F.arrays_overlap("clear_fields", filled)).select(key, F.lit("set_and_clear").alias("issue"))
-    return twice.unionByName(lost).unionByName(odd).unionByName(both)
+    rules = {"unknown_column": F.size(F.array_except("clear_fields", known)) > 0, "set_and_clear": F.arrays_overlap("clear_fields", filled)}
+    for column, proofs in (sources or {}).items():
+        rules[f"{column}_without_source"] = H.coalesce_blank(column).isNotNull() & F.coalesce(*[H.coalesce_blank(p) for p in proofs]).isNull()
+    if states:
+        rules["state_outside_us"] = H.coalesce_blank(states[0]).isNotNull() & ~F.coalesce(H.is_us(states[1], aliases or {}), F.lit(False))
+    broken = patch.select(key, F.explode(F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())).alias("issue"))
+    return twice.unionByName(lost).unionByName(broken)
 
 
 def merge_panel(panel: DataFrame, enrichment: DataFrame, key: str, fields: list[str], prefix: str, skip_failed: bool = True) -> DataFrame:

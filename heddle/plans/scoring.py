@@ -196,11 +196,17 @@ def en_backfill_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.backfill(base(spark, sf_dir), patch(spark, sf_dir), "c_custkey", ["email", "employer"])[1]
 
 
-@register("en_backfill_guards", "SELECT c_custkey, 'duplicate' AS issue FROM customer WHERE c_custkey % 4 < 3 AND c_custkey % 50 = 0 UNION ALL SELECT c_custkey + 1000000, 'unknown_key' FROM customer WHERE c_custkey % 40 = 0")
+@register("en_backfill_guards", f"""WITH p AS (SELECT c_custkey, {PATCH} AS email, CASE WHEN c_custkey % 7 = 0 THEN 'TX' END AS state FROM customer WHERE c_custkey % 4 < 3),
+q AS (SELECT *, 1 AS times FROM p UNION ALL SELECT *, 2 FROM p WHERE c_custkey % 50 = 0 UNION ALL SELECT c_custkey + 1000000, email, state, 3 FROM p WHERE c_custkey % 40 = 0)
+SELECT c_custkey, 'duplicate' AS issue FROM p WHERE c_custkey % 50 = 0 UNION ALL SELECT c_custkey, 'unknown_key' FROM q WHERE times = 3
+UNION ALL SELECT c_custkey, 'email_without_source' FROM q WHERE trim(email) <> '' AND c_custkey % 11 = 0 UNION ALL SELECT c_custkey, 'state_outside_us' FROM q WHERE state IS NOT NULL AND c_custkey % 2 = 0""")
 def en_backfill_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = patch(spark, sf_dir)
+    p = patch(spark, sf_dir).withColumn("state", F.expr("CASE WHEN c_custkey % 7 = 0 THEN 'TX' END"))
     lost = p.where("c_custkey % 40 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000)
-    return S.patch_guards(base(spark, sf_dir), p.unionByName(p.where("c_custkey % 50 = 0")).unionByName(lost), "c_custkey", ["email", "employer"])
+    every = p.unionByName(p.where("c_custkey % 50 = 0")).unionByName(lost)
+    # The first source is blank for a third, the second for an eleventh of all; both are then.
+    every = every.selectExpr("*", "CASE WHEN c_custkey % 11 > 0 AND c_custkey % 3 = 0 THEN 'http://a' ELSE ' ' END AS source_1", "CASE WHEN c_custkey % 11 > 0 THEN 'http://b' END AS source_2", "CASE WHEN c_custkey % 2 = 1 THEN ' usa' WHEN c_custkey % 4 = 0 THEN 'France' END AS country")
+    return S.patch_guards(base(spark, sf_dir), every, "c_custkey", ["email", "employer"], {"email": ["source_1", "source_2"]}, ("state", "country"), {"usa": "United States"})
 
 
 @register("en_email_recovery", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, CASE WHEN c_custkey % 6 = 1 THEN 'by id' END, CASE WHEN c_custkey % 6 = 3 THEN 'by name' END) AS email FROM customer")
