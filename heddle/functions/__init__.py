@@ -9,9 +9,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
     """Latin letters by what they fold to: one-to-one as two strings, the rest as pairs. From Unicode's own
@@ -416,16 +419,19 @@ def surname_gate(surname: Column, candidate: Column) -> Column:
 
 
 def ro_ratio(a: Column | str, b: Column | str) -> Column:
-    """Ratcliff-Obershelp similarity, an Arrow UDF for blocked pairs; the order of arguments matters."""
+    """Ratcliff-Obershelp similarity of blocked pairs; the order of arguments matters, and null is empty. A UDF over Arrow batches, in which all
+    pairs of a batch advance together (blocks.matched); equal pairs are rated once."""
+
+    # Sent to the workers with the UDF, which need not have this package.
+    cloudpickle.register_pickle_by_value(blocks)
+    rate = blocks.ratios
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        known: dict[tuple[str, str], float] = {}
-        for p in set(zip(x.fillna(""), y.fillna(""), strict=True)):
-            known[p] = SequenceMatcher(None, *p).ratio()
-        return pd.Series([known[p] for p in zip(x.fillna(""), y.fillna(""), strict=True)], dtype="float64")
+        pairs = pd.DataFrame({"x": x.fillna(""), "y": y.fillna("")})
+        which = pairs.groupby(["x", "y"], sort=False).ngroup().to_numpy()
+        once = pairs.drop_duplicates()
+        return pd.Series(rate(once["x"].tolist(), once["y"].tolist())[which])
 
     return ratio(a, b)
 
