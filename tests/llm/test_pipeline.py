@@ -65,3 +65,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         want[i] = len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
     assert got == want
     assert max(packing.CAPACITIES) == 8192
+
+
+def test_pipeline_of_no_and_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """An empty table gives no row; rows that repeat an id and a text are one document after near-duplicates; columns named like the stages' own
+    stay with their rows."""
+    rnd = random.Random(9)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(3, 8))) for _ in range(n))
+    long = prose(12_000)
+    rows = [(1, prose(90), "en", "s0", 1, "a", 5, True), (2, long, "en", None, 2, "b", 6, None), (None, prose(70), None, "s1", 3, "c", 7, False)]
+    rows += rows[:2]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, component_id int, kept boolean"
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert sorted(got, key=str) == [1, 2, None] and docs.count() == 3
+    assert [got[i]["spans"] for i in (1, 2, None)] == ["a", "b", "c"] and got[2]["text"] == long and got[2]["n_chars"] == len(long) and got[1]["kept"] is True
