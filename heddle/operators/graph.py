@@ -149,6 +149,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def remove_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) edges: within a strong component, and for self-loops, edges to a node that is not greater
     are removed, so that the rest has no cycle and the outcome depends on nothing but the edges."""
+    edges = staged(edges)
     parts = strong_components(edges)
     marked = edges.join(parts.withColumnsRenamed({"node": "src", "component": "cs"}), "src", "left").join(parts.withColumnsRenamed({"node": "dst", "component": "cd"}), "dst", "left")
     drop = (F.col("src") == F.col("dst")) | (F.coalesce(F.col("cs") == F.col("cd"), F.lit(False)) & (F.col("dst") <= F.col("src")))
