@@ -1,13 +1,18 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In each pass vectors get a key of several concatenated random hashes (the largest coordinate, with its sign,
-after a random projection), are ordered lexicographically by it over the whole cluster, and compared with a
-bounded number of neighbours in that order; pairs whose cosine reaches the threshold are united across passes.
+In each pass vectors get a key of several concatenated random hashes, are ordered lexicographically by it over the
+whole cluster, and compared with a bounded number of neighbours in that order; pairs whose cosine reaches the threshold
+are united across passes. The first hash is the nearest of some random centres; the others are the largest coordinate,
+with its sign, of a random projection of what is left after taking the centre off. In tables that are dense in places,
+vectors of one topic would all agree in hashes of the whole vector; what is left tells them apart.
 
-How many passes a table needs follows from its size: n vectors in random directions are told apart, down to a window,
-by log(n / window) / log(values of a hash) hashes; a pair at the threshold agrees in all of these with a probability
-that is estimated by drawing such pairs, and so many passes are taken that one of them finds it. Tables that are denser
-than random directions have more neighbours in a window; half as many passes again are taken for that.
+Passes carry vectors as bytes (a component is a 127th part of the largest); a bound on the rounding keeps every pair
+that could reach the threshold, and only these candidates meet the vectors themselves, in double precision.
+
+How many passes a table needs is learnt from a bounded sample of it: each sampled vector gets a made neighbour at the
+threshold, trial passes tell how many hashes both share and how many vectors of the table share them too, and so many
+passes are taken that neighbours meet within a window with the recall wanted, and half as many again. Several numbers of centres are tried, and
+the one with the fewest passes is taken. A table of random directions of the same size is the least that is assumed.
 
 Every link lies within a component, so exact counts of links need comparisons within components only; these are
 taken block by block as matrix products that give a count per vector, and no pair is emitted.
@@ -16,7 +21,9 @@ taken block by block as matrix products that give a count per vector, and no pai
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,6 +39,10 @@ from .components import components
 PASSES, HASHES, REACH, BLOCK = 20, 4, 12, 512
 #: Probability with which a pair at the threshold should be found, and passes taken over those that this needs.
 RECALL, SURPLUS = 0.98, 1.5
+#: Sampled vectors (and bytes of them at most), trial passes, made neighbours, hashes tried, numbers of centres tried.
+SAMPLE, SAMPLE_BYTES, TRIALS, MADE, TRIED, CENTRES = 4096, 16_000_000, 8, 512, 12, (1, 16, 64, 256)
+#: Passes at most; a table that would need more warns.
+MOST = 512
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -64,11 +75,126 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "vec_id long, vec binary")
 
 
-def _keyed(classes: DataFrame, passes: int, hashes: int, seed: int) -> DataFrame:
-    """One row per vector and pass: lane (dimension and pass), key, rep, vec."""
+@dataclass(frozen=True)
+class Plan:
+    """What passes over vectors of one dimension need: how many, hashes in a key, and the centres to choose from."""
+
+    passes: int
+    hashes: int
+    centres: np.ndarray
+
+
+def _centres(x: np.ndarray, k: int, seed: int, rounds: int = 3) -> np.ndarray:
+    """Means of k groups of the sample; one centre is the mean of all."""
+    if k == 1:
+        return x.mean(0, keepdims=True)
+    c = x[np.random.default_rng((seed, k)).choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        at = (x @ c.T - (c**2).sum(1) / 2).argmax(1)
+        sums, n = np.zeros_like(c), np.bincount(at, minlength=k)
+        np.add.at(sums, at, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def pass_keys(x: np.ndarray, plan: Plan, t: int, seed: int, drawn: dict | None = None) -> np.ndarray:
+    """Keys of unit vectors in pass t, a row of numbers each: centre, then hashes. Half of the centres, drawn anew,
+    take part in a pass, so that borders between them lie elsewhere each time."""
+    d = x.shape[1]
+    drawn = {} if drawn is None else drawn
+    if (d, t) not in drawn:
+        rnd = np.random.default_rng((seed, d, t))
+        c = plan.centres
+        if len(c) > 1:
+            c = c[rnd.permutation(len(c))[: max(1, len(c) // 2)]]
+        projections = rnd.standard_normal((plan.hashes, d, min(d, 128)))
+        drawn[d, t] = (c, (c**2).sum(1) / 2, projections, np.einsum("kd,hdm->hkm", c, projections, optimize=True))
+    c, half, projections, moved = drawn[d, t]
+    cell = (x @ c.T - half).argmax(1)
+    key = np.zeros((len(x), plan.hashes + 1), ">u2")
+    key[:, 0] = cell
+    for h in range(plan.hashes):
+        y = x @ projections[h] - moved[h][cell]
+        top = np.abs(y).argmax(1)
+        key[:, h + 1] = 2 * top + (y[np.arange(len(y)), top] > 0)
+    return key
+
+
+def _needs(x: np.ndarray, n: float, centres: np.ndarray, threshold: float, reach: int, recall: float, seed: int) -> tuple[int, int]:
+    """Passes and hashes that n vectors need of which x is a sample."""
+    rnd = np.random.default_rng((seed, len(centres), 5))
+    plan = Plan(TRIALS, TRIED, centres)
+    # Links are commonest where the table is dense; half of the made neighbours stand there. What a vector links with
+    # doesn't stand in its way.
+    some = rnd.permutation(len(x))[: MADE // 2]
+    dense = np.ones(len(x))
+    for i in range(0, len(x), 512):
+        cosine = x @ x[i : i + 512].T
+        dense += ((cosine >= threshold - 0.1) & (cosine < threshold)).sum(1)
+    some = np.concatenate([some, rnd.choice(len(x), MADE // 2, p=dense / dense.sum())])
+    others = x[some] @ x.T < threshold
+    a = x[some]
+    b = rnd.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    shared, crowd, pairs = [], [], np.zeros(TRIED + 2)
+    for t in range(TRIALS):
+        keys, near = pass_keys(x, plan, t, seed), pass_keys(b, plan, t, seed)
+        shared.append(np.cumprod(keys[some] == near, axis=1).sum(1))
+        group, counts = np.zeros(len(x), np.int64), np.zeros((TRIED + 2, len(some)), np.int64)
+        counts[0] = others.sum(1)
+        for j in range(TRIED + 1):
+            group = np.unique(group * 65536 + keys[:, j], return_inverse=True)[1]
+            counts[j + 1] = ((group[some][:, None] == group[None]) & others).sum(1)
+            if counts[j + 1].max() < 8:
+                break
+        pairs += counts.sum(1)
+        crowd.append(counts)
+    # Share of all vectors with the same first j parts of the key; where the sample is too thin, by the ratio of pairs.
+    ratio, last = np.ones(TRIED + 2), 0.5
+    for j in range(1, TRIED + 2):
+        if pairs[j - 1] >= 50 * TRIALS and pairs[j]:
+            last = max(min(pairs[j], pairs[j - 1]), 1.0) / pairs[j - 1]
+        ratio[j] = last
+    met = np.zeros(len(some))
+    level = np.zeros(TRIED + 2)
+    for t in range(TRIALS):
+        part = np.ones((TRIED + 2, len(some)))
+        for j in range(1, TRIED + 2):
+            seen = crowd[t][j]
+            part[j] = np.where(seen >= 8, seen / max(len(x) - 1, 1), np.minimum(part[j - 1] * ratio[j], 8 / max(len(x) - 1, 1)))
+        level += part.mean(1) / TRIALS
+        inside = np.maximum(n * part[shared[t], np.arange(len(some))], 1.0)
+        met += np.minimum(1.0, 2 * reach / inside) / TRIALS
+    halves = np.split(met, [len(some) - MADE // 2])
+    halves = [np.clip((TRIALS * m + 2 * m.mean()) / (TRIALS + 2), 1e-6, 1 - 1e-9) for m in halves]
+    low, high = 1, 1 << 20
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if all(((1 - m) ** middle).mean() <= 1 - recall for m in halves) else (middle + 1, high)
+    below = np.flatnonzero(n * level <= reach / 2)
+    return math.ceil(SURPLUS * low), int(min(max(below[0] if len(below) else TRIED, HASHES), TRIED))
+
+
+def plan_passes(x: np.ndarray, n: float, threshold: float, reach: int, recall: float = RECALL, least: int = PASSES, seed: int = 7) -> Plan:
+    """The plan for n vectors of which the unit vectors x are a sample."""
+    passes, hashes = passes_for(int(n), x.shape[1], threshold, reach, recall, least)
+    tried = []
+    for k in CENTRES:
+        if k == 1 or 8 * k <= len(x):
+            centres = _centres(x, k, seed)
+            tried.append((*_needs(x, n, centres, threshold, reach, recall, seed), centres))
+    wanted, deep, centres = min(tried, key=lambda r: r[0])
+    if wanted > MOST:
+        warnings.warn(f"{wanted} passes would be needed for a recall of {recall}; {MOST} are made", stacklevel=2)
+    return Plan(max(passes, min(wanted, MOST)), max(hashes, deep), centres)
+
+
+def _keyed(classes: DataFrame, plans: dict[int, Plan], seed: int) -> DataFrame:
+    """One row per vector and pass: lane (dimension and pass), key, rep, code (the components in 127ths)."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn: dict[tuple[int, int, int], np.ndarray] = {}
+        drawn: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -81,27 +207,29 @@ def _keyed(classes: DataFrame, passes: int, hashes: int, seed: int) -> DataFrame
                     some = [raw[i] for i in part]
                     x = _unit(some)
                     d = x.shape[1]
-                    for t in range(passes):
-                        key = np.zeros((len(part), hashes), ">u4")
-                        for h in range(hashes):
-                            if (d, t, h) not in drawn:
-                                drawn[d, t, h] = np.random.default_rng((seed, d, t, h)).standard_normal((d, min(d, 128)))
-                            y = x @ drawn[d, t, h]
-                            top = np.abs(y).argmax(1)
-                            key[:, h] = 2 * top + (y[np.arange(len(y)), top] > 0)
-                        keys = [k.tobytes() for k in key]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d * 1_000_000 + t), pa.int64()), pa.array(keys, pa.binary()), pa.array(reps[part]), pa.array(some, pa.binary())], ["lane", "key", "rep", "vec"])
-
-    return classes.select("rep", "vec").mapInArrow(emit, "lane long, key binary, rep long, vec binary")
-
-
-def _neighbours(lane: np.ndarray, rep: np.ndarray, x: list[bytes], threshold: float, reach: int, split: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs at most reach apart in the order given; with split, only pairs across that position."""
-    for size in {len(v) for v in x}:
-        pick = np.array([i for i, v in enumerate(x) if len(v) == size])
-        unit, r, p = _unit([x[i] for i in pick]), rep[pick], lane[pick]
+                    plan = plans.get(d) or plans[0]
+                    plan = plan if plan.centres.shape[1] == d else Plan(plan.passes, plan.hashes, np.zeros((1, d)))
+                    codes = np.rint(127 * np.frombuffer(b"".join(some), "<f8").reshape(x.shape)).astype(np.int8)
+                    codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                    for t in range(plan.passes):
+                        keys = [k.tobytes() for k in pass_keys(x, plan, t, seed, drawn)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d * 1_000_000 + t), pa.int64()), pa.array(keys, pa.binary()), pa.array(reps[part]), codes], ["lane", "key", "rep", "code"])
+
+    return classes.select("rep", "vec").mapInArrow(emit, "lane long, key binary, rep long, code binary")
+
+
+def _neighbours(lane: np.ndarray, rep: np.ndarray, codes: list[bytes], threshold: float, reach: int, split: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at most reach apart in the order given that could reach the threshold; with split, only pairs across
+    that position. A code is off by half a 127th per component, which turns it by an angle that is bounded."""
+    for size in {len(c) for c in codes}:
+        pick = np.array([i for i, c in enumerate(codes) if len(c) == size])
+        x = np.frombuffer(b"".join(codes[i] for i in pick), np.int8).reshape(len(pick), size).astype(np.float32)
+        norm = np.linalg.norm(x, axis=1)
+        unit, r, p = x / norm[:, None], rep[pick], lane[pick]
+        turn = np.arcsin(np.minimum(1.0, 0.5 * math.sqrt(size) / norm))
         for step in range(1, min(reach, len(pick) - 1) + 1):
-            ok = (np.einsum("ij,ij->i", unit[:-step], unit[step:]) >= threshold) & (p[:-step] == p[step:])
+            limit = np.cos(np.minimum(math.pi, math.acos(threshold) + turn[:-step] + turn[step:])) - 1e-5
+            ok = (np.einsum("ij,ij->i", unit[:-step], unit[step:]) >= limit) & (p[:-step] == p[step:])
             if split is not None:
                 ok &= (pick[:-step] < split) & (pick[step:] >= split)
             at = np.flatnonzero(ok)
@@ -109,8 +237,8 @@ def _neighbours(lane: np.ndarray, rep: np.ndarray, x: list[bytes], threshold: fl
 
 
 def _links(keyed: DataFrame, threshold: float, reach: int, parts: int) -> DataFrame:
-    """(u, v) pairs of neighbours that reach the threshold, across the borders of partitions too."""
-    ordered = keyed.repartitionByRange(parts, "lane", "key").sortWithinPartitions("lane", "key", "rep")
+    """(u, v) pairs of neighbours that could reach the threshold, across the borders of partitions too."""
+    ordered = keyed.repartitionByRange(parts, "lane", "key", "rep").sortWithinPartitions("lane", "key", "rep")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,18 +269,18 @@ def _links(keyed: DataFrame, threshold: float, reach: int, parts: int) -> DataFr
             order = list(range(len(last))) + list(range(len(head)))
             yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(cols[0], pa.int32()), pa.array(side, pa.int32()), pa.array(order, pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names)
 
-    names = ["u", "v", "border", "side", "place", "lane", "rep", "vec"]
+    names = ["u", "v", "border", "side", "place", "lane", "rep", "code"]
 
     def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         n = len(u)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), *(pa.nulls(n, pa.int32()) for _ in range(3)), *(pa.nulls(n, pa.int64()) for _ in range(2)), pa.nulls(n, pa.binary())], names)
 
-    made = staged(ordered.mapInArrow(compare, "u long, v long, border int, side int, place int, lane long, rep long, vec binary"), "passes")
+    made = staged(ordered.mapInArrow(compare, "u long, v long, border int, side int, place int, lane long, rep long, code binary"), "passes")
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "place"])
         split = int((pdf["side"] == 0).sum())
-        found = [(np.maximum(u, v), np.minimum(u, v)) for u, v in _neighbours(pdf["lane"].to_numpy(), pdf["rep"].to_numpy(), pdf["vec"].tolist(), threshold, reach, split)]
+        found = [(np.maximum(u, v), np.minimum(u, v)) for u, v in _neighbours(pdf["lane"].to_numpy(), pdf["rep"].to_numpy(), pdf["code"].tolist(), threshold, reach, split)]
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*found, strict=True)) or ([], [])))
         return pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
@@ -184,6 +312,36 @@ def passes_for(n: int, width: int, threshold: float, reach: int, recall: float =
     return max(least, math.ceil(SURPLUS * math.log(1 - recall) / math.log(1 - alike))), max(HASHES, math.ceil(needed) + 2)
 
 
+def _plans(classes: DataFrame, threshold: float, reach: int, recall: float, least: int, seed: int) -> dict[int, Plan]:
+    """A plan per dimension that a bounded sample of the classes holds; 0 is the plan of all others."""
+    n, width = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    if not n:
+        return {}
+    some = classes.select("vec").orderBy(F.xxhash64("vec")).limit(max(64, min(SAMPLE, SAMPLE_BYTES // width))).collect()
+    raw: dict[int, list[bytes]] = {}
+    for r in some:
+        raw.setdefault(len(r["vec"]) // 8, []).append(bytes(r["vec"]))
+    plans = {d: plan_passes(_unit(x), n * len(x) / len(some), threshold, reach, recall, least, seed) for d, x in raw.items()}
+    passes, hashes = passes_for(n, width // 8, threshold, reach, recall, least)
+    return {0: Plan(passes, hashes, np.zeros((1, 0)))} | plans
+
+
+def _verified(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The candidates whose vectors reach the threshold. A vector has a bounded number of candidates."""
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            sizes, ok = np.array([len(x) for x in a], np.int64), np.zeros(len(a), bool)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                ok[at] = np.einsum("ij,ij->i", _unit([a[i] for i in at]), _unit([b[i] for i in at])) >= threshold
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    one, other = (classes.select(F.col("rep").alias(k), F.col("vec").alias(x)) for k, x in (("u", "a"), ("v", "b")))
+    return candidates.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+
+
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, reach: int = REACH, seed: int = 7, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
 
@@ -197,10 +355,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int
     classes = packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     # Numbered once, as the table is written; vec_id may repeat.
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    n, width = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
-    passes, hashes = passes_for(n, (width or 8) // 8, threshold, reach, recall, passes)
-    edges = _links(_keyed(classes.select("rep", "vec"), passes, hashes, seed), threshold, reach, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    labels = components(edges)
+    plans = _plans(classes, threshold, reach, recall, passes, seed)
+    near = _links(_keyed(classes.select("rep", "vec"), plans, seed), threshold, reach, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    labels = components(_verified(near, classes, threshold))
 
     # Exact links within each component, in blocks of vectors against blocks of vectors.
     placed = classes.join(labels, classes["rep"] == labels["id"]).select("component_id", "rep", "vec", "weight")

@@ -515,3 +515,21 @@ def test_recall_of_planted_links(spark, n):
     found = sum(r["n_links"] for r in embedding_dedup.embedding_duplicates(frame).collect())
     link = x @ x.T >= 0.9
     assert found / (link.sum() - len(x)) >= 0.95
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_of_all_links_in_dense_topics(spark, n):
+    rnd = np.random.default_rng(n)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    topics = unit(rnd.standard_normal((4, 64)))[rnd.integers(4, size=n)]
+    x = unit(np.sqrt(0.8) * topics + np.sqrt(0.2) * unit(rnd.standard_normal((n, 64))))
+    near = rnd.standard_normal((n // 10, 64))
+    near -= (near * x[: n // 10]).sum(1, keepdims=True) * x[: n // 10]
+    x = np.concatenate([x, 0.91 * x[: n // 10] + np.sqrt(1 - 0.91**2) * unit(near)])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in embedding_dedup.embedding_duplicates(frame, reach=4).collect())
+    link = x @ x.T >= 0.9
+    assert 0.9 <= found / (link.sum() - len(x)) <= 1
