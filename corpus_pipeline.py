@@ -16,9 +16,9 @@ from heddle.llm.queries import tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above the per-host limit go from the others."""
+    """Rejected documents go; lines above the per-host limit go from the others. Copies count once there: the next stage keeps one."""
     reachable(spark)
-    return quality.apply_quality(docs)
+    return quality.apply_quality(docs, fold_copies=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ Base rules look at a document by itself. The cross-document rule hashes each doc
 counts per host (the source column) in how many distinct documents a line stands, removes the lines above the
 limit, and rejects documents of which too little is left.
 
-Documents with the same set of lines, told by a digest of all its line hashes, count once in that count: the
-copies of one document would else make each other boilerplate, although near-duplicate removal keeps one of them
-later. Documents that differ in a line are counted each, however many they share.
+With fold_copies, documents with the same set of lines, told by a digest of all its line hashes, count once in that
+count: where near-duplicate removal follows and keeps one of them, copies don't make each other boilerplate. Documents
+that differ in a line are counted each, however many they share.
 """
 
 from __future__ import annotations
@@ -77,22 +77,28 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), f"{_SPACE}+", " "))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, fold_copies: bool = False) -> DataFrame:
     """__key, line (hash of the normalised line) and words (of the line in that document, all occurrences) of
-    the lines that stand in more than max_documents distinct documents of their host."""
+    the lines that stand in more than max_documents distinct documents of their host; with fold_copies, documents with
+    the same set of lines count as one."""
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).withColumn("__key", _key(F.col("__text")))
     split = F.filter(F.transform(F.split("__text", "\n"), _normal), lambda x: x != "")
     rows = once(rows.select("__key", "host", "__text"), lines=F.transform(split, lambda x: F.struct(F.unhex(F.md5(x.cast("binary"))).alias("line"), F.size(F.split(x, " ")).alias("words"))))
-    sets = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.hex(x["line"]))))
-    rows = once(rows.select("__key", "host", "lines"), whole=F.unhex(F.md5(F.array_join(sets, "").cast("binary"))))
+    if fold_copies:
+        sets = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.hex(x["line"]))))
+        rows = once(rows.select("__key", "host", "lines"), whole=F.unhex(F.md5(F.array_join(sets, "").cast("binary"))))
+    else:
+        rows = rows.withColumn("whole", F.col("__key"))
     each = rows.select("__key", "host", "whole", F.explode("lines").alias("x")).select("__key", "host", "whole", "x.line", "x.words")
     each = staged(each.groupBy("__key", "host", "line").agg(F.sum("words").alias("words"), F.min("whole").alias("whole")), "lines")
-    distinct = each.groupBy("host", "line", "whole").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents"))
+    # A document's line is one row of each, so only copies need folding before the count.
+    distinct = each.groupBy("host", "line", "whole").agg(F.lit(1).alias("one")) if fold_copies else each
+    distinct = distinct.groupBy("host", "line").agg(F.count("*").alias("documents"))
     over = distinct.where(F.col("documents") > max_documents).select(F.col("host").alias("h"), F.col("line").alias("l"))
     return each.join(over, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).select("__key", "line", "words")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT, fold_copies: bool = False) -> DataFrame:
     """doc_id, the base measures, n_left_words, base_failed and kept for every row of docs (doc_id, text, host).
 
     kept is false where base_failed, or where lines above the limit are removed and the words left are fewer
@@ -101,19 +107,19 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MA
     Other columns, whatever their names, are ignored.
     """
     measured = base_rules(docs.select("doc_id", "text")).select("doc_id", "__key", *[F.col(f"__{m}").alias(m) for m in MEASURES], F.col("__failed").alias("base_failed"))
-    removed = frequent_lines(docs, host, max_documents).groupBy("__key").agg(F.sum("words").alias("gone"))
+    removed = frequent_lines(docs, host, max_documents, fold_copies).groupBy("__key").agg(F.sum("words").alias("gone"))
     out = measured.join(removed, "__key", "left").withColumn("n_left_words", F.greatest(F.lit(0), F.col("n_words") - F.coalesce("gone", F.lit(0))))
     depleted = F.col("gone").isNotNull() & (100 * F.col("n_left_words") < min_left_percent * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def apply_quality(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def apply_quality(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT, fold_copies: bool = False) -> DataFrame:
     """docs without the rejected documents, and without the lines above the limit in those that stay.
 
     Columns are those of docs, also where a name is that of a measure; n_chars, where there is one, is counted again.
     Nulls, short texts, repeated rows and an empty table are treated as in quality_rules.
     """
-    lines = frequent_lines(docs, host, max_documents).groupBy("__key").agg(F.sum("words").alias("__gone"), F.collect_set("line").alias("__over"))
+    lines = frequent_lines(docs, host, max_documents, fold_copies).groupBy("__key").agg(F.sum("words").alias("__gone"), F.collect_set("line").alias("__over"))
     out = base_rules(docs).where("not __failed").join(lines, "__key", "left")
     left = F.col("__n_words") - F.coalesce("__gone", F.lit(0))
     out = out.where(F.col("__gone").isNull() | (100 * left >= min_left_percent * F.col("__n_words")))
@@ -134,8 +140,7 @@ ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d),
 l2 AS (SELECT doc_id, source, raw, trim(regexp_replace(lower(raw), '[ \t-\r]+', ' ', 'g')) AS line FROM ln WHERE regexp_matches(raw, '[^ \t-\r]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM l2 GROUP BY doc_id),
 l3 AS (SELECT doc_id, source, md5(line) AS line, sum(len(string_split(line, ' '))) AS words FROM l2 GROUP BY ALL),
-sig AS (SELECT doc_id, md5(string_agg(line, '' ORDER BY line)) AS whole FROM l3 GROUP BY doc_id),
-over_limit AS (SELECT source, line FROM l3 JOIN sig USING (doc_id) GROUP BY source, line HAVING count(DISTINCT whole) > 100),
+over_limit AS (SELECT source, line FROM l3 GROUP BY source, line HAVING count(DISTINCT doc_id) > 100),
 gone AS (SELECT doc_id, sum(words) AS n FROM l3 JOIN over_limit USING (source, line) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

@@ -303,14 +303,14 @@ def test_quality_base_and_lines(spark):
     copy = "\n".join(prose(30) for _ in range(3))
     texts += [copy] * 9
     docs = docs_of(spark, texts).withColumnRenamed("x", "source")
-    got = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=6).collect()}
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=6, fold_copies=True).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base_of(t), t
     assert [got[i]["kept"] for i in range(6, 14)] == [True] * 8 and got[6]["n_left_words"] == 60
     assert not any(got[i]["kept"] for i in range(14, 22))
     assert all(got[i]["kept"] for i in range(22, 31))
-    kept = {r["doc_id"]: r["text"] for r in quality.apply_quality(docs, max_documents=6).collect()}
+    kept = {r["doc_id"]: r["text"] for r in quality.apply_quality(docs, max_documents=6, fold_copies=True).collect()}
     assert sorted(kept) == [*range(6, 14), *range(22, 31)] and banner not in kept[6] and kept[22] == copy
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
@@ -333,12 +333,16 @@ def test_quality_counts_documents_that_share_most_lines(spark):
     copy = [prose(30) for _ in range(3)]
     texts += ["\n".join(rnd.sample(copy, 3)) for _ in range(45)]
     docs = docs_of(spark, texts, "source int")
-    got = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=30).collect()}
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=30, fold_copies=True).collect()}
     assert [(got[i]["n_left_words"], got[i]["kept"]) for i in range(40)] == [(30, False)] * 40
     assert [(got[i]["n_left_words"], got[i]["kept"]) for i in range(40, 85)] == [(90, True)] * 45
-    assert sorted(r["doc_id"] for r in quality.apply_quality(docs, max_documents=30).collect()) == list(range(40, 85))
+    assert sorted(r["doc_id"] for r in quality.apply_quality(docs, max_documents=30, fold_copies=True).collect()) == list(range(40, 85))
+    # Counted plainly, copies are documents like others, and their lines go too.
+    plain = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=30).collect()}
+    assert [(plain[i]["n_left_words"], plain[i]["kept"]) for i in range(85)] == [(30, False)] * 40 + [(0, False)] * 45
+    assert quality.apply_quality(docs, max_documents=30).count() == 0
     # The limit is on distinct documents: 40 are not more than 40.
-    assert all(r["kept"] for r in quality.quality_rules(docs, max_documents=40).collect())
+    assert all(r["kept"] for r in quality.quality_rules(docs, max_documents=40, fold_copies=True).collect())
 
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><a href='/x'>menu {0}</a></nav><div class='ad'>buy {0}</div><article><h1>Head {0}</h1><p><b>Bold {0}.<br><p>Fish &amp;   chips\n{0} &eacute;</p><ul><li>one<li>two</ul></article><div id='comments'><p>nice {0}</p></div><footer>&copy; host</footer></body></html>"
