@@ -171,3 +171,29 @@ def test_late_rows_of_a_stream_are_kept(spark, tmp_path):
         spark.createDataFrame([(i, f"{day} 00:00:00") for i in ids], "id int, ts string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     response_delta(spark, f"{tmp_path}/in", "id int, ts string", "id", lambda rows: rows.where("id <> 8"), f"{tmp_path}/out", f"{tmp_path}/state", files=1).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 10]
+
+
+def test_pairs_of_classes_are_the_pairs_of_their_rows(spark):
+    from heddle.operators import classes
+
+    people = spark.range(500).selectExpr("id AS a", "id % 3 AS block", "CASE WHEN id % 5 > 0 THEN id % 5 END AS kind").select("a", "block", F.struct("kind").alias("x"))
+    others = spark.range(70).selectExpr("id AS b", "id % 4 AS block", "CASE WHEN id % 6 > 0 THEN id % 6 END AS kind").select("b", "block", F.struct("kind").alias("y"))
+    pairs = people.select("block", "x").distinct().join(others.select("block", "y").distinct(), "block").withColumn("s", F.coalesce(F.col("x.kind"), F.lit(10)) - F.coalesce(F.col("y.kind"), F.lit(20)))
+    got = classes.expanded(people, ["block", "x"], "a", pairs, others, ["block", "y"], "b")
+    want = [(a, b, (a % 5 or 10) - (b % 6 or 20)) for a in range(500) for b in range(70) if a % 3 == b % 4]
+    assert sorted((r["a"], r["b"], r["s"]) for r in got.collect()) == sorted(want)
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()  # pairs are made in as many tasks as there are partitions
+    lists = classes.members(others.withColumn("y", F.lit(1)), ["y"], "b", 10).collect()
+    assert sorted(b for r in lists for b in r["members"]) == list(range(70)) and len(lists) > 3
+
+
+def test_scores_are_worked_out_once_per_pair_of_classes(spark, tmp_path):
+    from heddle.plans import scoring
+
+    spark.range(300).selectExpr("id AS c_custkey", "id % 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(240).selectExpr("id AS s_suppkey", "id % 2 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = scoring.scored_classes(spark, str(tmp_path))
+    assert rows.count() == 2 * 30 * 30 and rows.agg(F.sum("n")).first()[0] == 2 * 30 * 120
+    found = {r["node"]: r["best"] for r in scoring.join_candidate_score(spark, str(tmp_path)).collect()}
+    every = scoring.scored(spark, str(tmp_path), "score").groupBy("node").agg(F.max("score").alias("best")).collect()
+    assert len(found) == 300 and found == {r["node"]: r["best"] for r in every}
