@@ -24,13 +24,15 @@ v AS (SELECT 'ROOT' AS node, 'root' AS label, 0 AS generation, true AS responden
 REACH = "WITH RECURSIVE" + EDGES + ", d AS (SELECT src AS focal, dst AS node FROM e WHERE src LIKE 'R%' AND src <> 'ROOT' UNION SELECT d.focal, e.dst FROM d JOIN e ON e.src = d.node)"
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """The edges, each once; repeated: as lines have them, for operators to which an edge that comes again tells nothing new."""
     t = lambda n: table(spark, sf_dir, n)
+    lines = t("lineitem").select("l_suppkey", "l_partkey")
     parts = [
         t("region").selectExpr("'ROOT' AS src", "'R' || r_regionkey AS dst"),
         t("nation").selectExpr("'R' || n_regionkey AS src", "'N' || n_nationkey AS dst"),
         t("supplier").selectExpr("'N' || s_nationkey AS src", "'S' || s_suppkey AS dst"),
-        t("lineitem").selectExpr("'S' || l_suppkey AS src", "'P' || l_partkey AS dst").distinct(),
+        (lines if repeated else lines.distinct()).selectExpr("'S' || l_suppkey AS src", "'P' || l_partkey AS dst"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -102,7 +104,7 @@ def g_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g_primary_parent", "WITH" + EDGES + ", " + NODES + " SELECT dst AS node, arg_min(src, (CASE WHEN c.generation = 1 AND src = 'ROOT' THEN 0 WHEN src <> 'ROOT' THEN 1 ELSE 2 END, -p.generation, p.label, src)) AS parent FROM e JOIN v c ON c.node = dst JOIN v p ON p.node = src GROUP BY dst")
 def g_primary_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.primary_parents(edges(spark, sf_dir), nodes(spark, sf_dir), "ROOT")
+    return G.primary_parents(edges(spark, sf_dir, True), nodes(spark, sf_dir), "ROOT")
 
 
 PRIMARY = "pp AS (SELECT dst AS node, arg_min(src, (p.label, src)) AS parent FROM e JOIN v p ON p.node = src GROUP BY dst)"
@@ -119,13 +121,13 @@ PATHS = "WITH RECURSIVE" + EDGES + ", " + NODES + ", " + PRIMARY + ", w AS (SELE
 
 @register("g_ancestor_path", PATHS + "SELECT node, array_to_string(arg_max(path, len(path)), '/') AS path FROM w GROUP BY node")
 def g_ancestor_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, v = edges(spark, sf_dir, True), nodes(spark, sf_dir)
     return G.ancestor_paths(G.primary_parents(e, v, "ROOT")).select("node", F.array_join("path", "/").alias("path"))
 
 
 @register("g_tree_counts", PATHS + "SELECT top AS node, count(*) AS descendants FROM w GROUP BY top")
 def g_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, v = edges(spark, sf_dir, True), nodes(spark, sf_dir)
     return G.tree_counts(G.primary_parents(e, v, "ROOT"))
 
 
