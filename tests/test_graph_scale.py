@@ -38,3 +38,18 @@ def test_primary_parents_take_the_least_rank_without_a_sort_of_edges(spark):
     odd = spark.createDataFrame([("x", "n1"), ("n2", "n1"), ("root", "y")], "src string, dst string")
     assert [tuple(r) for r in graph.primary_parents(odd, nodes.where("node <> 'x'"), "root").collect()] == [("n1", "x")]
     assert graph.primary_parents(edges.limit(0), nodes, "root").count() == 0
+
+
+def test_secondary_parents_in_tasks_by_rows(spark, monkeypatch):
+    from heddle.operators import _loop
+
+    pairs, edges, nodes, generation, label = lineage(spark, 6)
+    best = best_parents(pairs, generation, label)
+    primary = spark.createDataFrame(sorted(best.items()), "node string, parent string")
+    want = {n: sorted(label[a] for a, b in pairs if b == n and a != p) for n, p in best.items()}
+    want = {n: ", ".join(x) for n, x in want.items() if x}
+    monkeypatch.setattr(_loop, "TASK_ROWS", 10, raising=False)
+    got = graph.secondary_parents(edges, primary, nodes)
+    assert {r["node"]: r["others"] for r in got.collect()} == want
+    # 277 rows or so go to 28 tasks or so; no merging by size brings them together.
+    assert "hashpartitioning(node#" in plan_of(got) and f", {-(-edges.count() // 10)})" in plan_of(got)
