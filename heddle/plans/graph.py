@@ -99,7 +99,7 @@ def g_cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported generations are wrong or missing below the root, and topology puts them right."""
     told = nodes(spark, sf_dir).select("node", F.when(F.col("node") == "ROOT", 0).when(F.col("node").startswith("P"), 9).otherwise(F.lit(None)).cast("int").alias("generation"))
-    return G.generations(told, edges(spark, sf_dir))
+    return G.generations(told, edges(spark, sf_dir, True))
 
 
 @register("g_primary_parent", "WITH" + EDGES + ", " + NODES + " SELECT dst AS node, arg_min(src, (CASE WHEN c.generation = 1 AND src = 'ROOT' THEN 0 WHEN src <> 'ROOT' THEN 1 ELSE 2 END, -p.generation, p.label, src)) AS parent FROM e JOIN v c ON c.node = dst JOIN v p ON p.node = src GROUP BY dst")

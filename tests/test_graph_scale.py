@@ -53,3 +53,39 @@ def test_secondary_parents_in_tasks_by_rows(spark, monkeypatch):
     assert {r["node"]: r["others"] for r in got.collect()} == want
     # 277 rows or so go to 28 tasks or so; no merging by size brings them together.
     assert "hashpartitioning(node#" in plan_of(got) and f", {-(-edges.count() // 10)})" in plan_of(got)
+
+
+def swept(pairs, generation):
+    now = dict(generation)
+    for _ in range(100):
+        told = {}
+        for a, b in pairs:
+            if now[a] is not None:
+                told[b] = min(told.get(b, 10**6), now[a] + 1)
+        fresh = now | told
+        if fresh == now:
+            return now
+        now = fresh
+
+
+def test_generations_where_reports_are_too_low_or_too_high(spark):
+    for seed in range(3):
+        pairs, edges, nodes, generation, _ = lineage(spark, seed)
+        told = {n: None if n == "n3" else 0 if n == "root" else (i * 7 + seed) % 11 if i % 3 else None for i, n in enumerate(generation)}
+        got = graph.generations(spark.createDataFrame([*told.items()], "node string, generation int"), edges)
+        assert {r["node"]: r["generation"] for r in got.collect()} == swept(pairs, told)
+
+
+def test_generations_are_sent_by_nodes_that_moved_alone(spark, monkeypatch):
+    sent, counted = [], graph.counted
+
+    def seen(df, **tests):
+        out = counted(df, **tests)
+        sent.extend([out[1]["rows"]] if df.columns == ["src", "generation"] else [])
+        return out
+
+    monkeypatch.setattr(graph, "counted", seen)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    got = graph.generations(spark.createDataFrame([(i, 0 if i == 0 else None) for i in range(13)], "node int, generation int"), chain)
+    assert sorted((r["node"], r["generation"]) for r in got.collect()) == [(i, i) for i in range(13)]
+    assert sent == [1] * 12 + [0]
