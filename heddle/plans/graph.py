@@ -133,7 +133,7 @@ def g_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g_neighbours", "WITH" + EDGES + ", " + NODES + ", u AS (SELECT dst AS node, string_agg(DISTINCT label, '|' ORDER BY label) AS a FROM e JOIN v ON v.node = src GROUP BY dst), w AS (SELECT src AS node, string_agg(DISTINCT label, '|' ORDER BY label) AS s FROM e JOIN v ON v.node = dst GROUP BY src) SELECT node, 0::BIGINT AS chunk, coalesce(a, '') AS advisors, coalesce(s, '') AS students FROM v LEFT JOIN u USING (node) LEFT JOIN w USING (node)")
 def g_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbours(edges(spark, sf_dir), nodes(spark, sf_dir)).select("node", "chunk", F.array_join("advisors", "|").alias("advisors"), F.array_join("students", "|").alias("students"))
+    return G.neighbours(edges(spark, sf_dir, True), nodes(spark, sf_dir)).select("node", "chunk", F.array_join("advisors", "|").alias("advisors"), F.array_join("students", "|").alias("students"))
 
 
 @register("g_child_status", "WITH" + EDGES + ", " + NODES + ", b AS (SELECT src AS node, max(generation) AS deepest FROM e JOIN v ON v.node = dst GROUP BY src) SELECT node, CASE WHEN NOT respondent THEN 'non_respondent' WHEN NOT has_students THEN 'answered_no' WHEN deepest IS NULL THEN 'no_outgoing_edges' WHEN deepest > generation THEN 'has_descendants' ELSE 'same_generation_only' END AS status FROM v LEFT JOIN b USING (node)")

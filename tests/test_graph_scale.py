@@ -89,3 +89,18 @@ def test_generations_are_sent_by_nodes_that_moved_alone(spark, monkeypatch):
     got = graph.generations(spark.createDataFrame([(i, 0 if i == 0 else None) for i in range(13)], "node int, generation int"), chain)
     assert sorted((r["node"], r["generation"]) for r in got.collect()) == [(i, i) for i in range(13)]
     assert sent == [1] * 12 + [0]
+
+
+def test_neighbours_are_numbered_on_large_sides_alone(spark, monkeypatch):
+    pairs, edges, nodes, _, label = lineage(spark, 7)
+    numbered, seen = graph.numbered_within, []
+    monkeypatch.setattr(graph, "numbered_within", lambda rows, *rest: seen.extend(r["node"] for r in rows.select("node").distinct().collect()) or numbered(rows, *rest))
+    want = {n: (sorted({label[a] for a, b in pairs if b == n}), sorted({label[b] for a, b in pairs if a == n})) for n in label}
+    got = graph.neighbours(edges, nodes, 1000)
+    assert {r["node"]: (r["chunk"], r["advisors"], r["students"]) for r in got.collect()} == {n: (0, *w) for n, w in want.items()}
+    assert not seen
+    for size in (2, 20):
+        seen.clear()
+        got = graph.neighbours(edges, nodes, size).collect()
+        assert {(r["node"], r["chunk"]): (r["advisors"], r["students"]) for r in got} == {(n, c): (a[c * size:][:size], s[c * size:][:size]) for n, (a, s) in want.items() for c in range(max(1, -(-max(len(a), len(s)) // size)))}
+        assert sorted(seen) == sorted(n for ends in zip(*pairs) for n in set(ends) if 2 * ends.count(n) > size)
