@@ -104,3 +104,25 @@ def test_neighbours_are_numbered_on_large_sides_alone(spark, monkeypatch):
         got = graph.neighbours(edges, nodes, size).collect()
         assert {(r["node"], r["chunk"]): (r["advisors"], r["students"]) for r in got} == {(n, c): (a[c * size:][:size], s[c * size:][:size]) for n, (a, s) in want.items() for c in range(max(1, -(-max(len(a), len(s)) // size)))}
         assert sorted(seen) == sorted(n for ends in zip(*pairs) for n in set(ends) if 2 * ends.count(n) > size)
+
+
+def test_edges_to_nodes_that_none_leaves_stay_out_of_the_rounds(spark, monkeypatch):
+    dealt, bucketed = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, key: dealt.append(df.count()) or bucketed(df, key))
+    rnd = random.Random(3)
+    pairs = {("r", f"a{i}") for i in range(4)} | {(f"a{i}", f"b{j}") for i in range(4) for j in range(6) if rnd.random() < 0.6} | {(f"b{i}", f"c{rnd.randrange(90)}") for i in range(6) for _ in range(30)}
+    edges = spark.createDataFrame(sorted(pairs) * 2 + [("a0", "a0")], "src string, dst string")
+    focal = [*[f"a{i}" for i in range(4)], "r", "b0", "c0", "c1", *[f"none{i}" for i in range(70)]]
+    frame = spark.createDataFrame([(f,) for f in focal], "focal string")
+    below = {}
+    for f in focal:
+        seen, todo = set(), [f]
+        while todo:
+            x = todo.pop()
+            fresh = {b for a, b in pairs if a == x} - seen
+            seen |= fresh
+            todo += fresh
+        below[f] = seen
+    got = graph.descendants(edges, frame, blocked=False)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f, n) for f in focal for n in below[f])
+    assert dealt == [2 * sum(b[0] != "c" for _, b in pairs)]
