@@ -55,30 +55,30 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("win_rank_subtree", REACH + "SELECT focal, count(*) AS descendants, row_number() OVER (ORDER BY count(*) DESC, focal)::INTEGER AS rank FROM d GROUP BY focal")
 def win_rank_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     focal = regions(spark, sf_dir)
-    kept, _ = G.remove_cycles(edges(spark, sf_dir))
+    kept, _ = G.remove_cycles(edges(spark, sf_dir, True))
     return G.rank_subtrees(G.descendant_counts(focal, G.descendants(kept, focal)))
 
 
 @register("g_descendants_blocked", "WITH RECURSIVE" + EDGES + ", f AS (SELECT 'N' || n_nationkey AS focal FROM nation UNION ALL SELECT 'R' || r_regionkey FROM region), x AS (SELECT * FROM e WHERE dst NOT IN (SELECT focal FROM f)), d AS (SELECT src AS focal, dst AS node FROM x WHERE src IN (SELECT focal FROM f) UNION SELECT d.focal, x.dst FROM d JOIN x ON x.src = d.node) SELECT * FROM d")
 def g_descendants_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     focal = regions(spark, sf_dir).unionByName(table(spark, sf_dir, "nation").selectExpr("'N' || n_nationkey AS focal"))
-    return G.descendants(edges(spark, sf_dir), focal)
+    return G.descendants(edges(spark, sf_dir, True), focal)
 
 
 @register("g_descendant_summary", REACH + "SELECT count(DISTINCT node) AS unique_nodes, count(*) AS summed, count(*) - count(DISTINCT node) AS overlap FROM d")
 def g_descendant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.descendant_summary(G.descendants(edges(spark, sf_dir), regions(spark, sf_dir)))
+    return G.descendant_summary(G.descendants(edges(spark, sf_dir, True), regions(spark, sf_dir)))
 
 
 @register("agg_overlap", REACH + ", c AS (SELECT focal, count(*) AS n FROM d GROUP BY focal) SELECT sum(n)::BIGINT - (SELECT count(DISTINCT node) FROM d) AS overlap FROM c")
 def agg_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.descendant_summary(G.descendants(edges(spark, sf_dir), regions(spark, sf_dir))).select("overlap")
+    return G.descendant_summary(G.descendants(edges(spark, sf_dir, True), regions(spark, sf_dir))).select("overlap")
 
 
 @register("agg_subtree_stats", REACH + ", c AS (SELECT focal, count(*) AS n FROM d GROUP BY focal) SELECT avg(n) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most, coalesce(stddev_samp(n), 0) AS deviation FROM c")
 def agg_subtree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     focal = regions(spark, sf_dir)
-    c = G.descendant_counts(focal, G.descendants(edges(spark, sf_dir), focal))
+    c = G.descendant_counts(focal, G.descendants(edges(spark, sf_dir, True), focal))
     return c.agg(F.avg("descendants").alias("mean"), F.median("descendants").alias("median"), F.min("descendants").alias("least"), F.max("descendants").alias("most"), F.coalesce(F.stddev_samp("descendants"), F.lit(0.0)).alias("deviation"))
 
 

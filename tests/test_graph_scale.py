@@ -126,3 +126,12 @@ def test_edges_to_nodes_that_none_leaves_stay_out_of_the_rounds(spark, monkeypat
     got = graph.descendants(edges, frame, blocked=False)
     assert sorted(tuple(r) for r in got.collect()) == sorted((f, n) for f in focal for n in below[f])
     assert dealt == [2 * sum(b[0] != "c" for _, b in pairs)]
+
+
+def test_edges_without_cycles_are_written_once(spark, monkeypatch):
+    written, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df: written.append(df.columns) or staged(df))
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}", i) for i in range(5) for j in range(9)] + [("a0", "a0", 9)], "src string, dst string, w int")
+    kept, removed = graph.remove_cycles(edges)
+    assert kept.count() == 45 and [tuple(r) for r in removed.collect()] == [("a0", "a0", 9)]
+    assert len([c for c in written if "w" in c]) == 1
