@@ -2,10 +2,14 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from heddle import plans
 from heddle.operators import classes
 
+from test_people_joins import folder  # noqa: F401
+
 
 def test_pairs_take_few_bytes_in_a_file(spark, tmp_path):
     """One class of either side: a file holds runs that repeat, not two ids a pair."""
@@ -53,3 +57,11 @@ def test_equal_keys_are_left_out(spark):
     got = classes.expanded_apart(left, ["a"], "lid", "lkey", pairs, right, ["b"], "rid", "rkey", 4)
     want = [(lid, rid, t) for a, lid, k in left.collect() for b, rid, q in right.collect() for x, y, t in pairs.collect() if (a, b) == (x, y) and (k is None or k != q)]
     assert got.columns == ["lid", "rid", "told"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ("join_pairwise_criteria", "join_pairwise_checks"))
+def test_people_without_a_common_key_are_not_compared(spark, folder, name):  # noqa: F811
+    """Keys are looked at before rows become pairs, and pair by pair only where both have one."""
+    plan = plans.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(rkey#" in plan and "isnull(lkey#" in plan
+    assert sum("__lid" in x and "__rid" in x and ".lkey = " in x for x in plan.splitlines() if "Filter" in x) == 1
